@@ -44,8 +44,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceili
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    per = per.withColumn("level", level)
-    per = per.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(every)["level"])
+    per = per.withColumn("level", level).withColumn("at", F.row_number().over(order))
+    per = per.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("at", "level"))).over(every)["level"])
     share = F.coalesce(F.least(F.col("most"), F.col("level") * F.col("w")), F.col("most"))
     return per.select("source", "n", "source_size", share.alias("target"))
 

@@ -17,6 +17,8 @@ learned from; conflicting or repeated labels each count; without labels only the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,9 +118,9 @@ def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, alpha: floa
     met = table.join(gaps, (F.col("__rule") == F.col("rule")) & (F.col("__stratum") == F.col("stratum"))).groupBy("rule", "stratum", "i", "cutoff").agg(
         *[F.sum(F.when(F.col("above") > F.col("i"), F.col(c)).otherwise(0)).alias(f"{c}_out") for c in ("fit_good", "fit_bad", "good")], F.sum("good").alias("n_good")
     )
-    met = met.withColumn("m", F.lit(proposed.first()["m"]))
+    tests = max(1, proposed.first()["m"])
     met = met.withColumn("log_p", lower_tail(F.col("good_out"), F.col("n_good"), risk))
-    valid = met.where((F.col("log_p") <= F.log(F.lit(alpha) / F.col("m"))) & (F.col("fit_bad_out") > price * F.col("fit_good_out")))
+    valid = met.where((F.col("log_p") <= math.log(alpha / tests)) & (F.col("fit_bad_out") > price * F.col("fit_good_out")))
     best = F.row_number().over(Window.partitionBy("rule", "stratum").orderBy((F.col("fit_bad_out") - price * F.col("fit_good_out")).desc(), F.col("cutoff").desc()))
     return valid.withColumn("rank", best).where("rank = 1").select("rule", "stratum", "cutoff", F.col("n_good").alias("holdout_good"), F.col("good_out").alias("false_rejections"), "log_p")
 

@@ -8,9 +8,12 @@ import importlib
 MODULES = {
     "op1_line_dedup": "line_dedup",
     "op2_simhash": "simhash",
+    "op3_personal_data": "pii",
     "op4_token_store": "token_store",
+    "op5_toxicity": "toxicity",
     "op6_order_minhash": "order_minhash",
     "op7_source_mixing": "mixing",
+    "op8_language_id": "language_id",
     "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
 }
