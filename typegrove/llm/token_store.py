@@ -3,7 +3,7 @@
 A rolling (gear) hash over the last 32 ids cuts each document's id stream into chunks, so equal passages give equal
 chunks wherever they stand. A chunk's address is its 128-bit BLAKE2b digest. The store has three tables:
 
-- ``chunks`` (hash, ids): every different chunk once, the ids as little-endian unsigned 32-bit integers;
+- ``chunks`` (hash, ids): every different chunk once: a byte for the width of an id, 2 or 4, then the ids, little-endian;
 - ``recipes`` (doc_id, start, n_tokens, root, chunks[hash, n]) in ascending doc_id order: how to put documents together;
   ``root`` is the Merkle root of the document's chunk hashes;
 - ``manifest`` (range, docs, first_id, last_id, root): the Merkle root of each range of documents.
@@ -58,6 +58,17 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def stored(raw: bytes) -> bytes:
+    """Little-endian unsigned 32-bit ids in the store's form: two bytes each where that is enough."""
+    ids = np.frombuffer(raw, "<u4")
+    return b"\x02" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\x04" + raw
+
+
+def plain(data: bytes) -> bytes:
+    """The store's form as little-endian unsigned 32-bit ids again."""
+    return data[1:] if data[0] == 4 else np.frombuffer(data, "<u2", offset=1).astype("<u4").tobytes()
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -75,16 +86,17 @@ def _chunker(path: str):
         schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("pos", pa.int32()), ("after", pa.int64()), ("n", pa.int32()), ("hash", pa.binary()), ("ids", pa.binary())])
         for batch in batches:
             doc_ids, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
-            for at, found in tokens.encoded(batch.column("text"), path, 1 << 21):
+            for at, found in tokens.encoded(batch.column("text"), path, 1 << 24):
                 rows: list[list] = [[] for _ in schema]
                 for i, raw in enumerate(found, at):
                     raw += END_ID.to_bytes(4, "little")
                     ends = cuts(np.frombuffer(raw, "<u4"))
-                    parts = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+                    starts = [0, *ends[:-1]]
+                    parts = [stored(raw[4 * a : 4 * b]) for a, b in zip(starts, ends)]
                     hashes = [digest(p) for p in parts]
                     n, root = len(raw) // 4, merkle(hashes)
-                    for k, (end, part, h) in enumerate(zip(ends, parts, hashes)):
-                        for col, v in zip(rows, (doc_ids[i], ties[i], n, root, k, n - end, len(part) // 4, h, part)):
+                    for k, (a, end, part, h) in enumerate(zip(starts, ends, parts, hashes)):
+                        for col, v in zip(rows, (doc_ids[i], ties[i], n, root, k, n - end, end - a, h, part)):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
@@ -152,6 +164,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad = [h for h, x in zip(hashes, ids) if digest(x) != h]
         if bad:
             raise ValueError(f"chunk {bad[0].hex()} does not match its address")
+        ids = [plain(x) for x in ids]
         crc = np.array([zlib.crc32(x) for x in ids], np.int64)
         yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crc)], ["hash", "held", "crc"])
 
@@ -210,10 +223,15 @@ def read_sums(store: TokenStore) -> DataFrame:
     return per.select("doc_id", "start", F.when(F.col("held") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document's chunks do not add up")).cast("long")).alias("n_tokens"), "ids_crc32")
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array([plain(x) for x in b.column("ids").to_pylist()], pa.binary())], ["hash", "ids"])
+
+
 def read_documents(store: TokenStore) -> DataFrame:
-    """(doc_id, start, ids binary): every document put together again from its chunks."""
+    """(doc_id, start, ids binary): every document put together again from its chunks, little-endian unsigned 32-bit ids."""
     asked = store.recipes().select("doc_id", "start", F.explode("chunks").alias("c")).select("doc_id", "start", "c.pos", "c.hash")
-    met = asked.join(store.chunks(), "hash")
+    met = asked.join(store.chunks().mapInArrow(_plain, "hash binary, ids binary"), "hash")
     whole = F.array_sort(F.collect_list(F.struct("pos", F.hex("ids").alias("ids"))))
     return met.groupBy("doc_id", "start").agg(whole.alias("all")).select("doc_id", "start", F.unhex(F.array_join(F.transform("all", lambda x: x["ids"]), "")).alias("ids"))
 

@@ -1,20 +1,24 @@
-"""Token ids of whole texts in tasks, through the tokenizers library, with a bounded memory of words already seen.
+"""Token ids of whole texts in tasks, through the tokenizers library, with a bounded memory of pieces already seen.
 
-Byte-level BPE cuts a text at every space that stands between two other characters, so a word with the space before it
-has the same ids wherever it occurs. Texts are split at spaces, unseen words are encoded together, and a text's ids are
-its words' ids in a row. Words that begin or end with white space, and so could be cut otherwise, are not used that
-way: their texts go to the library whole.
+Equal words of a slice of texts are looked up once, by an Arrow dictionary. Byte-level BPE first cuts a text into pieces by a fixed pattern, and always before a space that stands between two other
+characters. So a word with the space before it has the same ids wherever it occurs. Texts are split at spaces; a word
+not seen before is cut into its pieces, and a piece not seen before goes to the library's BPE model. Words that begin or
+end with white space, and so could be cut otherwise, are not used that way: their texts go to the library whole, as do
+texts with a special token in them, and all texts if the tokenizer is of another make.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words remembered by each Python worker, about 100 bytes each.
-MOST_WORDS = 300_000
+#: Words, and pieces of words, in a generation of what each Python worker remembers, about 200 bytes each.
+MOST_WORDS = 600_000
 
 _state: dict = {}
 
@@ -25,53 +29,111 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _load(path: str):
-    if _state.get("path") != path:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
-        _state.clear()
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), words={})
-    return _state["tokenizer"], _state["words"]
 
+class _Memory:
+    """A bounded memory in two generations: a full young one replaces the old; what is used of the old moves to the young."""
 
-def _encode(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def __init__(self):
+        self.young: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
+
+    def put(self, key: str, ids: bytes | bool) -> None:
+        if len(self.young) >= MOST_WORDS:
+            self.old, self.young = self.young, {}
+        self.young[key] = ids
+
+
+class _Encoder:
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.special = [a.content for a in t.get_added_tokens_decoder().values()]
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.letters = _letters()
+        made = t.pre_tokenizer
+        self.known_make = isinstance(t.model, models.BPE) and isinstance(made, pre_tokenizers.ByteLevel) and made.use_regex and not made.add_prefix_space and t.normalizer is None
+        self.model = t.model
+        self.words, self.parts = _Memory(), _Memory()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def cut(self, text: str) -> bytes:
+        """Ids of a text by pieces."""
+        return b"".join([self.part(p) for p in self.pattern.findall(text)])
+
+    def model_ids(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+
+    def part(self, piece: str) -> bytes:
+        memory = self.parts
+        if piece in memory.young:
+            return memory.young[piece]
+        ids = memory.old.get(piece) or self.model_ids(piece)
+        if len(piece) < 64:
+            memory.put(piece, ids)
+        return ids
+
+    def word(self, w: str) -> bytes | bool:
+        """Ids of a word with a space before it, or False if the word does not stand for itself."""
+        if w.isalpha():  # one piece
+            return self.model_ids(" " + w)
+        if w[:-1].isalpha() and w[-1] in ".,;:!?":  # two
+            head = self.words.young.get(w[:-1]) or self.words.old.get(w[:-1])
+            return (head or self.model_ids(" " + w[:-1])) + self.part(w[-1])
+        return self.cut(" " + w) if w and not w[0].isspace() and not w[-1].isspace() else False
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text, None for those that the library has to take whole. Equal words are looked up once."""
+        plain = [i for i, t in enumerate(texts) if self.known_make and not any(s in t for s in self.special)]
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        young, old, words = self.words.young, self.words.old, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(young.get, words))
+        for k, x in enumerate(ids):
+            if x is None:
+                w = words[k]
+                ids[k] = x = old.get(w)
+                if x is None:
+                    ids[k] = x = self.word(w)
+                if len(w) < 64:
+                    self.words.put(w, x)
+        odd = np.fromiter((x is False for x in ids), bool, len(ids))
+        at = coded.indices.to_numpy()
+        laid = pa.array([x or b"" for x in ids], pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(laid.buffers()[1], np.int64)[: len(laid) + 1] if len(laid) else np.zeros(1, np.int64)
+        data = memoryview(laid.buffers()[2] or b"")
+        spans = lists.offsets.to_numpy()
+        bad = np.concatenate([[0], np.cumsum(odd[at])]) if len(at) else np.zeros(1, np.int64)
+        out: list[bytes | None] = [None] * len(texts)
+        for i, a, b in zip(plain, spans[:-1].tolist(), spans[1:].tolist()):
+            first = words[at[a]]
+            if bad[b] == bad[a + 1] and not (first and first[-1].isspace()):
+                out[i] = self.cut(first) + bytes(data[ends[a + 1] : ends[b]])
+        return out
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
-    tokenizer, known = _load(path)
-    split = [t.split(" ") for t in texts]
-    new: dict[str, bytes | None] = {}
-    for words in split:
-        for w in words[1:]:
-            if w not in known and w not in new:
-                new[w] = None
-    fresh = list(new)
-    clean = [w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()]
-    for k in range(0, len(clean), 4096):
-        part = clean[k : k + 4096]
-        new.update(zip(part, _encode(tokenizer, [" " + w for w in part])))
-    heads = [i for i, words in enumerate(split) if words[0] and not words[0][-1].isspace()]
-    first = dict(zip(heads, _encode(tokenizer, [split[i][0] for i in heads])))
-    out: list[bytes | None] = []
-    whole: list[int] = []
-    for i, (t, words) in enumerate(zip(texts, split)):
-        ids = [first.get(i, b"" if len(words) == 1 and not t else None)]
-        ids += [known[w] if w in known else new[w] for w in words[1:]]
-        if None in ids:
-            whole.append(i)
-            out.append(None)
-        else:
-            out.append(b"".join(ids))
-    for i, ids in zip(whole, _encode(tokenizer, [texts[i] for i in whole])):
+    if _state.get("path") != path:
+        _state.clear()
+        _state.update(path=path, encoder=_Encoder(path))
+    encoder = _state["encoder"]
+    out = encoder.encode(texts)
+    left = [i for i, ids in enumerate(out) if ids is None]
+    for i, ids in zip(left, encoder.whole([texts[i] for i in left])):
         out[i] = ids
-    room = MOST_WORDS - len(known)
-    if room > 0:
-        for w in fresh[:room]:
-            if new[w] is not None:
-                known[w] = new[w]
     return out
 
 
