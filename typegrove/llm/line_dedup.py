@@ -89,17 +89,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
             batch = batch.where(F.col("doc_id") >= lo)
         if hi is not None:
             batch = batch.where(F.col("doc_id") < hi)
-        lines = line_hashes(batch, min_chars)
+        lines = out.keep(line_hashes(batch, min_chars), f"lines-{k}")  # two uses, one pass over the texts
         runs.add(lines)
         held = lines.join(runs.read(runs.names()), ["h1", "h2"]).where("owner < doc_id")
         lost = held.groupBy("doc_id", ROW).agg(F.array_distinct(F.collect_list("pos")).alias(DROPPED))
         drops.append(out.keep(lost, f"batch-{k}"))
+        out.drop(f"lines-{k}")
     lost = drops[0]
     for more in drops[1:]:
         lost = lost.unionByName(more)
     runs.scratch.drop()
     lost = lost.withColumnRenamed("doc_id", "__id").withColumnRenamed(ROW, "__row")
-    rows = docs.join(lost, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(common.text_of()) == F.col("__row")), "left")
+    # A document's list is a few bytes for each line it loses: hashed, so that the texts need no sort.
+    rows = docs.join(lost.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64(common.text_of()) == F.col("__row")), "left")
     return rewrite(rows).drop("__id", "__row", DROPPED)
 
 
@@ -112,7 +114,8 @@ def rewrite(rows: DataFrame) -> DataFrame:
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     lines = F.split(text, "\n")
-    rows = rows.withColumns({"n_lines": F.array_size(lines).cast("long"), "n_dropped": F.coalesce(F.array_size(DROPPED), F.lit(0)).cast("long")})
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    rows = rows.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.array_size(DROPPED), F.lit(0)).cast("long")})
     return rows.withColumn("kept_text", F.when(F.col(DROPPED).isNull(), text).otherwise(common.let(lines, joined)))
 
 
