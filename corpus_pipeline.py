@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typegrove.llm import common, line_dedup, mixing, packing, simhash
+from typegrove.llm import common, language_id, line_dedup, mixing, packing, simhash
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents for which language ID finds no language (null texts and texts without a letter)."""
-    from typegrove.llm import language_id
-
-    return language_id.keep_known(docs, language_id.fit(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return language_id.keep_known(docs, language_id.fit(docs))
 
 
 def line_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def _chunker(path: str):
         schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("pos", pa.int32()), ("after", pa.int64()), ("n", pa.int32()), ("hash", pa.binary()), ("ids", pa.binary())])
         for batch in batches:
             doc_ids, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
-            for at, found in tokens.encoded(batch.column("text"), path, 1 << 24):
+            for at, found in tokens.encoded(batch.column("text"), path, 1 << 23):
                 rows: list[list] = [[] for _ in schema]
                 for i, raw in enumerate(found, at):
                     raw += END_ID.to_bytes(4, "little")

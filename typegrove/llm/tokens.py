@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words, and pieces of words, in a generation of what each Python worker remembers, about 200 bytes each.
-MOST_WORDS = 600_000
+MOST_WORDS = 340_000
 
 _state: dict = {}
 
@@ -153,3 +153,4 @@ def encoded(batch_texts, path: str, most: int = 1 << 22):
     texts = [t or "" for t in batch_texts.to_pylist()]
     for a, b in pieces([len(t) for t in texts], most):
         yield a, encode(texts[a:b], path)
+        pa.default_memory_pool().release_unused()
