@@ -58,10 +58,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
-def stored(raw: bytes) -> bytes:
-    """Little-endian unsigned 32-bit ids in the store's form: two bytes each where that is enough."""
-    ids = np.frombuffer(raw, "<u4")
-    return b"\x02" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\x04" + raw
+def stored(ids: np.ndarray, ends: list[int]) -> list[bytes]:
+    """A document's chunks in the store's form: two bytes an id where that is enough for all its ids."""
+    narrow = ids.max(initial=0) < 1 << 16
+    width, head, raw = (2, b"\x02", ids.astype("<u2").tobytes()) if narrow else (4, b"\x04", ids.tobytes())
+    return [head + raw[width * a : width * b] for a, b in zip([0, *ends], ends)]
 
 
 def plain(data: bytes) -> bytes:
@@ -86,13 +87,13 @@ def _chunker(path: str):
         schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("pos", pa.int32()), ("after", pa.int64()), ("n", pa.int32()), ("hash", pa.binary()), ("ids", pa.binary())])
         for batch in batches:
             doc_ids, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
-            for at, found in tokens.encoded(batch.column("text"), path, 1 << 23):
+            for at, found in tokens.encoded(batch.column("text"), path, 3 << 22):
                 rows: list[list] = [[] for _ in schema]
                 for i, raw in enumerate(found, at):
                     raw += END_ID.to_bytes(4, "little")
-                    ends = cuts(np.frombuffer(raw, "<u4"))
-                    starts = [0, *ends[:-1]]
-                    parts = [stored(raw[4 * a : 4 * b]) for a, b in zip(starts, ends)]
+                    ids = np.frombuffer(raw, "<u4")
+                    ends = cuts(ids)
+                    starts, parts = [0, *ends[:-1]], stored(ids, ends)
                     hashes = [digest(p) for p in parts]
                     n, root = len(raw) // 4, merkle(hashes)
                     for k, (a, end, part, h) in enumerate(zip(starts, ends, parts, hashes)):
