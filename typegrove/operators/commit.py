@@ -1,11 +1,13 @@
 """Committing a change-set: pre-checks, effective dataset, validation, and a new revision of the tables.
 
 A revision is a folder of Parquet tables; a manifest row names the current one. A commit writes the next folder first
-and the manifest last, so readers see whole revisions only, and a rejected change-set leaves no trace but its issues.
+and the manifest last, so readers see whole revisions only. What is validated are the tables as written: the log is
+applied once, and plans stay short. A rejected change-set's folder goes; a table of its issues stays.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -98,13 +100,20 @@ class Model:
             return 0
         return found or 0
 
-    def _publish(self, dataset: Dataset, revision: int) -> None:
+    def _stage(self, dataset: Dataset, revision: int) -> None:
         for name in TABLES:
             getattr(dataset, name).write.mode("overwrite").parquet(f"{self.path}/revision={revision}/{name}")
+
+    def _publish(self, revision: int) -> None:
         self.spark.createDataFrame([(revision,)], "revision long").write.mode("append").parquet(f"{self.path}/manifest")
 
+    def _discard(self, revision: int) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/revision={revision}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def create(self, dataset: Dataset) -> int:
-        self._publish(dataset, 1)
+        self._stage(dataset, 1)
+        self._publish(1)
         return 1
 
     def read(self, revision: int | None = None) -> Dataset:
@@ -116,13 +125,18 @@ class Model:
         now = self.revision()
         if base_revision is not None and base_revision != now:
             raise ValueError(f"the change-set was made on revision {base_revision}; the model is at {now}")
-        dataset = self.read(now)
+        dataset, tried = self.read(now), f"{self.path}/tried/{uuid.uuid4().hex}"
+        changes.write.parquet(f"{tried}/changes")
+        changes = self.spark.read.schema(changes.schema).parquet(f"{tried}/changes")
         after = apply(dataset, changes)
-        found = change_issues(dataset, changes).unionByName(validate(after)).persist()
+        self._stage(Dataset(**{name: getattr(after, name).select(*getattr(dataset, name).columns) for name in TABLES}), now + 1)
+        found = attributed(change_issues(dataset, changes).unionByName(validate(self.read(now + 1))), changes)
+        found.write.parquet(f"{tried}/issues")
+        found = self.spark.read.schema(found.schema).parquet(f"{tried}/issues")
         if not found.isEmpty():
-            return Outcome(now, False, attributed(found, changes))
-        like = {name: getattr(after, name).select(*getattr(dataset, name).columns) for name in TABLES}
-        self._publish(Dataset(**like), now + 1)
+            self._discard(now + 1)
+            return Outcome(now, False, found)
+        self._publish(now + 1)
         return Outcome(now + 1, True, found)
 
 
