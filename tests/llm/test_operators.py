@@ -271,6 +271,22 @@ def test_toxicity_learns_pairs():
     assert ((out > 0) == (y > 0)).mean() > 0.95
 
 
+@pytest.mark.parametrize("shard_rows", [4000, 500])
+def test_toxicity_learns_pairs_of_texts(spark, monkeypatch, shard_rows):
+    """The same through fit() and score(), in one shard and in several: each of the four words is as frequent in both kinds."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", shard_rows)
+    rng = random.Random(8)
+    texts, labels = [], []
+    for i in range(4000):
+        a, b = i % 2, i // 2 % 2
+        texts.append(" ".join([("ab", "cd")[a], ("ef", "gh")[b], *(f"w{rng.randrange(50)}" for _ in range(5))]))
+        labels.append((i, int(a == b)))
+    docs = table(spark, texts)
+    machine = toxicity.fit(docs, spark.createDataFrame(labels[:3000], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, machine).collect()}
+    assert sum((got[i] >= 0.5) == y for i, y in labels[3000:]) > 950
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.5}

@@ -1,14 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its words (letters and digits, lower case) and the words' first letters, hashed to slots, each
-counted as present or not. Counts of the slots among toxic and other labelled texts pick those that tell the most (by
-the likelihood ratio); the machine is over these. The score is a logistic factorization machine: a bias, a weight per
-slot and, for pairs of terms, the product of two short vectors, so a pair such as an insult with a group's name weighs
-what neither does alone.
+counted as present or not. The score is a logistic factorization machine over all slots that occur in the texts learned
+from: a bias, a weight per slot and, for pairs of terms, the product of two short vectors, so a pair such as an insult
+with a group's name weighs what neither does alone. Training first goes over the slots that tell by themselves and from
+there over all that occur, also those that only tell in pairs; of the machines after each round the one with the least
+loss on labelled rows kept apart is taken, so that all slots come in where they help and not where they only fit noise.
 
 Slots are made by built-in functions. Training runs on tasks: a fixed number of shards each takes minibatch steps over
 its rows from the common parameters; their results are averaged by how often each slot was seen, and sent out again,
-for a few rounds. Parameters have a fixed size. Learning takes at most ``MOST_ROWS`` labelled rows, chosen by a hash of
+for a few rounds. Parameters have at most one place per slot; shards write theirs to the shared folder and the driver
+takes them up one block of slots after another. Learning takes at most ``MOST_ROWS`` labelled rows, chosen by a hash of
 the id; scoring goes over all whole texts.
 
 Defined results: empty and null texts have no terms and get the score of the bias; without labels of both kinds the
@@ -27,10 +29,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Slots as a power of two, slots that the machine uses, length of their vectors, first letters that make terms too.
-BITS, CHOSEN, RANK, STEMS = 20, 1 << 13, 4, (4, 6)
-#: What a chosen slot must reach: texts that have it, and log-likelihood ratio (chance alone exceeds it in one of 200).
+#: Slots as a power of two, length of their vectors, first letters that make terms too.
+BITS, RANK, STEMS = 20, 4, (4, 6)
+#: What a slot that tells by itself reaches: texts that have it, and log-likelihood ratio (chance alone exceeds it in one of 200).
 LEAST_TEXTS, LEAST_GAIN = 4, 4.0
+#: One of so many labelled rows is not learned from but decides between the machines.
+KEPT = 8
+#: Slots whose parameters a shard writes as one row.
+BLOCK = 1 << 16
 #: The most labelled rows that are learned from, shards, rounds of averaging, passes in a round, rows in a step.
 MOST_ROWS, SHARDS, AVERAGES, PASSES, STEP = 40_000, 6, 5, 3, 64
 #: Labelled rows that a shard should have, so that few rows make few shards.
@@ -58,8 +64,23 @@ def _stem(n: int):
     return lambda x: F.xxhash64(F.lit(f"first {n}"), F.substring(x, 1, n))
 
 
-def choose(rows: DataFrame) -> np.ndarray:
-    """The slots that tell most about the labels, ascending. rows: slots, toxic."""
+def occurring(rows: DataFrame) -> np.ndarray:
+    """The slots of the rows, ascending. rows: slots. Each task sends one bit per slot."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, bool)
+        for b in batches:
+            seen[lists(b.column("slots"))[0]] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["seen"])
+
+    seen = np.zeros(1 << BITS >> 3, np.uint8)
+    for r in rows.select("slots").mapInArrow(bits, "seen binary").toLocalIterator():
+        seen |= np.frombuffer(r["seen"], np.uint8)
+    return np.flatnonzero(np.unpackbits(seen)).astype(np.int32)
+
+
+def telling(rows: DataFrame) -> np.ndarray:
+    """The slots that tell about the labels by themselves, ascending. rows: slots, toxic."""
     counts = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     t, n = float(counts[0]), float(counts[1])
     per = rows.select(F.explode("slots").alias("slot"), "toxic").groupBy("slot").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m")).where(F.col("m") >= LEAST_TEXTS)
@@ -69,12 +90,11 @@ def choose(rows: DataFrame) -> np.ndarray:
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) + F.when(F.lit(total) > seen, (total - seen) * F.log((total - seen) / (total - expected))).otherwise(0.0)
 
     gain = part(F.col("a"), t) + part(F.col("m") - F.col("a"), n - t)
-    top = per.select("slot", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.col("gain").desc(), "slot").limit(CHOSEN)
-    return np.sort(np.array([r["slot"] for r in top.collect()], np.int32))
+    return np.sort(np.array([r["slot"] for r in per.where(gain >= LEAST_GAIN).select("slot").collect()], np.int32))
 
 
 class Machine:
-    """bias; and for the chosen slots w and v (slots x rank)."""
+    """bias; and for the slots that occur in learned texts w and v (slots x rank)."""
 
     def __init__(self, bias: float, w: np.ndarray, v: np.ndarray, chosen: np.ndarray):
         self.bias, self.w, self.v, self.chosen = bias, w, v, chosen
@@ -86,7 +106,7 @@ class Machine:
         return cls(float(np.log(p / (1 - p))), np.zeros(len(chosen), np.float32), (0.01 * rng.standard_normal((len(chosen), RANK))).astype(np.float32), chosen)
 
     def own(self, slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Terms as places in the machine's tables, those not chosen left out; starts and lengths."""
+        """Terms as places in the machine's tables, those of no learned text left out; starts and lengths."""
         if not hasattr(self, "_place"):
             self._place = np.full(1 << BITS, -1, np.int32)
             self._place[self.chosen] = np.arange(len(self.chosen), dtype=np.int32)
@@ -156,11 +176,10 @@ def _steps(machine: Machine, slots: np.ndarray, n: np.ndarray, y: np.ndarray, we
             machine.v[used] -= RATE * 0.3 * gv / np.sqrt(sums["v"][used] + 1e-2)
 
 
-def train(rows: DataFrame, positive: float) -> Machine:
-    """rows: shard int, slots array<int>, toxic int, already written. Parameters go out and come back once a round."""
+def rounds(machine: Machine, rows: DataFrame, positive: float, scratch: common.Scratch, name: str) -> Iterator[Machine]:
+    """The machine after each round. Parameters go out and come back once a round."""
     spark = rows.sparkSession
-    machine = Machine.new(positive, choose(rows))
-    balance = (1 - positive) / max(positive, 1e-6)
+    size = len(machine.chosen)
     for k in range(AVERAGES):
         sent = spark.sparkContext.broadcast(machine.pack())
 
@@ -172,19 +191,67 @@ def train(rows: DataFrame, positive: float) -> Machine:
             slots, n = np.concatenate([p[0][0] for p in parts]), np.concatenate([p[0][2] for p in parts])
             y = np.concatenate([p[1] for p in parts]).astype(np.float64)
             slots, _, n = own.own(slots, n)
-            size = len(own.chosen)
             sums = {"w": np.zeros(size), "v": np.zeros((size, RANK))}
-            _steps(own, slots, n, y, np.where(y > 0, min(balance, 20.0) ** 0.5, 1.0), sums, k)
+            _steps(own, slots, n, y, weights(y, positive), sums, k)
             seen = np.bincount(slots, minlength=size).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([own.pack()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([len(y)], pa.int64())], ["machine", "seen", "rows"])
-
-        found = rows.repartition(SHARDS, "shard").select("slots", "toxic").mapInArrow(shard, "machine binary, seen binary, rows long").collect()  # SHARDS rows
-        machines, seen = [Machine.unpack(r["machine"]) for r in found], np.stack([np.frombuffer(r["seen"], np.float32) for r in found])
-        share = (seen + 1e-3) / (seen + 1e-3).sum(axis=0)
-        count = np.array([r["rows"] for r in found], float)
-        machine = Machine(float(np.average([m.bias for m in machines], weights=count)), sum(s * m.w for s, m in zip(share, machines)).astype(np.float32), sum(s[:, None] * m.v for s, m in zip(share, machines)).astype(np.float32), machine.chosen)
+            for at in range(0, max(size, 1), BLOCK):
+                own_part = [pa.array([x[at : at + BLOCK].astype(np.float32).tobytes()], pa.binary()) for x in (own.w, own.v, seen)]
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([len(y)], pa.int64()), pa.array([own.bias], pa.float64()), *own_part], ["at", "rows", "bias", "w", "v", "seen"])
+
+        found = scratch.keep(rows.repartition(SHARDS, "shard").select("slots", "toxic").mapInArrow(shard, "at int, rows long, bias double, w binary, v binary, seen binary"), f"{name}{k}")
+        bias, count = 0.0, 0
+        w, v, total = np.zeros(size, np.float32), np.zeros((size, RANK), np.float32), np.zeros(size, np.float32)
+        for r in found.toLocalIterator():
+            part = slice(r["at"], r["at"] + BLOCK)
+            share = np.frombuffer(r["seen"], np.float32) + np.float32(1e-3)
+            w[part] += share * np.frombuffer(r["w"], np.float32)
+            v[part] += share[:, None] * np.frombuffer(r["v"], np.float32).reshape(-1, RANK)
+            total[part] += share
+            if r["at"] == 0:
+                bias, count = bias + r["rows"] * r["bias"], count + r["rows"]
+        scratch.drop(f"{name}{k}")
         sent.unpersist()
-    return machine
+        if not count:  # no labelled text
+            return
+        machine = Machine(bias / count, w / total, v / total[:, None], machine.chosen)
+        yield machine
+
+
+def weights(y: np.ndarray, positive: float) -> np.ndarray:
+    return np.where(y > 0, min((1 - positive) / max(positive, 1e-6), 20.0) ** 0.5, 1.0)
+
+
+def loss(machine: Machine, rows: DataFrame, positive: float) -> float:
+    """The weighted log loss over rows (slots, toxic)."""
+    sent = rows.sparkSession.sparkContext.broadcast(machine.pack())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = Machine.unpack(sent.value), 0.0
+        for b in batches:
+            slots, _, n = lists(b.column("slots"))
+            y = b.column("toxic").to_numpy().astype(np.float64)
+            total += float((np.logaddexp(0, -own.raw(*own.own(slots, n))[0] * (2 * y - 1)) * weights(y, positive)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["loss"])
+
+    found = rows.select("slots", "toxic").mapInArrow(run, "loss double").collect()  # a row per task
+    sent.unpersist()
+    return sum(r["loss"] for r in found)
+
+
+def train(rows: DataFrame, kept: DataFrame, positive: float, scratch: common.Scratch) -> Machine:
+    """rows, kept: shard int, slots array<int>, toxic int, already written; those to learn from and those to decide by."""
+    best = Machine.new(positive, telling(rows))
+    for best in rounds(best, rows, positive, scratch, "telling"):
+        pass
+    least = loss(best, kept, positive)
+    machine = Machine.new(positive, occurring(rows))
+    at = np.searchsorted(machine.chosen, best.chosen)
+    machine.bias, machine.w[at], machine.v[at] = best.bias, best.w, best.v
+    for machine in rounds(machine, rows, positive, scratch, "all"):
+        now = loss(machine, kept, positive)
+        if now < least:
+            best, least = machine, now
+    return best
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machine:
@@ -202,9 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machi
     share = min(1.0, most_rows / counted[0])
     shards = max(1, min(SHARDS, int(share * counted[0] / SHARD_ROWS)))
     order = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
-    taken = labels.where(order < F.lit(int(share * (1 << 30)))).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "__id"), F.lit(shards)).cast("int"))
-    rows = docs.join(taken, F.col("doc_id") == F.col("__id")).select("shard", terms(common.text_of()).alias("slots"), "toxic")
-    return train(common.Scratch(spark, "toxicity").keep(rows, "rows"), positive)
+    taken = labels.where(order < F.lit(int(share * (1 << 30)))).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "__id"), F.lit(shards)).cast("int")).withColumn("kept", F.pmod(F.xxhash64(F.lit("kept"), "__id"), F.lit(KEPT)) == 0)
+    rows = docs.join(taken, F.col("doc_id") == F.col("__id")).select("shard", "kept", terms(common.text_of()).alias("slots"), "toxic")
+    scratch = common.Scratch(spark, "toxicity")
+    rows = scratch.keep(rows, "rows")
+    return train(rows.where("not kept"), rows.where("kept"), positive, scratch)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
