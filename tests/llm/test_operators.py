@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from typegrove.llm import components, language_id, line_dedup, mixing, order_minhash, packing, pii, quality_rules, simhash, token_store, tokens, toxicity
@@ -321,6 +323,37 @@ def test_order_minhash_sees_order(spark):
     assert near(sigs[0], sigs[2]) < 0.75 < near(sigs[0], sigs[0])
 
 
+def brute_order_minhash(text, bits=6, keep=2):
+    """Over 2-word k-mers: each (k-mer, occurrence) has its hash; the least of a bucket, in text order, as k-mers."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    w = brute.WORD.findall(text)
+    seen, pairs = {}, {}
+    for at in range(len(w) - 1):
+        kmer = of(w[at + 1].encode(), of(w[at].encode()))
+        j = seen[kmer] = seen.get(kmer, -1) + 1
+        h = signed(of(struct.pack("<Q", kmer), of(struct.pack("<i", j))) if j else kmer)
+        pairs.setdefault(h >> (64 - bits), []).append((h, at, kmer))
+    out = []
+    for b, own in sorted(pairs.items()):
+        t = 42
+        for _, _, kmer in sorted(sorted(own)[:keep], key=lambda x: x[1]):
+            t = of(struct.pack("<Q", kmer), t)
+        out.append(b << 32 | t & 0xFFFFFFFF)
+    return out
+
+
+def test_order_minhash_of_repeated_passages(spark):
+    rng = random.Random(6)
+    passages = [" ".join(f"p{rng.randrange(60)}" for _ in range(12)) for _ in range(30)]
+    twice = passages + passages
+    texts = ["buy now cheap " * 3, "buy now cheap " * 1000, " ".join(twice), " ".join(twice[::-1]), " ".join(f"w{i}" for i in range(300)), "a b"]
+    got = [r["s"] for r in table(spark, texts).orderBy("doc_id").select(order_minhash.signature(F.col("text")).alias("s")).collect()]
+    assert got == [brute_order_minhash(t) for t in texts]
+    near = lambda a, b: len(set(a) & set(b)) / len({x >> 32 for x in a} | {x >> 32 for x in b})
+    assert near(got[0], got[1]) < 0.5 and near(got[2], got[3]) < 0.8
+
+
 def test_next_documents_over_many_ranges(spark):
     docs = table(spark, [f"t{i}" for i in range(300)], [7 * i - 50 for i in range(300)])
     got = {r["doc_id"]: r["next_text"] for r in order_minhash.with_next(docs.select("doc_id", "text"), ["text"], each=10).collect()}

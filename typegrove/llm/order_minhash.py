@@ -1,12 +1,14 @@
 """Order MinHash fingerprints (DataFrame functions only).
 
-k-mers of words are numbered by occurrence and ordered by hash, then occurrence. The hash's top bits deal them to
-``buckets`` groups; in each the ``keep`` least are selected, put back in text order and hashed as a tuple. Texts that
+k-mers of words are numbered by occurrence; each pair of k-mer and number has a hash of its own. The hash's top bits deal
+the pairs to ``buckets`` groups; in each the ``keep`` least are selected, and their k-mers are put back in text order and
+hashed as a tuple. Texts that
 share words in another order agree in fewer tuples than under plain MinHash, so likeness follows edit distance. The
 likeness of two fingerprints is the share of equal tuples among the buckets that either fills.
 
-Occurrence numbers need no counting: equal k-mers are neighbours in the sorted order, earlier ones first, so a k-mer's
-first occurrences are the ones selected. One sort per text replaces a pass per hash function.
+A sort by k-mer and place makes equal k-mers neighbours, earlier ones first, and so numbers them; a first occurrence
+keeps the k-mer's hash, later ones hash it with their number. A second sort, of texts that repeat a k-mer, replaces a
+pass per hash function.
 
 Defined results: null and wordless texts have the empty fingerprint, likeness 1 to each other and 0 to the rest; texts
 of fewer than ``k`` words have their whole sequence as the one k-mer; equal texts have equal fingerprints.
@@ -31,6 +33,20 @@ def signature(text: Column, bits: int = BITS, keep: int = KEEP, k: int = K) -> C
         many = F.transform(F.slice(w, 1, F.greatest(F.array_size(w) - (k - 1), F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)]).alias("h"), i.alias("at")))
         return F.when(F.array_size(w) == 0, F.array().cast("array<struct<h:bigint,at:int>>")).when(F.array_size(w) < k, whole).otherwise(many)
 
+    def numbered(s):
+        """Ascending structs of the hash of k-mer and occurrence, place, and the k-mer's own hash."""
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["h"] != x["h"]), i)), lambda i: i.isNotNull())
+
+        def runs(starts):
+            def run(i, r):
+                own = F.slice(s, i + 1, F.coalesce(F.get(starts, r + 1), F.array_size(s)) - i)
+                return F.transform(own, lambda y, j: F.struct(F.when(j == 0, y["h"]).otherwise(F.xxhash64(j, y["h"])).alias("h"), y["at"].alias("at"), y["h"].alias("kmer")))
+
+            once = F.transform(s, lambda y: F.struct(y["h"].alias("h"), y["at"].alias("at"), y["h"].alias("kmer")))
+            return F.when(F.array_size(starts) == F.array_size(s), once).otherwise(F.array_sort(F.flatten(F.transform(starts, run))))
+
+        return common.let(first, runs)
+
     def bucket(x):
         return F.shiftright(x["h"], 64 - bits)
 
@@ -42,13 +58,13 @@ def signature(text: Column, bits: int = BITS, keep: int = KEEP, k: int = K) -> C
 
         def of(i):
             own = F.filter(F.slice(s, i + 1, keep), lambda y: bucket(y) == bucket(F.get(s, i)))
-            ordered = F.array_sort(F.transform(own, lambda y: F.struct(y["at"].alias("at"), y["h"].alias("h"))))
-            hashed = F.xxhash64(F.transform(ordered, lambda y: y["h"]))
+            ordered = F.array_sort(F.transform(own, lambda y: F.struct(y["at"].alias("at"), y["kmer"].alias("kmer"))))
+            hashed = F.xxhash64(F.transform(ordered, lambda y: y["kmer"]))
             return F.shiftleft(bucket(F.get(s, i)), 32).bitwiseOR(hashed.bitwiseAND(F.lit(0xFFFFFFFF)))
 
         return F.transform(first, of)
 
-    return common.let(common.words_of(text), lambda w: common.let(F.array_sort(kmers(w)), lambda s: common.let(least(s), tuples)))
+    return common.let(common.words_of(text), lambda w: common.let(F.array_sort(kmers(w)), lambda s: common.let(numbered(s), lambda p: common.let(least(p), tuples))))
 
 
 def likeness(a: Column, b: Column) -> Column:
