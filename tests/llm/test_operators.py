@@ -255,22 +255,37 @@ def test_toxicity_learns_and_scores_everything(spark):
     assert got[600] == got[601] == got[602]
 
 
-def test_toxicity_learns_pairs():
-    """Two words that are harmless alone: only the product of their vectors tells."""
-    rng = np.random.default_rng(0)
-    rows, y = [], []
-    for _ in range(3000):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        rows.append(np.concatenate([[1] if a else [3], [2] if b else [4], rng.integers(10, 60, 5)]))
-        y.append(float(a == b))
-    n = np.array([len(r) for r in rows])
-    m = toxicity.Machine.new(0.5, np.arange(60, dtype=np.int32))
-    sums = {"w": np.zeros(60), "v": np.zeros((60, toxicity.RANK))}
-    slots, y = np.concatenate(rows), np.array(y)
-    for k in range(6):
-        toxicity._steps(m, slots, n, y, np.ones(len(y)), sums, k)
-    out = m.raw(slots, np.concatenate([[0], np.cumsum(n)[:-1]]), n)[0]
-    assert ((out > 0) == (y > 0)).mean() > 0.95
+def test_machine_against_plain_sums():
+    """Log-odds as the definition has them: bias, weights, and the product of vectors of every pair of terms."""
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(0.3, rng.standard_normal(40).astype(np.float32), rng.standard_normal((40, toxicity.RANK)).astype(np.float32), np.arange(40, dtype=np.int32))
+    texts = [rng.choice(60, k, replace=False) for k in (0, 1, 2, 7, 30)]  # slots from 40 on are of no learned text
+    slots, n = np.concatenate(texts).astype(np.int32), np.array([len(t) for t in texts])
+    out = m.raw(*m.own(slots, n))[0]
+    for t, got in zip(texts, out):
+        known = [x for x in t if x < 40]
+        pairs = sum(float(m.v[a] @ m.v[b]) for i, a in enumerate(known) for b in known[i + 1 :])
+        assert got == pytest.approx(0.3 + sum(float(m.w[x]) for x in known) + pairs * 64 / (len(known) + 64), rel=1e-4)
+
+
+def test_toxicity_reruns_agree(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(40)], k=12)) for _ in range(900)]
+    labels = spark.createDataFrame([(i, int("w3" in t.split())) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    docs = table(spark, texts)
+    one, two = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(7, "text"), labels.repartition(5))
+    assert one.bias == two.bias and (one.w == two.w).all() and (one.v == two.v).all()
+
+
+def test_toxicity_op(spark, tmp_path):
+    docs = table(spark, ["one", None, "three"], [1, None, 3])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = toxicity.op5_toxicity(spark, str(tmp_path)).collect()
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 3)}
+    assert {r["doc_id"]: r["held_out"] for r in rows} == {**held, None: False}
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
 @pytest.mark.parametrize("shard_rows", [4000, 500])

@@ -3,18 +3,21 @@
 A text's terms are its words (letters and digits, lower case) and the words' first letters, hashed to slots, each
 counted as present or not. The score is a logistic factorization machine over all slots that occur in the texts learned
 from: a bias, a weight per slot and, for pairs of terms, the product of two short vectors, so a pair such as an insult
-with a group's name weighs what neither does alone. Training first goes over the slots that tell by themselves and from
-there over all that occur, also those that only tell in pairs; of the machines after each round the one with the least
-loss on labelled rows kept apart is taken, so that all slots come in where they help and not where they only fit noise.
-
-Slots are made by built-in functions. Training runs on tasks: a fixed number of shards each takes minibatch steps over
-its rows from the common parameters; their results are averaged by how often each slot was seen, and sent out again,
-for a few rounds. Parameters have at most one place per slot; shards write theirs to the shared folder and the driver
-takes them up one block of slots after another. Learning takes at most ``MOST_ROWS`` labelled rows, chosen by a hash of
-the id; scoring goes over all whole texts.
+with a group's name weighs what neither does alone. No term is screened: every slot is in the machine from the first
+step. Steps are proximal: a weight that no evidence holds up is drawn to zero, and vectors decay, so that the many terms
+of one text or two don't add up to noise. Of the machines after each round the one with the least loss on labelled rows
+kept apart is taken.
+
+Slots are made by built-in functions, before anything is shuffled. Training runs on tasks: a fixed number of shards each
+takes minibatch steps over its rows, in an order fixed by id and terms, from the common parameters; their results are
+averaged by how often each slot was seen, and sent out again, for a few rounds. A shard that is computed again gives the
+same result. Parameters have at most one place per slot; shards write theirs to the shared folder and the driver takes
+them up one block of slots after another. Learning takes about ``MOST_ROWS`` labelled documents at most, chosen by a hash
+of the id; scoring goes over all whole texts, a very long one in the memory of its own list of different terms.
 
 Defined results: empty and null texts have no terms and get the score of the bias; without labels of both kinds the
-score is the share of toxic ones (0.5 with no labels at all) for every text; labels that repeat count each.
+score is the share of toxic ones (0.5 with no labels at all) for every text; a document labelled more than once is toxic
+if half its labels or more say so; rows without doc_id are scored and not learned from. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,17 +34,16 @@ from . import common
 
 #: Slots as a power of two, length of their vectors, first letters that make terms too.
 BITS, RANK, STEMS = 20, 4, (4, 6)
-#: What a slot that tells by itself reaches: texts that have it, and log-likelihood ratio (chance alone exceeds it in one of 200).
-LEAST_TEXTS, LEAST_GAIN = 4, 4.0
 #: One of so many labelled rows is not learned from but decides between the machines.
 KEPT = 8
 #: Slots whose parameters a shard writes as one row.
 BLOCK = 1 << 16
 #: The most labelled rows that are learned from, shards, rounds of averaging, passes in a round, rows in a step.
-MOST_ROWS, SHARDS, AVERAGES, PASSES, STEP = 40_000, 6, 5, 3, 64
+MOST_ROWS, SHARDS, AVERAGES, PASSES, STEP = 40_000, 6, 4, 3, 64
 #: Labelled rows that a shard should have, so that few rows make few shards.
 SHARD_ROWS = 2000
-RATE, DECAY = 0.2, 1e-3
+#: Size of a step, pull of weights to zero, decay of vectors, and what the steps' running squares begin with (weights, vectors).
+RATE, PULL, DECAY, FIRST = 0.2, 0.2, 0.5, (1.0, 10.0)
 
 
 def terms(text: Column) -> Column:
@@ -79,20 +81,6 @@ def occurring(rows: DataFrame) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(seen)).astype(np.int32)
 
 
-def telling(rows: DataFrame) -> np.ndarray:
-    """The slots that tell about the labels by themselves, ascending. rows: slots, toxic."""
-    counts = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    t, n = float(counts[0]), float(counts[1])
-    per = rows.select(F.explode("slots").alias("slot"), "toxic").groupBy("slot").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m")).where(F.col("m") >= LEAST_TEXTS)
-
-    def part(seen: Column, total: float) -> Column:
-        expected = F.col("m") * (total / n)
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) + F.when(F.lit(total) > seen, (total - seen) * F.log((total - seen) / (total - expected))).otherwise(0.0)
-
-    gain = part(F.col("a"), t) + part(F.col("m") - F.col("a"), n - t)
-    return np.sort(np.array([r["slot"] for r in per.where(gain >= LEAST_GAIN).select("slot").collect()], np.int32))
-
-
 class Machine:
     """bias; and for the slots that occur in learned texts w and v (slots x rank)."""
 
@@ -118,7 +106,7 @@ class Machine:
     def raw(self, slots: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-odds, sums of vectors per document, and the documents' scale: texts of any length have sums of one size."""
         out, sums = np.full(len(n), self.bias), np.zeros((len(n), RANK))
-        scale = 1 / np.sqrt(np.maximum(n, 1) / 64 + 1)
+        scale = 64 / (n + 64.0)
         full = n > 0
         if full.any():
             at = starts[full]
@@ -150,7 +138,7 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _steps(machine: Machine, slots: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray, sums: dict, seed: int) -> None:
-    """Passes of adaptive minibatch steps over one shard's rows."""
+    """Passes of adaptive, proximal minibatch steps over one shard's rows."""
     starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.array([], np.int64)
     rng = np.random.default_rng(seed)
     for _ in range(PASSES):
@@ -167,19 +155,22 @@ def _steps(machine: Machine, slots: np.ndarray, n: np.ndarray, y: np.ndarray, we
             if not len(x):
                 continue
             used, at = np.unique(x, return_inverse=True)
-            gw = np.bincount(at, weights=error[doc], minlength=len(used)) + DECAY * machine.w[used]
+            gw = np.bincount(at, weights=error[doc], minlength=len(used))
             sums["w"][used] += gw * gw
             pull = (error * scale)[doc][:, None] * (vectors[doc] - machine.v[x])
             gv = np.stack([np.bincount(at, weights=pull[:, j], minlength=len(used)) for j in range(RANK)], axis=1) + DECAY * machine.v[used]
             sums["v"][used] += gv * gv
-            machine.w[used] -= RATE * gw / np.sqrt(sums["w"][used] + 1e-6)
-            machine.v[used] -= RATE * 0.3 * gv / np.sqrt(sums["v"][used] + 1e-2)
+            step = RATE / np.sqrt(sums["w"][used] + FIRST[0])
+            w = machine.w[used] - step * gw
+            machine.w[used] = np.sign(w) * np.maximum(np.abs(w) - step * PULL, 0)
+            machine.v[used] -= RATE * 0.3 * gv / np.sqrt(sums["v"][used] + FIRST[1])
 
 
-def rounds(machine: Machine, rows: DataFrame, positive: float, scratch: common.Scratch, name: str) -> Iterator[Machine]:
+def rounds(machine: Machine, rows: DataFrame, positive: float, scratch: common.Scratch) -> Iterator[Machine]:
     """The machine after each round. Parameters go out and come back once a round."""
     spark = rows.sparkSession
     size = len(machine.chosen)
+    ordered = rows.repartitionById(SHARDS, "shard").sortWithinPartitions("id", "slots", "toxic").select("slots", "toxic")
     for k in range(AVERAGES):
         sent = spark.sparkContext.broadcast(machine.pack())
 
@@ -198,7 +189,7 @@ def rounds(machine: Machine, rows: DataFrame, positive: float, scratch: common.S
                 own_part = [pa.array([x[at : at + BLOCK].astype(np.float32).tobytes()], pa.binary()) for x in (own.w, own.v, seen)]
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([len(y)], pa.int64()), pa.array([own.bias], pa.float64()), *own_part], ["at", "rows", "bias", "w", "v", "seen"])
 
-        found = scratch.keep(rows.repartition(SHARDS, "shard").select("slots", "toxic").mapInArrow(shard, "at int, rows long, bias double, w binary, v binary, seen binary"), f"{name}{k}")
+        found = scratch.keep(ordered.mapInArrow(shard, "at int, rows long, bias double, w binary, v binary, seen binary"), f"round-{k}")
         bias, count = 0.0, 0
         w, v, total = np.zeros(size, np.float32), np.zeros((size, RANK), np.float32), np.zeros(size, np.float32)
         for r in found.toLocalIterator():
@@ -209,7 +200,7 @@ def rounds(machine: Machine, rows: DataFrame, positive: float, scratch: common.S
             total[part] += share
             if r["at"] == 0:
                 bias, count = bias + r["rows"] * r["bias"], count + r["rows"]
-        scratch.drop(f"{name}{k}")
+        scratch.drop(f"round-{k}")
         sent.unpersist()
         if not count:  # no labelled text
             return
@@ -239,17 +230,12 @@ def loss(machine: Machine, rows: DataFrame, positive: float) -> float:
 
 
 def train(rows: DataFrame, kept: DataFrame, positive: float, scratch: common.Scratch) -> Machine:
-    """rows, kept: shard int, slots array<int>, toxic int, already written; those to learn from and those to decide by."""
-    best = Machine.new(positive, telling(rows))
-    for best in rounds(best, rows, positive, scratch, "telling"):
-        pass
-    least = loss(best, kept, positive)
-    machine = Machine.new(positive, occurring(rows))
-    at = np.searchsorted(machine.chosen, best.chosen)
-    machine.bias, machine.w[at], machine.v[at] = best.bias, best.w, best.v
-    for machine in rounds(machine, rows, positive, scratch, "all"):
+    """rows, kept: id, shard int, slots array<int>, toxic int, already written; those to learn from and those to decide by."""
+    first = Machine.new(positive, occurring(rows))
+    best, least = first, None
+    for machine in rounds(first, rows, positive, scratch):
         now = loss(machine, kept, positive)
-        if now < least:
+        if least is None or now < least:
             best, least = machine, now
     return best
 
@@ -257,7 +243,7 @@ def train(rows: DataFrame, kept: DataFrame, positive: float, scratch: common.Scr
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machine:
     """docs: doc_id, text; labels: doc_id, toxic (rows that may be learned from)."""
     spark = docs.sparkSession
-    labels = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    labels = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg((F.avg((F.col("toxic") > 0).cast("double")) >= 0.5).cast("int").alias("toxic"))
     counted = labels.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     positive = (counted[1] or 0) / counted[0] if counted[0] else 0.5
     machine = Machine.new(positive, np.array([], np.int32))
@@ -265,15 +251,20 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machi
         if counted[0]:
             machine.bias = 40.0 if counted[1] else -40.0
         return machine
-    # the share of rows that keeps to the bound, by a hash of the id
+    # the share of documents that keeps to the bound, by a hash of the id
     share = min(1.0, most_rows / counted[0])
     shards = max(1, min(SHARDS, int(share * counted[0] / SHARD_ROWS)))
     order = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
     taken = labels.where(order < F.lit(int(share * (1 << 30)))).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "__id"), F.lit(shards)).cast("int")).withColumn("kept", F.pmod(F.xxhash64(F.lit("kept"), "__id"), F.lit(KEPT)) == 0)
-    rows = docs.join(taken, F.col("doc_id") == F.col("__id")).select("shard", "kept", terms(common.text_of()).alias("slots"), "toxic")
     scratch = common.Scratch(spark, "toxicity")
+    taken = scratch.keep(taken, "labels")
+    if taken.count() <= 2 * most_rows:  # a few bytes each, so that texts stay where they are
+        taken = F.broadcast(taken)
+    rows = docs.join(taken, F.col("doc_id") == F.col("__id")).select(F.col("__id").alias("id"), "shard", "kept", terms(common.text_of()).alias("slots"), "toxic")
     rows = scratch.keep(rows, "rows")
-    return train(rows.where("not kept"), rows.where("kept"), positive, scratch)
+    found = train(rows.where("not kept"), rows.where("kept"), positive, scratch)
+    scratch.drop()
+    return found
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -297,6 +288,6 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     out = score(docs, fit(docs, labels.where(~held_out)))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
