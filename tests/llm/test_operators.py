@@ -222,6 +222,57 @@ def test_token_store_finds_damage(spark, tmp_path):
         token_store.read_sums(store).collect()
 
 
+def _broken(store, path, table, change):
+    import shutil
+
+    change(getattr(store, table)()).write.parquet(f"{path}/broken")
+    shutil.rmtree(f"{path}/{table}")
+    shutil.move(f"{path}/broken", f"{path}/{table}")
+
+
+def _long_texts(n=3):
+    rng = random.Random(4)
+    return [" ".join(f"w{rng.randrange(10**6)}" for _ in range(4000)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("read", [token_store.read_sums, token_store.read_documents])
+def test_token_store_finds_swapped_and_lost_chunks(spark, tmp_path, read):
+    path = str(tmp_path / "swapped")
+    store = token_store.write(table(spark, _long_texts()), path)
+    assert store.recipes().agg(F.min(F.array_size("chunks"))).first()[0] > 3
+    swap = lambda c: F.transform("chunks", lambda x, i: F.struct(x["pos"].alias("pos"), x["after"].alias("after"), x["n"].alias("n"), F.when(i == 0, F.col("chunks")[1]["hash"]).when(i == 1, F.col("chunks")[0]["hash"]).otherwise(x["hash"]).alias("hash")))
+    _broken(store, path, "recipes", lambda d: d.withColumn("chunks", swap("chunks")))
+    with pytest.raises(Exception, match="root or length does not match"):
+        read(store).collect()
+    path = str(tmp_path / "lost")
+    store = token_store.write(table(spark, _long_texts()), path)
+    least = store.chunks().agg(F.min("hash")).first()[0]
+    _broken(store, path, "chunks", lambda d: d.where(F.col("hash") != F.lit(bytes(least))))
+    with pytest.raises(Exception, match="the store lacks chunk"):
+        read(store).collect()
+
+
+def test_token_store_manifest_is_a_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FAN", 3)
+    path = str(tmp_path / "store")
+    store = token_store.write(table(spark, [f"text {i}" for i in range(30)]), path)
+    nodes = {(r["level"], r["node"]): r["docs"] for r in store.manifest().collect()}
+    assert sorted(nodes) == [*((0, i) for i in range(10)), *((1, i) for i in range(4)), (2, 0), (2, 1), (3, 0)] and nodes[3, 0] == 30
+    assert token_store.verify_manifest(store).count() == 0
+    _broken(store, path, "recipes", lambda d: d.withColumn("root", F.when(F.col("number") == 13, F.unhex(F.lit("00"))).otherwise(F.col("root"))))
+    assert [tuple(r) for r in token_store.verify_manifest(store).collect()] == [(0, 4)]
+    _broken(store, path, "manifest", lambda d: d.withColumn("root", F.when((F.col("level") == 1) & (F.col("node") == 3), F.unhex(F.lit("00"))).otherwise(F.col("root"))))
+    assert {tuple(r) for r in token_store.verify_manifest(store).collect()} == {(0, 4), (1, 3), (2, 1)}
+
+
+def test_token_store_op(spark, tmp_path):
+    table(spark, brute.TEXTS).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = [np.array([*x, 2], "<u4") for x in reference_ids(brute.TEXTS)]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in whole])[:-1]])
+    rows = token_store.op4_token_store(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in rows] == [(i, int(s), len(x), zlib.crc32(x.tobytes())) for i, (s, x) in enumerate(zip(starts, whole))]
+
+
 def test_token_store_empty(spark, empty, tmp_path):
     assert token_store.read_sums(token_store.write(empty, str(tmp_path / "store"))).count() == 0
 

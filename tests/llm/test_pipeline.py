@@ -89,3 +89,31 @@ def test_buckets(spark):
     got = df.select("k", common.bucket_of(F.col("k"), bounds).alias("b")).collect()
     assert all(r["b"] == sum(x <= r["k"] for x in bounds) for r in got)
     assert common.range_bounds(df.where("false"), "k", 7) == [] and common.range_bounds(df, "k", 1) == []
+
+
+def test_more_buckets_than_are_cut_at_once(spark):
+    df = spark.range(30_000).select((F.col("id") * 7 - 500).alias("k"))
+    bounds = common.range_bounds(df, "k", 3000)
+    assert 2048 < len(bounds) <= 3072
+    got = df.select("k", common.bucket_of(F.col("k"), bounds).alias("b"), F.lit(2).alias("n"))
+    rows = got.collect()
+    import bisect
+
+    assert all(r["b"] == bisect.bisect_right(bounds, r["k"]) for r in rows)
+    (before,) = common.sums_before(got, "b", len(bounds) + 1, "n")
+    assert all(r["before"] <= 2 * (r["k"] + 500) // 7 < r["before"] + 200 for r in got.select("k", before.alias("before")).where("k % 5 = 0").collect())
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.Scratch(Session(), "x")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
@@ -45,6 +46,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = os.path.join(tempfile.gettempdir(), "typegrove-scratch")
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
@@ -66,28 +69,67 @@ class Scratch:
             pass
 
 
+#: Bounds found at once. More ranges than that are cut in two steps.
+TOP = 512
+
+
 def range_bounds(df: DataFrame, key: str, buckets: int, accuracy: int = 100_000) -> list[int]:
     """Up to ``buckets`` - 1 ascending values of the long column ``key`` that cut its rows into ranges of about equal size.
 
-    Each bound is a value that occurs; the first bucket holds what is below the first bound.
+    Each bound is a value that occurs; the first bucket holds what is below the first bound. More than ``TOP`` buckets
+    are cut in two steps, first into ``TOP`` ranges, then each of those by its own quantiles, so that their number can
+    grow with the rows (``TOP`` squared before a task has more than ``TOP`` quantiles to find).
     """
     if buckets < 2:
         return []
-    at = [i / buckets for i in range(1, buckets)]
+    tops = min(buckets, TOP)
+    at = [i / tops for i in range(1, tops)]
     found = df.select(F.percentile_approx(key, at, accuracy).alias("q")).first()["q"]
-    return sorted({int(x) for x in found or []})
+    bounds = sorted({int(x) for x in found or []})
+    inner = -(-buckets // tops)
+    if inner > 1 and bounds:
+        at = [i / inner for i in range(1, inner)]
+        cut = df.where(F.col(key).isNotNull()).groupBy(bucket_of(F.col(key), bounds).alias("b")).agg(F.percentile_approx(key, at, accuracy).alias("q"))
+        bounds = sorted({*bounds, *(int(x) for r in cut.collect() for x in r["q"] or [])})  # a number a range
+    return bounds
+
+
+def numbers(values: list[int]) -> Column:
+    """A list of integers as one constant of the plan, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below the key: its range bucket, found by halving (log2 of the bounds in comparisons)."""
+    """The number of bounds at or below the key: its range bucket.
 
-    def part(lo: int, hi: int) -> Column:
+    Up to ``TOP`` bounds are halved (log2 of them in comparisons); of more, every n-th is halved and the stretch counted.
+    """
+
+    def part(own: list[int], lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key >= F.lit(bounds[mid]), part(mid + 1, hi)).otherwise(part(lo, mid))
-
-    return part(0, len(bounds)).cast("int")
+        return F.when(key >= F.lit(own[mid]), part(own, mid + 1, hi)).otherwise(part(own, lo, mid))
+
+    if len(bounds) <= TOP:
+        return part(bounds, 0, len(bounds)).cast("int")
+    step = -(-len(bounds) // TOP)
+    tops = bounds[::step]
+    at = (part(tops, 0, len(tops)) - 1) * step
+    return F.when(key >= F.lit(tops[0]), at + F.array_size(F.filter(F.slice(numbers(bounds), at + 1, step), lambda x: x <= key))).otherwise(0).cast("int")
+
+
+def sums_before(df: DataFrame, key: str, ranges: int, *columns: str) -> list[Column]:
+    """For each column its sum over all ranges before that in column ``key``. A number a range and column reaches the driver."""
+    found = {r[key]: r for r in df.groupBy(key).agg(*[F.sum(c).alias(c) for c in columns]).collect()}
+    out = []
+    for c in columns:
+        before, at = [], 0
+        for k in range(ranges):
+            before.append(at)
+            at += found[k][c] if k in found else 0
+        out.append(F.element_at(numbers(before), F.col(key) + 1))
+    return out
 
 
 def buckets_for(rows: int, each: int) -> int:

@@ -6,13 +6,18 @@ chunks wherever they stand. A chunk's address is its 128-bit BLAKE2b digest. The
 - ``chunks`` (hash, ids): every different chunk once: a byte for the width of an id, 2 or 4, then the ids, little-endian;
 - ``recipes`` (doc_id, start, n_tokens, root, chunks[hash, n]) in ascending doc_id order: how to put documents together;
   ``root`` is the Merkle root of the document's chunk hashes;
-- ``manifest`` (range, docs, first_id, last_id, root): the Merkle root of each range of documents.
+- ``manifest`` (level, node, docs, first_id, last_id, root): a Merkle tree over the documents' roots in order, ``FAN``
+  children a node; level 0 stands over documents, the one node of the last level over all.
 
-Reading verifies every stored chunk against its address, every document's root against its chunk list, and every range's
-root against its documents. Chunks move through one shuffle by address; whole documents move only if they are asked for.
+Reading verifies every stored chunk against its address, and every document's root and length against its chunk list; a
+chunk that is not there is an error. ``verify_manifest`` compares every node with its children, down to the documents.
+Chunks move through one shuffle by address; whole documents move only if they are asked for.
+
+Documents are ordered by ranges of doc_id whose number grows with the documents, one task a range.
 
 Defined results: a null text is empty and has the end id alone; rows without doc_id come first; rows that repeat a doc_id
-are documents of their own, their order by text; no rows make an empty store.
+are documents of their own, their order by text; a very long text has a recipe as long as its list of chunks (about one
+for 500 ids); other columns are not looked at; no rows make an empty store.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from . import common, tokens
 END_ID = 2
 #: A chunk ends where the hash's low bits are zero (one place in 512), but has 64 ids at least and 4096 at most.
 MASK, LEAST, MOST = np.uint32(0x1FF << 20), 64, 4096
+#: Children of a node of the manifest.
+FAN = 256
 INCOMING = "doc_id long, tie long, n_tokens long, root binary, pos int, after long, n int, hash binary, ids binary"
 
 
@@ -112,13 +119,13 @@ class TokenStore:
         return self.spark.read.schema("hash binary, ids binary").parquet(f"{self.path}/chunks")
 
     def recipes(self) -> DataFrame:
-        return self.spark.read.schema("doc_id long, tie long, start long, n_tokens long, root binary, range int, chunks array<struct<pos:int,after:bigint,n:int,hash:binary>>").parquet(f"{self.path}/recipes")
+        return self.spark.read.schema("doc_id long, tie long, number long, start long, n_tokens long, root binary, chunks array<struct<pos:int,after:bigint,n:int,hash:binary>>").parquet(f"{self.path}/recipes")
 
     def manifest(self) -> DataFrame:
-        return self.spark.read.schema("range int, docs long, first_id long, last_id long, root binary").parquet(f"{self.path}/manifest")
+        return self.spark.read.schema("level int, node long, docs long, first_id long, last_id long, root binary").parquet(f"{self.path}/manifest")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, docs_a_range: int = 20_000, most_ranges: int = 2048) -> TokenStore:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, docs_a_range: int = 100_000) -> TokenStore:
     """Encodes ``docs`` (doc_id, text) and writes the three tables under ``path``, a folder that all executors share."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "incoming")
@@ -127,44 +134,59 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, docs_a_range
     unique = came.select("hash", "ids").dropDuplicates(["hash"])
     unique.sortWithinPartitions("hash").write.option("compression", "zstd").parquet(f"{path}/chunks")
     light = came.drop("ids")
-    per = light.where("pos = 0")
-    ranges = min(most_ranges, common.buckets_for(per.count(), docs_a_range))
-    bounds = common.range_bounds(per, "doc_id", max(ranges, common.parallelism(spark)))
-    here = F.when(F.col("doc_id").isNull(), 0).otherwise(common.bucket_of(F.col("doc_id"), bounds)).alias("range")
+    per = light.where("pos = 0").select("doc_id", "n_tokens", F.lit(1).alias("docs"))
+    bounds = common.range_bounds(per, "doc_id", max(common.buckets_for(per.count(), docs_a_range), common.parallelism(spark)))
+    here, ranges = F.when(F.col("doc_id").isNull(), 0).otherwise(common.bucket_of(F.col("doc_id"), bounds)).alias("range"), len(bounds) + 1
     ids = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "copy")
-    sums = {r["range"]: r["n"] for r in per.groupBy(here).agg(F.sum("n_tokens").alias("n")).collect()}  # a number a range
-    before, at = [], 0
-    for r in range(len(bounds) + 1):
-        before.append(at)
-        at += sums.get(r, 0)
+    tokens_before, docs_before = common.sums_before(per.withColumn("range", here), "range", ranges, "n_tokens", "docs")
     # A document's chunk list is as long as its own text; equal rows (same id and text) are told apart by a copy number.
     listed = light.groupBy("doc_id", "tie", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "after", "n", "hash"))).alias("all"))
     copies = F.array_size(F.filter("all", lambda c: c["pos"] == 0))
     once = F.filter("all", lambda c, i: i % copies == 0)
     listed = listed.select("doc_id", "tie", "n_tokens", "root", once.alias("chunks"), F.explode(F.sequence(F.lit(1), copies)).alias("copy")).withColumn("range", here)
-    listed = listed.withColumn("start", F.element_at(F.array(*map(F.lit, before)), F.col("range") + 1).cast("long") + F.coalesce(F.sum("n_tokens").over(ids.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = listed.select("doc_id", "tie", "start", "n_tokens", "root", "range", "chunks")
-    out.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    listed = listed.repartitionById(ranges, "range")
+    listed = listed.withColumn("start", tokens_before + F.coalesce(F.sum("n_tokens").over(ids.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    listed = listed.withColumn("number", docs_before + F.row_number().over(ids) - 1)
+    listed.select("doc_id", "tie", "number", "start", "n_tokens", "root", "chunks").write.option("compression", "zstd").parquet(f"{path}/recipes")
     scratch.drop()
     store = TokenStore(spark, path)
-    range_roots(store.recipes()).write.parquet(f"{path}/manifest")
+    leaves = store.recipes().select("number", "doc_id", "root")
+    level, nodes = 0, leaves.count()
+    parents(leaves).withColumn("level", F.lit(0)).write.parquet(f"{path}/manifest")
+    while nodes > FAN:
+        below = store.manifest().where(F.col("level") == level)
+        level, nodes = level + 1, -(-nodes // FAN)
+        _above(below).withColumn("level", F.lit(level)).write.mode("append").parquet(f"{path}/manifest")
     return store
 
 
-def range_roots(recipes: DataFrame) -> DataFrame:
-    """One row a range: SHA-256 over its documents' roots in order. A range holds a bounded number of documents."""
-    order = F.array_sort(F.collect_list(F.struct("start", F.hex("root").alias("root"))))
-    per = recipes.groupBy("range").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), order.alias("all"))
+def _node(children: DataFrame, *also: Column) -> DataFrame:
+    """Nodes over at most FAN children each: children hold number and root; a node hashes its children's roots in order."""
+    order = F.array_sort(F.collect_list(F.struct("number", F.hex("root").alias("root"))))
+    per = children.groupBy(F.floor(F.col("number") / FAN).alias("node")).agg(*also, order.alias("all"))
     root = F.unhex(F.sha2(F.array_join(F.transform("all", lambda x: x["root"]), ","), 256))
-    return per.select("range", "docs", "first_id", "last_id", root.alias("root"))
+    return per.withColumn("root", root).drop("all")
+
+
+def parents(leaves: DataFrame) -> DataFrame:
+    """(node, docs, first_id, last_id, root) over documents (number, doc_id, root)."""
+    return _node(leaves, F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    return _node(nodes.withColumnRenamed("node", "number"), F.sum("docs").alias("docs"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+
+
+def _check(hashes: list[bytes], ids: list[bytes]) -> None:
+    bad = [h for h, x in zip(hashes, ids) if digest(x) != h]
+    if bad:
+        raise ValueError(f"chunk {bad[0].hex()} does not match its address")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hashes, ids = b.column("hash").to_pylist(), b.column("ids").to_pylist()
-        bad = [h for h, x in zip(hashes, ids) if digest(x) != h]
-        if bad:
-            raise ValueError(f"chunk {bad[0].hex()} does not match its address")
+        _check(hashes, ids)
         ids = [plain(x) for x in ids]
         crc = np.array([zlib.crc32(x) for x in ids], np.int64)
         yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crc)], ["hash", "held", "crc"])
@@ -200,39 +222,76 @@ def shifted_crc(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         share = shifted_crc(b.column("crc").to_numpy(), b.column("after").to_numpy() * 4).astype(np.int64)
-        keep = ["doc_id", "tie", "start", "n_tokens", "held"]
+        keep = ["doc_id", "start", "n_tokens"]
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(share)], [*keep, "share"])
 
 
 def verify_manifest(store: TokenStore) -> DataFrame:
-    """Ranges whose documents do not give the manifest's root; none if all is well."""
-    now = range_roots(store.recipes()).select("range", F.col("root").alias("now"))
-    return store.manifest().join(now, "range", "full").where(~F.col("root").eqNullSafe(F.col("now"))).select("range")
+    """(level, node) of the nodes whose children do not give the manifest's root; none if all is well."""
+    held = store.manifest()
+    now = parents(store.recipes()).select(F.lit(0).alias("level"), "node", F.col("root").alias("now"))
+    levels = [r["level"] for r in held.select("level").distinct().collect()]
+    for level in range(1, max(levels, default=0) + 1):
+        now = now.unionByName(_above(held.where(F.col("level") == level - 1)).select(F.lit(level).alias("level"), "node", F.col("root").alias("now")))
+    return held.join(now, ["level", "node"], "full").where(~F.col("root").eqNullSafe(F.col("now"))).select("level", "node")
+
+
+ASKED = "doc_id long, start long, n_tokens long, pos int, after long, n int, hash binary"
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes as one row a chunk, each document's root and length compared with its chunk list."""
+    for b in batches:
+        chunks = b.column("chunks")
+        ends = chunks.offsets.to_numpy().astype(np.int64)
+        flat = chunks.values.slice(int(ends[0]), int(ends[-1] - ends[0]))
+        ends = ends - ends[0]
+        hashes, n, doc_ids = flat.field("hash").to_pylist(), flat.field("n").to_numpy(), b.column("doc_id").to_pylist()
+        total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        for i, (root, tokens_) in enumerate(zip(b.column("root").to_pylist(), b.column("n_tokens").to_pylist())):
+            if merkle(hashes[ends[i] : ends[i + 1]]) != root or total[ends[i + 1]] - total[ends[i]] != tokens_:
+                raise ValueError(f"document {doc_ids[i]}: root or length does not match its chunk list")
+        row = pa.array(np.repeat(np.arange(len(b)), np.diff(ends)))
+        own = [b.column(c).take(row) for c in ("doc_id", "start", "n_tokens")]
+        yield pa.RecordBatch.from_arrays([*own, *[flat.field(c) for c in ("pos", "after", "n", "hash")]], ["doc_id", "start", "n_tokens", "pos", "after", "n", "hash"])
+
+
+def asked(store: TokenStore) -> DataFrame:
+    return store.recipes().select("doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(_asked, ASKED)
+
+
+def _found(column: str) -> Column:
+    """The looked-up column, an error where the store has no such chunk or one of another length."""
+    wrong = F.raise_error(F.concat(F.lit("the store lacks chunk "), F.hex("hash"), F.lit(" of a recipe, or has it in another length")))
+    return F.when(F.col("held") == F.col("n"), F.col(column)).otherwise(wrong)
 
 
 def read_sums(store: TokenStore) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the ids in the files.
 
     Each stored chunk is read and checked once; documents get their chunks' checksums, combined by position, so no ids
-    are moved again. A missing chunk or a wrong length shows as an error.
+    are moved again. A missing chunk, a wrong length or a root that does not match is an error.
     """
     held = store.chunks().mapInArrow(_checked, "hash binary, held long, crc long")
-    asked = store.recipes().select("doc_id", "tie", "start", "n_tokens", F.explode("chunks").alias("c")).select("doc_id", "tie", "start", "n_tokens", "c.after", "c.hash")
-    met = asked.join(held, "hash", "left").withColumn("held", F.coalesce("held", F.raise_error(F.lit("a recipe names a chunk that the store lacks")).cast("long")))
-    met = met.select("doc_id", "tie", "start", "n_tokens", "held", "after", "crc").mapInArrow(_shares, "doc_id long, tie long, start long, n_tokens long, held long, share long")
-    per = met.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("held").alias("held"))
-    return per.select("doc_id", "start", F.when(F.col("held") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document's chunks do not add up")).cast("long")).alias("n_tokens"), "ids_crc32")
+    met = asked(store).join(held, "hash", "left").withColumn("crc", _found("crc"))
+    met = met.select("doc_id", "start", "n_tokens", "after", "crc").mapInArrow(_shares, "doc_id long, start long, n_tokens long, share long")
+    return met.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("share").alias("ids_crc32"))
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array([plain(x) for x in b.column("ids").to_pylist()], pa.binary())], ["hash", "ids"])
+        hashes, ids = b.column("hash").to_pylist(), b.column("ids").to_pylist()
+        _check(hashes, ids)
+        ids = [plain(x) for x in ids]
+        yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["hash", "held", "ids"])
 
 
 def read_documents(store: TokenStore) -> DataFrame:
-    """(doc_id, start, ids binary): every document put together again from its chunks, little-endian unsigned 32-bit ids."""
-    asked = store.recipes().select("doc_id", "start", F.explode("chunks").alias("c")).select("doc_id", "start", "c.pos", "c.hash")
-    met = asked.join(store.chunks().mapInArrow(_plain, "hash binary, ids binary"), "hash")
+    """(doc_id, start, ids binary): every document put together again from its chunks, little-endian unsigned 32-bit ids.
+
+    Verifies as ``read_sums`` does.
+    """
+    met = asked(store).join(store.chunks().mapInArrow(_plain, "hash binary, held long, ids binary"), "hash", "left").withColumn("ids", _found("ids"))
     whole = F.array_sort(F.collect_list(F.struct("pos", F.hex("ids").alias("ids"))))
     return met.groupBy("doc_id", "start").agg(whole.alias("all")).select("doc_id", "start", F.unhex(F.array_join(F.transform("all", lambda x: x["ids"]), "")).alias("ids"))
 
