@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from typegrove.llm import components, language_id, line_dedup, mixing, order_minhash, packing, pii, quality_rules, simhash, token_store, tokens, toxicity
+from typegrove.llm import common, components, language_id, line_dedup, mixing, order_minhash, packing, pii, quality_rules, simhash, token_store, tokens, toxicity
 
 from . import brute
 
@@ -409,6 +409,36 @@ def brute_order_minhash(text, bits=6, keep=2):
     return out
 
 
+def brute_likeness(a, b):
+    filled = {x >> 32 for x in a} | {x >> 32 for x in b}
+    return len(set(a) & set(b)) / len(filled) if filled else 1.0
+
+
+def test_order_minhash_op(spark, tmp_path):
+    """All columns of the query against plain Python."""
+    texts = [*brute.TEXTS, "a b " * 200 + "and a tail", "a b " * 20 + "and a tail", None, "é 😀 one", " ".join(f"w{i * i % 997}" for i in range(30_000))]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = order_minhash.op6_order_minhash(spark, str(tmp_path)).orderBy("doc_id").collect()
+    plain = [t or "" for t in texts]
+    edited = [t[: len(t) - len(t) // 4] + plain[(i + 1) % len(plain)][: len(t) // 4] for i, t in enumerate(plain)]
+
+    def signature(t):
+        w = brute.WORD.findall(t)
+        if len(w) == 1:
+            h = xxhash.xxh64_intdigest(w[0].encode(), 42)
+            h = h - (1 << 64) if h >> 63 else h
+            return [(h >> 58) << 32 | xxhash.xxh64_intdigest(struct.pack("<q", h), 42) & 0xFFFFFFFF]
+        return brute_order_minhash(t)
+
+    shown = lambda s: ",".join(f"{x & (1 << 64) - 1:016X}" for x in s)
+    for i, r in enumerate(rows):
+        one, two, after = signature(plain[i]), signature(edited[i]), signature(plain[(i + 1) % len(plain)])
+        assert (r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (i, len(plain[i]), brute.sha(edited[i]), shown(one), shown(two))
+        assert r["near_edited"] == pytest.approx(brute_likeness(one, two)) and r["near_next"] == pytest.approx(brute_likeness(one, after))
+    many, few = signature(texts[-5]), signature(texts[-4])
+    assert brute_likeness(many, few) < 0.7
+
+
 def test_order_minhash_of_repeated_passages(spark):
     rng = random.Random(6)
     passages = [" ".join(f"p{rng.randrange(60)}" for _ in range(12)) for _ in range(30)]
@@ -420,7 +450,8 @@ def test_order_minhash_of_repeated_passages(spark):
     assert near(got[0], got[1]) < 0.5 and near(got[2], got[3]) < 0.8
 
 
-def test_next_documents_over_many_ranges(spark):
+def test_next_documents_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(common, "TOP", 6)  # 30 ranges are cut in two steps
     docs = table(spark, [f"t{i}" for i in range(300)], [7 * i - 50 for i in range(300)])
     got = {r["doc_id"]: r["next_text"] for r in order_minhash.with_next(docs.select("doc_id", "text"), ["text"], each=10).collect()}
     assert got == {7 * i - 50: f"t{(i + 1) % 300}" for i in range(300)}
@@ -535,6 +566,29 @@ def test_packing(spark):
     assert sum(n != 256 for n in at.values()) <= 1 and sorted(at) == list(range(len(at)))
 
 
+def test_packing_over_many_ranges(spark, monkeypatch):
+    """More ranges than are cut at once: sequences stay gapless and full."""
+    monkeypatch.setattr(common, "TOP", 6)
+    texts = [f"text number {i} of many" for i in range(600)]
+    out = packing.pack(table(spark, texts), length=64, tokens_a_range=100).collect()
+    at = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert at.get(r["sequence_id"], 0) == r["offset"]
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert sorted(at) == list(range(len(at))) and sum(n != 64 for n in at.values()) <= 1
+    assert len({r["doc_id"] for r in out}) == 600
+
+
+def test_packing_lays_like_documents_side_by_side(spark):
+    """Four subjects mixed in doc_id order: nearly every neighbour along the sequences is of the same subject."""
+    rng = random.Random(7)
+    words = [[f"{''.join(rng.choices('abcdefghijklmnopqrstuvwxyz', k=6))}" for _ in range(25)] for _ in range(4)]
+    texts = [" ".join(rng.choices(words[i % 4], k=120)) for i in range(200)]
+    out = packing.pack(table(spark, texts)).where("start = 0").collect()
+    order = [r["doc_id"] for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"]))]
+    assert sum(a % 4 == b % 4 for a, b in zip(order, order[1:])) > 170
+
+
 def test_hilbert_neighbours_touch():
     import itertools
 

@@ -11,7 +11,9 @@ keeps the k-mer's hash, later ones hash it with their number. A second sort, of
 pass per hash function.
 
 Defined results: null and wordless texts have the empty fingerprint, likeness 1 to each other and 0 to the rest; texts
-of fewer than ``k`` words have their whole sequence as the one k-mer; equal texts have equal fingerprints.
+of fewer than ``k`` words have their whole sequence as the one k-mer; equal texts have equal fingerprints. A very long
+text is one row's list of k-mer hashes, sorted twice. Rows without doc_id come first, rows of one doc_id are ordered by
+text; other columns are not looked at; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -77,20 +79,23 @@ def shown(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x), 16, "0")), ",")
 
 
-def with_next(docs: DataFrame, columns: list[str], each: int = 4096, most_buckets: int = 2048) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], each: int = 1 << 15) -> DataFrame:
     """``docs`` with ``next_<column>`` of the next row by ascending doc_id (after the last, the first), in one shuffle.
 
-    Rows are dealt to ranges of doc_id that begin at an id that occurs. A range's first row also goes, as a guest, to
-    the range before it, and the first of all to the last range; so each range finds its neighbours on its own.
+    Rows are dealt to ranges of doc_id that begin at an id that occurs, one task a range and about ``each`` rows at most.
+    A range's first row also goes, as a guest, to the range before it, and the first of all to the last range; so each
+    range finds its neighbours on its own.
     """
     spark = docs.sparkSession
     n, first = docs.agg(F.count(F.lit(1)), F.min("doc_id")).first()
-    wanted = min(most_buckets, max(3 * common.parallelism(spark), common.buckets_for(n, each)))
+    wanted = max(common.parallelism(spark), common.buckets_for(n, each))
     bounds = [b for b in common.range_bounds(docs, "doc_id", wanted) if b != first]
     here = common.bucket_of(F.coalesce(F.col("doc_id"), F.lit(first)), bounds)
-    guest = F.when(F.col("doc_id") == first, F.lit(len(bounds))).when(F.col("doc_id").isin(bounds), here - 1) if bounds else F.when(F.col("doc_id") == first, F.lit(0))
+    begins = (common.bucket_of(F.col("doc_id") - 1, bounds) < here) if bounds else F.lit(False)  # the id is a bound
+    guest = F.when(F.col("doc_id") == first, F.lit(len(bounds))).when(begins, here - 1)
     dealt = F.array_compact(F.array(F.struct(here.alias("range"), F.lit(0).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.cast("int").alias("range"), F.lit(1).alias("guest")))))
     rows = docs.withColumn("__deal", F.explode(dealt)).select("*", "__deal.range", "__deal.guest").drop("__deal")
+    rows = rows.repartitionById(len(bounds) + 1, "range")
     tie = F.xxhash64(*columns)
     order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), tie)
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})

@@ -9,7 +9,8 @@ the last sequence of all is not full.
 A third of all documents may share one key: ranges are cut over the key followed by hash bits of the id.
 
 Defined results: a null text has the end id alone; rows that share a doc_id are packed each on its own, told apart by
-their place on the curve; no rows give no sequences.
+their place on the curve; a very long text is one row of ids, cut where sequences end; other columns are not looked at;
+no rows give no sequences.
 """
 
 from __future__ import annotations
@@ -115,8 +116,11 @@ def _cutter(length: int):
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, tokens_a_range: int = 1 << 24, most_ranges: int = 2048) -> DataFrame:
-    """Pieces with their ids (little-endian unsigned 32-bit), one row per document and sequence it lies in."""
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, tokens_a_range: int = 1 << 25) -> DataFrame:
+    """Pieces with their ids (little-endian unsigned 32-bit), one row per document and sequence it lies in.
+
+    Ranges of the curve hold about ``tokens_a_range`` ids at most, one task a range, so their number grows with the ids.
+    """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_of()).alias("tie"), "text")
@@ -125,17 +129,12 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, to
     key = F.shiftleft("curve", 32).bitwiseOR(F.xxhash64("doc_id", "tie").bitwiseAND(F.lit(0xFFFFFFFF)))
     light = came.select(key.alias("key"), "n")
     total = light.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    wanted = min(most_ranges, max(2 * common.parallelism(spark), common.buckets_for(total, tokens_a_range)))
-    bounds = common.range_bounds(light, "key", wanted)
-    here = common.bucket_of(F.col("key"), bounds).alias("range")
-    sums = {r["range"]: r["n"] for r in light.groupBy(here).agg(F.sum("n").alias("n")).collect()}  # a number a range
-    before, at = [], 0
-    for r in range(len(bounds) + 1):
-        before.append(at)
-        at += sums.get(r, 0)
+    bounds = common.range_bounds(light, "key", max(common.parallelism(spark), common.buckets_for(total, tokens_a_range)))
+    here, ranges = common.bucket_of(F.col("key"), bounds).alias("range"), len(bounds) + 1
+    (before,) = common.sums_before(light.withColumn("range", here), "range", ranges, "n")
     order = Window.partitionBy("range").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    laid = came.withColumn("key", key).withColumn("range", here)
-    laid = laid.withColumn("at", F.element_at(F.array(*map(F.lit, before)), F.col("range") + 1).cast("long") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    laid = came.withColumn("key", key).withColumn("range", here).repartitionById(ranges, "range")
+    laid = laid.withColumn("at", before + F.coalesce(F.sum("n").over(order), F.lit(0)))
     return laid.select("doc_id", "at", "wide", "ids").mapInArrow(_cutter(length), PIECES)
 
 
