@@ -129,3 +129,59 @@ def targets(sizes, weights=(5, 2, 1), ceiling=3):
         if not above:
             return {**fixed, **{s: level * w[s] for s in free}}
         fixed.update({s: ceiling * sizes[s] for s in above})
+
+
+# ---- language ID
+
+
+def grams(text):
+    """Each word's hashed byte trigrams."""
+    kept = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode())
+    return [[((w[i] << 16 | w[i + 1] << 8 | w[i + 2]) * 2654435761 % (1 << 32)) >> 16 for i in range(len(w) - 2)] for w in (b" " + x + b" " for x in kept.split(b" ") if x)]
+
+
+def language_model(rows):
+    """rows: (text, lang). Log-likelihood by trigram: counts plus a half over all, plus a half each."""
+    import math
+    from collections import Counter
+
+    seen = {}
+    for text, lang in rows:
+        own = seen.setdefault(lang, Counter())
+        for w in grams(text or ""):
+            own.update(w)
+    total = {x: sum(c.values()) + 0.5 * (1 << 16) for x, c in seen.items()}
+    return {x: (lambda g, c=c, t=total[x]: math.log((c[g] + 0.5) / t)) for x, c in sorted(seen.items())}
+
+
+def language(text, model, rounds=12):
+    """(language, proportion, languages in the set), by the definition, one word after another."""
+    import math
+
+    langs = list(model)
+    words = [[sum(model[x](g) for g in w) for x in langs] for w in grams(text or "")]
+    if not words or not any(c.isalpha() for c in text):
+        return "und", 0.0, 0
+
+    def mixture(allowed):
+        pi = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(langs))]
+        for _ in range(rounds):
+            fresh = [0.0] * len(langs)
+            for s in words:
+                joint = [math.exp(x - max(s)) * p for x, p in zip(s, pi)]
+                fresh = [f + j / max(sum(joint), 1e-300) for f, j in zip(fresh, joint)]
+            pi = [f / len(words) for f in fresh]
+        return pi, sum(math.log(max(sum(math.exp(x - max(s)) * p for x, p in zip(s, pi)), 1e-300)) + max(s) for s in words)
+
+    single = [sum(s[k] for s in words) for k in range(len(langs))]
+    best, share, count, held = single.index(max(single)), 1.0, 1, max(single)
+    penalty = 0.5 * math.log(len(words) + 1) + 1
+    full, like = mixture(range(len(langs)))
+    if like - held > penalty:
+        order = sorted(range(len(langs)), key=lambda k: -full[k])
+        for m in range(2, len(langs) + 1):
+            pi, like = mixture(order[:m])
+            if like - held <= penalty:
+                break
+            best, share, count, held = pi.index(max(pi)), max(pi), m, like
+    return langs[best], share, count

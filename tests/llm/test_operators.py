@@ -537,6 +537,40 @@ def test_language_id(spark, monkeypatch):
     assert one[0] == ["aa"] and one[1][0] == pytest.approx(got[1003]["lang_score"])
 
 
+def test_language_id_against_plain_python(spark, tmp_path, monkeypatch):
+    """The query, on texts of one and of several languages, blanks and long texts, each by definition."""
+    rng = random.Random(3)
+    names = list(WORDS)
+    rows = []
+    for i in range(120):
+        own = rng.sample(names, 1 + (i % 4 == 0) + (i % 8 == 0))
+        words = [w for x in own for w in rng.choices(WORDS[x], k=rng.randint(2, 30))]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), own[0] if i % 7 else None))
+    rows += [(200, None, "aa"), (201, "", None), (202, "12 !", "bb"), (203, " ".join((WORDS["aa"] + WORDS["cc"][:1]) * 60), None), (None, "kalo mito", "zz")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = brute.language_model([(t, x) for i, t, x in rows if i is not None and x and zlib.crc32(str(i).encode()) % 3 != 1])
+    want = {i: brute.language(t or "", model) for i, t, _ in rows}
+    got = {r["doc_id"]: r for r in language_id.op8_language_id(spark, str(tmp_path)).collect()}
+    assert {i: (r["lang_pred"], r["lang_count"]) for i, r in got.items()} == {i: (x, n) for i, (x, _, n) in want.items()}
+    assert all(r["score"] == pytest.approx(want[i][1], abs=1e-4) for i, r in got.items())
+    assert {n for _, _, n in want.values()} >= {0, 1, 2}
+    assert {i: r["held_out"] for i, r in got.items()} == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in want}
+    fitted = language_id.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    monkeypatch.setattr(language_id, "SLICE", 100)  # most texts are now longer than a slice
+    again = language_id._score_texts([t or "" for _, t, _ in rows], fitted)
+    assert again[0] == [got[i]["lang_pred"] for i, _, _ in rows] and again[2] == [got[i]["lang_count"] for i, _, _ in rows]
+    assert again[1] == pytest.approx([got[i]["score"] for i, _, _ in rows], abs=1e-6)
+
+
+def test_language_id_clashing_names(spark):
+    docs = language_docs(spark).withColumn("lang_pred", F.lit("mine")).withColumn("lang_score", F.lit(7))
+    model = language_id.fit(docs)
+    kept = language_id.keep_known(docs, model)
+    assert kept.columns == docs.columns and {(r["lang_pred"], r["lang_score"]) for r in kept.collect()} == {("mine", 7)}
+    assert {r["lang_pred"] for r in language_id.predict(docs, model).collect()} <= set(WORDS)
+
+
 def test_language_id_learns_from_its_own_part_only(spark):
     docs = language_docs(spark)
     other = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit("zz")).otherwise(F.col("lang")))

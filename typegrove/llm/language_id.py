@@ -9,10 +9,12 @@ proportion in the chosen set, its score that proportion.
 
 Counting is a partial sum per task and one shuffle of (language, trigram) counts; the model is a table of fixed width
 per language, sent to the tasks. Scoring goes through texts in slices of bounded size, words and documents of a slice
-at once; a long text is scored in several slices, its words gathered for the mixture.
+at once. A text longer than a slice is gone through slice by slice in every round of its mixture, so its memory is a
+slice's too, at the price of reading it some dozen times; the result is the same.
 
 Defined results: ``und`` with score 0 for texts that are null or have no letter, and for all if nothing was learned;
-texts in no language known get the least unlikely one; repeated rows are scored alike.
+texts in no language known get the least unlikely one; repeated rows are scored alike; rows without doc_id are scored
+and not learned from; columns of the input named as those that are added are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from . import common
 
 #: Hashed trigrams as a power of two; bytes of text handled at once; rounds of the mixture.
 BITS, SLICE, ROUNDS = 16, 1 << 20, 12
-#: The largest model: so many languages of 2 ** BITS four-byte numbers each. More are an error, not dropped.
-MOST_LANGUAGES = 512
+#: The largest model: so many languages of 2 ** BITS four-byte numbers (256 KB) each, more than ISO 639-3 has codes, so that
+#: what is sent to all tasks has a bound. More are an error, none are dropped.
+MOST_LANGUAGES = 8192
 #: Bytes as the trigrams see them: letters a-z (A-Z lower-cased) and bytes of longer characters; all else is a space.
 _SEEN = np.full(256, 32, np.uint8)
 _SEEN[97:123] = _SEEN[65:91] = np.arange(97, 123)
@@ -62,15 +65,20 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.flatnonzero(first[inner])
 
 
-def slices(text: str) -> Iterator[bytes]:
+def slice_size(languages: int) -> int:
+    """Bytes of text at once, so that words times languages have a bound."""
+    return max(1 << 6, SLICE * 8 // max(8, languages))
+
+
+def slices(text: str, size: int) -> Iterator[bytes]:
     """The text's bytes, in pieces of bounded size that end at a separator where there is one."""
     raw = text.encode()
     at = 0
     while at < len(raw):
-        end = min(len(raw), at + SLICE)
+        end = min(len(raw), at + size)
         if end < len(raw):
             end = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end), at) + 1
-            end = min(len(raw), at + SLICE) if end <= at + 1 else end
+            end = min(len(raw), at + size) if end <= at + 1 else end
         yield raw[at:end]
         at = end
 
@@ -79,7 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, np.ndarray] = {}
     for b in batches:
         for text, lang in zip(b.column("text"), b.column("lang").to_pylist()):
-            for raw in slices(text.as_py() or ""):
+            for raw in slices(text.as_py() or "", SLICE):
                 grams, _ = words_of(raw)
                 if lang not in seen:
                     seen[lang] = np.zeros(1 << BITS, np.int64)
@@ -162,56 +170,128 @@ def choose(scores: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, share, size
 
 
+def _word_scores(raw: bytes, model: Model) -> np.ndarray:
+    """Log-likelihood of each word in each language."""
+    grams, first = words_of(raw)
+    if not len(first):
+        return np.zeros((0, len(model.languages)))
+    return np.add.reduceat(model.table[grams], first, axis=0).astype(np.float64)
+
+
+def choose_long(text: str, model: Model, size: int) -> tuple[int, float, int] | None:
+    """What ``choose`` gives for one text, with the memory of one slice; None for a text without words."""
+    k = len(model.languages)
+    single, n = np.zeros(k), 0
+    for raw in slices(text, size):
+        scores = _word_scores(raw, model)
+        single, n = single + scores.sum(axis=0), n + len(scores)
+    if not n:
+        return None
+
+    def mixture(allowed: np.ndarray) -> tuple[np.ndarray, float]:
+        pi, total = allowed / allowed.sum(), 0.0
+        for step in range(ROUNDS + 1):
+            share = np.zeros(k)
+            for raw in slices(text, size):
+                scores = _word_scores(raw, model)
+                top = scores.max(axis=1, keepdims=True)
+                joint = np.exp(scores - top) * pi
+                word = np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
+                if step == ROUNDS:
+                    total += float((np.log(word) + top).sum())
+                share += (joint / word).sum(axis=0)
+            pi = pi if step == ROUNDS else share / n
+        return pi, total
+
+    best, share, count = int(single.argmax()), 1.0, 1
+    full, like_full = mixture(np.ones(k))
+    penalty, held = 0.5 * np.log(n + 1.0) + 1.0, single.max()
+    if like_full - held > penalty and k > 1:
+        order = np.argsort(-full)
+        for m in range(2, k + 1):
+            allowed = np.zeros(k)
+            allowed[order[:m]] = 1
+            pi, like = mixture(allowed)
+            if like - held <= penalty:
+                break
+            best, share, count, held = int(pi.argmax()), float(pi.max()), m, like
+    return best, share, count
+
+
 def _score_texts(texts: list[str], model: Model) -> tuple[list[str], list[float], list[int]]:
+    langs, scores, sizes = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
+    size = slice_size(len(model.languages))
     words, starts, at, known = [], [], 0, []
+
+    def put(i: int, best: int, share: float, count: int) -> None:
+        langs[i], scores[i], sizes[i] = model.languages[best], float(min(1.0, share)), int(count)
+
     for i, text in enumerate(texts):
         if not (model.languages and has_letter(text)):
             continue
-        own = []
-        for raw in slices(text):
-            grams, first = words_of(raw)
-            if len(first):
-                own.append(np.add.reduceat(model.table[grams], first, axis=0))
-        if own:
+        raw = text.encode()
+        if len(raw) > size:
+            found = choose_long(text, model, size)
+            if found:
+                put(i, *found)
+            continue
+        own = _word_scores(raw, model)
+        if len(own):
             starts.append(at)
-            at += sum(map(len, own))
-            words += own
+            at += len(own)
+            words.append(own)
             known.append(i)
-    langs, scores, sizes = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
     if known:
-        best, share, size = choose(np.concatenate(words).astype(np.float64), np.array(starts))
-        for i, b, s, k in zip(known, best, share, size):
-            langs[i], scores[i], sizes[i] = model.languages[b], float(min(1.0, s)), int(k)
+        for i, *found in zip(known, *choose(np.concatenate(words), np.array(starts))):
+            put(i, *found)
     return langs, scores, sizes
 
 
+def _scored(batch: pa.RecordBatch, model: Model) -> tuple[list, list, list]:
+    from .tokens import pieces
+
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    out: tuple[list, list, list] = ([], [], [])
+    for i, j in pieces([len(t) for t in texts], slice_size(len(model.languages))):
+        for col, found in zip(out, _score_texts(texts[i:j], model)):
+            col += found
+    return out
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+ADDED = ("lang_pred", "lang_score", "lang_count")
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_count (languages in the chosen set)."""
+    docs = docs.drop(*ADDED)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed width per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import pieces
-
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            out: list[list] = [[], [], []]
-            for i, j in pieces([len(t) for t in texts], SLICE):
-                for col, found in zip(out, _score_texts(texts[i:j], sent.value)):
-                    col += found
+            out = _scored(b, sent.value)
             columns = [pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "lang_pred", "lang_score", "lang_count"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *ADDED])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_count int")
+    return docs.mapInArrow(run, f"{_fields(docs)}, lang_pred string, lang_score double, lang_count int")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without those that have no language."""
-    return predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    """``docs``, with the columns as they are, without those that have no language."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([x != "und" for x in _scored(b, sent.value)[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, _fields(docs))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text", "lang")))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_count"))
