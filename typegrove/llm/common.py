@@ -7,6 +7,7 @@ import json
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,24 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_open: list[Scratch] = []
+
+
+def _drop_after(mark: int) -> None:
+    while len(_open) > mark:
+        _open.pop().drop()
+
+
+@contextmanager
+def passing():
+    """Drops, at its end, the shared folders that were opened within: for a result that is written by then."""
+    mark = len(_open)
+    try:
+        yield
+    finally:
+        _drop_after(mark)
+
+
 class Scratch:
     """Tables written to the folder that all executors share (``spark.checkpoint.dir``), removed when the driver exits.
 
@@ -50,7 +69,9 @@ class Scratch:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = os.path.join(tempfile.gettempdir(), "typegrove-scratch")
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        if not _open:
+            atexit.register(_drop_after, 0)
+        _open.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
