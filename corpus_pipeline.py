@@ -15,11 +15,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in one document; documents that lose every word with them go."""
-    done = line_dedup.dedup_lines(docs)
-    done = done.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = {"text": F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))}
+    done = line_dedup.dedup_lines(docs, prefix="__line_")  # a table may have columns of the plain names
+    whole, kept = F.col("__line_n_dropped") == 0, F.col("__line_kept_text")
+    done = done.where(whole | kept.rlike(r"[^\x20\x09-\x0D]"))
+    columns = {"text": F.when(whole, F.col("text")).otherwise(kept)}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("kept_text").cast("long"))
+        columns["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.char_length(kept).cast("long"))
     return done.withColumns(columns).select(*docs.columns)
 
 
@@ -54,7 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = common.Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with common.passing():
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
         if k:
             scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
