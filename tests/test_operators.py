@@ -1,6 +1,7 @@
 """Operators on small hand-made graphs, against plain Python where a loop is the plainest statement."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from typegrove.plans.query import Filter, Query, Scope, clean_scope, from_params
 
 
 def types(spark, *rows):
-    return spark.createDataFrame([(i, i, i.capitalize(), a, n) for n, (i, a) in enumerate(rows)], schema.OBJECT_TYPES)
+    return spark.createDataFrame([(i, i, i.capitalize(), a, n, "") for n, (i, a) in enumerate(rows)], schema.OBJECT_TYPES)
 
 
 def definitions(spark, *rows):
@@ -359,13 +360,36 @@ def brute_keys(requests, taken):
     return out
 
 
-def test_key_allocation(spark):
-    requests = [(i, ["alpha", "beta", "x" * 100][i % 3]) for i in range(40)]
-    taken = ["alpha", "alpha_3", "beta_2", "beta_20", "x" * 98 + "_2", "other"]
-    got = keys.allocate(spark.createDataFrame([("s", i, b) for i, b in requests], "scope string, seq int, name string"), spark.createDataFrame([("s", k) for k in taken] + [("t", "beta")], "scope string, key string"))
-    want = brute_keys(requests, taken)
-    assert {r["seq"]: r["key"] for r in got.collect() if not r["name"].startswith("x")} == {i: k for i, k in want.items() if i % 3 < 2}
-    assert len({r["key"] for r in got.collect()}) == 40
+@pytest.mark.parametrize(
+    "requests,taken",
+    [
+        ([["alpha", "beta", "x" * 100][i % 3] for i in range(40)], ["alpha", "alpha_3", "beta_2", "beta_20", "x" * 98 + "_2", "other"]),
+        (["A", "A", "A 2"], []),
+        (["A 2", "A", "A", "A 2 2", "A 2", "A"], ["a_3"]),
+        (["x" * 100, "x" * 98 + " 2", "x" * 100, "x" * 99, "x" * 100] * 3, []),
+        (["", "!", "Item", "item 2", "é", "E"], ["item_3"]),
+    ],
+)
+def test_key_allocation(spark, requests, taken):
+    rows = [(i, r) for i, r in enumerate(requests)]
+    got = keys.allocate(spark.createDataFrame([("s", i, b) for i, b in rows], "scope string, seq int, name string"), spark.createDataFrame([("s", k) for k in taken] + [("t", "beta")], "scope string, key string"))
+    assert {r["seq"]: r["key"] for r in got.collect()} == sequential_keys(rows, taken)
+
+
+def sequential_keys(requests, taken):
+    """One request after another, as by hand."""
+    import unicodedata
+
+    used, out = set(taken), {}
+    for seq, name in requests:
+        plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()
+        base = re.sub("[^a-z0-9]+", "_", plain.lower()).strip("_")[:100].strip("_") or "item"
+        key, n = base, 2
+        while key in used:
+            key, n = base[: 100 - len(f"_{n}")] + f"_{n}", n + 1
+        used.add(key)
+        out[seq] = key
+    return out
 
 
 # ---- import
@@ -428,6 +452,59 @@ def test_commit(graph, spark, tmp_path):
         model.commit(good, base_revision=1)
 
 
+def test_commit_keeps_retired_records(graph, spark, tmp_path):
+    """Retired records stay in storage and are hidden by the view only; they can be made active again."""
+    sound = graph.with_(rules=graph.rules.where("id = 'm'"), relationships=graph.relationships.where("type_id = 'member'"))
+    retired = sound.with_(objects=sound.objects.withColumn("is_active", F.col("id") != "p2"))
+    every = ids(ds.sound(sound).objects)
+    after = commit.apply(retired, log(spark))
+    assert ids(after.objects) == every and after.objects.where("not is_active").count() == 1
+    again = commit.apply(retired, log(spark, dict(op="update", id="p2", after='{"field": "is_active", "value": true}'), dict(op="update", id="p1", after='{"field": "is_active", "value": false}')))
+    assert ids(again.objects) == every and ids(again.objects.where("not is_active")) == ["p1"]
+    assert ids(overlay.overlay(retired.objects, log(spark), "object")) == [x for x in every if x != "p2"]
+
+
+def test_commit_of_types_definitions_and_rules(graph, spark):
+    changes = log(
+        spark,
+        dict(op="create", id="site", kind="object_type", after='{"name": "Site", "key": "site", "description": "A place"}'),
+        dict(op="update", id="person", kind="object_type", after='{"field": "description", "value": "Someone"}'),
+        dict(op="update", id="person", kind="object_type", after='{"field": "sort_order", "value": 7}'),
+        dict(op="create", id="d9", kind="attribute_definition", parent="site", after='{"name": "Floor", "key": "floor", "data_type": "choice", "choices": ["1", "2"]}'),
+        dict(op="create", id="r9", kind="relationship_type_rule", parent="member", after='{"subject_type_id": "site", "object_type_id": "person", "s_min": 0, "o_min": 1, "o_max": 3}'),
+        dict(op="create", id="o9", parent="site", after='{"name": "North", "attributes": {"floor": "2"}, "is_active": false}'),
+    ).withColumn("parent_type", F.when(F.col("target_id") == "r9", "relationship_type").otherwise("object_type"))
+    after = commit.apply(graph, changes)
+    types = {r["id"]: (r["name"], r["description"], r["sort_order"], r["is_active"]) for r in after.object_types.collect()}
+    assert types["site"] == ("Site", "A place", None, True) and types["person"][1:3] == ("Someone", 7)
+    d = after.attribute_defs.where("id = 'd9'").first()
+    assert (d["owner_kind"], d["owner_id"], d["data_type"], d["choices"], d["required"], d["nullable"], d["is_active"]) == ("object", "site", "choice", ["1", "2"], False, True, True)
+    r = after.rules.where("id = 'r9'").first()
+    assert (r["rel_type_id"], r["subject_type_id"], r["object_type_id"], r["s_min"], r["s_max"], r["o_min"], r["o_max"]) == ("member", "site", "person", 0, None, 1, 3)
+    assert after.objects.where("id = 'o9' and not is_active").count() == 1
+    twice = log(spark, dict(op="create", id="r8", kind="relationship_type_rule", parent="member", after='{"subject_type_id": "person", "object_type_id": "team"}'), dict(op="update", id="d1x", kind="attribute_definition", after='{"field": "colour", "value": 1}'), dict(op="delete", id="person", kind="object_type"))
+    codes = {(r["code"], r["target_id"]) for r in commit.change_issues(graph, twice).collect()}
+    assert {("duplicate_rule", "r8"), ("invalid_change", "d1x"), ("target_not_found", "d1x"), ("protected_reference", "person")} <= codes
+
+
+def test_commit_of_two_writers_and_of_one_token(graph, spark, tmp_path):
+    fine = graph.with_(rules=graph.rules.where("id = 'm'"), relationships=graph.relationships.where("type_id = 'member'"))
+    model = commit.Model(spark, str(tmp_path / "model"))
+    model.create(fine)
+    good = log(spark, dict(op="update", id="p1", after='{"field": "name", "value": "Ann"}'))
+    assert model.commit(good, token="t").revision == 2
+    assert model.commit(good, token="t").revision == 2 and model.revision() == 2
+    name = model._stage(fine)
+    with pytest.raises(commit.Conflict):
+        model._publish(2, name, None)
+    assert model.read().objects.where("id = 'p1'").first()["name"] == "Ann"
+    late = commit.Model(spark, model.path)
+    late.revision = lambda: 1  # a writer that looked before the other was done
+    with pytest.raises(commit.Conflict):
+        late.commit(good)
+    assert model.revision() == 2 and model.read_consistent(lambda d: d.objects.count()) == (2, fine.objects.count())
+
+
 def test_bulk_edit_and_discard(graph, spark):
     rows = commit.bulk_edit(graph.objects, ["a1", "a2"], {"attributes.status": "Live", "attributes.owner": None}, 10, "9")
     assert sorted((r["target_id"], r["after_json"]) for r in rows.collect()) == [("a1", '{"field":"attributes.owner","value":null}'), ("a2", '{"field":"attributes.owner","value":null}'), ("a2", '{"field":"attributes.status","value":"Live"}')]

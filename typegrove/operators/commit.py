@@ -1,12 +1,14 @@
-"""Committing a change-set: pre-checks, effective dataset, validation, and a new revision of the tables.
+"""Committing a change-set: pre-checks, the tables it leaves, validation, and a new revision.
 
-A revision is a folder of Parquet tables; a manifest row names the current one. A commit writes the next folder first
-and the manifest last, so readers see whole revisions only. What is validated are the tables as written: the log is
+A revision is a folder of Parquet tables of a name of its own. A manifest file, made only if it is not there yet, names
+the folder of each revision: of several commits on one revision just one succeeds, readers see whole revisions only, and
+a commit that is run again under the same token changes nothing. What is validated are the tables as written: the log is
 applied once, and plans stay short. A rejected change-set's folder goes; a table of its issues stays.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -15,60 +17,87 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_slug
 from ..schema import Dataset
+from ..shared import delete
 from . import dataset as ds
-from .overlay import overlay
+from .overlay import STORED, stored
 from .validation import issues, union, validate
 
-#: Fields that a change may set, by target type.
-LEGAL_FIELDS = {
-    "object": ("name", "description", "is_active"),
-    "relationship": ("is_active",),
-    "object_type": ("name", "description", "is_active", "sort_order"),
-    "relationship_type": ("name", "description", "is_active", "sort_order"),
-    "attribute_definition": ("name", "data_type", "required", "nullable", "sort_order", "is_active"),
-}
-TABLES = ("object_types", "relationship_types", "rules", "attribute_defs", "objects", "relationships")
+TABLES = {"object_types": "object_type", "relationship_types": "relationship_type", "rules": "relationship_type_rule", "attribute_defs": "attribute_definition", "objects": "object", "relationships": "relationship"}
 
 
 def apply(dataset: Dataset, changes: DataFrame) -> Dataset:
-    """The dataset as the log leaves it, with its invariants."""
-    objects = overlay(dataset.objects, changes, "object")
-    edges = overlay(dataset.relationships, changes, "relationship", ())
-    types = overlay(dataset.object_types, changes, "object_type", ("name",))
-    rel_types = overlay(dataset.relationship_types, changes, "relationship_type", ("name",))
-    out = dataset.with_(objects=objects, relationships=edges, object_types=types.drop("is_proposed"), relationship_types=rel_types.drop("is_proposed"))
-    return ds.sound(out)
+    """The dataset as a commit stores it: every kind of target changed, retired records kept.
+
+    What belongs to a record that is gone goes with it: edges with their ends, definitions and rules with their types.
+    """
+    out = dataset.with_(**{name: stored(getattr(dataset, name), changes, kind) for name, kind in TABLES.items()})
+    owners = out.object_types.select(F.lit("object").alias("owner_kind"), F.col("id").alias("owner_id")).unionByName(out.relationship_types.select(F.lit("relationship").alias("owner_kind"), F.col("id").alias("owner_id")))
+    rules = out.rules.join(out.relationship_types.select(F.col("id").alias("rel_type_id")), "rel_type_id", "left_semi")
+    for end in ("subject_type_id", "object_type_id"):
+        rules = rules.join(out.object_types.select(F.col("id").alias(end)), end, "left_semi")
+    return ds.sound(out.with_(attribute_defs=out.attribute_defs.join(owners, ["owner_kind", "owner_id"], "left_semi"), rules=rules))
+
+
+def known_ids(dataset: Dataset, changes: DataFrame) -> DataFrame:
+    """(target_type, target_id) of what exists or is created."""
+    out = changes.where("operation = 'create'").select("target_type", "target_id")
+    for name, kind in TABLES.items():
+        out = out.unionByName(getattr(dataset, name).select(F.lit(kind).alias("target_type"), F.col("id").alias("target_id")))
+    return out.distinct()
+
+
+def illegal_fields(changes: DataFrame) -> DataFrame:
+    """UPDATE rows, with ``field``, of a field that their target type does not have."""
+    field = F.get_json_object("after_json", "$.field")
+    legal = F.lit(False)
+    for kind, fields in STORED.items():
+        legal = legal | ((F.col("target_type") == kind) & field.isin(*fields))
+    legal = legal | (F.col("target_type").isin("object", "relationship") & F.startswith(field, F.lit("attributes.")) & (F.char_length(field) > 11))
+    has_value = F.coalesce(F.array_contains(F.json_object_keys("after_json"), "value"), F.lit(False))
+    return changes.where("operation = 'update'").withColumn("field", field).where(~(F.coalesce(legal, F.lit(False)) & has_value))
 
 
 def change_issues(dataset: Dataset, changes: DataFrame) -> DataFrame:
     """What is wrong with the change rows themselves, before they are applied."""
-    known = dataset.objects.select("id").unionByName(changes.where("operation = 'create' and target_type = 'object'").select(F.col("target_id").alias("id"))).distinct()
-    updates = changes.where("operation = 'update' and target_type = 'object'")
-    field = F.get_json_object("after_json", "$.field")
-    legal = F.startswith(field, F.lit("attributes.")) | field.isin(*LEGAL_FIELDS["object"])
-    missing = updates.join(known.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+    known = known_ids(dataset, changes)
+    updates = changes.where("operation = 'update'").withColumn("field", F.get_json_object("after_json", "$.field"))
+    missing = updates.join(known, ["target_type", "target_id"], "left_anti")
     key = changes.where("operation = 'create' and target_type = 'object'").withColumn("key", F.get_json_object("after_json", "$.key")).where("key is not null")
-    created_edges = changes.where("operation = 'create' and target_type = 'relationship'")
-    ends = created_edges.select("target_id", F.explode(F.array(F.get_json_object("after_json", "$.source_id"), F.get_json_object("after_json", "$.target_id"))).alias("end_id"))
-    lost = ends.join(known.withColumnRenamed("id", "end_id"), "end_id", "left_anti").select("target_id").distinct()
-    gone_types = changes.where("operation = 'delete' and target_type = 'object_type'").select(F.col("target_id").alias("type_id"))
-    gone_objects = changes.where("operation = 'delete' and target_type = 'object'").select(F.col("target_id").alias("id"))
-    held = dataset.objects.join(gone_objects, "id", "left_anti").join(gone_types, "type_id", "left_semi").select("type_id").distinct()
+    made = changes.where("operation = 'create' and target_type = 'relationship'")
+    ends = made.select("target_id", F.explode(F.array(F.get_json_object("after_json", "$.source_id"), F.get_json_object("after_json", "$.target_id"))).alias("end_id"))
+    moved = updates.where("target_type = 'relationship' and field in ('source_id', 'target_id')").select("target_id", F.get_json_object("after_json", "$.value").alias("end_id"))
+    objects = known.where("target_type = 'object'").select(F.col("target_id").alias("end_id"))
+    lost = ends.unionByName(moved).join(objects, "end_id", "left_anti").select("target_id").distinct()
     clash = key.join(dataset.objects.select(F.col("type_id").alias("parent_id"), "key"), ["parent_id", "key"], "left_semi")
     twice = key.groupBy("parent_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rules = stored(dataset.rules, changes, "relationship_type_rule")
+    touched = changes.where("target_type = 'relationship_type_rule' and operation <> 'delete'").select(F.col("target_id").alias("id")).distinct()
+    same = ["rel_type_id", "subject_type_id", "object_type_id"]
+    again = rules.join(rules.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), same, "left_semi").join(touched, "id", "left_semi")
+    say = lambda rows, code, message, field=None: issues(rows, code, message, F.col("target_type"), field, "target_id")
     return union(
         [
-            issues(updates.where(~F.coalesce(legal, F.lit(False))), "invalid_change", "The field can't be changed", "object", field, "target_id"),
-            issues(updates.where(field == "key"), "key_immutable", "A key stays as it is", "object", "key", "target_id"),
-            issues(missing, "target_not_found", "The record does not exist", "object", field, "target_id"),
-            issues(key.where(~is_slug(F.col("key"))), "invalid_key", "The key is not a slug", "object", "key", "target_id"),
-            issues(clash.unionByName(key.join(twice, ["parent_id", "key"], "left_semi").select(*clash.columns)), "duplicate_key", "The key is used already", "object", "key", "target_id"),
+            say(illegal_fields(changes), "invalid_change", "The field can't be changed, or no value is given", F.col("field")),
+            say(updates.where("field = 'key'"), "key_immutable", "A key stays as it is", "key"),
+            say(missing, "target_not_found", "The record does not exist", F.col("field")),
+            say(key.where(~is_slug(F.col("key"))), "invalid_key", "The key is not a slug", "key"),
+            say(clash.unionByName(key.join(twice, ["parent_id", "key"], "left_semi").select(*clash.columns)), "duplicate_key", "The key is used already", "key"),
             issues(lost, "endpoint_not_found", "An end does not exist", "relationship", None, "target_id"),
-            issues(held, "protected_reference", "Records still have the type", "object_type", None, "type_id"),
+            issues(again, "duplicate_rule", "The pair of types has a rule already", "relationship_type_rule"),
+            protected(dataset, changes, "object", dataset.objects),
+            protected(dataset, changes, "relationship", dataset.relationships),
         ]
     )
 
 
+def protected(dataset: Dataset, changes: DataFrame, kind: str, rows: DataFrame) -> DataFrame:
+    """Deletes of types that records still have, those left out that the same change-set deletes."""
+    gone_types = changes.where(f"operation = 'delete' and target_type = '{kind}_type'").select(F.col("target_id").alias("type_id"))
+    gone = changes.where(f"operation = 'delete' and target_type = '{kind}'").select(F.col("target_id").alias("id"))
+    held = rows.join(gone, "id", "left_anti").join(gone_types, "type_id", "left_semi").select("type_id").distinct()
+    return issues(held, "protected_reference", "Records still have the type", f"{kind}_type", None, "type_id")
+
+
 def attributed(found: DataFrame, changes: DataFrame) -> DataFrame:
     """Each issue with the change it is laid to: one of the same record and field, else of the record, the latest first."""
     c = changes.select(F.col("id").alias("change_id"), F.col("target_id").alias("__target"), F.get_json_object("after_json", "$.field").alias("__field"), "seq")
@@ -77,66 +106,109 @@ def attributed(found: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__n", "__target", "__field", "__rank", "seq")
 
 
+class Conflict(ValueError):
+    """Another commit has made the revision that this one was to make."""
+
+
 @dataclass(frozen=True)
 class Outcome:
     revision: int
     committed: bool
-    issues: DataFrame
+    issues: DataFrame | None
 
 
 class Model:
     """Revisions of a dataset under a folder that all executors share."""
 
+    MANIFEST = "revision long, folder string, token string"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def revision(self) -> int:
-        """The current revision: the highest number in the manifest, 0 before the first."""
+    def manifest(self) -> DataFrame:
+        """(revision, folder, token): a row for each revision."""
         try:
-            found = self.spark.read.schema("revision long").parquet(f"{self.path}/manifest").agg(F.max("revision")).first()[0]
+            return self.spark.read.schema(self.MANIFEST).json(f"{self.path}/manifest")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return 0
-        return found or 0
-
-    def _stage(self, dataset: Dataset, revision: int) -> None:
-        for name in TABLES:
-            getattr(dataset, name).write.mode("overwrite").parquet(f"{self.path}/revision={revision}/{name}")
+            return self.spark.createDataFrame([], self.MANIFEST)
 
-    def _publish(self, revision: int) -> None:
-        self.spark.createDataFrame([(revision,)], "revision long").write.mode("append").parquet(f"{self.path}/manifest")
-
-    def _discard(self, revision: int) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/revision={revision}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def revision(self) -> int:
+        """The current revision: the highest number in the manifest, 0 before the first."""
+        return self.manifest().agg(F.max("revision")).first()[0] or 0
+
+    def _stage(self, dataset: Dataset) -> str:
+        name = f"tables/{uuid.uuid4().hex}"
+        for table in TABLES:
+            getattr(dataset, table).write.parquet(f"{self.path}/{name}/{table}")
+        return name
+
+    def _publish(self, revision: int, name: str, token: str | None) -> None:
+        """Makes the revision's manifest file; fails where there is one."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{revision:012d}.json")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            out = files.create(path, False)
+        except Exception as e:
+            if not files.exists(path):
+                raise
+            raise Conflict(f"revision {revision} has been made by another commit") from e
+        out.write(bytearray((json.dumps({"revision": revision, "folder": name, "token": token}) + "\n").encode()))
+        out.close()
 
     def create(self, dataset: Dataset) -> int:
-        self._stage(dataset, 1)
-        self._publish(1)
+        self._publish(1, self._stage(dataset), None)
         return 1
 
+    def _tables(self, name: str) -> Dataset:
+        return Dataset(**{table: self.spark.read.parquet(f"{self.path}/{name}/{table}") for table in TABLES})
+
     def read(self, revision: int | None = None) -> Dataset:
+        """A revision as one: all its tables lie in one folder that no later commit touches."""
         n = revision or self.revision()
-        return Dataset(**{name: self.spark.read.parquet(f"{self.path}/revision={n}/{name}") for name in TABLES})
-
-    def commit(self, changes: DataFrame, base_revision: int | None = None) -> Outcome:
-        """Applies and validates; writes the next revision if there are no issues, else changes nothing."""
+        found = self.manifest().where(F.col("revision") == n).first()
+        if found is None:
+            raise ValueError(f"there is no revision {n}")
+        return self._tables(found["folder"])
+
+    def read_consistent(self, view, tries: int = 2) -> tuple[int, object]:
+        """(revision, ``view(dataset)``), of a revision that was still the current one after the view; one retry."""
+        for _ in range(tries):
+            before = self.revision()
+            out = view(self.read(before))
+            if self.revision() == before:
+                return before, out
+        raise Conflict("the model changed while it was read")
+
+    def commit(self, changes: DataFrame, base_revision: int | None = None, token: str | None = None) -> Outcome:
+        """Applies and validates; makes the next revision if there are no issues, else changes nothing.
+
+        A ``token`` that a revision has already gives that revision and no other.
+        """
+        if token is not None:
+            found = self.manifest().where(F.col("token") == token).first()
+            if found is not None:
+                return Outcome(found["revision"], True, None)
         now = self.revision()
         if base_revision is not None and base_revision != now:
-            raise ValueError(f"the change-set was made on revision {base_revision}; the model is at {now}")
+            raise Conflict(f"the change-set was made on revision {base_revision}; the model is at {now}")
         dataset, tried = self.read(now), f"{self.path}/tried/{uuid.uuid4().hex}"
         changes.write.parquet(f"{tried}/changes")
         changes = self.spark.read.schema(changes.schema).parquet(f"{tried}/changes")
-        after = apply(dataset, changes)
-        self._stage(Dataset(**{name: getattr(after, name).select(*getattr(dataset, name).columns) for name in TABLES}), now + 1)
-        found = attributed(change_issues(dataset, changes).unionByName(validate(self.read(now + 1))), changes)
+        name = self._stage(apply(dataset, changes))
+        found = attributed(change_issues(dataset, changes).unionByName(validate(self._tables(name))), changes)
         found.write.parquet(f"{tried}/issues")
         found = self.spark.read.schema(found.schema).parquet(f"{tried}/issues")
         if not found.isEmpty():
-            self._discard(now + 1)
+            delete(self.spark, f"{self.path}/{name}")
             return Outcome(now, False, found)
-        self._publish(now + 1)
+        try:
+            self._publish(now + 1, name, token)
+        except Conflict:
+            delete(self.spark, f"{self.path}/{name}")
+            raise
         return Outcome(now + 1, True, found)
 
 

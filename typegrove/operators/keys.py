@@ -1,40 +1,67 @@
-"""Collision-free keys: base, base_2, base_3, ... within a scope.
+"""Collision-free keys: base, base_2, base_3, ... within a scope, as if given one after another in the order of the requests.
 
-Numbers follow the order of the requests, and a suffix that is taken is skipped. Requests for one base are numbered by
-a window; the free suffixes of that base are numbered too, and the two numberings are joined: no row-by-row loop, and
-a scope of any size spreads over its bases.
+Requests of one base take its free numbers in order. Where two bases come to the same key ("a_2" as the second "a" and as
+a name), the earlier request keeps it, and for the other base the number is taken; that is done over until no key is
+claimed twice. A number that is taken so stays taken: its holder can only change to an earlier request. Each round is a
+window and joins; rounds are few, as every one settles all clashes it finds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
+from ..shared import Steps
 
 MOST = 100
+SUFFIXES = range(2, 12)  # lengths of a suffix, _2 to _999999999
 
 
-def allocate(requests: DataFrame, taken: DataFrame) -> DataFrame:
-    """requests: scope, seq, name; taken: scope, key. Adds base and key.
+def _key(base: Column, number: Column) -> Column:
+    """A longer suffix cuts the base so that the key fits."""
+    suffix = F.when(number == 1, F.lit("")).otherwise(F.concat(F.lit("_"), number.cast("string")))
+    return F.concat(F.left(base, F.lit(MOST) - F.char_length(suffix)), suffix)
 
-    The n-th request of a base takes the n-th number whose key is free, 1 being the bare base. Among the first
-    n + t numbers, t of them taken, at least n are free, so only so many need to be laid out. A longer suffix cuts the
-    base so that the key fits.
+
+def numbers_of(bases: DataFrame, used: DataFrame) -> DataFrame:
+    """(scope, base, number): the numbers of each base whose key is among ``used`` (scope, key)."""
+    stems = bases.select("scope", "base", F.explode(F.array_distinct(F.array("base", *[F.left("base", F.lit(MOST - n)) for n in SUFFIXES]))).alias("stem"))
+    number = F.regexp_extract("key", "_([1-9][0-9]{0,8})$", 1)
+    parts = F.array(F.struct(F.col("key").alias("stem"), F.lit(1).alias("number")), F.when(number != "", F.struct(F.regexp_replace("key", "_[0-9]+$", "").alias("stem"), number.cast("int").alias("number"))))
+    found = used.select("scope", "key", F.explode(F.array_compact(parts)).alias("p")).select("scope", "key", "p.*")
+    return stems.join(found, ["scope", "stem"]).where(_key(F.col("base"), F.col("number")) == F.col("key")).select("scope", "base", "number").distinct()
+
+
+def _claims(rows: DataFrame, blocked: DataFrame) -> DataFrame:
+    """``rows`` with the number and key they come to. The r-th request of a base takes r and the blocked numbers below.
+
+    Of k blocked numbers b1 < b2 < ... the i-th lies below the r-th free one just if bi - i < r; so both are laid in one
+    order and counted.
     """
-    base = F.when(F.coalesce(slug(F.col("name")), F.lit("")) == "", "item").otherwise(slug(F.col("name"), MOST))
+    i = F.row_number().over(Window.partitionBy("scope", "base").orderBy("number"))
+    marks = blocked.select("scope", "base", (F.col("number") - i).alias("at"), F.lit(1).alias("mark"))
+    both = rows.withColumns({"at": F.col("rank"), "mark": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+    before = Window.partitionBy("scope", "base").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, -1)  # a mark at r is not below r
+    out = both.withColumn("number", F.col("rank") + F.coalesce(F.sum("mark").over(before), F.lit(0))).where("mark = 0").drop("at", "mark")
+    return out.withColumn("key", _key(F.col("base"), F.col("number")))
+
+
+def allocate(requests: DataFrame, taken: DataFrame, fallback: str = "item") -> DataFrame:
+    """requests: scope, seq (different within a scope), name; taken: scope, key. Adds base and key."""
+    steps = Steps(requests.sparkSession, "keys")
+    base = F.when(F.coalesce(slug(F.col("name")), F.lit("")) == "", fallback).otherwise(slug(F.col("name"), MOST))
     rows = requests.withColumn("base", base)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "base").orderBy("seq")))
-    per = rows.groupBy("scope", "base").agg(F.max("rank").alias("n"))
-    # keys taken that could be one of the base's: those that share its first letters, less the longest suffix
-    own = taken.select("scope", F.col("key").alias("used")).distinct()
-    stem = F.regexp_replace("used", "_[0-9]+$", "")
-    near = own.select("scope", "used", F.explode(F.array_distinct(F.array("used", stem))).alias("stem"))
-    short = per.select("scope", "base", "n", F.left("base", F.lit(MOST)).alias("stem"))
-    t = short.join(near, ["scope", "stem"], "left").groupBy("scope", "base", "n").agg(F.count("used").alias("t"))
-    number = t.select("scope", "base", F.explode(F.sequence(F.lit(1), (F.col("n") + F.col("t")).cast("int"))).alias("number"))
-    suffix = F.when(F.col("number") == 1, F.lit("")).otherwise(F.concat(F.lit("_"), F.col("number").cast("string")))
-    key = F.concat(F.left("base", F.lit(MOST) - F.char_length(suffix)), suffix)
-    free = number.withColumn("key", key).join(own.withColumnRenamed("used", "key"), ["scope", "key"], "left_anti")
-    free = free.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "base").orderBy("number")))
-    return rows.join(free.select("scope", "base", "rank", "key"), ["scope", "base", "rank"], "left").drop("rank")
+    rows = steps.keep(rows.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "base").orderBy("seq"))), "rows")
+    bases = rows.select("scope", "base").distinct()
+    blocked = steps.keep(numbers_of(bases, taken.select("scope", "key").distinct()), "blocked-0")
+    k = 0
+    while True:
+        claims = steps.keep(_claims(rows, blocked), f"claims-{k}")
+        first = claims.groupBy("scope", "key").agg(F.min_by("base", "seq").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        lost = claims.join(first, ["scope", "key"]).where("base <> holder").select("scope", "base", "number").distinct()
+        k += 1
+        lost = steps.keep(lost, f"lost-{k}")
+        if lost.isEmpty():
+            return claims.drop("rank", "number")
+        blocked = steps.keep(blocked.unionByName(lost).distinct(), f"blocked-{k}")

@@ -1,30 +1,22 @@
 """Reachability within a number of hops, and publication scopes built on it.
 
-Each hop joins the frontier with the adjacency on the node id, takes what is new and adds it to what is seen. A hop's
-result is written by ``checkpoint`` to the folder all executors share, so plans stay flat and a lost executor costs a
-reread. The only thing that reaches the driver is whether the frontier is empty.
+Each hop joins the frontier with the edges at either end, takes what is new and adds it to what is seen. A hop is computed
+once, into a table in the folder all executors share, so plans stay flat and a lost executor costs a reread. The only
+thing that reaches the driver is whether the frontier is empty.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.query import Scope
 from ..schema import Dataset
+from ..shared import Steps
 from . import dataset as ds
 from .predicates import passes
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="typegrove-"))
-    return df.checkpoint()
-
-
 def neighbours(relationships: DataFrame) -> DataFrame:
     """(id, other_id), both directions, each pair once."""
     return ds.adjacency(relationships).select("id", "other_id").where("id <> other_id").distinct()
@@ -33,28 +25,32 @@ def neighbours(relationships: DataFrame) -> DataFrame:
 def reachable(roots: DataFrame, relationships: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, hops) of what is at most ``depth`` hops from the roots; None: all that edges lead to.
 
-    Depth 0 gives the roots themselves, whether or not they have edges or exist.
+    Depth 0 gives the roots themselves, whether or not they have edges or exist. Parallel edges are not reduced first:
+    what a hop reaches is.
     """
     seen = roots.select("id").distinct().withColumn("hops", F.lit(0))
     if depth == 0:
         return seen
-    near = neighbours(relationships)
-    if depth is None or depth > 1:
-        near = _checkpoint(near)
+    ends = ds.adjacency(relationships).select("id", "other_id")
+    if depth == 1:
+        return _next(seen, seen, ends, 1).unionByName(seen)
+    steps = Steps(roots.sparkSession, "reach")
+    near = steps.keep(ends, "near")
     frontier, hop = seen, 0
     while depth is None or hop < depth:
         hop += 1
-        step = frontier.select("id").join(near, "id").select(F.col("other_id").alias("id")).distinct()
-        step = step.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop))
-        if depth == 1:
-            return seen.unionByName(step)
-        frontier = _checkpoint(step)
+        frontier = steps.keep(_next(frontier, seen, near, hop), f"hop-{hop}")
         if frontier.isEmpty():
             break
-        seen = _checkpoint(seen.unionByName(frontier)) if hop % 4 == 0 else seen.unionByName(frontier)
+        seen = seen.unionByName(frontier)
     return seen
 
 
+def _next(frontier: DataFrame, seen: DataFrame, near: DataFrame, hop: int) -> DataFrame:
+    step = frontier.select("id").join(near, "id").select(F.col("other_id").alias("id")).distinct()
+    return step.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop))
+
+
 def expansion_seeds(dataset: Dataset, object_ids: DataFrame, edge_ids: DataFrame) -> DataFrame:
     """Objects named, and both ends of edges named."""
     ends = dataset.relationships.join(edge_ids.select("id"), "id", "left_semi").select(F.explode(F.array("source_id", "target_id")).alias("id"))

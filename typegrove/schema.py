@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OBJECT_TYPES = "id string, key string, name string, is_active boolean, sort_order int"
+OBJECT_TYPES = "id string, key string, name string, is_active boolean, sort_order int, description string"
 ATTRIBUTE_DEFS = (
     "id string, owner_kind string, owner_id string, key string, name string, data_type string, required boolean, nullable boolean, sort_order int,"
     " is_active boolean, min_length int, max_length int, least double, most double, choices array<string>"

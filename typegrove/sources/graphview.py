@@ -113,8 +113,8 @@ def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     ]
     rules = [(f"{r[0]}:{r[1]}:{r[2]}", *r) for r in RULE_ROWS]
     return Dataset(
-        object_types=spark.createDataFrame([(t, t, t.capitalize(), t != "invoice", n) for n, t in enumerate(types)], OBJECT_TYPES),
-        relationship_types=spark.createDataFrame([(t, t, t.replace("_", " ").capitalize(), t != "billed_by", n) for n, t in enumerate(rels)], RELATIONSHIP_TYPES),
+        object_types=spark.createDataFrame([(t, t, t.capitalize(), t != "invoice", n, "") for n, t in enumerate(types)], OBJECT_TYPES),
+        relationship_types=spark.createDataFrame([(t, t, t.replace("_", " ").capitalize(), t != "billed_by", n, "") for n, t in enumerate(rels)], RELATIONSHIP_TYPES),
         rules=spark.createDataFrame(rules, RULES),
         attribute_defs=spark.createDataFrame(definitions, ATTRIBUTE_DEFS),
         objects=objects(spark, sf_dir),

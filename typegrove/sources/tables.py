@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -46,6 +47,31 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+#: Built-in number formats that show a date, a time, or both (fixed by the file format).
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles whose format shows a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    dates = set(_DATE_FORMATS)
+    for f in root.iterfind("m:numFmts/m:numFmt", _NS):
+        bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", ""))
+        if re.search("[dmyhs]", bare, re.I):
+            dates.add(int(f.get("numFmtId")))
+    return {n for n, x in enumerate(root.iterfind("m:cellXfs/m:xf", _NS)) if int(x.get("numFmtId", 0)) in dates}
+
+
+def _serial(text: str, from_1904: bool) -> str:
+    """A day number as an ISO date, or date and time where it has a fraction. Day 60 of 1900 never was."""
+    days = float(text)
+    first = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30) if days >= 61 else datetime(1899, 12, 31)
+    at = first + timedelta(seconds=round(days * 86400))
+    return at.strftime("%Y-%m-%d") if days == int(days) else at.strftime("%Y-%m-%dT%H:%M:%S")
+
+
 def xlsx_rows(data: bytes) -> list[list[str | None]]:
     """Cells of the only sheet, formulas by their stored values; error cells are refused."""
     try:
@@ -58,6 +84,8 @@ def xlsx_rows(data: bytes) -> list[list[str | None]]:
     sheets = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n))
     if len(sheets) != 1:
         raise TableError("the workbook must have one sheet")
+    dates = _date_styles(z)
+    from_1904 = "xl/workbook.xml" in z.namelist() and re.search(rb'date1904="(1|true)"', z.read("xl/workbook.xml")) is not None
     shared: list[str] = []
     if "xl/sharedStrings.xml" in z.namelist():
         for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
@@ -80,6 +108,8 @@ def xlsx_rows(data: bytes) -> list[list[str | None]]:
                 text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
             elif kind == "b":
                 text = "true" if text == "1" else "false"
+            elif kind == "n" and text is not None and int(c.get("s", 0)) in dates:
+                text = _serial(text, from_1904)
             elif kind == "n" and text is not None and re.fullmatch(r"-?\d+\.0+", text):
                 text = text.split(".")[0]
             out = rows[number - 1]

@@ -50,14 +50,23 @@ def _ref(column: int) -> str:
     return out
 
 
+def _formula(choices: list[str]) -> str | None:
+    """Choices as a formula's list of texts; None where the form can't hold them: a comma parts choices, 255 is the most."""
+    if not choices or any("," in c or any(ord(ch) < 32 for ch in c) for c in choices):
+        return None
+    text = ",".join(choices)
+    return None if len(text) > 255 else '"' + text.replace('"', '""') + '"'
+
+
 def xlsx_template(headers: list[str], rows: list[list[str | None]], choices: dict[str, list[str]]) -> bytes:
     """A workbook of one sheet with the rows as text, and a list of choices to pick from under each column that has one."""
     body = []
     for n, row in enumerate([headers, *rows], 1):
         cells = "".join(f'<c r="{_ref(i)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for i, c in enumerate(row) if c is not None)
         body.append(f'<row r="{n}">{cells}</row>')
-    lists = [(_ref(headers.index(h)), ",".join(v)) for h, v in choices.items() if h in headers]
-    valid = "".join(f'<dataValidation type="list" allowBlank="1" sqref="{c}2:{c}2001"><formula1>"{escape(v)}"</formula1></dataValidation>' for c, v in lists if len(v) <= 255)
+    lists = [(_ref(headers.index(h)), _formula(v)) for h, v in choices.items() if h in headers]
+    lists = [(c, f) for c, f in lists if f]
+    valid = "".join(f'<dataValidation type="list" allowBlank="1" sqref="{c}2:{c}2001"><formula1>{escape(f)}</formula1></dataValidation>' for c, f in lists)
     ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"

@@ -14,14 +14,17 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def commit_stream(changes: DataFrame, model: Model, checkpoint: str, rejected: str):
-    """Starts a query that commits each batch as one change-set; issues of rejected ones go to a table."""
+    """Starts a query that commits each batch as one change-set; issues of rejected ones go to a table.
+
+    A batch that is replayed after a failure is committed once: its token is in the model's manifest.
+    """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        outcome = model.commit(batch)
+        outcome = model.commit(batch, token=f"{checkpoint}#{batch_id}")
         if not outcome.committed:
-            outcome.issues.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(rejected)
+            outcome.issues.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
 
     return changes.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
