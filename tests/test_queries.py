@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from typegrove import queries
+from typegrove import model_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 

@@ -81,3 +81,8 @@ def same_value(a: Column, a_kind: Column, b: Column, b_kind: Column) -> Column:
     """Null-safe, kinds apart (true is not 1), numbers by value."""
     numbers = (a_kind == "number") & (b_kind == "number")
     return F.when(numbers, a.try_cast("double").eqNullSafe(b.try_cast("double"))).otherwise(a_kind.eqNullSafe(b_kind) & a.eqNullSafe(b))
+
+
+def format_cell(value: Column, data_type: Column) -> Column:
+    """A stored value as a template's cell holds it, so that ``coerce`` gives the value back; an unset one is empty."""
+    return F.when(value.isNull(), F.lit("")).when(data_type == "boolean", F.lower(value)).when(data_type == "number", F.coalesce(number_text(value.try_cast("double")), value)).otherwise(value)
