@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -16,6 +16,12 @@ def _casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def fold_each(s: pd.Series) -> pd.Series:
+    """Full Unicode case folding of each text of an array."""
+    return s.map(lambda a: None if a is None else [None if x is None else x.casefold() for x in a])
+
+
 def fold(col: Column, exact: bool = False) -> Column:
     """Caseless comparison key. ``exact``: full Unicode case folding in Arrow batches; else ``lower``, the same for ASCII."""
     return _casefold(col) if exact else F.lower(col)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Dataset
+from ..shared import Steps
 from . import dataset as ds
 from .reach import reachable
 
@@ -26,7 +27,7 @@ def packet(dataset: Dataset, seeds: DataFrame, most: int = MOST_OBJECTS, hops: i
     The slice has at most ``most`` rows; the loop measures sizes, and stops at one object.
     """
     kept = most
-    base = slice_(dataset, seeds, most, hops).cache()
+    base = Steps(dataset.objects.sparkSession, "context").keep(slice_(dataset, seeds, most, hops), "slice")
     while True:
         objects = base.orderBy("priority", F.desc("degree"), F.lower("name"), "id").limit(kept)
         ids = objects.select("id")

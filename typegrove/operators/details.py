@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Dataset
@@ -25,9 +25,15 @@ def object_details(dataset: Dataset, ids: DataFrame, shown: DataFrame | None = N
 
 
 def grouped_details(details: DataFrame) -> DataFrame:
-    """Per record, edge type and direction: the other ends by name and edge, as one ordered list."""
-    item = F.struct(F.lower("other_name").alias("order"), "edge_id", "other_id", "other_name", "in_view")
-    return details.groupBy("id", "edge_type_id", "edge_type_name", "direction").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+    """Per record, edge type and direction the other ends as rows, with their place by name and edge and the group's size.
+
+    Rows, not a list a record: a hub's group is sorted by its task with spilling, and counted by partial sums.
+    """
+    group = ["id", "edge_type_id", "edge_type_name", "direction"]
+    n = details.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy(*group).orderBy(F.lower("other_name"), "edge_id")
+    rows = details.withColumn("position", F.row_number().over(own))
+    return rows.join(n, group)
 
 
 def hidden_counterparts(dataset: Dataset, ids: DataFrame, shown: DataFrame) -> DataFrame:
@@ -46,6 +52,6 @@ def relationship_details(dataset: Dataset, ids: DataFrame | None = None) -> Data
 
 
 def extract(details: DataFrame) -> DataFrame:
-    """A text per record: one line per edge type with the names at the other ends."""
+    """A text per record: one line per edge type with the names at the other ends. The text is as long as a record's names."""
     lines = details.groupBy("id", "edge_type_name").agg(F.array_join(F.array_sort(F.collect_list("other_name")), ", ").alias("names"))
     return lines.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("edge_type_name", F.lit(": "), "names"))), "\n").alias("extract"))

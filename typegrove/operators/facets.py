@@ -46,8 +46,13 @@ def facets(dataset: Dataset) -> DataFrame:
 
 
 def legend(rows: DataFrame, color: str = "color", value: str = "value") -> DataFrame:
-    """Rendered items grouped by colour, with the different attribute values of each group."""
-    return rows.groupBy(color).agg(F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set(value)).alias("values"))
+    """(color, value, items, of_color): rendered items by colour and attribute value, and those of the colour in all.
+
+    A row a value, not a list a colour: the fallback colour may have any number of values.
+    """
+    per = rows.groupBy(color, value).agg(F.count(F.lit(1)).alias("items"))
+    every = per.groupBy(F.col(color).alias("__color")).agg(F.sum("items").alias("of_color"))
+    return per.join(every, F.col(color).eqNullSafe(F.col("__color"))).drop("__color")
 
 
 def mixed_values(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, snippet
+from ..functions.text import fold, fold_each, snippet
 from ..schema import Dataset
 
 #: Fixed tiers, best first.
@@ -48,9 +48,8 @@ def matches(dataset: Dataset, query: str, exact: bool = False) -> DataFrame:
     if not needle:
         return rows.where("false").select("id", "type_id", "name", F.lit(0).alias("tier"), F.lit("").alias("label"), F.lit("").alias("text"), F.lit("").alias("subtitle"))
     subtitle = F.get("fields", F.lit(1))["text"]
-    if exact:  # the Arrow function folds columns, so fields become rows of the joined text with a separator no text has
-        flat = F.array_join(F.transform("fields", lambda x: x["text"]), "\x00")
-        rows = rows.withColumn("__folded", F.split(fold(flat, exact=True), "\x00"))
+    if exact:  # in Arrow batches, all fields of a record at once
+        rows = rows.withColumn("__folded", fold_each(F.transform("fields", lambda x: x["text"])))
         scored = F.transform("fields", lambda x, i: F.struct(_tier(F.get("__folded", i), x["ord"], needle).alias("tier"), x["ord"].alias("ord"), x["label"].alias("label"), x["text"].alias("text")))
     else:
         scored = F.transform("fields", lambda x: F.struct(_tier(F.lower(x["text"]), x["ord"], needle).alias("tier"), x["ord"].alias("ord"), x["label"].alias("label"), x["text"].alias("text")))

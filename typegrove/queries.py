@@ -168,10 +168,10 @@ def project_topk_ties(spark, sf_dir):
     return projection.shown_objects(graphview.dataset(spark, sf_dir), q).select("id", "name", "degree")
 
 
-@query(sql("SELECT id, key, value FROM (SELECT id, 'mktsegment' AS key, mktsegment AS value FROM objects UNION ALL SELECT id, 'brand', brand FROM objects UNION ALL SELECT id, 'ptype', ptype FROM objects UNION ALL SELECT id, 'status', status FROM objects UNION ALL SELECT id, 'priority', priority FROM objects) WHERE value IS NOT NULL", OBJECTS))
+@query(sql("SELECT id, key, value FROM (" + " UNION ALL ".join(f"SELECT id, '{k}' AS key, {k}::VARCHAR AS value FROM objects" for k in ("mktsegment", "acctbal", "brand", "ptype", "size", "retailprice", "status", "totalprice", "orderdate", "priority")) + ") WHERE value IS NOT NULL", OBJECTS))
 def populated_attributes(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)
-    return projection.populated_attributes(d.objects, d.attribute_defs.where("owner_kind = 'object' and data_type = 'choice'")).select("id", "key", "value")
+    return projection.populated_attributes(d.objects, d.attribute_defs.where("owner_kind = 'object'")).select("id", "key", "value")
 
 
 @query(sql("SELECT e.id, e.type_id AS type_key, upper(left(e.type_id, 1)) || replace(substr(e.type_id, 2), '_', ' ') AS type_name FROM edges e WHERE source_id IN (SELECT id FROM shown) AND target_id IN (SELECT id FROM shown)", *GRAPH, STATUS))
@@ -201,11 +201,11 @@ def color_by_value(spark, sf_dir):
     return rows.groupBy(attribute("mktsegment").alias("segment"), "color").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CASE c_mktsegment WHEN 'BUILDING' THEN '#111111' ELSE '#cccccc' END AS color, count(*)::BIGINT AS items, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS found FROM customer GROUP BY 1")
+@query("SELECT CASE c_mktsegment WHEN 'BUILDING' THEN '#111111' ELSE '#cccccc' END AS color, c_mktsegment AS value, count(*)::BIGINT AS items, (SELECT count(*) FROM customer d WHERE (d.c_mktsegment = 'BUILDING') = (c.c_mktsegment = 'BUILDING'))::BIGINT AS of_color FROM customer c GROUP BY ALL")
 def legend(spark, sf_dir):
     colors = spark.createDataFrame([("BUILDING", "#111111")], "value string, color string")
     rows = styles.by_value(graphview.objects(spark, sf_dir).where("type_id = 'customer'"), colors, "mktsegment", "#cccccc")
-    return facets.legend(rows.withColumn("value", attribute("mktsegment"))).select("color", "items", F.array_join("values", ",").alias("found"))
+    return facets.legend(rows.withColumn("value", attribute("mktsegment")))
 
 
 # ---- joins
@@ -223,10 +223,10 @@ def adjacency(spark, sf_dir):
     return ds.adjacency(graphview.relationships(spark, sf_dir)).groupBy("edge_type_id", "direction").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
 
 
-@query(sql("SELECT e.id, e.type_id || ':' || s.type_id || ':' || t.type_id AS rule_id FROM edges e JOIN objects s ON s.id = source_id JOIN objects t ON t.id = target_id WHERE e.type_id <> 'contains'", OBJECTS, EDGES))
+@query(sql("SELECT e.id, e.type_id || ':' || s.type_id || ':' || t.type_id AS rule_id FROM edges e JOIN objects s ON s.id = source_id JOIN objects t ON t.id = target_id", OBJECTS, EDGES))
 def rule_for_edges(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)
-    return ds.rule_of_edges(d.with_(relationships=d.relationships.where("type_id <> 'contains'"))).select("id", "rule_id")
+    return ds.rule_of_edges(d).select("id", "rule_id")
 
 
 @query(sql("SELECT e.id, other_id, o.name AS other_name, edge_id, direction, other_id LIKE 'part:%' AS in_view FROM ends e JOIN objects o ON o.id = other_id WHERE e.id IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 3)", OBJECTS, EDGES, ENDS))
@@ -237,11 +237,10 @@ def object_details(spark, sf_dir):
     return out.select("id", "other_id", "other_name", "edge_id", "direction", "in_view")
 
 
-@query(sql("SELECT id, edge_type_id, direction, count(*)::BIGINT AS n, string_agg(other_id, ',' ORDER BY lower(other_name), edge_id) AS others FROM (SELECT e.*, o.name AS other_name FROM ends e JOIN objects o ON o.id = other_id WHERE e.id LIKE 'nation:%') GROUP BY ALL", OBJECTS, EDGES, ENDS))
+@query(sql("SELECT e.id, edge_type_id, direction, other_id, edge_id, row_number() OVER (PARTITION BY e.id, edge_type_id, direction ORDER BY lower(o.name), edge_id)::INT AS position, count(*) OVER (PARTITION BY e.id, edge_type_id, direction)::BIGINT AS n FROM ends e JOIN objects o ON o.id = other_id", OBJECTS, EDGES, ENDS))
 def grouped_details(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)
-    out = details.grouped_details(details.object_details(d, d.objects.where("type_id = 'nation'")))
-    return out.select("id", "edge_type_id", "direction", "n", F.array_join(F.transform("items", lambda x: x["other_id"]), ",").alias("others"))
+    return details.grouped_details(details.object_details(d, d.objects)).select("id", "edge_type_id", "direction", "other_id", "edge_id", "position", "n")
 
 
 @query(sql("SELECT DISTINCT e.id, other_id FROM ends e WHERE e.id LIKE 'supplier:%' AND other_id NOT LIKE 'part:%'", EDGES, ENDS))
@@ -250,10 +249,10 @@ def hidden_counterparts(spark, sf_dir):
     return details.hidden_counterparts(d, d.objects.where("type_id = 'supplier'"), d.objects.where("type_id = 'part'"))
 
 
-@query(sql("SELECT e.id, s.name AS source_name, t.name AS target_name, e.type_id || ':' || s.type_id || ':' || t.type_id AS rule_id FROM edges e JOIN objects s ON s.id = source_id JOIN objects t ON t.id = target_id WHERE e.type_id = 'placed_by'", OBJECTS, EDGES))
+@query(sql("SELECT e.id, s.name AS source_name, t.name AS target_name, e.type_id || ':' || s.type_id || ':' || t.type_id AS rule_id FROM edges e JOIN objects s ON s.id = source_id JOIN objects t ON t.id = target_id", OBJECTS, EDGES))
 def relationship_details(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)
-    return details.relationship_details(d, d.relationships.where("type_id = 'placed_by'")).select("id", "source_name", "target_name", "rule_id")
+    return details.relationship_details(d).select("id", "source_name", "target_name", "rule_id")
 
 
 @query("SELECT 'placed_by:' || o_orderkey AS id, 'target' AS missing FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
@@ -376,7 +375,7 @@ for _depth in (0, 1, 2, 3):
     FOUND[f"reach_{_depth}"] = partial(_reach, _depth)
     SQL[f"reach_{_depth}"] = _reach_sql(_depth)
 FOUND["reach_full"] = partial(_reach, None)
-SQL["reach_full"] = _reach_sql(9)
+SQL["reach_full"] = _reach_sql(14)
 
 
 @query(sql("SELECT id, type_id FROM objects WHERE id IN (SELECT id FROM walk)", OBJECTS, "kept AS (SELECT * FROM objects WHERE type_id <> 'part' AND (type_id <> 'customer' OR lower(mktsegment) = 'building'))", EDGES, "links AS (SELECT source_id AS a, target_id AS b FROM edges WHERE type_id <> 'in_region' AND source_id IN (SELECT id FROM kept) AND target_id IN (SELECT id FROM kept)), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), walk AS (SELECT 'nation:3' AS id, 0 AS hops UNION SELECT b, hops + 1 FROM walk JOIN both_ways ON a = id WHERE hops < 2)", recursive=True))
@@ -404,9 +403,10 @@ def effective_counts(spark, sf_dir):
     return _effective(spark, sf_dir).groupBy(attribute("mktsegment").alias("mktsegment")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_proposed").alias("proposed"))
 
 
-@query(sql("SELECT target_id, field, CASE field WHEN 'attributes.acctbal' THEN round(value, 2)::VARCHAR WHEN 'is_active' THEN CASE event_type WHEN 'view' THEN 'true' ELSE 'false' END WHEN 'name' THEN 'Customer v' || k ELSE k::VARCHAR END AS value FROM lasts WHERE field <> 'attributes.acctbal'", LOG))
+@query(sql("SELECT target_id, field, CASE field WHEN 'attributes.acctbal' THEN round(value, 2)::VARCHAR WHEN 'is_active' THEN CASE event_type WHEN 'view' THEN 'true' ELSE 'false' END WHEN 'name' THEN 'Customer v' || k ELSE k::VARCHAR END AS value FROM lasts", LOG))
 def last_update_wins(spark, sf_dir):
-    return overlay.last_values(overlay.update_payload(graphview.changes(spark, sf_dir))).where("field <> 'attributes.acctbal'")
+    out = overlay.last_values(overlay.update_payload(graphview.changes(spark, sf_dir)))
+    return out.withColumn("value", F.when(F.col("field") == "attributes.acctbal", F.round(F.col("value").try_cast("double"), 2).cast("string")).otherwise(F.col("value")))
 
 
 @query(sql("SELECT target_id AS id FROM lasts l WHERE field = 'is_active' AND event_type = 'view' AND EXISTS (SELECT 1 FROM changes c WHERE c.target_id = l.target_id AND c.field = 'is_active' AND c.operation = 'update' AND c.event_type = 'error')", LOG))
@@ -483,8 +483,8 @@ def v_edge_choice(spark, sf_dir):
 
 
 def _import(spark: SparkSession, sf_dir: str):
-    """A file of customers: every second one, some under changed values, some new, each tenth twice."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0")
+    """A file of all customers: some under changed values, some new, each tenth twice."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     key = F.col("c_custkey")
     rows = c.select(
         key.cast("int").alias("row_number"),
@@ -501,7 +501,7 @@ def _import(spark: SparkSession, sf_dir: str):
 
 IMPORT = """
 file AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS old, CASE WHEN c_custkey % 10 = 0 THEN 'MACHINERY' WHEN c_custkey % 4 = 0 THEN 'BUILDING' ELSE c_mktsegment END AS new,
-  CASE WHEN c_custkey % 6 = 0 THEN 'new:Nobody ' || c_custkey ELSE 'customer:' || c_custkey END AS identity FROM customer WHERE c_custkey % 2 = 0)"""
+  CASE WHEN c_custkey % 6 = 0 THEN 'new:Nobody ' || c_custkey ELSE 'customer:' || c_custkey END AS identity FROM customer)"""
 
 
 @query(sql("SELECT identity, new FROM file WHERE k % 6 = 0", IMPORT))
@@ -546,18 +546,27 @@ def plan_edges(spark, sf_dir):
     return importing.plan_edges(rows, d.rules, d.relationships, "placed_by").changes.select("identity")
 
 
-@query("SELECT doc_id, CASE WHEN lower(left(text, 1)) BETWEEN 'a' AND 'z' THEN 'string' END AS kind, try_cast(n_chars AS VARCHAR) AS value FROM documents WHERE lower(left(text, 1)) BETWEEN 'a' AND 'z'")
+@query(
+    """SELECT o_orderkey AS n, CASE WHEN m = 9 THEN NULL WHEN m = 0 THEN CASE WHEN o_totalprice = floor(o_totalprice) THEN o_totalprice::BIGINT::VARCHAR ELSE o_totalprice::VARCHAR END WHEN m = 1 THEN o_orderkey::VARCHAR WHEN m = 2 THEN 'true' WHEN m = 3 THEN 'false' WHEN m = 4 THEN 'perhaps'
+  WHEN m = 5 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN m = 6 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN m = 7 THEN '1995-02-30' WHEN m = 8 THEN o_orderpriority END AS value,
+  CASE WHEN m = 9 THEN 'null' WHEN m IN (0, 1) THEN 'number' WHEN m IN (2, 3) THEN 'boolean' ELSE 'string' END AS kind, m NOT IN (4, 7) AS converted FROM (SELECT *, o_orderkey % 10 AS m FROM orders)"""
+)
 def coerced_cells(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lower(left(text, 1)) between 'a' and 'z'")
-    c = values.coerce(F.col("n_chars").cast("string"), F.lit("number"))
-    return rows.select("doc_id", values.coerce(F.lit("x"), F.lit("text"))["kind"].alias("kind"), c["value"].alias("value"))
+    """A cell of every order, read for each data type in turn: good, unreadable and blank ones."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    m, iso = F.col("o_orderkey") % 10, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    cell = F.when(m == 0, F.concat(F.lit(" "), F.col("o_totalprice").cast("string"))).when(m == 1, F.concat(F.col("o_orderkey").cast("string"), F.lit(".0 "))).when(m == 2, " YES").when(m == 3, "off").when(m == 4, "perhaps")
+    cell = cell.when(m == 5, F.left(iso, F.lit(10))).when(m == 6, iso).when(m == 7, "1995-02-30").when(m == 8, F.concat(F.col("o_orderpriority"), F.lit("\t"))).otherwise("  ")
+    kind = F.when(m < 2, "number").when(m < 5, "boolean").when(m.isin(5, 7), "date").when(m == 6, "datetime").when(m == 8, "choice").otherwise("text")
+    return o.select(F.col("o_orderkey").alias("n"), values.coerce(cell, kind).alias("c")).select("n", "c.value", "c.kind", "c.converted")
 
 
-@query(sql("SELECT type_id, count(*)::BIGINT AS n, count(DISTINCT key)::BIGINT AS different FROM (SELECT type_id, CASE WHEN r = 1 THEN base ELSE base || '_' || r END AS key FROM (SELECT type_id, lower(replace(replace(name, ' ', '_'), '#', '_')) AS base, row_number() OVER (PARTITION BY type_id, lower(replace(replace(name, ' ', '_'), '#', '_')) ORDER BY id) AS r FROM objects WHERE type_id IN ('part', 'nation'))) GROUP BY type_id", OBJECTS))
+@query(sql("SELECT id, CASE WHEN r = 1 THEN base ELSE base || '_' || r END AS key FROM (SELECT id, base, row_number() OVER (PARTITION BY type_id, base ORDER BY id) + CASE WHEN type_id = 'nation' THEN 1 ELSE 0 END AS r FROM (SELECT id, type_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') AS base FROM objects))", OBJECTS))
 def key_allocation(spark, sf_dir):
-    rows = graphview.objects(spark, sf_dir).where("type_id in ('part', 'nation')").select(F.col("type_id").alias("scope"), F.col("id").alias("seq"), "name")
-    out = keys.allocate(rows, spark.createDataFrame([], "scope string, key string"))
-    return out.groupBy(F.col("scope").alias("type_id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("different"))
+    """A key for every object from its name, within its type; the nations' plain keys are taken already."""
+    rows = graphview.objects(spark, sf_dir).select(F.col("type_id").alias("scope"), F.col("id").alias("seq"), "name")
+    nations = rows.where("scope = 'nation'").select("scope", text.slug(F.col("name")).alias("key"))
+    return keys.allocate(rows, nations).select(F.col("seq").alias("id"), "key")
 
 
 # ---- provenance and review
@@ -645,10 +654,10 @@ def inactive_types_in_use(spark, sf_dir):
     return ds.keep_inactive_types_in_use(d.with_(object_types=d.object_types.withColumn("is_active", ~F.col("id").isin("part", "invoice")))).object_types.select("id")
 
 
-@query(sql("SELECT id, split_part(source_id, ':', 1) || '_' || split_part(source_id, ':', 2) AS subject_key, split_part(target_id, ':', 1) || '_' || split_part(target_id, ':', 2) AS object_key FROM edges WHERE type_id <> 'contains'", EDGES))
+@query(sql("SELECT id, split_part(source_id, ':', 1) || '_' || split_part(source_id, ':', 2) AS subject_key, split_part(target_id, ':', 1) || '_' || split_part(target_id, ':', 2) AS object_key FROM edges", EDGES))
 def export_edges_keys(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)
-    return export.edges_with_keys(d.with_(relationships=d.relationships.where("type_id <> 'contains'"))).select("id", "subject_key", "object_key")
+    return export.edges_with_keys(d).select("id", "subject_key", "object_key")
 
 
 @query("SELECT 'customer_' || c_custkey AS key, c_name AS name, '' AS description, 'true' AS is_active, c_mktsegment AS mktsegment FROM customer")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_slug
 from ..schema import Dataset
+from .tables import MOST_ROWS
 
 #: Fixed limits of a publication.
 MOST_OBJECTS, MOST_BYTES = 25_000, 50 * 1024 * 1024
@@ -49,9 +50,11 @@ def export_name(model: str, revision: int) -> str:
     return f"{file_slug(model)}-r{revision}.json"
 
 
-def write_template(rows: DataFrame, path: str) -> None:
-    """CSV with CRLF line ends and a header; one file where the rows are few enough for an import."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+def write_template(rows: DataFrame, path: str, order: tuple[str, ...] = ("name",), most: int = MOST_ROWS) -> None:
+    """CSV with CRLF line ends and a header, in one file: rows by name, no more than an import takes."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows; an import would not take them back")
+    rows.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").csv(path)
 
 
 def digests(lines: DataFrame) -> DataFrame:
