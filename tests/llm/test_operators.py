@@ -805,6 +805,42 @@ def test_quality_learns_safe_cutoffs(spark):
     assert all(out[i]["base_failed"] and not out[i]["kept"] for i in (2400, 2401, 2402))
 
 
+def test_quality_risk_holds_for_all_rules_together(spark):
+    """Rules that each reject a few good documents: together they stay within the bound, which each alone would not ensure."""
+    from math import comb, log
+
+    rng = random.Random(12)
+    stats, labels = [], []
+    for i in range(6000):
+        good = i % 5 > 0
+        value = lambda: rng.random() * (1.0 if good else 1.03) if rng.random() < 0.9 or good else 1.02  # noqa: E731, B023
+        stats.append((i, 100, 500, 0, 0, 0, 0, *[value() for _ in quality_rules.RULES]))
+        labels.append((i, int(good)))
+    columns = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, stratum int, " + ", ".join(f"{r} double" for r in quality_rules.RULES)
+    stats = spark.createDataFrame(stats, columns)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    chosen = quality_rules.cutoffs(stats, labels, price=2).collect()
+    assert chosen and len({c["rule"] for c in chosen}) > 1 and [c["rank"] for c in sorted(chosen, key=lambda c: c["rank"])] == list(range(1, len(chosen) + 1))
+    half = lambda i: zlib.crc32(f"half{i}".encode()) % 2 == 1
+    judged = quality_rules.judge(stats, chosen).collect()
+    own = [r for r in judged if r["doc_id"] % 5 > 0 and half(r["doc_id"])]
+    k, n = sum(not r["kept"] for r in own), len(own)
+    last = max(chosen, key=lambda c: c["rank"])
+    assert (last["false_rejections"], last["holdout_good"]) == (k, n)
+    tail = log(sum(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)))
+    assert last["log_p"] == pytest.approx(tail) and tail <= log(0.05 / 3)
+
+
+def test_quality_op(spark, tmp_path):
+    """The query's base columns against plain Python; without enough labels the base decides."""
+    table(spark, brute.TEXTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for r in quality_rules.op10_quality_rules(spark, str(tmp_path)).collect():
+        n, chars, symbols, lines, words = brute.counts(brute.TEXTS[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, words)
+        assert r["base_failed"] == (n < 50 or 100 * words > 50 * n) and r["kept"] == (not r["base_failed"])
+
+
 def test_quality_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r["kept"] == (not r["base_failed"]) for r in quality_rules.quality(docs, none).collect())

@@ -1,18 +1,21 @@
 """Quality rules with risk-controlled cutoffs (DataFrame functions only).
 
-Each rule rejects a document whose statistic lies above a cutoff. One half of the labelled rows proposes cutoffs, the
-other, the holdout, tests them: a cutoff may be used in a stratum only if the exact binomial probability of so few
-falsely rejected good documents, were the true rate ``risk``, is at most ``alpha`` divided by the number of all proposed
-cutoffs of all rules and strata (Bonferroni). So with probability 1 - ``alpha`` no chosen cutoff rejects more than
-``risk`` of the good documents of its stratum. Among the cutoffs that pass, the first half's labels pick the one that
-rejects most bad documents, each good one counting ``price`` times; equal ones: the loosest. A rule without a passing
-cutoff is off in that stratum. Strata are classes of length in words.
+Each rule rejects a document whose statistic lies above a cutoff. One half of the labelled rows orders, for each stratum,
+a ladder of steps, each of which adds a rule or tightens one: first every rule at its loosest useful cutoff (the least
+that rejects no good document of this half), then at the one that rejects most bad documents, each good one counting
+``price`` times. The other half, the holdout, goes up the ladder: a step is taken if the exact binomial probability of so
+few good documents rejected by the step's rules together, were the true rate ``risk``, is at most ``alpha`` divided by
+the number of strata, and the first step that fails ends it. The order is fixed before the holdout is seen, so steps need
+no further correction (fixed-sequence testing) and strata share ``alpha`` (Bonferroni): with probability 1 - ``alpha`` the
+chosen rules, all together, reject no more than ``risk`` of the good documents of any stratum. Strata are classes of
+length in words.
 
 Statistics are computed once per document into a shared table; labels meet them by doc_id; what reaches the driver is
-one cutoff per rule and stratum.
+two cutoffs per rule and stratum at most.
 
 Defined results: a null or wordless text fails the base (fewer than 50 words); rows without a label are judged, not
-learned from; conflicting or repeated labels each count; without labels only the base decides.
+learned from; conflicting or repeated labels each count; without labels only the base decides; a very long text is one
+row's list of words, sorted once if a window of it repeats; other columns are not looked at; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -99,36 +102,53 @@ def lower_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k >= n * rate, F.lit(0.0)).otherwise(F.aggregate(terms, start, more, lambda s: s["sum"]))
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, alpha: float = 0.05, grid: int = 16, price: int = 20) -> DataFrame:
-    """(rule, stratum, cutoff, holdout_good, false_rejections, log_p): one row for each rule and stratum with a valid cutoff."""
-    labels = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), (F.col("quality") > 0).alias("good"))
-    seen = stats.join(labels, F.col("doc_id") == F.col("__id")).where(~base_failed())
-    seen = seen.withColumn("holdout", F.pmod(F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))), F.lit(2)) == 1)
-    long = seen.select("stratum", "good", "holdout", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES])).alias("r")).select("stratum", "good", "holdout", "r.*")
+def ladder(seen: DataFrame, grid: int, price: int) -> DataFrame:
+    """(stratum, rank, rule, cutoff): the steps in order. seen: stratum, good, and the rules' columns, of the first half."""
+    long = seen.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES])).alias("r")).select("stratum", "good", "r.*")
     at = F.array(*[F.lit((i + 0.5) / grid) for i in range(grid)])
-    fit = long.where("not holdout")
-    by = fit.groupBy("rule", "stratum").agg(F.percentile_approx(F.when(~F.col("good"), F.col("value")), at, 2000).alias("bad_q"), F.percentile_approx(F.when(F.col("good"), F.col("value")), at, 2000).alias("good_q"), F.max(F.when(F.col("good"), F.col("value"))).alias("top"))
+    by = long.groupBy("rule", "stratum").agg(F.percentile_approx(F.when(~F.col("good"), F.col("value")), at, 2000).alias("bad_q"), F.percentile_approx(F.when(F.col("good"), F.col("value")), at, 2000).alias("good_q"), F.max(F.when(F.col("good"), F.col("value"))).alias("top"))
     empty = F.array().cast("array<double>")
     by = by.select("rule", "stratum", F.array_sort(F.array_distinct(F.array_compact(F.concat(F.coalesce("bad_q", empty), F.coalesce("good_q", empty), F.array("top"))))).alias("cuts"))
-    proposed = by.agg(F.coalesce(F.sum(F.array_size("cuts")), F.lit(0)).alias("m"))
     # Each value falls between two cutoffs; counting the gaps is one small aggregate, whatever the number of cutoffs.
     placed = long.join(F.broadcast(by), ["rule", "stratum"]).withColumn("above", F.array_size(F.filter("cuts", lambda c: F.col("value") > c)))
-    gaps = placed.groupBy("rule", "stratum", "above").agg(*[F.sum(F.when((F.col("good") == g) & (F.col("holdout") == h), 1).otherwise(0)).alias(name) for name, g, h in (("fit_good", True, False), ("fit_bad", False, False), ("good", True, True))])
-    table = by.select("rule", "stratum", F.posexplode("cuts").alias("i", "cutoff")).withColumnRenamed("rule", "__rule").withColumnRenamed("stratum", "__stratum")
-    met = table.join(gaps, (F.col("__rule") == F.col("rule")) & (F.col("__stratum") == F.col("stratum"))).groupBy("rule", "stratum", "i", "cutoff").agg(
-        *[F.sum(F.when(F.col("above") > F.col("i"), F.col(c)).otherwise(0)).alias(f"{c}_out") for c in ("fit_good", "fit_bad", "good")], F.sum("good").alias("n_good")
-    )
-    tests = max(1, proposed.first()["m"])
-    met = met.withColumn("log_p", lower_tail(F.col("good_out"), F.col("n_good"), risk))
-    valid = met.where((F.col("log_p") <= math.log(alpha / tests)) & (F.col("fit_bad_out") > price * F.col("fit_good_out")))
-    best = F.row_number().over(Window.partitionBy("rule", "stratum").orderBy((F.col("fit_bad_out") - price * F.col("fit_good_out")).desc(), F.col("cutoff").desc()))
-    return valid.withColumn("rank", best).where("rank = 1").select("rule", "stratum", "cutoff", F.col("n_good").alias("holdout_good"), F.col("good_out").alias("false_rejections"), "log_p")
+    gaps = placed.groupBy("rule", "stratum", "above").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    table = by.select("rule", "stratum", F.posexplode("cuts").alias("i", "cutoff"))
+    met = table.join(gaps, ["rule", "stratum"]).groupBy("rule", "stratum", "cutoff").agg(*[F.sum(F.when(F.col("above") > F.col("i"), F.col(c)).otherwise(0)).alias(c) for c in ("good", "bad")])
+    met = met.where("bad > 0").withColumn("gain", F.col("bad") - price * F.col("good"))
+    pick = lambda rows, step, order: rows.withColumns({"step": F.lit(step), "r": F.row_number().over(Window.partitionBy("rule", "stratum").orderBy(*order))}).where("r = 1").drop("r")
+    loose = pick(met.where("good = 0"), 0, [F.desc("bad"), F.desc("cutoff")])
+    tight = pick(met.where("gain > 0"), 1, [F.desc("gain"), F.desc("cutoff")])
+    # a step that would loosen its rule again adds nothing
+    steps = loose.unionByName(tight.join(loose.select("rule", "stratum", F.col("cutoff").alias("__loose")), ["rule", "stratum"], "left").where("__loose is null or cutoff < __loose").drop("__loose"))
+    order = Window.partitionBy("stratum").orderBy("step", F.desc("gain"), "rule")
+    return steps.select("stratum", F.row_number().over(order).alias("rank"), "rule", "cutoff")
+
+
+def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, alpha: float = 0.05, grid: int = 16, price: int = 20) -> DataFrame:
+    """(stratum, rank, rule, cutoff, holdout_good, false_rejections, log_p): the steps taken; counts are of all rules up to the step."""
+    spark = stats.sparkSession
+    labels = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), (F.col("quality") > 0).alias("good"))
+    seen = stats.join(labels, F.col("doc_id") == F.col("__id")).where(~base_failed())
+    seen = seen.withColumn("holdout", F.pmod(F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))), F.lit(2)) == 1).select("doc_id", "stratum", "good", "holdout", *RULES)
+    seen = common.Scratch(spark, "quality-labelled").keep(seen, "rows")
+    steps = ladder(seen.where("not holdout"), grid, price).collect()  # two a rule and stratum at most
+    fails = [F.when((F.col("stratum") == s["stratum"]) & (F.col(s["rule"]) > F.lit(s["cutoff"])), F.lit(s["rank"])) for s in steps]
+    first = F.array_min(F.array_compact(F.array(*fails))) if fails else F.lit(None).cast("int")
+    good = seen.where("holdout and good").groupBy("stratum", first.alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    table = spark.createDataFrame([tuple(s) for s in steps], "stratum int, rank int, rule string, cutoff double")
+    per = good.groupBy("stratum").agg(F.sum("n").alias("holdout_good"))
+    out = table.join(per, "stratum").join(good.select(F.col("stratum").alias("__stratum"), "first", F.col("n").alias("k")), (F.col("stratum") == F.col("__stratum")) & (F.col("first") == F.col("rank")), "left")
+    up = Window.partitionBy("stratum").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("false_rejections", F.coalesce(F.sum("k").over(up), F.lit(0)).cast("long"))
+    out = out.withColumn("log_p", lower_tail(F.col("false_rejections"), F.col("holdout_good"), risk))
+    out = out.withColumn("taken", F.min(F.col("log_p") <= math.log(alpha / (len(STRATA) + 1))).over(up))
+    return out.where("taken").select("stratum", "rank", "rule", "cutoff", "holdout_good", "false_rejections", "log_p")
 
 
 def judge(stats: DataFrame, chosen: list) -> DataFrame:
-    """Adds base_failed, failed_rules and kept; ``chosen``: rows of ``cutoffs``, at most one per rule and stratum."""
+    """Adds base_failed, failed_rules and kept; ``chosen``: rows of ``cutoffs``, at most two per rule and stratum."""
     fails = [F.when((F.col("stratum") == c["stratum"]) & (F.col(c["rule"]) > F.lit(c["cutoff"])), F.lit(c["rule"])) for c in chosen]
-    failed = F.array_compact(F.array(*fails)) if fails else F.array().cast("array<string>")
+    failed = F.array_distinct(F.array_compact(F.array(*fails))) if fails else F.array().cast("array<string>")
     rows = stats.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.array_size("failed_rules") == 0))
 
