@@ -618,6 +618,22 @@ def test_mixing_targets_and_copies(spark):
     assert again == {(r["doc_id"], r["copies"]) for r in out}
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    """More sources than are sent to all executors give the same; targets as by plain Python."""
+    rng = random.Random(14)
+    rows = [(i, f"s{rng.randrange(400)}" if i % 50 else None, rng.choice([0, 3, 40, 900])) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    want = {}
+    for _, s, n in rows:
+        want[s] = want.get(s, 0) + n
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sized).collect()}
+    assert got == pytest.approx(brute.targets(want))
+    few = sorted(mixing.copies(sized).collect(), key=repr)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert sorted(mixing.copies(sized).collect(), key=repr) == few
+    assert mixing.source_targets(sized.where("false")).count() == 0 and mixing.source_targets(sized.where("size = 0")).agg(F.sum("target")).first()[0] == 0
+
+
 def test_mixing_is_unbiased(spark):
     """Each document's copies are right on average over many sources of one shape."""
     rows = [(100 * s + i, f"s{s}", [10, 20, 30, 400][i % 4]) for s in range(300) for i in range(8)]

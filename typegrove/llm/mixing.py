@@ -9,10 +9,12 @@ Groups of about ``group`` documents are reduced in one expression each, then the
 residual a source is left: a reduction tree of base ``group`` (four levels for 4e9 documents). Group numbers come from
 hashes, so the largest source spreads over all tasks and reruns agree. The longest documents are rounded first; what
 their last residual takes too much or too little is taken from or given to the fractions of the next size class, so a
-source ends within about one document of the smallest class of its target, and expectations stay as they were.
+source ends within about one document of the smallest class of its target. Expectations stay as they were but where that
+shift would take a fraction below 0 or above 1 and is cut there.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; rows that
-agree in doc_id, source and size share one decision; other columns are not looked at; no rows give no rows.
+agree in doc_id, source and size share one decision, so a source of rows without doc_id and of one size is taken whole
+or not; a very long text is a unit as any other, rounded first; other columns are not looked at; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KEY = ["source", "doc_id", "size"]
-#: Sources up to this number go to every executor with their targets (some bytes each); more are joined by a shuffle.
+#: Sources up to this number go to every executor with their targets (some bytes each); more are joined by a shuffle, with
+#: the same result.
 BROADCAST_SOURCES = 10_000
 #: Least words of the size classes, which are rounded one after the other.
 CLASSES = (4096, 256, 1)
@@ -34,19 +37,28 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3) -> DataFrame:
-    """One row per source: n, source_size, target. The windows without a partition hold one row per source, never documents."""
+    """One row per source: n, source_size, target, of any number of sources.
+
+    Places in the order of sources come from a distributed sort, numbered by part. Sources whose ceiling lies below the
+    common level per unit of weight are set to it and the level is taken anew, until no more are: an aggregate a round.
+    """
+    scratch = common.Scratch(sized.sparkSession, "targets")
     per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (rank - 1) % len(weights) + 1).cast("double"))
-    per = per.withColumn("most", F.col("source_size") * float(ceiling)).withColumn("ratio", F.col("most") / F.col("w"))
-    # Sources at their ceiling come first by ratio; the level is what the others get per unit of weight.
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    per = per.withColumn("level", level).withColumn("at", F.row_number().over(order))
-    per = per.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("at", "level"))).over(every)["level"])
-    share = F.coalesce(F.least(F.col("most"), F.col("level") * F.col("w")), F.col("most"))
+    per = per.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    per = scratch.keep(per.withColumn("part", F.spark_partition_id()), "sorted")
+    parts = per.agg(F.max("part")).first()[0]
+    (before,) = common.sums_before(per.withColumn("one", F.lit(1)), "part", (parts or 0) + 1, "one")
+    at = before + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (at % len(weights)).cast("int") + 1).cast("double"))
+    per = scratch.keep(per.withColumn("most", F.col("source_size") * float(ceiling)), "weighed")
+    level, capped = -1.0, None
+    while True:
+        below = F.col("most") < F.lit(level) * F.col("w")
+        found = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(below, F.col("most")).otherwise(0.0)).alias("set"), F.sum(F.when(below, 0.0).otherwise(F.col("w"))).alias("rest"), F.count_if(below).alias("k")).first()
+        if found["k"] == capped or not found["rest"]:
+            break
+        level, capped = (found["all"] - found["set"]) / found["rest"], found["k"]
+    share = F.least(F.col("most"), F.lit(level) * F.col("w"))
     return per.select("source", "n", "source_size", share.alias("target"))
 
 
