@@ -17,7 +17,7 @@ def slice_(dataset: Dataset, seeds: DataFrame, most: int = MOST_OBJECTS, hops: i
     """Seeds first, then neighbours within ``hops``, then the rest by degree, name and id; at most ``most`` objects."""
     near = reachable(seeds, dataset.relationships, hops).withColumnRenamed("hops", "priority")
     rows = dataset.objects.join(near, "id", "left").withColumn("priority", F.coalesce("priority", F.lit(hops + 1)))
-    rows = rows.join(ds.degree(dataset.objects, dataset.relationships), "id")
+    rows = ds.with_degree(rows, dataset.relationships)
     return rows.orderBy("priority", F.desc("degree"), F.lower("name"), "id").limit(most)
 
 

@@ -47,11 +47,20 @@ def adjacency(relationships: DataFrame) -> DataFrame:
     return rows.select("end.id", "end.other_id", "edge_id", "edge_type_id", "end.direction")
 
 
-def degree(objects: DataFrame, relationships: DataFrame) -> DataFrame:
-    """(id, degree): edges at each object, 0 for isolated ones, a self-loop counted once."""
+def edge_counts(relationships: DataFrame) -> DataFrame:
+    """(id, degree) of what has edges, a self-loop counted once."""
     ends = F.array_distinct(F.array("source_id", "target_id"))
-    counts = relationships.select(F.explode(ends).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    return objects.select("id").join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return relationships.select(F.explode(ends).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def with_degree(rows: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Rows (with id) and their degree, 0 for isolated ones."""
+    return rows.join(edge_counts(relationships), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def degree(objects: DataFrame, relationships: DataFrame) -> DataFrame:
+    """(id, degree) of every object."""
+    return with_degree(objects.select("id"), relationships)
 
 
 def rule_of_edges(dataset: Dataset) -> DataFrame:

@@ -41,11 +41,11 @@ def order() -> list[Column]:
 def shown_objects(dataset: Dataset, query: Query, exact: bool = False) -> DataFrame:
     """The objects that match, at most ``limit``: included ones first, then by degree, name and id.
 
-    Degree is over all edges of the dataset. It is looked up only for what matches; the top rows come from a partial
-    sort per task, not a full one.
+    Degree is over all edges of the dataset: counted once, by partial sums, and joined to what matches. The top rows come
+    from a partial sort per task, not a full one.
     """
     rows = statuses(dataset.objects, query, exact).where("status = 'match'")
-    rows = rows.join(ds.degree(dataset.objects, dataset.relationships), "id")
+    rows = ds.with_degree(rows, dataset.relationships)
     return rows.orderBy(*order()).limit(query.limit).drop("status")
 
 

@@ -52,17 +52,19 @@ def entries(changes: DataFrame, proposals: DataFrame, results: DataFrame, limit:
     """Change rows of the last ``limit`` completed change-sets of each target, with ``position`` (1 the newest) and ``truncated``.
 
     Change-sets are ordered by the revision they led to, then time and id. Within one, creates come before updates before
-    deletes. One job for any number of records: a window per target over its own changes.
+    deletes. One job for any number of records: a window per target over its own change-sets.
     """
     done = proposals.where("status = 'completed'").select(F.col("id").alias("proposal_id"), "created_by", "title", "completed_at")
     r = results.where("outcome = 'completed'").select("proposal_id", "after_revision")
-    rows = interpret(changes).join(done, "proposal_id").join(r, "proposal_id")
-    step = F.when(F.col("operation") == "create", 0).when(F.col("operation") == "update", 1).otherwise(2)
-    rows = rows.withColumn("step", step).withColumn("first_seq", F.min("seq").over(Window.partitionBy("target_id", "proposal_id")))
+    done = done.join(r, "proposal_id")
+    # Change-sets of a target are ranked as one row each, so a record with very many changes costs a row per change-set.
+    sets = changes.groupBy("target_id", "proposal_id").agg(F.min("seq").alias("first_seq")).join(done.select("proposal_id", "after_revision"), "proposal_id")
     own = Window.partitionBy("target_id").orderBy(F.col("after_revision").desc(), F.col("first_seq").desc(), F.col("proposal_id").desc())
-    rows = rows.withColumn("position", F.dense_rank().over(own))
-    rows = rows.withColumn("sets", F.max("position").over(Window.partitionBy("target_id")))
-    return rows.where(F.col("position") <= limit).withColumn("truncated", F.col("sets") > limit).drop("first_seq", "sets")
+    sets = sets.withColumn("position", F.row_number().over(own)).where(F.col("position") <= limit + 1)
+    sets = sets.withColumn("truncated", F.max("position").over(Window.partitionBy("target_id")) > limit).where(F.col("position") <= limit)
+    rows = interpret(changes).join(sets.select("target_id", "proposal_id", "position", "truncated"), ["target_id", "proposal_id"]).join(done, "proposal_id")
+    step = F.when(F.col("operation") == "create", 0).when(F.col("operation") == "update", 1).otherwise(2)
+    return rows.withColumn("step", step)
 
 
 def with_evidence(rows: DataFrame, evidence: DataFrame, most: int = 10) -> DataFrame:

@@ -672,6 +672,41 @@ def payload_problems(spark, sf_dir):
     return export.payload_problems(nodes, d.relationships.where("type_id = 'placed_by'"))
 
 
-@query()
+def _digest_sql() -> str:
+    """Every record as a JSON text, written by hand; the ontology's from its own constants."""
+    import json
+
+    def line(part: str, **columns) -> str:
+        text_ = json.dumps({k: v for k, v in sorted(columns.items()) if v is not None}, separators=(",", ":"))
+        return f"('{part}', '{text_}')"
+
+    types = [line("object_type", id=t, key=t, name=t.capitalize(), is_active=t != "invoice", sort_order=n, description="") for n, t in enumerate(("region", "nation", "customer", "supplier", "part", "order", "invoice"))]
+    types += [line("relationship_type", id=t, key=t, name=t.replace("_", " ").capitalize(), is_active=t != "billed_by", sort_order=n, description="") for n, t in enumerate(("in_region", "based_in", "placed_by", "contains", "supplied_by", "billed_by"))]
+    types += [line("rule", id=f"{r}:{s}:{o}", rel_type_id=r, subject_type_id=s, object_type_id=o, s_min=a, s_max=b, o_min=c, o_max=d) for r, s, o, a, b, c, d in graphview.RULE_ROWS]
+    types += [line("attribute_definition", id=f"{owner}.{key}", owner_kind=kind, owner_id=owner, key=key, name=name, data_type=data_type, required=key == "mktsegment", nullable=True, sort_order=n, is_active=True, choices=choices) for n, (kind, owner, key, name, data_type, choices) in enumerate(graphview.DEFINITIONS)]
+
+    def record(type_: str, key: str, name: str, table: str, *attributes: tuple[str, str]) -> str:
+        pairs = " || ',' || ".join(f"'\"{k}\":\"' || {v} || '\"'" for k, v in attributes) or "''"
+        return f"""SELECT 'object', '{{"attributes":{{' || {pairs} || '}},"description":"","id":"{type_}:' || {key} || '","is_active":true,"key":"{type_}_' || {key} || '","name":"' || {name} || '","type_id":"{type_}"}}' FROM {table}"""
+
+    objects = [
+        record("region", "r_regionkey", "r_name", "region"),
+        record("nation", "n_nationkey", "n_name", "nation"),
+        record("customer", "c_custkey", "c_name", "customer", ("mktsegment", "c_mktsegment"), ("acctbal", "c_acctbal::VARCHAR")),
+        record("supplier", "s_suppkey", "s_name", "supplier", ("acctbal", "s_acctbal::VARCHAR")),
+        record("part", "p_partkey", "p_name", "part", ("brand", "p_brand"), ("ptype", "p_type"), ("size", "p_size::VARCHAR"), ("retailprice", "p_retailprice::VARCHAR")),
+        record("order", "o_orderkey", "'Order#' || o_orderkey", "orders", ("status", "o_orderstatus"), ("totalprice", "o_totalprice::VARCHAR"), ("orderdate", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"), ("priority", "o_orderpriority")),
+    ]
+    edge = """SELECT 'relationship', '{"attributes":{' || bag || '},"id":"' || id || '","is_active":true,"object_key":"' || replace(target_id, ':', '_') || '","object_type":"' || split_part(target_id, ':', 1) || '","subject_key":"' || replace(source_id, ':', '_') || '","subject_type":"' || split_part(source_id, ':', 1) || '","type_id":"' || type_id || '"}'"""
+    bag = """'"quantity":"' || l_quantity::VARCHAR || '","returnflag":"' || l_returnflag || '","shipdate":"' || strftime(l_shipdate, '%Y-%m-%d') || '"'"""
+    item = EDGES[EDGES.index("UNION ALL SELECT 'contains:'") : EDGES.index("UNION ALL SELECT DISTINCT 'supplied_by")].removeprefix("UNION ALL SELECT ").strip()
+    columns = item.removesuffix("FROM lineitem").rsplit(", 'contains', ", 1)
+    items = f"SELECT {columns[0]} AS id, 'contains' AS type_id, {columns[1].split(', ')[0]} AS source_id, {columns[1].split(', ')[1]} AS target_id, {bag} AS bag FROM lineitem"
+    lines = f"lines(part, v) AS (SELECT * FROM (VALUES {', '.join(types)}) t(part, v) UNION ALL {' UNION ALL '.join(objects)} UNION ALL {edge} FROM (SELECT *, '' AS bag FROM edges WHERE type_id <> 'contains') UNION ALL {edge} FROM ({items}))"
+    blocks = "blocks AS (SELECT part, left(h, 3) AS block, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM (SELECT part, sha256(v) AS h FROM lines) GROUP BY ALL)"
+    return sql("SELECT part, sum(n)::BIGINT AS records, sha256(string_agg(h, ',' ORDER BY block)) AS digest FROM blocks GROUP BY part", EDGES, lines, blocks)
+
+
+@query(_digest_sql())
 def snapshot_digests(spark, sf_dir):
     return export.digests(export.json_lines(graphview.dataset(spark, sf_dir)))
