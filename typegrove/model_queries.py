@@ -12,7 +12,7 @@ from .operators import change_plan, commit, context, details, facets, importing,
 from .plans.query import Filter, Scope
 from .queries import CARDINALITY, DEGREES, EDGES, ENDS, FOUND, LOG, OBJECTS, SQL, attribute, query, sql
 from .schema import CHANGES
-from .sources import export, graphview
+from .sources import export, graphview, templates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -359,6 +359,40 @@ def change_plan_compiled(spark, sf_dir):
     return rows.select("seq", "operation", name.alias("name"), "parent_id")
 
 
+#: A template with every kind of record.
+TEMPLATE = {
+    "object_types": [{"key": "site", "name": "Site", "attributes": [{"key": "floor", "name": "Floor", "data_type": "number", "least": 0, "required": True}, {"key": "use", "name": "Use", "data_type": "choice", "choices": ["office", "store"]}]}, {"key": "team", "name": "Team"}],
+    "relationship_types": [{"key": "works_at", "name": "Works at", "rules": [{"subject": "team", "object": "site", "s_min": 0, "o_min": 1, "o_max": 2}]}],
+    "objects": [{"key": "north", "name": "North", "type": "site", "attributes": {"floor": 2, "use": "office"}}, {"key": "ops", "name": "Ops", "type": "team"}],
+    "relationships": [{"type": "works_at", "source": "ops", "target": "north"}],
+}
+
+
+def _template_model(spark: SparkSession, sf_dir: str):
+    """A model made of a template alone."""
+    d = graphview.dataset(spark, sf_dir)
+    none = d.with_(**{t: getattr(d, t).where("false") for t in commit.TABLES})
+    plan = templates.operations(spark, TEMPLATE)
+    if not change_plan.problems(plan, none).isEmpty():
+        raise ValueError("the template has problems")
+    return commit.apply(none, change_plan.compiled(plan, "p"))
+
+
+@query("SELECT * FROM (VALUES ('type', 'Site', NULL, NULL, NULL), ('type', 'Team', NULL, NULL, NULL), ('definition', 'Floor', 'Site', 'number', 'true'), ('definition', 'Use', 'Site', 'choice', 'false'), ('rule', 'Works at', 'Team', 'Site', '0..* 1..2'), ('object', 'North', 'Site', '2', 'office'), ('object', 'Ops', 'Team', NULL, NULL), ('edge', 'Works at', 'Ops', 'North', NULL)) v(kind, name, a, b, c)")
+def template_model(spark, sf_dir):
+    m = _template_model(spark, sf_dir)
+    named = lambda df, c: df.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    none = F.lit(None).cast("string")
+    rows = lambda df, kind, name, a=none, b=none, c=none: df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), a.alias("a"), b.alias("b"), c.alias("c"))
+    out = rows(m.object_types, "type", "name")
+    out = out.unionByName(rows(m.attribute_defs.join(named(m.object_types, "owner_id"), "owner_id"), "definition", "name", F.col("owner_id_name"), F.col("data_type"), F.col("required").cast("string")))
+    r = m.rules.join(named(m.relationship_types, "rel_type_id"), "rel_type_id").join(named(m.object_types, "subject_type_id"), "subject_type_id").join(named(m.object_types, "object_type_id"), "object_type_id")
+    out = out.unionByName(rows(r, "rule", "rel_type_id_name", F.col("subject_type_id_name"), F.col("object_type_id_name"), F.concat_ws(" ", text.bounds_label(F.col("s_min"), F.col("s_max")), text.bounds_label(F.col("o_min"), F.col("o_max")))))
+    out = out.unionByName(rows(m.objects.join(named(m.object_types, "type_id"), "type_id"), "object", "name", F.col("type_id_name"), attribute("floor"), attribute("use")))
+    e = m.relationships.join(named(m.relationship_types, "type_id"), "type_id").join(named(m.objects, "source_id"), "source_id").join(named(m.objects, "target_id"), "target_id")
+    return out.unionByName(rows(e, "edge", "type_id_name", F.col("source_id_name"), F.col("target_id_name")))
+
+
 # ---- facets, details, context
 
 

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from ..schema import Dataset
 
 OPERATIONS = "n int, operation string, target_type string, ref_kind string, ref string, parent_type string, parent_ref_kind string, parent_ref string, fields map<string,string>"
-KINDS = ("object", "relationship", "object_type", "relationship_type", "attribute_definition")
+KINDS = ("object", "relationship", "object_type", "relationship_type", "attribute_definition", "relationship_type_rule")
+#: Fields that name another record, as an id or as ``new:`` and a token, and what they name.
+REFERENCES = {"source": "object", "target": "object", "subject_type_id": "object_type", "object_type_id": "object_type"}
+#: Fields of a created record that are taken as they are.
+PLAIN = ("name", "key", "description", "is_active", "sort_order", "data_type", "required", "nullable", "min_length", "max_length", "least", "most", "s_min", "s_max", "o_min", "o_max")
 
 
 def known_ids(dataset: Dataset) -> DataFrame:
-    parts = [("object", dataset.objects), ("relationship", dataset.relationships), ("object_type", dataset.object_types), ("relationship_type", dataset.relationship_types), ("attribute_definition", dataset.attribute_defs)]
+    parts = [("object", dataset.objects), ("relationship", dataset.relationships), ("object_type", dataset.object_types), ("relationship_type", dataset.relationship_types), ("attribute_definition", dataset.attribute_defs), ("relationship_type_rule", dataset.rules)]
     out = None
     for kind, df in parts:
         one = df.select(F.lit(kind).alias("target_type"), F.col("id").alias("ref"))
@@ -33,7 +37,8 @@ def problems(plan: DataFrame, dataset: Dataset) -> DataFrame:
     ids = known_ids(dataset)
     existing = plan.where("ref_kind = 'existing'").select("n", "target_type", "ref")
     refs = plan.where("parent_ref is not null").select("n", F.col("parent_type").alias("target_type"), F.col("parent_ref_kind").alias("ref_kind"), F.col("parent_ref").alias("ref"))
-    ends = plan.where("target_type = 'relationship' and operation = 'create'").select("n", F.lit("object").alias("target_type"), F.explode(F.array(F.element_at("fields", F.lit("source")), F.element_at("fields", F.lit("target")))).alias("ref")).where("ref is not null")
+    named = F.explode(F.array(*[F.struct(F.lit(kind).alias("target_type"), F.element_at("fields", F.lit(field)).alias("ref")) for field, kind in REFERENCES.items()]))
+    ends = plan.where("operation = 'create' and target_type in ('relationship', 'relationship_type_rule')").select("n", named.alias("x")).select("n", "x.*").where("ref is not null")
     ends = ends.withColumn("ref_kind", F.when(F.startswith("ref", F.lit("new:")), "new").otherwise("existing")).withColumn("ref", F.regexp_replace("ref", "^new:", ""))
     every = refs.unionByName(ends.select(*refs.columns))
     fields = plan.where("operation = 'update'")
@@ -57,7 +62,10 @@ def compiled(plan: DataFrame, proposal_id: str) -> DataFrame:
     end = lambda name: minted(F.when(F.startswith(F.element_at("fields", F.lit(name)), F.lit("new:")), "new").otherwise("existing"), F.regexp_replace(F.element_at("fields", F.lit(name)), "^new:", ""))
     base = plan.withColumns({"target_id": minted(F.col("ref_kind"), F.col("ref")), "parent_id": minted(F.col("parent_ref_kind"), F.col("parent_ref"))})
     attributes = F.map_from_entries(F.transform(F.map_entries(F.map_filter("fields", lambda k, v: F.startswith(k, F.lit("attributes.")))), lambda e: F.struct(F.substring(e["key"], 12, 1000).alias("key"), e["value"].alias("value"))))
-    payload = F.to_json(F.struct(F.element_at("fields", F.lit("name")).alias("name"), F.element_at("fields", F.lit("key")).alias("key"), F.element_at("fields", F.lit("description")).alias("description"), end("source").alias("source_id"), end("target").alias("target_id"), attributes.alias("attributes")))
+    plain = [F.element_at("fields", F.lit(f)).alias(f) for f in PLAIN]
+    choices = F.from_json(F.element_at("fields", F.lit("choices")), "array<string>").alias("choices")
+    ends = [end(f).alias({"source": "source_id", "target": "target_id"}.get(f, f)) for f in REFERENCES]
+    payload = F.to_json(F.struct(*plain, choices, *ends, attributes.alias("attributes")))
     creates = base.where("operation = 'create'").withColumns({"after_json": payload, "sub": F.lit(0)})
     updates = base.where("operation = 'update'").select("*", F.posexplode(F.array_sort(F.map_entries("fields"))).alias("sub", "e"))
     updates = updates.withColumn("after_json", F.to_json(F.struct(F.col("e.key").alias("field"), F.col("e.value").alias("value")), {"ignoreNullFields": "false"})).drop("e")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -12,17 +13,26 @@ from ..operators.change_plan import OPERATIONS
 
 
 def operations(spark: SparkSession, template: dict) -> DataFrame:
-    """Plan operations of a template. Keys within the document become tokens; all rows are creates."""
+    """Plan operations of a template. Keys within the document become tokens; all rows are creates.
+
+    A template has object_types and relationship_types (key, name, attributes), the latter with rules (subject, object,
+    and the bounds s_min, s_max, o_min, o_max), and may have objects and relationships.
+    """
     rows: list[tuple] = []
 
     def add(kind: str, token: str, fields: dict, parent_kind: str | None = None, parent: str | None = None) -> None:
-        rows.append((len(rows) + 1, "create", kind, "new", token, parent_kind, "new" if parent else None, parent, {k: None if v is None else str(v) for k, v in fields.items()}))
+        text = {k: json.dumps(v) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in fields.items() if v is not None}
+        rows.append((len(rows) + 1, "create", kind, "new", token, parent_kind, "new" if parent else None, parent, text))
 
     for kind in ("object_type", "relationship_type"):
-        for t in template.get(f"{kind}s", []):
-            add(kind, t["key"], {"name": t["name"], "key": t["key"], "description": t.get("description", "")})
-            for a in t.get("attributes", []):
-                add("attribute_definition", f"{t['key']}.{a['key']}", {"name": a["name"], "key": a["key"], "data_type": a["data_type"]}, kind, t["key"])
+        for n, t in enumerate(template.get(f"{kind}s", [])):
+            add(kind, t["key"], {"name": t["name"], "key": t["key"], "description": t.get("description", ""), "sort_order": n})
+            for m, a in enumerate(t.get("attributes", [])):
+                add("attribute_definition", f"{t['key']}.{a['key']}", {"sort_order": m, **a}, kind, t["key"])
+    for t in template.get("relationship_types", []):
+        for r in t.get("rules", []):
+            bounds = {k: r.get(k) for k in ("s_min", "s_max", "o_min", "o_max")}
+            add("relationship_type_rule", f"{t['key']}:{r['subject']}:{r['object']}", {"subject_type_id": f"new:{r['subject']}", "object_type_id": f"new:{r['object']}", **bounds}, "relationship_type", t["key"])
     for o in template.get("objects", []):
         add("object", o["key"], {"name": o["name"], "key": o["key"], **{f"attributes.{k}": v for k, v in o.get("attributes", {}).items()}}, "object_type", o["type"])
     for n, e in enumerate(template.get("relationships", [])):
@@ -30,6 +40,12 @@ def operations(spark: SparkSession, template: dict) -> DataFrame:
     return spark.createDataFrame(rows, OPERATIONS)
 
 
+def registry(spark: SparkSession, path: str) -> dict[str, dict]:
+    """The templates of a folder of JSON documents, by their ``key``: a handful of small files, read where Spark reads."""
+    found = [json.loads(r["value"]) for r in spark.read.option("wholetext", True).text(path).collect()]
+    return {t["key"]: t for t in sorted(found, key=lambda t: t["key"])}
+
+
 def csv_template(headers: list[str], rows: list[list[str | None]]) -> bytes:
     """UTF-8 with a byte order mark and CRLF, as spreadsheets read it."""
     import csv
