@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from typegrove import schema
 from typegrove.functions import text, values
-from typegrove.operators import commit, context, details, facets, importing, keys, overlay, projection, provenance, reach, review, search, styles, validation
+from typegrove.operators import commit, context, details, facets, importing, keys, overlay, projection, provenance, publication, reach, review, search, styles, tasks, validation
 from typegrove.operators import dataset as ds
 from typegrove.operators.predicates import in_text_range, matches
 from typegrove.plans.query import Filter, Query, Scope, clean_scope, from_params, to_state
@@ -546,3 +546,39 @@ def test_styles_and_reviews(graph, spark):
     assert got["app"] == {"color": "red", "size": "2"} and got["team"] == {"color": "grey", "size": "2"}
     assert ids(review.index(graph.objects, "ali", sort="-name")) == ["p1", "p3"]
     assert review.inactive_matches(graph.objects.withColumn("is_active", F.col("id") != "p1"), "alice").first().asDict() == dict(hidden=1, shown=1)
+
+
+# ---- publications, tasks
+
+
+def test_opening_and_select_all(graph, spark):
+    assert publication.opening({"kind": "object", "id": "p1"}, graph).id == "p1"
+    assert publication.opening({"kind": "object", "id": "zz"}, graph) == publication.opening({"kind": "x", "id": "p1"}, graph) == publication.Opening(None, None, ("selection",))
+    assert publication.opening(None, graph).dropped == ()
+    rows = spark.createDataFrame([("a", True, False), ("b", True, True), ("c", False, False)], "type_id string, applicable boolean, excluded boolean")
+    assert tuple(publication.select_all(rows).first()) == (False, True, False)
+    assert tuple(publication.select_all(rows.where("type_id = 'a'")).first()) == (True, False, False)
+    assert tuple(publication.select_all(rows.where("type_id = 'c'")).first()) == (False, False, True)
+
+
+def test_provenance_of_published_ends(graph, spark):
+    changes = log(spark, dict(op="create", id="r1", kind="relationship", parent="member", after='{"source_id": "p1", "target_id": "t1"}'), dict(op="update", id="p2", after='{"field": "name", "value": "B"}'))
+    p = spark.createDataFrame([("p", "me", "", "completed", "1")], "id string, created_by string, title string, status string, completed_at string")
+    changes = changes.withColumn("proposal_id", F.lit("p"))
+    r = spark.createDataFrame([("p", "completed", 2)], "proposal_id string, outcome string, after_revision long")
+    shown = graph.with_(objects=graph.objects.where("id = 'p1'"))
+    (row,) = publication.published_provenance(shown, changes, p, r).collect()
+    assert (row["target_id"], row["source_name"], row["target_name"]) == ("r1", "Alice", publication.OUTSIDE)
+
+
+def test_fingerprint():
+    one = tasks.fingerprint("m", "t", ["b", "a"], {"x": None, "y": "1"}, ("p", 3))
+    assert one == tasks.fingerprint("m", "t", ["a", "b"], {"y": "1", "x": None}, ("p", 3))
+    assert len({one, tasks.fingerprint("m", "t", ["a"], {"y": "1", "x": None}, ("p", 3)), tasks.fingerprint("m", "t", ["a", "b"], {"y": "1", "x": ""}, ("p", 3)), tasks.fingerprint("m", "t", ["a", "b"], {"y": "1", "x": None}, ("p", 4))}) == 4
+
+
+def test_import_preview(spark):
+    changes = spark.createDataFrame([("create", f"n{i}", 40 - i) for i in range(40)], "operation string, identity string, first_row int")
+    problems = spark.createDataFrame([(i, "x") for i in range(130)], "row_number int, code string")
+    first, bad, totals = importing.preview(importing.Plan(changes, problems, changes))
+    assert [r["first_row"] for r in first.collect()] == list(range(1, 26)) and bad.count() == 100 and tuple(totals.first()) == (40, 130)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from typegrove import schema
 from typegrove.operators.commit import Model
-from typegrove.sources import export, tables
+from typegrove.sources import export, tables, templates
 from typegrove.streaming.changes import commit_stream, read_changes
 
 from .test_operators import graph, log  # noqa: F401
@@ -92,3 +92,28 @@ def test_stream_commits_batches(graph, spark, tmp_path):  # noqa: F811
         commit_stream(read_changes(spark, path), model, str(tmp_path / "checkpoint"), str(tmp_path / "rejected")).awaitTermination()
     assert model.revision() == 2 and model.read().objects.where("id = 'p1'").first()["name"] == "Streamed"
     assert [r["code"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == ["name_required"]
+
+
+def _workbook(cells: str, styles: str, workbook: str = "") -> bytes:
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {ns}>{workbook}</workbook>")
+        z.writestr("xl/styles.xml", f"<styleSheet {ns}>{styles}</styleSheet>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{cells}</sheetData></worksheet>")
+    return f.getvalue()
+
+
+def test_workbook_dates():
+    """A number under a date format is a date, under another format the number; days count from either of two years."""
+    styles = '<numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/><numFmt numFmtId="171" formatCode="0.0&quot; days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs>'
+    row = '<row r="1"><c r="A1"><v>45292</v></c><c r="B1" s="1"><v>45292</v></c><c r="C1" s="2"><v>45292.75</v></c><c r="D1" s="3"><v>45292</v></c><c r="E1" s="1"><v>1</v></c></row>'
+    assert tables.xlsx_rows(_workbook(row, styles)) == [["45292", "2024-01-01", "2024-01-01T18:00:00", "45292", "1900-01-01"]]
+    assert tables.xlsx_rows(_workbook(row, styles, '<workbookPr date1904="1"/>'))[0][1] == "2028-01-02"
+
+
+def test_workbook_choices():
+    """Choices that the form can't hold give no list; quotes are doubled."""
+    data = templates.xlsx_template(["a", "b", "c", "d"], [], {"a": ["red, dark", "x"], "b": ['5" pipe', "y & z"], "c": ["line\nend"], "d": ["w" * 300]})
+    sheet = zipfile.ZipFile(io.BytesIO(data)).read("xl/worksheets/sheet1.xml").decode()
+    assert sheet.count("<dataValidation ") == 1 and 'count="1"' in sheet and '<formula1>"5"" pipe,y &amp; z"</formula1>' in sheet and 'sqref="B2:B2001"' in sheet

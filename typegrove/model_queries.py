@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, values
-from .operators import change_plan, commit, context, details, facets, importing, ontology, publication, reach, review, tasks, validation
+from .operators import change_plan, commit, context, details, facets, importing, ontology, publication, reach, review, styles, tasks, validation
 from .plans.query import Filter, Scope
 from .queries import CARDINALITY, DEGREES, EDGES, ENDS, FOUND, LOG, OBJECTS, SQL, attribute, query, sql
 from .schema import CHANGES
-from .sources import export, graphview, templates
+from .sources import export, graphview, staging, templates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -542,6 +542,35 @@ def deletable_models(spark, sf_dir):
     return tasks.deletable(graphview.objects(spark, sf_dir).where("type_id = 'customer'"), rows).select("id")
 
 
+UPLOADS = "uploads AS (SELECT event_id AS id, user_id % 5 AS model_id, user_id AS uploaded_by, ts AS created_at, CASE WHEN event_type IN ('click', 'purchase') THEN ts END AS imported_at, event_id % 40 AS proposal_id FROM events)"
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("model_id"), F.col("user_id").alias("uploaded_by"), F.col("ts").alias("created_at"), F.when(F.col("event_type").isin("click", "purchase"), F.col("ts")).alias("imported_at"), (F.col("event_id") % 40).alias("proposal_id"))
+
+
+@query(sql("SELECT id FROM uploads WHERE imported_at IS NOT NULL UNION ALL SELECT arg_max(id, (created_at, id)) FROM uploads WHERE imported_at IS NULL GROUP BY model_id, uploaded_by", UPLOADS))
+def uploads_replaced(spark, sf_dir):
+    return staging.replaced(_uploads(spark, sf_dir)).select("id")
+
+
+@query(sql("SELECT id FROM uploads WHERE imported_at IS NULL AND created_at >= (SELECT max(ts) - INTERVAL 3 DAY FROM events) OR imported_at IS NOT NULL AND proposal_id < 25", UPLOADS))
+def uploads_swept(spark, sf_dir):
+    rows = _uploads(spark, sf_dir)
+    since = rows.agg(F.max("created_at")).first()[0]
+    return staging.swept(rows, spark.range(25), F.lit(since) - F.expr("INTERVAL 3 DAYS")).select("id")
+
+
+@query("SELECT 'n' || n_nationkey AS type_id, CASE WHEN n_nationkey % 3 = 0 THEN '#AABB0' || n_nationkey % 10 || '' WHEN n_nationkey % 3 = 1 THEN '#AABBCC' END AS background, CASE WHEN n_nationkey BETWEEN 10 AND 80 THEN n_nationkey::VARCHAR END AS size, CASE WHEN n_nationkey % 2 = 0 THEN 'dot' END AS shape, NULL::VARCHAR AS other FROM nation")
+def styles_cleaned(spark, sf_dir):
+    """A style for each nation, with values good and bad."""
+    n = F.col("n_nationkey")
+    color = F.when(n % 3 == 0, F.concat(F.lit(" #aabb0"), (n % 10).cast("string"))).when(n % 3 == 1, "#abc").otherwise("red")
+    style = F.create_map(F.lit("background"), color, F.lit("size"), n.cast("double").cast("string"), F.lit("shape"), F.when(n % 2 == 0, "dot").otherwise("blob"), F.lit("other"), F.lit("x"))
+    out = styles.cleaned(_read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), n.cast("string")).alias("type_id"), style.alias("style")), styles.OBJECT_STYLE)
+    return out.select("type_id", *[F.element_at("style", F.lit(k)).alias(k) for k in ("background", "size", "shape", "other")])
+
+
 # ---- values and texts
 
 

@@ -120,6 +120,12 @@ def unblocked(plan: Plan, most: int = MOST_CHANGES) -> DataFrame:
     return plan.changes
 
 
+def preview(plan: Plan, items: int = 25, problems: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first changes by row, the first problems by row, and (changes, problems) in all."""
+    totals = plan.changes.select(F.lit("c").alias("part")).unionByName(plan.problems.select(F.lit("p").alias("part"))).agg(F.count_if(F.col("part") == "c").alias("changes"), F.count_if(F.col("part") == "p").alias("problems"))
+    return plan.changes.orderBy("first_row", "identity").limit(items), plan.problems.orderBy("row_number", "code").limit(problems), totals
+
+
 def duplicate_identities(rows: DataFrame) -> DataFrame:
     """Identities that several rows name, and by how many rows."""
     return rows.where("identity is not null").groupBy("identity").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
