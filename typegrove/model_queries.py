@@ -292,6 +292,34 @@ def endpoint_by_attribute(spark, sf_dir):
     return importing.resolve_endpoints(rows, "cell", graphview.objects(spark, sf_dir), ["part"], by="attribute:brand").select("cell", "subject_id", "subject_problem")
 
 
+@query("SELECT l_orderkey AS o, l_linenumber AS line, l_partkey AS p, CASE WHEN l_partkey % 4 = 0 THEN 'part:' || l_partkey END AS object_id, CASE l_partkey % 4 WHEN 1 THEN 'invalid_endpoint_id' WHEN 2 THEN 'unresolved_endpoint' WHEN 3 THEN 'missing_endpoint' END AS object_problem FROM lineitem")
+def endpoint_id_problems(spark, sf_dir):
+    p = F.col("l_partkey")
+    cell = F.when(p % 4 == 0, F.concat(F.lit(" part:"), p.cast("string"))).when(p % 4 == 1, F.concat(F.lit("no part "), p.cast("string"))).when(p % 4 == 2, "{00000000-0000-0000-0000-000000000001}").otherwise(" ")
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("line"), p.alias("p"), cell.alias("cell"))
+    return importing.resolve_endpoints(rows, "cell", graphview.objects(spark, sf_dir), ["part"], by="id", prefix="object").select("o", "line", "p", "object_id", "object_problem")
+
+
+@query(
+    """WITH prices AS (SELECT p_retailprice AS v, count(*) AS n, min('part:' || p_partkey) AS one FROM part GROUP BY 1)
+SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 AND n = 1 THEN one END AS subject_id, CASE p_partkey % 3 WHEN 1 THEN 'invalid_endpoint_value' WHEN 2 THEN 'unresolved_endpoint' ELSE CASE WHEN n > 1 THEN 'ambiguous_endpoint' END END AS subject_problem FROM part JOIN prices ON v = p_retailprice"""
+)
+def endpoint_by_number(spark, sf_dir):
+    """Parts named by their price: written with white space, unreadable, or of no part."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice").cast("string")
+    cell = F.when(k % 3 == 0, F.concat(F.lit("  "), price, F.lit(" "))).when(k % 3 == 1, F.concat(F.lit("about "), price)).otherwise("-1")
+    rows = _read(spark, sf_dir, "part").select(k.alias("k"), cell.alias("cell"))
+    return importing.resolve_endpoints(rows, "cell", graphview.objects(spark, sf_dir), ["part"], by="attribute:retailprice", data_type="number").select("k", "subject_id", "subject_problem")
+
+
+@query("SELECT o_orderkey AS n, CASE WHEN o_orderkey % 5 = 0 THEN 'placed_by:' || o_orderkey END AS edge_id, CASE o_orderkey % 5 WHEN 1 THEN 'wrong_relationship_type' WHEN 2 THEN 'invalid_identity_id' WHEN 3 THEN 'unresolved_identity' WHEN 4 THEN 'missing_identity' END AS problem FROM orders")
+def edge_identity(spark, sf_dir):
+    o = F.col("o_orderkey")
+    cell = F.when(o % 5 == 0, F.concat(F.lit("placed_by:"), o.cast("string"))).when(o % 5 == 1, "in_region:1").when(o % 5 == 2, "nothing").when(o % 5 == 3, "00000000000000000000000000000001").otherwise("")
+    rows = _read(spark, sf_dir, "orders").select(o.alias("n"), cell.alias("cell"))
+    return importing.identify_edges(rows, graphview.relationships(spark, sf_dir), "placed_by", "cell").select("n", "edge_id", "problem")
+
+
 @query("SELECT o_orderkey AS n, CASE WHEN o_orderkey % 4 = 0 THEN 'missing_endpoint' WHEN o_orderkey % 4 = 1 THEN 'unresolved_endpoint' WHEN o_orderkey % 4 = 2 THEN 'endpoint_pair_not_allowed' END AS code FROM orders WHERE o_orderkey % 4 < 3")
 def edge_problems(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)

@@ -131,19 +131,41 @@ def duplicate_identities(rows: DataFrame) -> DataFrame:
     return rows.where("identity is not null").groupBy("identity").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-def resolve_endpoints(rows: DataFrame, column: str, objects: DataFrame, allowed: list[str], by: str = "key", prefix: str = "subject") -> DataFrame:
-    """Adds <prefix>_id, <prefix>_type and <prefix>_problem: an end named by key, id or ``attribute:<key>`` among the allowed types."""
+def resolve_endpoints(rows: DataFrame, column: str, objects: DataFrame, allowed: list[str], by: str = "key", prefix: str = "subject", data_type: str | None = None) -> DataFrame:
+    """Adds <prefix>_id, <prefix>_type and <prefix>_problem: an end named by key, id or ``attribute:<key>`` among the allowed types.
+
+    An id that is neither there nor in the form of one is invalid, as is a value that can't be read as the attribute's
+    ``data_type``; a value is looked up as it is read.
+    """
     own = objects.where(F.col("type_id").isin(*allowed))
-    cell = strip(F.col(column))
+    read = coerce(F.col(column), F.lit(data_type)) if data_type else None
+    cell = strip(F.col(column)) if read is None else read["value"]
     value = F.col("id") if by == "id" else F.col("key") if by == "key" else F.element_at("attributes", F.lit(by.removeprefix("attribute:")))
+    if data_type:
+        value = coerce(value, F.lit(data_type))["value"]
     found = own.select(value.alias("__v"), "id", "type_id").where("__v is not null").groupBy("__v").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("id", "type_id")).alias("__hit"))
+    cell = F.coalesce(uuid_of(F.col(column)), cell) if by == "id" else cell
     out = rows.withColumn("__cell", cell).join(found, F.col("__cell") == F.col("__v"), "left")
     ambiguous = "ambiguous_endpoint_key" if by == "key" else "ambiguous_endpoint"
-    problem = F.when(is_blank(F.col(column)), "missing_endpoint").when(F.col("__n").isNull(), "unresolved_endpoint").when(F.col("__n") > 1, ambiguous)
+    problem = F.when(is_blank(F.col(column)), "missing_endpoint")
+    if by == "id":
+        problem = problem.when(F.col("__n").isNull() & uuid_of(F.col(column)).isNull(), "invalid_endpoint_id")
+    if read is not None:
+        problem = problem.when(~read["converted"], "invalid_endpoint_value")
+    problem = problem.when(F.col("__n").isNull(), "unresolved_endpoint").when(F.col("__n") > 1, ambiguous)
     out = out.withColumn(f"{prefix}_problem", problem).withColumn(f"{prefix}_id", F.when(F.col("__n") == 1, F.col("__hit.id"))).withColumn(f"{prefix}_type", F.when(F.col("__n") == 1, F.col("__hit.type_id")))
     return out.drop("__cell", "__v", "__n", "__hit")
 
 
+def identify_edges(rows: DataFrame, relationships: DataFrame, rel_type_id: str, column: str) -> DataFrame:
+    """Adds edge_id and problem to rows that name an edge by its id."""
+    wanted = uuid_of(F.col(column))
+    edges = relationships.select(F.col("id").alias("__id"), F.col("type_id").alias("__type"))
+    out = rows.withColumn("__wanted", F.coalesce(wanted, strip(F.col(column)))).join(edges, F.col("__wanted") == F.col("__id"), "left")
+    problem = F.when(is_blank(F.col(column)), "missing_identity").when(F.col("__id").isNull() & wanted.isNull(), "invalid_identity_id").when(F.col("__id").isNull(), "unresolved_identity").when(F.col("__type") != rel_type_id, "wrong_relationship_type")
+    return out.withColumn("problem", problem).withColumn("edge_id", F.when(F.col("__type") == rel_type_id, F.col("__id"))).drop("__wanted", "__id", "__type")
+
+
 def plan_edges(rows: DataFrame, rules: DataFrame, relationships: DataFrame, rel_type_id: str) -> Plan:
     """rows: row_number with both resolved ends. Pairs that exist are unchanged, new allowed ones are created, the rest are problems."""
     pairs = rules.where(F.col("rel_type_id") == rel_type_id).select(F.col("subject_type_id").alias("subject_type"), F.col("object_type_id").alias("object_type"), F.lit(True).alias("__allowed"))
