@@ -1,14 +1,18 @@
 """Collision-free keys: base, base_2, base_3, ... within a scope, as if given one after another in the order of the requests.
 
 Requests of one base take its free numbers in order. Where two bases come to the same key ("a_2" as the second "a" and as
-a name), the earlier request keeps it, and for the other base the number is taken; that is done over until no key is
-claimed twice. A number that is taken so stays taken: its holder can only change to an earlier request. Each round is a
-window and joins; rounds are few, as every one settles all clashes it finds.
+a name), the earlier request keeps it, and for later requests of the other base the number is taken; that is done over
+until no key is claimed twice. A key that a request has come to goes to it or to an earlier one in the end, so what is
+taken for later requests stays so, and the last round is the order of requests. Each round is one sorted pass over the
+requests and a few joins; rounds are few, as every one settles all clashes it finds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
@@ -33,35 +37,55 @@ def numbers_of(bases: DataFrame, used: DataFrame) -> DataFrame:
     return stems.join(found, ["scope", "stem"]).where(_key(F.col("base"), F.col("number")) == F.col("key")).select("scope", "base", "number").distinct()
 
 
-def _claims(rows: DataFrame, blocked: DataFrame) -> DataFrame:
-    """``rows`` with the number and key they come to. The r-th request of a base takes r and the blocked numbers below.
+def _given(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Numbers of requests that come sorted by scope, base and seq, the blocked numbers of a base before its requests.
 
-    Of k blocked numbers b1 < b2 < ... the i-th lies below the r-th free one just if bi - i < r; so both are laid in one
-    order and counted.
+    Only the blocked numbers of one base are held; ``since`` null blocks a number for all, else for requests after it.
     """
-    i = F.row_number().over(Window.partitionBy("scope", "base").orderBy("number"))
-    marks = blocked.select("scope", "base", (F.col("number") - i).alias("at"), F.lit(1).alias("mark"))
-    both = rows.withColumns({"at": F.col("rank"), "mark": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
-    before = Window.partitionBy("scope", "base").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, -1)  # a mark at r is not below r
-    out = both.withColumn("number", F.col("rank") + F.coalesce(F.sum("mark").over(before), F.lit(0))).where("mark = 0").drop("at", "mark")
+    own, at, blocked = None, 0, {}
+    for batch in batches:
+        numbers = []
+        for scope, base, mark, seq, number, since in zip(*(batch[c] for c in ("scope", "base", "mark", "seq", "number", "since"))):
+            if (scope, base) != own:
+                own, at, blocked = (scope, base), 0, {}
+            if mark == 0:
+                blocked[int(number)] = None if pd.isna(since) else since
+                numbers.append(0)
+                continue
+            at += 1
+            while at in blocked and (blocked[at] is None or blocked[at] < seq):
+                at += 1
+            numbers.append(at)
+        out = batch.assign(number=numbers)
+        yield out[out["mark"] == 1][["scope", "base", "seq", "number"]]
+
+
+def _claims(rows: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(scope, base, seq, number, key) that requests come to under the blocked numbers."""
+    kinds = dict(rows.dtypes)
+    requests = rows.select("scope", "base", F.lit(1).alias("mark"), "seq", F.lit(0).alias("number"), F.lit(None).cast(kinds["seq"]).alias("since"))
+    marks = blocked.select("scope", "base", F.lit(0).alias("mark"), F.lit(None).cast(kinds["seq"]).alias("seq"), "number", "since")
+    both = requests.unionByName(marks).repartition("scope", "base").sortWithinPartitions("scope", "base", "mark", "seq")
+    out = both.mapInPandas(_given, f"scope {kinds['scope']}, base string, seq {kinds['seq']}, number int")
     return out.withColumn("key", _key(F.col("base"), F.col("number")))
 
 
 def allocate(requests: DataFrame, taken: DataFrame, fallback: str = "item") -> DataFrame:
-    """requests: scope, seq (different within a scope), name; taken: scope, key. Adds base and key."""
+    """requests: scope, seq (different within a scope, not null), name; taken: scope, key. Adds base and key."""
     steps = Steps(requests.sparkSession, "keys")
     base = F.when(F.coalesce(slug(F.col("name")), F.lit("")) == "", fallback).otherwise(slug(F.col("name"), MOST))
-    rows = requests.withColumn("base", base)
-    rows = steps.keep(rows.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "base").orderBy("seq"))), "rows")
-    bases = rows.select("scope", "base").distinct()
-    blocked = steps.keep(numbers_of(bases, taken.select("scope", "key").distinct()), "blocked-0")
+    rows = steps.keep(requests.withColumn("base", base), "rows")
+    none = F.lit(None).cast(dict(rows.dtypes)["seq"])
+    blocked = numbers_of(rows.select("scope", "base").distinct(), taken.select("scope", "key").distinct()).withColumn("since", none)
+    blocked = steps.keep(blocked, "blocked-0")
     k = 0
     while True:
         claims = steps.keep(_claims(rows, blocked), f"claims-{k}")
-        first = claims.groupBy("scope", "key").agg(F.min_by("base", "seq").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        lost = claims.join(first, ["scope", "key"]).where("base <> holder").select("scope", "base", "number").distinct()
+        first = claims.groupBy("scope", "key").agg(F.min("seq").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        lost = claims.join(first, ["scope", "key"]).where("seq <> holder").groupBy("scope", "base", "number").agg(F.min("holder").alias("since"))
         k += 1
         lost = steps.keep(lost, f"lost-{k}")
         if lost.isEmpty():
-            return claims.drop("rank", "number")
-        blocked = steps.keep(blocked.unionByName(lost).distinct(), f"blocked-{k}")
+            return rows.join(claims.select("scope", "seq", "key"), ["scope", "seq"])
+        every = blocked.unionByName(lost).groupBy("scope", "base", "number").agg(F.max(F.col("since").isNull()).alias("__all"), F.min("since").alias("since"))
+        blocked = steps.keep(every.select("scope", "base", "number", F.when(~F.col("__all"), F.col("since")).alias("since")), f"blocked-{k}")
