@@ -79,7 +79,7 @@ def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection, _ = _tables()
         for batch in batches:
-            for at, found in tokens.encoded(batch.column("text"), path, 1 << 23):
+            for at, found in tokens.encoded(batch.column("text"), path, 1 << 22):
                 raw = [x + END_ID.to_bytes(4, "little") for x in found]
                 where = np.array([place(np.frombuffer(x, "<u4"), projection) for x in raw])
                 cell = np.clip(((where + 1) / 2 * (1 << DEPTH)).astype(np.int64), 0, (1 << DEPTH) - 1)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words, and pieces of words, in a generation of what each Python worker remembers, about 200 bytes each.
-MOST_WORDS = 480_000
+MOST_WORDS = 320_000
 
 _state: dict = {}
 
