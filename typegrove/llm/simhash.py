@@ -92,7 +92,9 @@ def embed(fp: Column) -> Column:
 
 
 def groups_for(points: int) -> int:
-    """Groups of coordinates: cells of a few points on average for fingerprints spread at random."""
+    """Groups of coordinates: cells of a few points on average for fingerprints spread at random. The links found are the
+    same for any number from four up: two vectors at distance 3 differ in three groups at most, and so agree on all
+    coordinates of one grid at least."""
     return 5 if points < 1_000_000 else 6 if points < 30_000_000 else 7 if points < 300_000_000 else 8
 
 
