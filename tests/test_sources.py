@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from typegrove import schema
 from typegrove.operators.commit import Model
 from typegrove.sources import export, tables, templates
+from typegrove.sources.snapshots import Snapshots
 from typegrove.streaming.changes import commit_stream, read_changes
 
 from .test_operators import graph, log  # noqa: F401
@@ -69,11 +70,10 @@ def test_exports(graph, spark, tmp_path):  # noqa: F811
     rows = export.template_rows(graph, "app", ["status"])
     export.write_template(rows, str(tmp_path / "t"))
     assert spark.read.option("header", True).csv(str(tmp_path / "t")).count() == 3
-    first = export.publish(graph, None, str(tmp_path / "p"), 1)
-    manifest = spark.read.parquet(str(tmp_path / "p" / "manifest"))
-    assert export.publish(graph, manifest, str(tmp_path / "p"), 1, first[1]) == (2, first[1])
+    first = Snapshots(spark, str(tmp_path / "p")).publish(graph, 1)
+    assert Snapshots(spark, str(tmp_path / "p")).publish(graph, 1, first[1]) == (2, first[1])
     with pytest.raises(ValueError, match="preview"):
-        export.publish(graph, manifest, str(tmp_path / "p"), 1, "other")
+        Snapshots(spark, str(tmp_path / "p")).publish(graph, 1, "other")
     assert export.export_name("My Módel!", 3) == "my-model-r3.json"
 
 

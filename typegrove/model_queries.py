@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, values
-from .operators import change_plan, commit, context, details, facets, importing, ontology, publication, reach, review, styles, tasks, validation
+from .operators import change_plan, commit, context, details, facets, importing, ontology, projection, publication, reach, review, styles, tasks, validation
 from .plans.query import Filter, Scope
 from .queries import CARDINALITY, DEGREES, EDGES, ENDS, FOUND, LOG, OBJECTS, SQL, attribute, query, sql
-from .schema import CHANGES
-from .sources import export, graphview, staging, templates
+from .sources import derived, export, graphview, staging, templates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,66 +39,89 @@ def commit_edges_follow_ends(spark, sf_dir):
     return after.relationships.groupBy("type_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ontology_changes(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("create", "object_type", "site", None, None, '{"name": "Site", "key": "site", "sort_order": 9}'),
-        ("update", "object_type", "invoice", None, None, '{"field": "is_active", "value": true}'),
-        ("update", "object_type", "part", None, None, '{"field": "description", "value": "Goods"}'),
-        ("create", "attribute_definition", "site.floor", "object_type", "site", '{"name": "Floor", "key": "floor", "data_type": "number", "least": 0}'),
-        ("update", "attribute_definition", "part.size", None, None, '{"field": "most", "value": 50}'),
-        ("update", "attribute_definition", "part.brand", None, None, '{"field": "is_active", "value": false}'),
-        ("delete", "attribute_definition", "order.priority", None, None, None),
-        ("create", "relationship_type_rule", "site:region", "relationship_type", "in_region", '{"subject_type_id": "site", "object_type_id": "region", "s_min": 0, "o_min": 1, "o_max": 1}'),
-        ("update", "relationship_type_rule", "contains:order:part", None, None, '{"field": "o_max", "value": null}'),
-        ("delete", "relationship_type_rule", "placed_by:order:customer", None, None, None),
-    ]
-    return spark.createDataFrame([(f"c{n}", "p", n, op, kind, target, pt, p, None, after) for n, (op, kind, target, pt, p, after) in enumerate(rows)], CHANGES)
-
-
-_DEFS = "('customer', 'mktsegment', 'choice'), ('customer', 'acctbal', 'number'), ('supplier', 'acctbal', 'number'), ('part', 'brand', 'choice'), ('part', 'ptype', 'choice'), ('part', 'size', 'number'), ('part', 'retailprice', 'number'), ('order', 'status', 'choice'), ('order', 'totalprice', 'number'), ('order', 'orderdate', 'datetime'), ('order', 'priority', 'choice'), ('contains', 'quantity', 'number'), ('contains', 'returnflag', 'choice'), ('contains', 'shipdate', 'date')"
-
-
-@query(f"SELECT owner_id, key, data_type, NOT (owner_id = 'part' AND key = 'brand') AS is_active, CASE WHEN key = 'floor' THEN 0.0 END AS least, CASE WHEN owner_id = 'part' AND key = 'size' THEN 50.0 END AS most FROM (VALUES {_DEFS}, ('site', 'floor', 'number')) v(owner_id, key, data_type) WHERE key <> 'priority'")
+#: The derived ontology and its log in SQL (``sources.derived``).
+BASE_ONTOLOGY = """
+types AS (
+  SELECT 'brand:' || p_brand AS id, p_brand AS name, count(*)::INT AS sort_order FROM part GROUP BY p_brand
+  UNION ALL SELECT 'segment:' || c_mktsegment, c_mktsegment, count(*)::INT FROM customer GROUP BY c_mktsegment
+  UNION ALL SELECT 'maker:' || s_nationkey, any_value(n_name), count(*)::INT FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY s_nationkey),
+rel_types AS (SELECT 'sold:' || o_orderpriority AS id, o_orderpriority AS name FROM orders GROUP BY o_orderpriority UNION ALL SELECT 'made_by', 'Made by' FROM part HAVING count(*) >= 0),
+defs AS (
+  SELECT 'brand:' || p_brand || '.size' AS id, 'brand:' || p_brand AS owner_id, 'size' AS key, 'number' AS data_type, min(p_size)::DOUBLE AS least, max(p_size)::DOUBLE AS most FROM part GROUP BY p_brand
+  UNION ALL SELECT 'brand:' || p_brand || '.ptype', 'brand:' || p_brand, 'ptype', 'choice', NULL, NULL FROM part GROUP BY p_brand
+  UNION ALL SELECT 'sold:' || o_orderpriority || '.status', 'sold:' || o_orderpriority, 'status', 'choice', NULL, NULL FROM orders GROUP BY o_orderpriority),
+base_rules AS (
+  SELECT 'made_by:' || p_brand || ':' || s_nationkey AS id, 'made_by' AS rel_type_id, 'brand:' || p_brand AS subject_type_id, 'maker:' || s_nationkey AS object_type_id, count(DISTINCT l_suppkey)::INT AS o_max
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY p_brand, s_nationkey
+  UNION ALL SELECT 'sold:' || o_orderpriority || ':' || p_brand || ':' || c_mktsegment, 'sold:' || o_orderpriority, 'brand:' || p_brand, 'segment:' || c_mktsegment, count(*)::INT
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY o_orderpriority, p_brand, c_mktsegment)"""
+ONTOLOGY_LOG = """
+told AS (SELECT event_id AS seq, event_type AS t, CAST(json_extract_string(props, '$.k') AS INT) AS k, 'Brand#' || (user_id % 30 + 1) AS b FROM events),
+renamed AS (SELECT 'brand:' || b AS id, 'Brand v' || arg_max(k, seq) AS name FROM told WHERE t = 'click' GROUP BY b),
+shown AS (SELECT 'brand:' || b AS id, arg_max(t, seq) = 'view' AS is_active FROM told WHERE t = 'error' AND k % 10 = 0 OR t = 'view' AND k % 10 = 1 GROUP BY b),
+mosts AS (SELECT 'brand:' || b || '.size' AS id, arg_max(k, seq)::DOUBLE AS most FROM told WHERE t = 'purchase' GROUP BY b),
+tops AS (SELECT 'made_by:' || b || ':' || k % 25 AS id, arg_max(k, seq) AS o_max FROM told WHERE t = 'signup' GROUP BY b, k % 25),
+now_types AS (SELECT id, coalesce(r.name, t.name) AS name, sort_order, coalesce(is_active, true) AS is_active FROM types t LEFT JOIN renamed r USING (id) LEFT JOIN shown USING (id)),
+now_defs AS (
+  SELECT id, owner_id, key, data_type, least, coalesce(m.most, d.most) AS most FROM defs d LEFT JOIN mosts m USING (id)
+  WHERE id NOT IN (SELECT 'brand:' || b || '.ptype' FROM told WHERE t = 'error' AND k % 50 = 5)
+  UNION ALL SELECT 'extra:' || seq, 'brand:' || b, 'extra_' || seq, 'number', k::DOUBLE, NULL FROM told WHERE t = 'view' AND k % 10 = 2),
+all_rules AS (
+  SELECT id, rel_type_id, subject_type_id, object_type_id, coalesce(n.o_max, r.o_max) AS o_max FROM base_rules r LEFT JOIN tops n USING (id)
+  UNION ALL SELECT 'allow:' || seq, 'made_by', 'brand:' || b, 'maker:' || k % 25, k FROM told WHERE t = 'view' AND k % 10 = 3),
+now_rules AS (SELECT * FROM all_rules WHERE subject_type_id IN (SELECT id FROM types) AND object_type_id IN (SELECT id FROM types))"""
+
+
+def _derived(spark: SparkSession, sf_dir: str):
+    """The ontology that the tables show, after the changes that the events make to it."""
+    return commit.apply(derived.dataset(spark, sf_dir), derived.changes(spark, sf_dir))
+
+
+@query(sql("SELECT id, owner_id, key, data_type, least, most FROM now_defs WHERE owner_id IN (SELECT id FROM types UNION ALL SELECT id FROM rel_types)", BASE_ONTOLOGY, ONTOLOGY_LOG))
 def commit_definitions(spark, sf_dir):
-    after = commit.apply(graphview.dataset(spark, sf_dir), _ontology_changes(spark))
-    return after.attribute_defs.select("owner_id", "key", "data_type", "is_active", "least", "most")
+    return _derived(spark, sf_dir).attribute_defs.select("id", "owner_id", "key", "data_type", "least", "most")
 
 
-@query("SELECT * FROM (VALUES ('in_region', 'nation', 'region', 1), ('based_in', 'customer', 'nation', 1), ('based_in', 'supplier', 'nation', 1), ('contains', 'order', 'part', NULL), ('supplied_by', 'part', 'supplier', 40), ('in_region', 'site', 'region', 1)) v(rel_type_id, subject_type_id, object_type_id, o_max)")
+@query(sql("SELECT id, rel_type_id, subject_type_id, object_type_id, o_max FROM now_rules", BASE_ONTOLOGY, ONTOLOGY_LOG))
 def commit_rules(spark, sf_dir):
-    return commit.apply(graphview.dataset(spark, sf_dir), _ontology_changes(spark)).rules.select("rel_type_id", "subject_type_id", "object_type_id", "o_max")
+    return _derived(spark, sf_dir).rules.select("id", "rel_type_id", "subject_type_id", "object_type_id", "o_max")
 
 
-@query("SELECT * FROM (VALUES ('region', true, ''), ('nation', true, ''), ('customer', true, ''), ('supplier', true, ''), ('part', true, 'Goods'), ('order', true, ''), ('invoice', true, ''), ('site', true, NULL)) v(id, is_active, description)")
+@query(sql("SELECT id, name, is_active, sort_order FROM now_types", BASE_ONTOLOGY, ONTOLOGY_LOG))
 def commit_types(spark, sf_dir):
-    return commit.apply(graphview.dataset(spark, sf_dir), _ontology_changes(spark)).object_types.select("id", "is_active", "description")
+    return _derived(spark, sf_dir).object_types.select("id", "name", "is_active", "sort_order")
 
 
-@query("SELECT * FROM (VALUES ('region', 0), ('nation', 0), ('customer', 2), ('supplier', 1), ('part', 3), ('order', 3), ('invoice', 0), ('site', 1)) v(id, n)")
+@query(sql("SELECT t.id, count(d.id)::BIGINT AS n FROM types t LEFT JOIN now_defs d ON d.owner_id = t.id GROUP BY t.id", BASE_ONTOLOGY, ONTOLOGY_LOG))
 def attribute_counts(spark, sf_dir):
-    return ontology.attribute_counts(graphview.dataset(spark, sf_dir), _ontology_changes(spark)).select("id", F.col("n").cast("int").alias("n"))
+    return ontology.attribute_counts(derived.dataset(spark, sf_dir), derived.changes(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('in_region', 2), ('based_in', 2), ('placed_by', 0), ('contains', 1), ('supplied_by', 1), ('billed_by', 0)) v(id, n)")
+@query(sql("SELECT t.id, count(r.id)::BIGINT AS n FROM rel_types t LEFT JOIN all_rules r ON r.rel_type_id = t.id GROUP BY t.id", BASE_ONTOLOGY, ONTOLOGY_LOG))
 def rule_counts(spark, sf_dir):
-    return ontology.rule_counts(graphview.dataset(spark, sf_dir), _ontology_changes(spark)).select("id", F.col("n").cast("int").alias("n"))
+    return ontology.rule_counts(derived.dataset(spark, sf_dir), derived.changes(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('in_region', 'subject', 'nation', 'Nation'), ('in_region', 'object', 'region', 'Region'), ('based_in', 'subject', 'customer', 'Customer'), ('based_in', 'subject', 'supplier', 'Supplier'), ('based_in', 'object', 'nation', 'Nation'), ('placed_by', 'subject', 'order', 'Order'), ('placed_by', 'object', 'customer', 'Customer'), ('contains', 'subject', 'order', 'Order'), ('contains', 'object', 'part', 'Part'), ('supplied_by', 'subject', 'part', 'Part'), ('supplied_by', 'object', 'supplier', 'Supplier')) v(rel_type_id, side, type_id, name)")
+@query(sql("SELECT DISTINCT rel_type_id, side, t.id AS type_id, t.name FROM (SELECT rel_type_id, 'subject' AS side, subject_type_id AS id FROM now_rules UNION ALL SELECT rel_type_id, 'object', object_type_id FROM now_rules) JOIN now_types t USING (id)", BASE_ONTOLOGY, ONTOLOGY_LOG))
 def endpoint_types(spark, sf_dir):
-    return ontology.endpoint_types(graphview.dataset(spark, sf_dir))
+    return ontology.endpoint_types(_derived(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, 'region'), (2, 'nation'), (3, 'customer'), (4, 'supplier'), (5, 'part'), (6, 'order'), (7, 'invoice')) v(place, id)")
+@query(sql("SELECT row_number() OVER (ORDER BY sort_order, lower(name), id) AS place, id FROM now_types", BASE_ONTOLOGY, ONTOLOGY_LOG))
 def ordered_types(spark, sf_dir):
-    rows = ontology.ordered_types(graphview.dataset(spark, sf_dir).object_types).limit(100)
-    return rows.select((F.row_number().over(_whole()) + 0).alias("place"), "id")
-
+    """Places as the operator's own order gives them; types are few, so one partition numbers them."""
+    rows = ontology.ordered_types(_derived(spark, sf_dir).object_types).coalesce(1)
+    return rows.select((F.monotonically_increasing_id() + 1).alias("place"), "id")
 
-def _whole():
-    from pyspark.sql import Window
 
-    return Window.orderBy("sort_order", F.lower("name"), "id")  # types: a bounded table
+@query(sql("SELECT r.id, s.name AS subject, o.name AS object, t.name AS label FROM now_rules r JOIN now_types s ON s.id = subject_type_id AND s.is_active JOIN now_types o ON o.id = object_type_id AND o.is_active JOIN rel_types t ON t.id = rel_type_id UNION ALL SELECT id, name, NULL, NULL FROM now_types WHERE is_active", BASE_ONTOLOGY, ONTOLOGY_LOG))
+def ontology_graph(spark, sf_dir):
+    """Nodes and edges of the ontology that the tables and events give."""
+    nodes, edges = projection.ontology_graph(_derived(spark, sf_dir))
+    names = lambda c: nodes.select(F.col("id").alias(f"{c}_type_id"), F.col("name").alias(c))
+    edges = edges.join(names("subject"), "subject_type_id").join(names("object"), "object_type_id")
+    none = F.lit(None).cast("string")
+    return edges.select("id", "subject", "object", "label").unionByName(nodes.select("id", F.col("name").alias("subject"), none.alias("object"), none.alias("label")))
 
 
 @query("SELECT 'part:' || p_partkey AS id, 'brand,ptype,size' AS keys, p_brand || ',' || p_type || ',' || p_size AS vals FROM part UNION ALL SELECT 'supplier:' || s_suppkey, 'acctbal', s_acctbal::VARCHAR FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, '', '' FROM nation UNION ALL SELECT 'order:' || o_orderkey, 'status,totalprice,orderdate', o_orderstatus || ',' || o_totalprice || ',' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') FROM orders")
@@ -164,7 +186,7 @@ def protected_types(spark, sf_dir):
     kinds = spark.createDataFrame([(t, "object_type") for t in ("region", "nation", "customer", "invoice")] + [("supplied_by", "relationship_type"), ("billed_by", "relationship_type")], "target_id string, target_type string")
     rows = regions.unionByName(kinds).withColumns({"operation": F.lit("delete"), "after_json": F.lit(None).cast("string")})
     d = graphview.dataset(spark, sf_dir)
-    out = commit.protected(d, rows, "object", d.objects).unionByName(commit.protected(d, rows, "relationship", d.relationships))
+    out = commit.protected(rows, "object", d.objects).unionByName(commit.protected(rows, "relationship", d.relationships))
     return out.select("target_type", "target_id")
 
 
@@ -231,11 +253,28 @@ def v_model(spark, sf_dir):
     return validation.model_mismatches(c.unionByName(s), types, "object").select("code", "target_id")
 
 
-@query("SELECT * FROM (VALUES ('structural_invalid', 'part.size'), ('structural_invalid', 'part.brand'), ('structural_invalid', 'order.status'), ('structural_invalid', 'contains:order:part')) v(code, target_id)")
+@query(sql(
+    """SELECT 'structural_invalid' AS code, 'brand:' || b || '.size' AS target_id FROM sizes WHERE n % 2 = 0 AND least < most
+UNION ALL SELECT 'structural_invalid', 'brand:' || b || '.ptype' FROM sizes WHERE n % 5 = 0 OR n % 7 = 0
+UNION ALL SELECT 'structural_invalid', 'brand:' || b || '.size' FROM sizes WHERE n % 2 = 1 AND n % 3 = 0 AND most <> least
+UNION ALL SELECT 'structural_invalid', id FROM base_rules WHERE o_max % 2 = 1""",
+    BASE_ONTOLOGY, "sizes AS (SELECT p_brand AS b, split_part(p_brand, '#', 2)::INT AS n, min(p_size) AS least, max(p_size) AS most FROM part GROUP BY p_brand)",
+))
 def v_structural(spark, sf_dir):
-    d = graphview.dataset(spark, sf_dir)
-    defs = d.attribute_defs.withColumns({"least": F.when(F.col("id") == "part.size", 9.0), "most": F.when(F.col("id") == "part.size", 3.0), "choices": F.when(F.col("id") == "part.brand", F.array().cast("array<string>")).when(F.col("id") == "order.status", F.array(F.lit("F"), F.lit("F"))).otherwise(F.col("choices"))})
-    rules = d.rules.withColumn("o_min", F.when(F.col("id") == "contains:order:part", 9).otherwise(F.col("o_min")))
+    """Derived definitions with bounds the wrong way round, repeated choices, choices of a text, a default out of bounds; rules likewise."""
+    d = derived.dataset(spark, sf_dir)
+    n, size = F.regexp_extract("owner_id", "#([0-9]+)", 1).try_cast("int"), F.col("key") == "size"
+    ptype = F.col("key") == "ptype"
+    defs = d.attribute_defs.select("*", F.when(size & (n % 2 == 0), F.struct(F.col("most").alias("least"), F.col("least").alias("most"))).otherwise(F.struct("least", "most")).alias("bounds"))
+    defs = defs.withColumns(
+        {
+            "least": F.col("bounds.least"), "most": F.col("bounds.most"),
+            "choices": F.when(ptype & (n % 5 == 0), F.concat("choices", "choices")).otherwise(F.col("choices")),
+            "data_type": F.when(ptype & (n % 7 == 0), "text").otherwise(F.col("data_type")),
+            "default_value": F.when(size & (n % 2 == 1) & (n % 3 == 0), F.when(F.col("most") != F.col("least"), (F.col("most") + 1).cast("string")).otherwise(F.col("most").cast("string"))).when(ptype & (n % 5 != 0) & (n % 7 != 0), F.element_at("choices", 1)),
+        }
+    ).drop("bounds")
+    rules = d.rules.withColumns({"s_min": F.when(F.col("o_max") % 2 == 1, 2).otherwise(F.col("s_min")), "s_max": F.when(F.col("o_max") % 2 == 1, 1).otherwise(F.col("s_max"))})
     return validation.structural_issues(d.with_(attribute_defs=defs, rules=rules)).select("code", "target_id")
 
 
@@ -387,36 +426,46 @@ def change_plan_compiled(spark, sf_dir):
     return rows.select("seq", "operation", name.alias("name"), "parent_id")
 
 
-#: A template with every kind of record.
-TEMPLATE = {
-    "object_types": [{"key": "site", "name": "Site", "attributes": [{"key": "floor", "name": "Floor", "data_type": "number", "least": 0, "required": True}, {"key": "use", "name": "Use", "data_type": "choice", "choices": ["office", "store"]}]}, {"key": "team", "name": "Team"}],
-    "relationship_types": [{"key": "works_at", "name": "Works at", "rules": [{"subject": "team", "object": "site", "s_min": 0, "o_min": 1, "o_max": 2}]}],
-    "objects": [{"key": "north", "name": "North", "type": "site", "attributes": {"floor": 2, "use": "office"}}, {"key": "ops", "name": "Ops", "type": "team"}],
-    "relationships": [{"type": "works_at", "source": "ops", "target": "north"}],
-}
+def _template(spark: SparkSession, sf_dir: str) -> dict:
+    """A template of regions and nations, its choices and bounds from the suppliers: tables that are bounded by nature."""
+    regions, nations = _read(spark, sf_dir, "region").collect(), _read(spark, sf_dir, "nation").collect()
+    some = _read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    n = {r["s_nationkey"]: r["n"] for r in some.join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).collect()}  # a row a nation
+    return {
+        "object_types": [{"key": "region", "name": "Region"}, {"key": "nation", "name": "Nation", "attributes": [{"key": "suppliers", "name": "Suppliers", "data_type": "number", "least": 0, "most": max(n.values()), "required": True}]}],
+        "relationship_types": [{"key": "lies_in", "name": "Lies in", "rules": [{"subject": "nation", "object": "region", "s_min": 0, "o_min": 1, "o_max": len(regions)}]}],
+        "objects": [{"key": f"region_{r['r_regionkey']}", "name": r["r_name"], "type": "region"} for r in regions] + [{"key": f"nation_{r['n_nationkey']}", "name": r["n_name"], "type": "nation", "attributes": {"suppliers": n.get(r["n_nationkey"], 0)}} for r in nations],
+        "relationships": [{"type": "lies_in", "source": f"nation_{r['n_nationkey']}", "target": f"region_{r['n_regionkey']}"} for r in nations],
+    }
 
 
 def _template_model(spark: SparkSession, sf_dir: str):
     """A model made of a template alone."""
     d = graphview.dataset(spark, sf_dir)
     none = d.with_(**{t: getattr(d, t).where("false") for t in commit.TABLES})
-    plan = templates.operations(spark, TEMPLATE)
+    plan = templates.operations(spark, _template(spark, sf_dir))
     if not change_plan.problems(plan, none).isEmpty():
         raise ValueError("the template has problems")
     return commit.apply(none, change_plan.compiled(plan, "p"))
 
 
-@query("SELECT * FROM (VALUES ('type', 'Site', NULL, NULL, NULL), ('type', 'Team', NULL, NULL, NULL), ('definition', 'Floor', 'Site', 'number', 'true'), ('definition', 'Use', 'Site', 'choice', 'false'), ('rule', 'Works at', 'Team', 'Site', '0..* 1..2'), ('object', 'North', 'Site', '2', 'office'), ('object', 'Ops', 'Team', NULL, NULL), ('edge', 'Works at', 'Ops', 'North', NULL)) v(kind, name, a, b, c)")
+@query(
+    """WITH n AS (SELECT n_nationkey, n_name, n_regionkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL)
+SELECT 'type' AS kind, 'Region' AS name, NULL AS a, NULL AS b, NULL AS c FROM region HAVING count(*) > 0 UNION ALL SELECT 'type', 'Nation', NULL, NULL, NULL FROM nation HAVING count(*) > 0
+UNION ALL SELECT 'definition', 'Suppliers', 'Nation', max(n)::VARCHAR, 'true' FROM n UNION ALL SELECT 'rule', 'Lies in', 'Nation', 'Region', '0..* 1..' || count(*) FROM region
+UNION ALL SELECT 'object', r_name, 'Region', NULL, NULL FROM region UNION ALL SELECT 'object', n_name, 'Nation', n::VARCHAR, NULL FROM n
+UNION ALL SELECT 'edge', 'Lies in', n_name, r_name, NULL FROM n JOIN region ON r_regionkey = n_regionkey"""
+)
 def template_model(spark, sf_dir):
     m = _template_model(spark, sf_dir)
     named = lambda df, c: df.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
     none = F.lit(None).cast("string")
     rows = lambda df, kind, name, a=none, b=none, c=none: df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), a.alias("a"), b.alias("b"), c.alias("c"))
     out = rows(m.object_types, "type", "name")
-    out = out.unionByName(rows(m.attribute_defs.join(named(m.object_types, "owner_id"), "owner_id"), "definition", "name", F.col("owner_id_name"), F.col("data_type"), F.col("required").cast("string")))
+    out = out.unionByName(rows(m.attribute_defs.join(named(m.object_types, "owner_id"), "owner_id"), "definition", "name", F.col("owner_id_name"), F.col("most").cast("int").cast("string"), F.col("required").cast("string")))
     r = m.rules.join(named(m.relationship_types, "rel_type_id"), "rel_type_id").join(named(m.object_types, "subject_type_id"), "subject_type_id").join(named(m.object_types, "object_type_id"), "object_type_id")
     out = out.unionByName(rows(r, "rule", "rel_type_id_name", F.col("subject_type_id_name"), F.col("object_type_id_name"), F.concat_ws(" ", text.bounds_label(F.col("s_min"), F.col("s_max")), text.bounds_label(F.col("o_min"), F.col("o_max")))))
-    out = out.unionByName(rows(m.objects.join(named(m.object_types, "type_id"), "type_id"), "object", "name", F.col("type_id_name"), attribute("floor"), attribute("use")))
+    out = out.unionByName(rows(m.objects.join(named(m.object_types, "type_id"), "type_id"), "object", "name", F.col("type_id_name"), attribute("suppliers")))
     e = m.relationships.join(named(m.relationship_types, "type_id"), "type_id").join(named(m.objects, "source_id"), "source_id").join(named(m.objects, "target_id"), "target_id")
     return out.unionByName(rows(e, "edge", "type_id_name", F.col("source_id_name"), F.col("target_id_name")))
 

@@ -1,26 +1,21 @@
-"""Committing a change-set: pre-checks, the tables it leaves, validation, and a new revision.
+"""Change-sets: pre-checks of their rows, the tables they leave, issues laid to changes, and work on the log itself.
 
-A revision is a folder of Parquet tables of a name of its own. A manifest file, made only if it is not there yet, names
-the folder of each revision: of several commits on one revision just one succeeds, readers see whole revisions only, and
-a commit that is run again under the same token changes nothing. What is validated are the tables as written: the log is
-applied once, and plans stay short. A rejected change-set's folder goes; a table of its issues stays.
+``model.Model`` keeps the revisions that commits make.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_slug
 from ..schema import Dataset
-from ..shared import delete
+from ..shared import Steps
 from . import dataset as ds
 from .overlay import STORED, stored
-from .validation import issues, union, validate
+from .validation import issues, union
 
 TABLES = {"object_types": "object_type", "relationship_types": "relationship_type", "rules": "relationship_type_rule", "attribute_defs": "attribute_definition", "objects": "object", "relationships": "relationship"}
 
@@ -57,18 +52,33 @@ def illegal_fields(changes: DataFrame) -> DataFrame:
     return changes.where("operation = 'update'").withColumn("field", field).where(~(F.coalesce(legal, F.lit(False)) & has_value))
 
 
-def change_issues(dataset: Dataset, changes: DataFrame) -> DataFrame:
-    """What is wrong with the change rows themselves, before they are applied."""
+def log_ends(changes: DataFrame) -> DataFrame:
+    """(target_id, end_id): the ends that created edges name, and those that updates move edges to."""
+    made = changes.where("operation = 'create' and target_type = 'relationship'")
+    ends = made.select("target_id", F.explode(F.array(F.get_json_object("after_json", "$.source_id"), F.get_json_object("after_json", "$.target_id"))).alias("end_id"))
+    moved = changes.where("operation = 'update' and target_type = 'relationship'").where(F.get_json_object("after_json", "$.field").isin("source_id", "target_id"))
+    return ends.unionByName(moved.select("target_id", F.get_json_object("after_json", "$.value").alias("end_id")))
+
+
+def created_keys(changes: DataFrame) -> DataFrame:
+    """CREATE rows of objects that bring a key, with ``key``."""
+    return changes.where("operation = 'create' and target_type = 'object'").withColumn("key", F.get_json_object("after_json", "$.key")).where("key is not null")
+
+
+def change_issues(dataset: Dataset, changes: DataFrame, keys: DataFrame | None = None, holders: Dataset | None = None) -> DataFrame:
+    """What is wrong with the change rows themselves, before they are applied.
+
+    ``dataset`` may hold only the records that the log names. Then ``keys`` (type_id, key) must have the keys it could clash
+    with, and ``holders`` the records that may still have a type it deletes.
+    """
+    keys, holders = keys if keys is not None else dataset.objects, holders or dataset
     known = known_ids(dataset, changes)
     updates = changes.where("operation = 'update'").withColumn("field", F.get_json_object("after_json", "$.field"))
     missing = updates.join(known, ["target_type", "target_id"], "left_anti")
-    key = changes.where("operation = 'create' and target_type = 'object'").withColumn("key", F.get_json_object("after_json", "$.key")).where("key is not null")
-    made = changes.where("operation = 'create' and target_type = 'relationship'")
-    ends = made.select("target_id", F.explode(F.array(F.get_json_object("after_json", "$.source_id"), F.get_json_object("after_json", "$.target_id"))).alias("end_id"))
-    moved = updates.where("target_type = 'relationship' and field in ('source_id', 'target_id')").select("target_id", F.get_json_object("after_json", "$.value").alias("end_id"))
+    key = created_keys(changes)
     objects = known.where("target_type = 'object'").select(F.col("target_id").alias("end_id"))
-    lost = ends.unionByName(moved).join(objects, "end_id", "left_anti").select("target_id").distinct()
-    clash = key.join(dataset.objects.select(F.col("type_id").alias("parent_id"), "key"), ["parent_id", "key"], "left_semi")
+    lost = log_ends(changes).join(objects, "end_id", "left_anti").select("target_id").distinct()
+    clash = key.join(keys.select(F.col("type_id").alias("parent_id"), "key"), ["parent_id", "key"], "left_semi")
     twice = key.groupBy("parent_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rules = stored(dataset.rules, changes, "relationship_type_rule")
     touched = changes.where("target_type = 'relationship_type_rule' and operation <> 'delete'").select(F.col("target_id").alias("id")).distinct()
@@ -84,13 +94,13 @@ def change_issues(dataset: Dataset, changes: DataFrame) -> DataFrame:
             say(clash.unionByName(key.join(twice, ["parent_id", "key"], "left_semi").select(*clash.columns)), "duplicate_key", "The key is used already", "key"),
             issues(lost, "endpoint_not_found", "An end does not exist", "relationship", None, "target_id"),
             issues(again, "duplicate_rule", "The pair of types has a rule already", "relationship_type_rule"),
-            protected(dataset, changes, "object", dataset.objects),
-            protected(dataset, changes, "relationship", dataset.relationships),
+            protected(changes, "object", holders.objects),
+            protected(changes, "relationship", holders.relationships),
         ]
     )
 
 
-def protected(dataset: Dataset, changes: DataFrame, kind: str, rows: DataFrame) -> DataFrame:
+def protected(changes: DataFrame, kind: str, rows: DataFrame) -> DataFrame:
     """Deletes of types that records still have, those left out that the same change-set deletes."""
     gone_types = changes.where(f"operation = 'delete' and target_type = '{kind}_type'").select(F.col("target_id").alias("type_id"))
     gone = changes.where(f"operation = 'delete' and target_type = '{kind}'").select(F.col("target_id").alias("id"))
@@ -99,11 +109,18 @@ def protected(dataset: Dataset, changes: DataFrame, kind: str, rows: DataFrame)
 
 
 def attributed(found: DataFrame, changes: DataFrame) -> DataFrame:
-    """Each issue with the change it is laid to: one of the same record and field, else of the record, the latest first."""
+    """Each issue with the change it is laid to: one of the same record and field, else of the record, the latest first.
+
+    Changes are reduced to the latest of each field, and of each record, before they meet the issues, so every issue comes
+    out once, equal ones as often as they were found.
+    """
     c = changes.select(F.col("id").alias("change_id"), F.col("target_id").alias("__target"), F.get_json_object("after_json", "$.field").alias("__field"), "seq")
-    rows = found.withColumn("__n", F.xxhash64(*found.columns)).join(c, F.col("target_id") == F.col("__target"), "left")
-    best = Window.partitionBy("__n").orderBy(F.coalesce(F.col("__field").eqNullSafe(F.col("field")), F.lit(False)).desc(), F.col("seq").desc_nulls_last())
-    return rows.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__n", "__target", "__field", "__rank", "seq")
+    latest = F.max_by("change_id", F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), F.col("change_id").alias("id")))
+    by_field = c.groupBy("__target", "__field").agg(latest.alias("__one"))
+    by_record = c.groupBy("__target").agg(latest.alias("__other"))
+    rows = found.join(by_field, (F.col("target_id") == F.col("__target")) & F.col("field").eqNullSafe(F.col("__field")), "left").drop("__target", "__field")
+    rows = rows.join(by_record, F.col("target_id") == F.col("__target"), "left").drop("__target")
+    return rows.withColumn("change_id", F.coalesce("__one", "__other")).drop("__one", "__other")
 
 
 class Conflict(ValueError):
@@ -117,101 +134,6 @@ class Outcome:
     issues: DataFrame | None
 
 
-class Model:
-    """Revisions of a dataset under a folder that all executors share."""
-
-    MANIFEST = "revision long, folder string, token string"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def manifest(self) -> DataFrame:
-        """(revision, folder, token): a row for each revision."""
-        try:
-            return self.spark.read.schema(self.MANIFEST).json(f"{self.path}/manifest")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self.MANIFEST)
-
-    def revision(self) -> int:
-        """The current revision: the highest number in the manifest, 0 before the first."""
-        return self.manifest().agg(F.max("revision")).first()[0] or 0
-
-    def _stage(self, dataset: Dataset) -> str:
-        name = f"tables/{uuid.uuid4().hex}"
-        for table in TABLES:
-            getattr(dataset, table).write.parquet(f"{self.path}/{name}/{table}")
-        return name
-
-    def _publish(self, revision: int, name: str, token: str | None) -> None:
-        """Makes the revision's manifest file; fails where there is one."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{revision:012d}.json")
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            out = files.create(path, False)
-        except Exception as e:
-            if not files.exists(path):
-                raise
-            raise Conflict(f"revision {revision} has been made by another commit") from e
-        out.write(bytearray((json.dumps({"revision": revision, "folder": name, "token": token}) + "\n").encode()))
-        out.close()
-
-    def create(self, dataset: Dataset) -> int:
-        self._publish(1, self._stage(dataset), None)
-        return 1
-
-    def _tables(self, name: str) -> Dataset:
-        return Dataset(**{table: self.spark.read.parquet(f"{self.path}/{name}/{table}") for table in TABLES})
-
-    def read(self, revision: int | None = None) -> Dataset:
-        """A revision as one: all its tables lie in one folder that no later commit touches."""
-        n = revision or self.revision()
-        found = self.manifest().where(F.col("revision") == n).first()
-        if found is None:
-            raise ValueError(f"there is no revision {n}")
-        return self._tables(found["folder"])
-
-    def read_consistent(self, view, tries: int = 2) -> tuple[int, object]:
-        """(revision, ``view(dataset)``), of a revision that was still the current one after the view; one retry."""
-        for _ in range(tries):
-            before = self.revision()
-            out = view(self.read(before))
-            if self.revision() == before:
-                return before, out
-        raise Conflict("the model changed while it was read")
-
-    def commit(self, changes: DataFrame, base_revision: int | None = None, token: str | None = None) -> Outcome:
-        """Applies and validates; makes the next revision if there are no issues, else changes nothing.
-
-        A ``token`` that a revision has already gives that revision and no other.
-        """
-        if token is not None:
-            found = self.manifest().where(F.col("token") == token).first()
-            if found is not None:
-                return Outcome(found["revision"], True, None)
-        now = self.revision()
-        if base_revision is not None and base_revision != now:
-            raise Conflict(f"the change-set was made on revision {base_revision}; the model is at {now}")
-        dataset, tried = self.read(now), f"{self.path}/tried/{uuid.uuid4().hex}"
-        changes.write.parquet(f"{tried}/changes")
-        changes = self.spark.read.schema(changes.schema).parquet(f"{tried}/changes")
-        name = self._stage(apply(dataset, changes))
-        found = attributed(change_issues(dataset, changes).unionByName(validate(self._tables(name))), changes)
-        found.write.parquet(f"{tried}/issues")
-        found = self.spark.read.schema(found.schema).parquet(f"{tried}/issues")
-        if not found.isEmpty():
-            delete(self.spark, f"{self.path}/{name}")
-            return Outcome(now, False, found)
-        try:
-            self._publish(now + 1, name, token)
-        except Conflict:
-            delete(self.spark, f"{self.path}/{name}")
-            raise
-        return Outcome(now + 1, True, found)
-
-
 def last_recorded(changes: DataFrame) -> DataFrame:
     """The log with one row per change-set, target and field: the last recorded; creates and deletes once each."""
     field = F.coalesce(F.get_json_object("after_json", "$.field"), F.lit(""))
@@ -220,13 +142,46 @@ def last_recorded(changes: DataFrame) -> DataFrame:
     return changes.withColumn("__rank", F.row_number().over(own)).where("__rank = 1").drop("__rank")
 
 
+#: Payload fields that name another record.
+NAMING = ("source_id", "target_id", "subject_type_id", "object_type_id")
+
+
+def references(changes: DataFrame) -> DataFrame:
+    """(target_id, names): each record that the log creates with the records it names, its parent among them."""
+    made = changes.where("operation = 'create'")
+    named = F.array("parent_id", *[F.get_json_object("after_json", f"$.{f}") for f in NAMING])
+    return made.select("target_id", F.explode(F.array_compact(named)).alias("names")).distinct()
+
+
+def dependents(changes: DataFrame, gone: DataFrame) -> DataFrame:
+    """(target_id): the records in ``gone`` and all that can't be without those of them that the log creates.
+
+    Created records that name a created record that goes do go, whatever field names it, and those that name them, to a
+    fixpoint: a round joins what went last with the references, which are computed once.
+    """
+    steps = Steps(changes.sparkSession, "dependents")
+    named = steps.keep(references(changes), "references")
+    made = changes.where("operation = 'create'").select("target_id").distinct()
+    out = steps.keep(gone.select("target_id").distinct(), "gone-0")
+    last, k = out.join(made, "target_id", "left_semi"), 0
+    while True:
+        k += 1
+        found = named.join(last.select(F.col("target_id").alias("names")), "names", "left_semi").select("target_id").distinct()
+        last = steps.keep(found.join(out, "target_id", "left_anti"), f"gone-{k}")
+        if last.isEmpty():
+            return out
+        out = out.unionByName(last)
+
+
 def discard(changes: DataFrame, gone: DataFrame) -> DataFrame:
-    """The log without the records in ``gone`` (target_id), their children, and edges that name any of them."""
-    every = changes.join(gone.select(F.col("target_id").alias("parent_id")), "parent_id", "left_semi").select("target_id").unionByName(gone.select("target_id")).distinct()
+    """The log without the records in ``gone`` (target_id), without what depends on those that it creates, and without
+    updates that make other records name one of them. What names a record that exists without the log stays."""
+    every = dependents(changes, gone)
     rest = changes.join(every, "target_id", "left_anti")
-    ends = rest.where("operation = 'create' and target_type = 'relationship'").select("target_id", F.explode(F.array(F.get_json_object("after_json", "$.source_id"), F.get_json_object("after_json", "$.target_id"))).alias("end_id"))
-    lost = ends.join(every.withColumnRenamed("target_id", "end_id"), "end_id", "left_semi").select("target_id").distinct()
-    return rest.join(lost, "target_id", "left_anti")
+    lost = every.join(changes.where("operation = 'create'").select("target_id"), "target_id", "left_semi").select(F.col("target_id").alias("__value"))
+    names = (F.col("operation") == "update") & F.get_json_object("after_json", "$.field").isin(*NAMING)
+    value = F.when(F.coalesce(names, F.lit(False)), F.get_json_object("after_json", "$.value"))
+    return rest.withColumn("__value", value).join(lost, "__value", "left_anti").select(*changes.columns)
 
 
 def bulk_edit(objects: DataFrame, selection: list[str], edits: dict[str, str | None], start_seq: int, proposal_id: str, most: int = 100) -> DataFrame:
@@ -262,3 +217,12 @@ def next_in_queue(proposals: DataFrame, stale_before=None) -> DataFrame:
 def live(proposals: DataFrame) -> DataFrame:
     """Change-sets that are open, or completed and not yet acknowledged."""
     return proposals.where(F.col("status").isin("working", "failed", "queued", "processing") | ((F.col("status") == "completed") & F.col("acknowledged_at").isNull()))
+
+
+def __getattr__(name: str):
+    """``commit.Model``: the model is built on what is above, so it is imported when it is asked for."""
+    if name == "Model":
+        from .model import Model
+
+        return Model
+    raise AttributeError(name)

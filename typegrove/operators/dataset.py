@@ -63,12 +63,24 @@ def degree(objects: DataFrame, relationships: DataFrame) -> DataFrame:
     return with_degree(objects.select("id"), relationships)
 
 
+END_TYPES = ("source_type", "target_type")
+
+
+def with_end_types(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Edges with the types of their ends, which never change; edges that lack an end go."""
+    if set(END_TYPES) <= set(edges.columns):
+        return edges
+    ends = objects.select(F.col("id").alias("end_id"), F.col("type_id").alias("end_type"))
+    for end, name in zip(("source_id", "target_id"), END_TYPES):
+        edges = edges.join(ends, F.col(end) == F.col("end_id")).drop("end_id").withColumnRenamed("end_type", name)
+    return edges
+
+
 def rule_of_edges(dataset: Dataset) -> DataFrame:
-    """Each edge with the rule that fits its type and its ends' types, or null."""
-    ends = dataset.objects.select(F.col("id").alias("end_id"), F.col("type_id").alias("end_type"))
-    rows = dataset.relationships.select("id", "type_id", "source_id", "target_id")
-    rows = rows.join(ends, rows.source_id == ends.end_id).drop("end_id").withColumnRenamed("end_type", "source_type")
-    rows = rows.join(ends, rows.target_id == ends.end_id).drop("end_id").withColumnRenamed("end_type", "target_type")
+    """Each edge with the rule that fits its type and its ends' types, or null. Edges that have their ends' types (a stored
+    model's) take no join with objects."""
+    kept = [c for c in END_TYPES if c in dataset.relationships.columns]
+    rows = with_end_types(dataset.relationships.select("id", "type_id", "source_id", "target_id", *kept), dataset.objects)
     rules = dataset.rules.select(F.col("id").alias("rule_id"), "rel_type_id", "subject_type_id", "object_type_id")
     fits = (rows.type_id == rules.rel_type_id) & (rows.source_type == rules.subject_type_id) & (rows.target_type == rules.object_type_id)
     return rows.join(rules, fits, "left").drop("rel_type_id", "subject_type_id", "object_type_id")

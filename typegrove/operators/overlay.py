@@ -83,7 +83,7 @@ def effective_definitions(defs: DataFrame, changes: DataFrame) -> DataFrame:
 #: Columns that a change may set, by target type, and the columns that a created row takes its parent into.
 STORED = {
     "object": ("name", "description", "is_active"),
-    "relationship": ("source_id", "target_id", "is_active"),
+    "relationship": ("source_id", "target_id", "is_active", "valid_from", "valid_to"),
     "object_type": ("name", "description", "is_active", "sort_order"),
     "relationship_type": ("name", "description", "is_active", "sort_order"),
     "attribute_definition": ("name", "data_type", "required", "nullable", "sort_order", "is_active", "min_length", "max_length", "least", "most", "choices"),

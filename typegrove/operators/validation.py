@@ -74,14 +74,14 @@ def attribute_issues(rows: DataFrame, defs: DataFrame, target_type: str) -> Data
 
 
 def field_issues(rows: DataFrame, target_type: str) -> DataFrame:
-    """Name and key of a record."""
-    return union(
-        [
+    """Name and activity of a record; an edge has no name."""
+    found = [issues(rows.where(F.col("is_active").isNull()), "invalid_is_active", "Active or not must be given", target_type, "is_active")]
+    if "name" in rows.columns:
+        found += [
             issues(rows.where(is_blank(F.col("name"))), "name_required", "A name is required", target_type, "name"),
             issues(rows.where(F.char_length("name") > MOST_NAME), "name_too_long", f"The name is longer than {MOST_NAME}", target_type, "name"),
-            issues(rows.where(F.col("is_active").isNull()), "invalid_is_active", "Active or not must be given", target_type, "is_active"),
         ]
-    )
+    return union(found)
 
 
 def pair_issues(dataset: Dataset) -> DataFrame:
@@ -116,38 +116,72 @@ def structural_issues(dataset: Dataset) -> DataFrame:
         | F.coalesce(F.col("least") > F.col("most"), F.lit(False))
         | ~is_slug(F.col("key"))
     )
+    if "default_value" in d.columns:
+        wrong = wrong | F.coalesce(~fits_default(), F.lit(False))
     r = dataset.rules.where("s_min > s_max or o_min > o_max or s_min < 0 or o_min < 0")
     return issues(d.where(wrong), "structural_invalid", "The definition does not fit its type", "attribute_definition").unionByName(issues(r, "structural_invalid", "Minimum above maximum", "relationship_type_rule"))
 
 
-def cardinality_counts(dataset: Dataset) -> DataFrame:
-    """(rule_id, side, id, n, least, most) of every active object on either side of each rule, 0 where it has no edge.
+def fits_default() -> Column:
+    """Whether a definition's default value, held as text, is a value that the definition allows; null where there is none."""
+    v, kind, n = F.col("default_value"), F.col("data_type"), F.col("default_value").try_cast("double")
+    bound = lambda value, low, high: F.coalesce(value >= F.col(low), F.lit(True)) & F.coalesce(value <= F.col(high), F.lit(True))
+    fits = (
+        F.when(kind == "text", bound(F.char_length(v), "min_length", "max_length"))
+        .when(kind == "number", n.isNotNull() & bound(n, "least", "most"))
+        .when(kind == "boolean", F.lower(v).isin("true", "false"))
+        .when(kind == "choice", F.coalesce(F.array_contains("choices", v), F.lit(False)))
+        .when(kind == "date", date_of(v).isNotNull())
+        .when(kind == "datetime", datetime_of(v).isNotNull())
+    )
+    return F.when(v.isNotNull(), F.coalesce(fits, F.lit(False)))
 
-    ``o_min``/``o_max`` bound the objects that each subject has, ``s_min``/``s_max`` the subjects of each object. Edges
-    must be active and of the rule's types; their other end may be inactive. Counting is per record and partial before
+
+def side_counts(edges: DataFrame) -> DataFrame:
+    """(id, type_id, side, other_type, n): active edges of a type that a record has on one side, by the type of the other end.
+
+    ``edges`` have their ends' types. Whatever rules there are, their counts are among these. Counting is partial before
     the shuffle, so a hub costs no more than another record.
     """
-    from .dataset import rule_of_edges
+    side = F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.lit("subject").alias("side"), F.col("target_type").alias("other_type")), F.struct(F.col("target_id").alias("id"), F.lit("object").alias("side"), F.col("source_type").alias("other_type"))))
+    rows = edges.where("is_active").select("type_id", side.alias("x")).select("x.id", "type_id", "x.side", "x.other_type")
+    return rows.groupBy("id", "type_id", "side", "other_type").agg(F.count(F.lit(1)).alias("n"))
+
 
-    edges = rule_of_edges(dataset.with_(relationships=dataset.relationships.where("is_active"))).where("rule_id is not null")
-    side = F.explode(F.array(F.struct(F.lit("subject").alias("side"), F.col("source_id").alias("id")), F.struct(F.lit("object").alias("side"), F.col("target_id").alias("id"))))
-    counts = edges.select("rule_id", side.alias("x")).select("rule_id", "x.*").groupBy("rule_id", "side", "id").agg(F.count(F.lit(1)).alias("n"))
-    r = dataset.rules.select(
+def counts_by_rule(objects: DataFrame, rules: DataFrame, sides: DataFrame) -> DataFrame:
+    """(rule_id, side, id, n, least, most) of every active object on either side of each rule, 0 where it has no edge."""
+    r = rules.select(
         F.col("id").alias("rule_id"),
+        F.col("rel_type_id"),
         F.explode(
             F.array(
-                F.struct(F.lit("subject").alias("side"), F.col("subject_type_id").alias("type_id"), F.col("o_min").alias("least"), F.col("o_max").alias("most")),
-                F.struct(F.lit("object").alias("side"), F.col("object_type_id").alias("type_id"), F.col("s_min").alias("least"), F.col("s_max").alias("most")),
+                F.struct(F.lit("subject").alias("side"), F.col("subject_type_id").alias("type_id"), F.col("object_type_id").alias("other_type"), F.col("o_min").alias("least"), F.col("o_max").alias("most")),
+                F.struct(F.lit("object").alias("side"), F.col("object_type_id").alias("type_id"), F.col("subject_type_id").alias("other_type"), F.col("s_min").alias("least"), F.col("s_max").alias("most")),
             )
         ).alias("x"),
-    ).select("rule_id", "x.*")
-    every = dataset.objects.where("is_active").select("id", "type_id").join(r, "type_id")
-    out = every.join(counts, ["rule_id", "side", "id"], "left")
+    ).select("rule_id", "rel_type_id", "x.*")
+    every = objects.where("is_active").select("id", "type_id").join(r, "type_id").drop("type_id")
+    out = every.join(sides.withColumnRenamed("type_id", "rel_type_id"), ["id", "rel_type_id", "side", "other_type"], "left")
     return out.select("rule_id", "side", "id", F.coalesce("n", F.lit(0)).alias("n"), "least", "most")
 
 
+def cardinality_counts(dataset: Dataset) -> DataFrame:
+    """(rule_id, side, id, n, least, most) of every active object on either side of each rule, 0 where it has no edge.
+
+    ``o_min``/``o_max`` bound the objects that each subject has, ``s_min``/``s_max`` the subjects of each object. Edges
+    must be active and of the rule's types; their other end may be inactive.
+    """
+    from .dataset import with_end_types
+
+    return counts_by_rule(dataset.objects, dataset.rules, side_counts(with_end_types(dataset.relationships.where("is_active"), dataset.objects)))
+
+
 def cardinality_issues(dataset: Dataset) -> DataFrame:
-    c = cardinality_counts(dataset)
+    return out_of_bounds(cardinality_counts(dataset))
+
+
+def out_of_bounds(c: DataFrame) -> DataFrame:
+    """Issues of counts as ``counts_by_rule`` gives them."""
     low, high = F.col("n") < F.col("least"), F.col("most").isNotNull() & (F.col("n") > F.col("most"))
     name = F.when(F.col("side") == "subject", "object_cardinality").otherwise("subject_cardinality")
     code = F.when(low, F.concat(name, F.lit("_minimum"))).when(high, F.concat(name, F.lit("_maximum")))
@@ -161,17 +195,44 @@ def model_mismatches(rows: DataFrame, types: DataFrame, target_type: str) -> Dat
     return issues(rows.join(t, "type_id").where("model_id <> type_model"), f"{target_type}_type_model_mismatch", "The type is of another model", target_type)
 
 
+def end_mismatches(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Edges with a subject or an object of another model (both tables with model_id)."""
+    o = objects.select(F.col("id").alias("end_id"), F.col("model_id").alias("end_model"))
+    found = []
+    for end, side in (("source_id", "subject"), ("target_id", "object")):
+        rows = edges.join(o, F.col(end) == F.col("end_id")).where("model_id <> end_model")
+        found.append(issues(rows, f"{side}_model_mismatch", f"The {side} is of another model", "relationship", side))
+    return union(found)
+
+
+def record_issues(dataset: Dataset, sides: DataFrame) -> list[DataFrame]:
+    """Issues that a record's own row, its types and its edge counts (``sides``) decide: all but keys and the ontology's own.
+
+    ``dataset`` may hold a part of the records. Attributes are held against all definitions, inactive ones included.
+    """
+    objects, edges = (getattr(dataset, t).where("is_active is null or is_active") for t in ("objects", "relationships"))
+    active, linked = objects.where("is_active"), edges.where("is_active")
+    found = [
+        field_issues(objects, "object"),
+        field_issues(edges, "relationship"),
+        attribute_issues(active, dataset.attribute_defs.where("owner_kind = 'object'"), "object"),
+        attribute_issues(linked, dataset.attribute_defs.where("owner_kind = 'relationship'"), "relationship"),
+        pair_issues(dataset),
+        out_of_bounds(counts_by_rule(active, dataset.rules, sides)),
+    ]
+    if "model_id" in objects.columns and "model_id" in dataset.object_types.columns:
+        found.append(model_mismatches(active, dataset.object_types, "object"))
+    if "model_id" in edges.columns and "model_id" in dataset.relationship_types.columns:
+        found.append(model_mismatches(linked, dataset.relationship_types, "relationship"))
+    return found
+
+
 def validate(dataset: Dataset) -> DataFrame:
-    """All issues of active records. Attributes of objects are held against all definitions, inactive ones included."""
-    objects, edges = dataset.objects.where("is_active"), dataset.relationships.where("is_active")
-    return union(
-        [
-            field_issues(objects, "object"),
-            attribute_issues(objects, dataset.attribute_defs.where("owner_kind = 'object'"), "object"),
-            attribute_issues(edges, dataset.attribute_defs.where("owner_kind = 'relationship'"), "relationship"),
-            pair_issues(dataset),
-            duplicate_keys(objects, "object"),
-            cardinality_issues(dataset),
-            structural_issues(dataset),
-        ]
-    )
+    """All issues of active records, their keys and the ontology."""
+    from .dataset import with_end_types
+
+    sides = side_counts(with_end_types(dataset.relationships.where("is_active"), dataset.objects))
+    found = [*record_issues(dataset, sides), duplicate_keys(dataset.objects.where("is_active"), "object"), structural_issues(dataset)]
+    if "model_id" in dataset.objects.columns and "model_id" in dataset.relationships.columns:
+        found.append(end_mismatches(dataset.relationships.where("is_active"), dataset.objects))
+    return union(found)

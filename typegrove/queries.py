@@ -180,12 +180,6 @@ def compile_edges(spark, sf_dir):
     return projection.compile_edges(projection.project(d, FLAGSHIP).edges, d).select("id", "type_key", "type_name")
 
 
-@query("SELECT * FROM (VALUES ('nation', 'region', 'In region'), ('customer', 'nation', 'Based in'), ('supplier', 'nation', 'Based in'), ('order', 'customer', 'Placed by'), ('order', 'part', 'Contains'), ('part', 'supplier', 'Supplied by')) t(subject, object, label)")
-def ontology_graph(spark, sf_dir):
-    _, edges = projection.ontology_graph(graphview.dataset(spark, sf_dir))
-    return edges.select(F.col("subject_type_id").alias("subject"), F.col("object_type_id").alias("object"), "label")
-
-
 @query("SELECT 'part:' || p_partkey AS id, p_size::VARCHAR AS size, CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR END AS whole_price FROM part")
 def published_attributes(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)

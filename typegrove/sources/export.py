@@ -79,21 +79,6 @@ def size_problems(dataset: Dataset) -> DataFrame:
     return n.unionByName(size).select("code", "value")
 
 
-def publish(dataset: Dataset, manifest: DataFrame | None, path: str, source_revision: int, expected_digest: str | None = None) -> tuple[int, str]:
-    """Writes the next snapshot, if the dataset still has the digest that was previewed. Returns (sequence, digest)."""
-    spark = dataset.objects.sparkSession
-    lines = json_lines(dataset)
-    digest = content_digest(lines)
-    if expected_digest is not None and digest != expected_digest:
-        raise ValueError("the model has changed since the preview")
-    if not size_problems(dataset).isEmpty():
-        raise ValueError("the snapshot is over its limits")
-    sequence = 1 if manifest is None else (manifest.agg(F.max("sequence")).first()[0] or 0) + 1
-    write_json(dataset, f"{path}/sequence={sequence}")
-    spark.createDataFrame([(sequence, source_revision, digest)], "sequence long, source_revision long, digest string").write.mode("append").parquet(f"{path}/manifest")
-    return sequence, digest
-
-
 def latest(manifest: DataFrame, per: str = "model_id") -> DataFrame:
     own = Window.partitionBy(per).orderBy(F.desc("sequence"))
     return manifest.withColumn("__rank", F.row_number().over(own)).where("__rank = 1").drop("__rank")
