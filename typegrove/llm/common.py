@@ -37,6 +37,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each led by as many more underscores as set it apart from the columns of a table (in any case)."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 _open: list[Scratch] = []
 
 

@@ -10,10 +10,12 @@ proportion in the chosen set, its score that proportion.
 Counting is a partial sum per task and one shuffle of (language, trigram) counts; the model is a table of fixed width
 per language, sent to the tasks. Scoring goes through texts in slices of bounded size, words and documents of a slice
 at once. A text longer than a slice is gone through slice by slice in every round of its mixture, so its memory is a
-slice's too, at the price of reading it some dozen times; the result is the same.
+slice's too, at the price of reading it some dozen times; slices may end within a word, whatever parts words and however
+long one is, and the result is the same.
 
 Defined results: ``und`` with score 0 for texts that are null or have no letter, and for all if nothing was learned;
-texts in no language known get the least unlikely one; repeated rows are scored alike; rows without doc_id are scored
+texts in no language known get the least unlikely one, and of equally likely ones the first by code point; no rows give no
+rows; repeated rows are scored alike; rows without doc_id are scored
 and not learned from; columns of the input named as those that are added are replaced, others pass through.
 """
 
@@ -70,25 +72,26 @@ def slice_size(languages: int) -> int:
     return max(1 << 6, SLICE * 8 // max(8, languages))
 
 
-def slices(text: str, size: int) -> Iterator[bytes]:
-    """The text's bytes, in pieces of bounded size that end at a separator where there is one."""
-    raw = text.encode()
-    at = 0
-    while at < len(raw):
+def sliced(raw: bytes, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What ``words_of`` gives, for pieces of bounded size, cut anywhere.
+
+    A trigram needs a byte and its two neighbours, so each piece looks one byte past its ends; trigrams before the first
+    word that begins in a piece go on with the word before, however long that is.
+    """
+    for at in range(0, len(raw), size):
         end = min(len(raw), at + size)
-        if end < len(raw):
-            end = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end), at) + 1
-            end = min(len(raw), at + size) if end <= at + 1 else end
-        yield raw[at:end]
-        at = end
+        b = _SEEN[np.frombuffer((raw[at - 1 : at] or b" ") + raw[at:end] + (raw[end : end + 1] or b" "), np.uint8)].astype(np.uint32)
+        inner = b[1:-1] != 32
+        code = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:])[inner]
+        hashed = ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
+        yield hashed, np.flatnonzero((b[:-2] == 32)[inner])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, np.ndarray] = {}
     for b in batches:
         for text, lang in zip(b.column("text"), b.column("lang").to_pylist()):
-            for raw in slices(text.as_py() or "", SLICE):
-                grams, _ = words_of(raw)
+            for grams, _ in sliced((text.as_py() or "").encode(), SLICE):
                 if lang not in seen:
                     seen[lang] = np.zeros(1 << BITS, np.int64)
                 if len(grams) < 1 << 13:
@@ -178,12 +181,30 @@ def _word_scores(raw: bytes, model: Model) -> np.ndarray:
     return np.add.reduceat(model.table[grams], first, axis=0).astype(np.float64)
 
 
+def _sliced_scores(raw: bytes, model: Model, size: int) -> Iterator[np.ndarray]:
+    """``_word_scores`` slice by slice: a word that a slice ends in is given with the slice that it ends in."""
+    open_ = None
+    for grams, first in sliced(raw, size):
+        scores = model.table[grams]
+        head = first[0] if len(first) else len(grams)
+        if head:
+            more = scores[:head].sum(axis=0, dtype=np.float64)
+            open_ = more if open_ is None else open_ + more
+        if len(first):
+            if open_ is not None:
+                yield open_[None, :]
+            own = np.add.reduceat(scores, first, axis=0).astype(np.float64)
+            yield own[:-1]
+            open_ = own[-1]
+    if open_ is not None:
+        yield open_[None, :]
+
+
 def choose_long(text: str, model: Model, size: int) -> tuple[int, float, int] | None:
     """What ``choose`` gives for one text, with the memory of one slice; None for a text without words."""
-    k = len(model.languages)
+    k, raw = len(model.languages), text.encode()
     single, n = np.zeros(k), 0
-    for raw in slices(text, size):
-        scores = _word_scores(raw, model)
+    for scores in _sliced_scores(raw, model, size):
         single, n = single + scores.sum(axis=0), n + len(scores)
     if not n:
         return None
@@ -192,9 +213,8 @@ def choose_long(text: str, model: Model, size: int) -> tuple[int, float, int] |
         pi, total = allowed / allowed.sum(), 0.0
         for step in range(ROUNDS + 1):
             share = np.zeros(k)
-            for raw in slices(text, size):
-                scores = _word_scores(raw, model)
-                top = scores.max(axis=1, keepdims=True)
+            for scores in _sliced_scores(raw, model, size):
+                top = scores.max(axis=1, keepdims=True, initial=-np.inf)
                 joint = np.exp(scores - top) * pi
                 word = np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
                 if step == ROUNDS:

@@ -144,24 +144,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, docs_a_batch: int = 200_00
         runs.forget_batch()
     runs.drop()
     out.drop("lines")
-    lost = lost.withColumnRenamed("doc_id", "__id").withColumnRenamed(ROW, "__row")
+    names = common.fresh(docs.columns, "__id", "__row", DROPPED)
+    lost = lost.toDF(*names)
     # A document's list is a few bytes for each line it loses: hashed, so that the texts need no sort.
-    rows = docs.join(lost.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64(common.text_of()) == F.col("__row")), "left")
-    return rewrite(rows, prefix).drop("__id", "__row", DROPPED)
+    rows = docs.join(lost.hint("shuffle_hash"), (F.col("doc_id") == F.col(names[0])) & (F.xxhash64(common.text_of()) == F.col(names[1])), "left")
+    return rewrite(rows, prefix, names[2]).drop(*names)
 
 
-def rewrite(rows: DataFrame, prefix: str = "") -> DataFrame:
-    """Drops the listed positions from each text; linear in the text, whatever share of it goes."""
+def rewrite(rows: DataFrame, prefix: str = "", dropped: str = DROPPED) -> DataFrame:
+    """Drops the positions that the column ``dropped`` lists from each text; linear in the text, whatever share of it goes."""
     text = common.text_of()
 
     def joined(lines):
-        kept = F.array_except(F.sequence(F.lit(0), F.array_size(lines) - 1), F.col(DROPPED))
+        kept = F.array_except(F.sequence(F.lit(0), F.array_size(lines) - 1), F.col(dropped))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     lines = F.split(text, "\n")
     n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    rows = rows.withColumns({f"{prefix}n_lines": n_lines.cast("long"), f"{prefix}n_dropped": F.coalesce(F.array_size(DROPPED), F.lit(0)).cast("long")})
-    return rows.withColumn(f"{prefix}kept_text", F.when(F.col(DROPPED).isNull(), text).otherwise(common.let(lines, joined)))
+    rows = rows.withColumns({f"{prefix}n_lines": n_lines.cast("long"), f"{prefix}n_dropped": F.coalesce(F.array_size(dropped), F.lit(0)).cast("long")})
+    return rows.withColumn(f"{prefix}kept_text", F.when(F.col(dropped).isNull(), text).otherwise(common.let(lines, joined)))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def _encoder(path: str):
                 where = np.array([place(np.frombuffer(x, "<u4"), projection) for x in raw])
                 cell = np.clip(((where + 1) / 2 * (1 << DEPTH)).astype(np.int64), 0, (1 << DEPTH) - 1)
                 cols = [batch.column(c).slice(at, len(raw)) for c in ("doc_id", "tie")]
-                small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if max(np.frombuffer(x, "<u4")) < 1 << 16 else x for x in raw]
+                small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if np.frombuffer(x, "<u4").max(initial=0) < 1 << 16 else x for x in raw]
                 wide = [len(s) == len(x) for s, x in zip(small, raw)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(hilbert(cell)), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(wide), pa.array(small, pa.binary())], ["doc_id", "tie", "curve", "n", "wide", "ids"])
 

@@ -14,7 +14,9 @@ all its pairs, so a dense group of near copies gives as many links as points. A
 dealt in pairs of blocks to many tasks, by the same comparison.
 
 Defined results: a null or wordless text has fingerprint 0 and is linked as any other; rows without doc_id are left out
-of the links and form a component of their own (null); rows of one doc_id are one document and are all returned.
+of the links and form a component of their own (null); rows of one doc_id are one document and are all returned; a very
+long text is hashed in pieces that share two words; other columns are not looked at, and pass through
+``keep_representatives`` as they are; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -260,6 +262,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """``docs`` without the near copies of a document of smaller doc_id, and without repeated rows of one doc_id."""
     found = near_duplicates(docs.select("doc_id", "text"))
-    stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    (own,) = common.fresh(docs.columns, "__id")
+    stay = found.where("component_id = doc_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
