@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences: each stage's rows are written as Parquet and read by the next."""
+"""A corpus from raw documents to packed sequences: each stage's rows are written as Parquet and read by the next.
+
+Defined results: null texts, and texts without a letter, go with language ID; rows without doc_id neither lose lines nor count
+as near copies, and are mixed and packed; repeated rows of one doc_id are one document, of which near-dedup keeps a row; ties
+follow the operators' own rules; very long texts pass whole; other columns stay as they are up to packing, whatever their
+names; no rows give no rows at every stage.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +21,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in one document; documents that lose every word with them go."""
-    done = line_dedup.dedup_lines(docs, prefix="__line_")  # a table may have columns of the plain names
-    whole, kept = F.col("__line_n_dropped") == 0, F.col("__line_kept_text")
+    prefix = "__line_"  # a table may have columns of the plain names, or of these
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    done = line_dedup.dedup_lines(docs, prefix=prefix)
+    whole, kept = F.col(f"{prefix}n_dropped") == 0, F.col(f"{prefix}kept_text")
     done = done.where(whole | kept.rlike(r"[^\x20\x09-\x0D]"))
     columns = {"text": F.when(whole, F.col("text")).otherwise(kept)}
     if "n_chars" in docs.columns:
