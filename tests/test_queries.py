@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from typegrove import model_queries, queries  # noqa: F401
+from typegrove import history_queries, model_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()

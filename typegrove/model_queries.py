@@ -124,10 +124,10 @@ def ontology_graph(spark, sf_dir):
     return edges.select("id", "subject", "object", "label").unionByName(nodes.select("id", F.col("name").alias("subject"), none.alias("object"), none.alias("label")))
 
 
-@query("SELECT 'part:' || p_partkey AS id, 'brand,ptype,size' AS keys, p_brand || ',' || p_type || ',' || p_size AS vals FROM part UNION ALL SELECT 'supplier:' || s_suppkey, 'acctbal', s_acctbal::VARCHAR FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, '', '' FROM nation UNION ALL SELECT 'order:' || o_orderkey, 'status,totalprice,orderdate', o_orderstatus || ',' || o_totalprice || ',' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') FROM orders")
+@query("SELECT 'part:' || p_partkey AS id, 'brand,ptype,size' AS keys, p_brand || ',' || p_type || ',' || p_size AS vals FROM part UNION ALL SELECT 'supplier:' || s_suppkey, 'acctbal', s_acctbal::VARCHAR FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, '', '' FROM nation UNION ALL SELECT 'region:' || r_regionkey, '', '' FROM region UNION ALL SELECT 'customer:' || c_custkey, 'mktsegment,acctbal', c_mktsegment || ',' || c_acctbal FROM customer UNION ALL SELECT 'order:' || o_orderkey, 'status,totalprice,orderdate', o_orderstatus || ',' || o_totalprice || ',' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') FROM orders")
 def index_columns(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)
-    rows = ontology.index_columns(d.objects.where("type_id in ('part', 'supplier', 'nation', 'order')"), d.attribute_defs)
+    rows = ontology.index_columns(d.objects, d.attribute_defs)
     join = lambda f: F.array_join(F.transform("columns", lambda x: x[f]), ",")
     return rows.select("id", join("key").alias("keys"), join("value").alias("vals"))
 

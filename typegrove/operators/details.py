@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Dataset
+from ..shared import Steps
 from . import dataset as ds
+from .numbering import places
 
 
 def object_details(dataset: Dataset, ids: DataFrame, shown: DataFrame | None = None) -> DataFrame:
@@ -27,12 +29,12 @@ def object_details(dataset: Dataset, ids: DataFrame, shown: DataFrame | None = N
 def grouped_details(details: DataFrame) -> DataFrame:
     """Per record, edge type and direction the other ends as rows, with their place by name and edge and the group's size.
 
-    Rows, not a list a record: a hub's group is sorted by its task with spilling, and counted by partial sums.
+    Rows, not a list a record. A hub's group lies in many ranges, each numbered after those before it, and its size is a sum of
+    partial counts: no task has a whole group.
     """
     group = ["id", "edge_type_id", "edge_type_name", "direction"]
     n = details.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy(*group).orderBy(F.lower("other_name"), "edge_id")
-    rows = details.withColumn("position", F.row_number().over(own))
+    rows = places(details, group, [F.lower("other_name"), F.col("edge_id")], "position", Steps(details.sparkSession, "details"))
     return rows.join(n, group)
 
 

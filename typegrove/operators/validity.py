@@ -29,6 +29,10 @@ def _seconds(moment: Column, open_: int) -> Column:
     return F.coalesce(F.unix_seconds(moment.cast("timestamp")), F.lit(open_))
 
 
+def _at_level(level: int):
+    return lambda r: F.struct(F.lit(level).alias("level"), r.alias("range"))
+
+
 def _ranged(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
     """A row for each level from the edge's own up and each of the at most two ranges of that level that its time meets.
 
@@ -41,7 +45,7 @@ def _ranged(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
     for k in range(top):
         width = HOUR * STEP**k
         fits = F.col("__to") - F.col("__from") <= width
-        spans = F.transform(F.sequence(F.floor(first / width), F.floor(last / width)), lambda r, k=k: F.struct(F.lit(k).alias("level"), r.alias("range")))
+        spans = F.transform(F.sequence(F.floor(first / width), F.floor(last / width)), _at_level(k))
         levels.append(F.when(fits, spans).otherwise(F.array().cast("array<struct<level:int,range:bigint>>")))
     levels.append(F.array(F.struct(F.lit(top).alias("level"), F.lit(0).cast("long").alias("range"))))
     at = F.flatten(F.array(*levels))

@@ -237,10 +237,10 @@ def grouped_details(spark, sf_dir):
     return details.grouped_details(details.object_details(d, d.objects)).select("id", "edge_type_id", "direction", "other_id", "edge_id", "position", "n")
 
 
-@query(sql("SELECT DISTINCT e.id, other_id FROM ends e WHERE e.id LIKE 'supplier:%' AND other_id NOT LIKE 'part:%'", EDGES, ENDS))
+@query(sql("SELECT DISTINCT e.id, other_id FROM ends e WHERE other_id NOT LIKE 'part:%'", EDGES, ENDS))
 def hidden_counterparts(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)
-    return details.hidden_counterparts(d, d.objects.where("type_id = 'supplier'"), d.objects.where("type_id = 'part'"))
+    return details.hidden_counterparts(d, d.objects, d.objects.where("type_id = 'part'"))
 
 
 @query(sql("SELECT e.id, s.name AS source_name, t.name AS target_name, e.type_id || ':' || s.type_id || ':' || t.type_id AS rule_id FROM edges e JOIN objects s ON s.id = source_id JOIN objects t ON t.id = target_id", OBJECTS, EDGES))
@@ -340,10 +340,9 @@ def search_attribute(spark, sf_dir):
     return search.matches(graphview.dataset(spark, sf_dir), "brand#2").select("id", "tier", "label", "text", "subtitle")
 
 
-@query("SELECT 'customer:' || c_custkey AS id FROM customer WHERE contains(lower(c_name), 'customer') AND contains(lower(c_name), '#0000000') AND contains(lower(c_name), '7')")
+@query(sql("SELECT id FROM objects WHERE contains(lower(name), 'er') AND contains(lower(name), '#') AND contains(lower(name), '7')", OBJECTS))
 def search_tokens(spark, sf_dir):
-    rows = graphview.objects(spark, sf_dir).where("type_id = 'customer'")
-    return rows.where(text.has_all_tokens(F.col("name"), "customer #0000000 7")).select("id")
+    return graphview.objects(spark, sf_dir).where(text.has_all_tokens(F.col("name"), "er # 7")).select("id")
 
 
 @query("SELECT doc_id, CASE WHEN length(t) > 80 THEN left(t, 79) || '…' ELSE t END AS snippet FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents)")

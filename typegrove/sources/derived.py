@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from ..schema import ATTRIBUTE_DEFS, OBJECT_TYPES, RULES, Dataset
 from . import graphview
 
-NO = F.lit(None)
-
 
 def _columns(schema: str) -> list[tuple[str, str]]:
     return [tuple(c.strip().split(" ", 1)) for c in schema.split(", ")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,36 @@ def write_json(dataset: Dataset, path: str) -> None:
     json_lines(dataset).write.partitionBy("part").mode("overwrite").json(path)
 
 
+#: The lists of an exported document, in their order.
+PARTS = ("object_type", "relationship_type", "rule", "attribute_definition", "object", "relationship")
+
+
+def document(lines: DataFrame) -> DataFrame:
+    """``lines`` (part, id, value) as rows of text that are one JSON object when put together in order: a list a part.
+
+    Each row brings the separators before it, which depend on whether it is the first of its part; that takes the least id of
+    each part and the greatest of the last, six rows, and no numbering. Ids are different within a part.
+    """
+    ends = {r["part"]: r for r in lines.groupBy("part").agg(F.min("id").alias("first"), F.max("id").alias("last")).collect()}  # a row a part
+    full, head, opened = [p for p in PARTS if p in ends], F.lit(","), "{"
+    before = {}
+    for p in PARTS:
+        before[p] = opened + json.dumps(p) + ":["
+        opened = ("" if p in ends else before[p]) + "],"
+    for p in full:
+        head = F.when((F.col("part") == p) & (F.col("id") == ends[p]["first"]), before[p]).otherwise(head)
+    tail = opened[:-1] + "}"
+    own = (F.col("part") == full[-1]) & (F.col("id") == ends[full[-1]]["last"]) if full else F.lit(False)
+    place = F.array_position(F.array(*map(F.lit, PARTS)), F.col("part")).cast("int")
+    return lines.select(place.alias("place"), "id", F.concat(head, "value", F.when(own, tail).otherwise("")).alias("value"))
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Writes the document as text files whose concatenation by name is valid JSON: ranges of part and id, one task each."""
+    rows = document(lines)
+    rows.repartitionByRange("place", "id").sortWithinPartitions("place", "id").select("value").write.text(path)
+
+
 def export_name(model: str, revision: int) -> str:
     return f"{file_slug(model)}-r{revision}.json"
 

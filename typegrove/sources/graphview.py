@@ -104,6 +104,16 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def timed_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with the time they are valid: orders from their date to the last shipment, line items to their own; others always."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    items, orders = read("lineitem"), read("orders")
+    last = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("valid_to"))
+    placed = orders.join(last, "o_orderkey", "left").select(_id("placed_by", "o_orderkey").alias("id"), F.col("o_orderdate").alias("valid_from"), "valid_to")
+    shipped = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey").select(contains_id().alias("id"), F.col("o_orderdate").alias("valid_from"), F.col("l_shipdate").alias("valid_to"))
+    return relationships(spark, sf_dir).join(placed.unionByName(shipped), "id", "left")
+
+
 def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     types = ["region", "nation", "customer", "supplier", "part", "order", "invoice"]
     rels = ["in_region", "based_in", "placed_by", "contains", "supplied_by", "billed_by"]
