@@ -13,10 +13,11 @@ Reading verifies every stored chunk against its address, and every document's ro
 chunk that is not there is an error. ``verify_manifest`` compares every node with its children, down to the documents.
 Chunks move through one shuffle by address; whole documents move only if they are asked for.
 
-Documents are ordered by ranges of doc_id whose number grows with the documents, one task a range.
+Documents are ordered by ranges of doc_id, and of the hash of the text for rows without one, whose number grows with the
+documents, one task a range.
 
 Defined results: a null text is empty and has the end id alone; rows without doc_id come first; rows that repeat a doc_id
-are documents of their own, their order by text; a very long text has a recipe as long as its list of chunks (about one
+are documents of their own, in the order of a hash of their text; a very long text has a recipe as long as its list of chunks (about one
 for 500 ids); other columns are not looked at; no rows make an empty store.
 """
 
@@ -135,18 +136,21 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, docs_a_range
     unique.sortWithinPartitions("hash").write.option("compression", "zstd").parquet(f"{path}/chunks")
     light = came.drop("ids")
     per = light.where("pos = 0").select("doc_id", "n_tokens", F.lit(1).alias("docs"))
+    lost = per.where("doc_id is null").count()
     bounds = common.range_bounds(per, "doc_id", max(common.buckets_for(per.count(), docs_a_range), common.parallelism(spark)))
-    here, ranges = F.when(F.col("doc_id").isNull(), 0).otherwise(common.bucket_of(F.col("doc_id"), bounds)).alias("range"), len(bounds) + 1
-    ids = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "copy")
+    first = common.range_bounds(light.where("pos = 0 and doc_id is null"), "tie", common.buckets_for(lost, docs_a_range)) if lost else []
+    here = F.when(F.col("doc_id").isNull(), common.bucket_of(F.col("tie"), first)).otherwise(common.bucket_of(F.col("doc_id"), bounds) + len(first) + 1).alias("range")
+    ranges = len(first) + 1 + len(bounds) + 1
+    per = light.where("pos = 0").select("doc_id", "tie", "n_tokens", F.lit(1).alias("docs"))
     tokens_before, docs_before = common.sums_before(per.withColumn("range", here), "range", ranges, "n_tokens", "docs")
-    # A document's chunk list is as long as its own text; equal rows (same id and text) are told apart by a copy number.
-    listed = light.groupBy("doc_id", "tie", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "after", "n", "hash"))).alias("all"))
-    copies = F.array_size(F.filter("all", lambda c: c["pos"] == 0))
-    once = F.filter("all", lambda c, i: i % copies == 0)
-    listed = listed.select("doc_id", "tie", "n_tokens", "root", once.alias("chunks"), F.explode(F.sequence(F.lit(1), copies)).alias("copy")).withColumn("range", here)
-    listed = listed.repartitionById(ranges, "range")
-    listed = listed.withColumn("start", tokens_before + F.coalesce(F.sum("n_tokens").over(ids.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    listed = listed.withColumn("number", docs_before + F.row_number().over(ids) - 1)
+    # A document's chunk list is as long as its own text. Equal rows (same id and text) are one row with a count until they
+    # are numbered: what each task sends of them is one list.
+    listed = light.groupBy("doc_id", "tie", "n_tokens", "root").agg(F.array_sort(F.collect_set(F.struct("pos", "after", "n", "hash"))).alias("chunks"), F.count_if(F.col("pos") == 0).alias("copies"))
+    listed = listed.withColumn("range", here).repartitionById(ranges, "range")
+    before = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "root").rowsBetween(Window.unboundedPreceding, -1)
+    listed = listed.withColumns({"start": tokens_before + F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")).over(before), F.lit(0)), "number": docs_before + F.coalesce(F.sum("copies").over(before), F.lit(0))})
+    listed = listed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    listed = listed.withColumns({"start": F.col("start") + F.col("copy") * F.col("n_tokens"), "number": F.col("number") + F.col("copy")})
     listed.select("doc_id", "tie", "number", "start", "n_tokens", "root", "chunks").write.option("compression", "zstd").parquet(f"{path}/recipes")
     scratch.drop()
     store = TokenStore(spark, path)
