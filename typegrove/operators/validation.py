@@ -210,11 +210,10 @@ def record_issues(dataset: Dataset, sides: DataFrame) -> list[DataFrame]:
 
     ``dataset`` may hold a part of the records. Attributes are held against all definitions, inactive ones included.
     """
-    objects, edges = (getattr(dataset, t).where("is_active is null or is_active") for t in ("objects", "relationships"))
+    objects, edges = dataset.objects, dataset.relationships
     active, linked = objects.where("is_active"), edges.where("is_active")
     found = [
-        field_issues(objects, "object"),
-        field_issues(edges, "relationship"),
+        field_issues(active, "object"),
         attribute_issues(active, dataset.attribute_defs.where("owner_kind = 'object'"), "object"),
         attribute_issues(linked, dataset.attribute_defs.where("owner_kind = 'relationship'"), "relationship"),
         pair_issues(dataset),
