@@ -9,6 +9,7 @@ a lost executor costs a reread. What reaches the driver is the number of records
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,16 @@ class Adjacency:
         self.steps = Steps(self.spark, "adjacency")
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.mark, self.made = uuid.uuid4().hex, 0
+        atexit.register(self._forget)  # what was found is read from these tables, as late as that may be
         self.near = self._write(ds.adjacency(relationships).select("id", "other_id").where("id <> other_id").repartition(self.buckets, "id"))
 
+    def _forget(self) -> None:
+        try:
+            for k in range(self.made):
+                self.spark.sql(f"DROP TABLE IF EXISTS adjacency_{self.mark}_{k + 1}")
+        except Exception:  # the session may have ended already
+            pass
+
     def _write(self, rows: DataFrame) -> str:
         self.made += 1
         name = f"adjacency_{self.mark}_{self.made}"
