@@ -313,6 +313,21 @@ def test_tokens_equal_the_library(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts, tokens.tokenizer_path())] == reference_ids(texts)
 
 
+def test_tokens_of_random_texts_equal_the_library():
+    parts = [" ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\u0085", "\x1c", "'s", "'", "a", "Was", "é", "日本", "٣", "5", ".", ",", "...", '."', "),", "$", "\u0301", "x.\ny", "😀", "½", "\x00"]
+    r = random.Random(5)
+    texts = ["".join(r.choices(parts, weights=[8 if p in (" ", "a", "Was", ".", "\n") else 1 for p in parts], k=r.randint(0, 14))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts, tokens.tokenizer_path())] == reference_ids(texts)
+
+
+def test_elements_put_together_are_the_texts():
+    texts = ["", "a b,c.\nD e", "é.\né  x", " ", "", "end.\n"]
+    elements, spans = tokens.split(texts)
+    cut = elements.to_pylist()
+    assert ["".join(cut[a:b]) for a, b in zip(spans[:-1], spans[1:])] == texts
+    assert cut[spans[1] : spans[2]] == ["a", " b", ",c", ".", "\n", "D", " e"]
+
+
 def test_token_store_round_trip(spark, tmp_path):
     texts = ODD + brute.TEXTS + [brute.TEXTS[12]] * 2
     ids = [3 * i for i in range(len(texts) - 1)] + [3 * (len(texts) - 2)]  # the last row repeats
