@@ -423,6 +423,37 @@ def test_plan_edges(graph, spark):
     assert {r["row_number"]: r["code"] for r in plan.problems.collect()} == {4: "unresolved_endpoint", 5: "endpoint_pair_not_allowed", 6: "ambiguous_relationship", 7: "missing_endpoint"}
 
 
+def test_plan_edge_values(graph, spark):
+    links = spark.createDataFrame([("r3", "uses", "t1", "a1", {"since": "2020-01-01", "load": "5"}, True), ("r5", "uses", "a1", "a1", {}, True)], schema.RELATIONSHIPS)
+    defs = definitions(spark, dict(owner_id="uses", key="since", data_type="date"), dict(owner_id="uses", key="load", data_type="number"))
+    rows = spark.createDataFrame([(1, "ops", "portal", "2020-01-01", "6"), (2, "ops", "portal", "2020-01-01", " 5.0 "), (3, "ops", "straße", "", "many"), (4, "ops", "billing", "", ""), (5, "ops", "nope", "", "")], "row_number int, s string, o string, since string, load string")
+    rows = importing.resolve_endpoints(rows, "s", graph.objects, ["team"])
+    rows = importing.match_edges(importing.resolve_endpoints(rows, "o", graph.objects, ["app"], prefix="object"), graph.rules, links, "uses")
+    plan = importing.plan_edge_values(rows, links, defs, "uses", {"since": "attributes.since", "load": "attributes.load"})
+    got = sorted((r["operation"], r["identity"], r["field"], r["new"], r["converted"]) for r in plan.changes.collect())
+    assert got == [("create", "uses:t1:a2", "is_active", "true", True), ("create", "uses:t1:a3", "attributes.load", "many", False), ("create", "uses:t1:a3", "is_active", "true", True)]
+    assert plan.summary.first().asDict() == dict(creates=2, updates=0, unchanged=1, field_changes=0, unconverted=1, duplicate_identities=1, duplicate_rows=2)
+    assert [(r["row_number"], r["code"]) for r in plan.problems.collect()] == [(5, "unresolved_endpoint")]
+    by_id = importing.identify_edges(spark.createDataFrame([(1, "r3", "", "no"), (2, "r9", "8", "")], "row_number int, id string, load string, active string"), links, "uses", "id")
+    plan = importing.plan_edge_values(by_id, links, defs, "uses", {"load": "attributes.load", "active": "is_active"})
+    assert sorted((r["operation"], r["identity"], r["field"], r["old"], r["new"]) for r in plan.changes.collect()) == [("update", "r3", "attributes.load", "5", None), ("update", "r3", "is_active", "true", "false")]
+    assert plan.problems.count() == 1
+    assert importing.plan_edge_values(by_id.limit(0), links, defs, "uses", {"load": "attributes.load"}).summary.first()["updates"] == 0
+
+
+def test_labels_of_edges_and_created_records(graph, spark):
+    changes = log(
+        spark,
+        dict(op="update", id="r1", kind="relationship", after='{"field": "is_active", "value": false}'),
+        dict(op="create", id="n1", after='{"name": "New one"}', parent="person"),
+        dict(op="create", id="r9", kind="relationship", parent="member", after='{"source_id": "n1", "target_id": "nowhere"}'),
+        dict(op="delete", id="lost", kind="relationship"),
+        dict(op="delete", id="u", kind="relationship_type_rule"),
+    ).withColumn("parent_type", F.when(F.col("parent_id") == "person", "object_type").when(F.col("parent_id") == "member", "relationship_type"))
+    got = [(r["target_id"], r["target_label"], r["parent_label"]) for r in review.with_labels(changes, graph).orderBy("seq").collect()]
+    assert got == [("r1", "Alice → Ops", None), ("n1", "New one", "Person"), ("r9", "New one → Untitled", "Member"), ("lost", "Untitled", None), ("u", "Team → App", None)]
+
+
 def test_suggest_fields(spark):
     headers = spark.createDataFrame([(1, "E-mail"), (2, "email"), (3, "Full Name"), (4, "??")], "position int, header string")
     fields = spark.createDataFrame([("email", "Email", []), ("name", "Name", ["full name"])], "field string, label string, synonyms array<string>")

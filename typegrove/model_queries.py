@@ -370,6 +370,62 @@ def edge_problems(spark, sf_dir):
     return importing.plan_edges(rows, d.rules, d.relationships, "placed_by").problems.select(F.col("row_number").cast("long").alias("n"), "code")
 
 
+LINE_EDGE = "'contains:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || strftime(l_shipdate, '%Y%m%d') || ':' || round(l_extendedprice * 100)::BIGINT"
+WHOLE = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE {0}::VARCHAR END"
+
+
+@query(
+    f"""WITH lines AS (SELECT {LINE_EDGE} AS identity, * FROM lineitem)
+SELECT identity, 'attributes.quantity' AS field, l_quantity::DOUBLE AS old, CASE WHEN l_orderkey % 4 > 0 THEN {WHOLE.format("(l_quantity + 1)")} END AS new FROM lines WHERE l_orderkey % 3 = 0 OR l_orderkey % 4 = 0
+UNION ALL SELECT identity, 'is_active', NULL, 'false' FROM lines WHERE l_linenumber = 2 AND l_orderkey % 4 > 0"""
+)
+def plan_edge_updates(spark, sf_dir):
+    """Every line item's edge by its id, some in two rows: changed and unchanged quantities, blanks that win, edges that are retired."""
+    d = graphview.dataset(spark, sf_dir)
+    o, items = F.col("l_orderkey"), _read(spark, sf_dir, "lineitem")
+    quantity = F.when(o % 3 == 0, (F.col("l_quantity") + 1).cast("string")).otherwise(F.concat(F.lit(" "), F.col("l_quantity").cast("string"), F.lit(" ")))
+    first = items.select((o * 2).alias("row_number"), graphview.contains_id().alias("cell"), quantity.alias("q"), F.when(F.col("l_linenumber") == 2, "no").otherwise(" TRUE ").alias("a"))
+    again = items.where(o % 4 == 0).select((o * 2 + 1).alias("row_number"), graphview.contains_id().alias("cell"), F.lit(" ").alias("q"), F.lit("yes").alias("a"))
+    rows = importing.identify_edges(first.unionByName(again), d.relationships, "contains", "cell")
+    plan = importing.plan_edge_values(rows, d.relationships, d.attribute_defs, "contains", {"q": "attributes.quantity", "a": "is_active"})
+    return plan.changes.select("identity", "field", F.col("old").try_cast("double").alias("old"), "new")
+
+
+@query(
+    """WITH pairs AS (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM part) AS p FROM orders),
+met AS (SELECT pairs.*, count(l_orderkey) AS n FROM pairs LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_partkey = p GROUP BY ALL),
+made AS (SELECT 'contains:order:' || o_orderkey || ':part:' || p AS identity, o_orderkey FROM met WHERE n = 0)
+SELECT identity, 'is_active' AS field, CASE WHEN o_orderkey % 5 = 0 THEN 'false' ELSE 'true' END AS new FROM made
+UNION ALL SELECT identity, 'attributes.quantity', '7' FROM made UNION ALL SELECT identity, 'attributes.returnflag', 'R' FROM made WHERE o_orderkey % 2 = 0"""
+)
+def plan_edge_creates(spark, sf_dir):
+    """An edge from every order to a part, by their keys: new pairs with the values of their cells."""
+    d = graphview.dataset(spark, sf_dir)
+    o, parts = F.col("o_orderkey"), _read(spark, sf_dir, "part").count()
+    rows = _read(spark, sf_dir, "orders").select(o.alias("row_number"), F.concat(F.lit("order_"), o.cast("string")).alias("s"), F.concat(F.lit("part_"), (F.col("o_custkey") % parts).cast("string")).alias("t"), F.lit(" 7.0").alias("q"), F.when(o % 2 == 0, "R").otherwise("").alias("r"), F.when(o % 5 == 0, "no").alias("a"))
+    rows = importing.resolve_endpoints(rows, "s", d.objects, ["order"])
+    rows = importing.resolve_endpoints(rows, "t", d.objects, ["part"], prefix="object")
+    rows = importing.match_edges(rows, d.rules, d.relationships, "contains")
+    plan = importing.plan_edge_values(rows, d.relationships, d.attribute_defs, "contains", {"q": "attributes.quantity", "r": "attributes.returnflag", "a": "is_active"})
+    return plan.changes.where("operation = 'create'").select("identity", "field", "new")
+
+
+@query(
+    sql(
+        """SELECT seq, CASE WHEN t = 'click' OR t = 'error' AND k % 10 = 0 OR t = 'view' AND k % 10 = 1 THEN coalesce(own.name, 'Untitled') WHEN t = 'purchase' THEN CASE WHEN own.name IS NULL THEN 'Untitled' ELSE 'Size' END WHEN t = 'error' THEN CASE WHEN own.name IS NULL THEN 'Untitled' ELSE 'Type' END
+    WHEN t = 'view' AND k % 10 = 2 THEN 'Extra' WHEN t = 'signup' AND r.id IS NULL THEN 'Untitled' ELSE coalesce(own.name, 'Untitled') || ' → ' || coalesce(maker.name, 'Untitled') END AS target_label,
+  CASE WHEN t = 'view' AND k % 10 = 2 THEN coalesce(own.name, 'Untitled') WHEN t = 'view' AND k % 10 = 3 THEN (SELECT name FROM rel_types WHERE id = 'made_by') END AS parent_label
+FROM told LEFT JOIN types own ON own.id = 'brand:' || b LEFT JOIN types maker ON maker.id = 'maker:' || k % 25 LEFT JOIN base_rules r ON r.id = 'made_by:' || b || ':' || k % 25
+WHERE t IN ('click', 'purchase', 'signup') OR t = 'error' AND (k % 10 = 0 OR k % 50 = 5) OR t = 'view' AND k % 10 IN (1, 2, 3)""",
+        BASE_ONTOLOGY,
+        ONTOLOGY_LOG,
+    )
+)
+def review_labels(spark, sf_dir):
+    """Names of the types, definitions and rules that the events change, and of their parents."""
+    return review.with_labels(derived.changes(spark, sf_dir), derived.dataset(spark, sf_dir)).select("seq", "target_label", "parent_label")
+
+
 @query("SELECT 'customer:' || c_custkey AS identity, count(*)::BIGINT AS rows FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(*) > 1")
 def duplicate_identities(spark, sf_dir):
     rows = _read(spark, sf_dir, "orders").select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("identity"))

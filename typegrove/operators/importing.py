@@ -166,21 +166,66 @@ def identify_edges(rows: DataFrame, relationships: DataFrame, rel_type_id: str,
     return out.withColumn("problem", problem).withColumn("edge_id", F.when(F.col("__type") == rel_type_id, F.col("__id"))).drop("__wanted", "__id", "__type")
 
 
-def plan_edges(rows: DataFrame, rules: DataFrame, relationships: DataFrame, rel_type_id: str) -> Plan:
-    """rows: row_number with both resolved ends. Pairs that exist are unchanged, new allowed ones are created, the rest are problems."""
+def match_edges(rows: DataFrame, rules: DataFrame, relationships: DataFrame, rel_type_id: str) -> DataFrame:
+    """Adds edge_id and problem to rows with both resolved ends: the one edge of a pair, none for a new pair; an end that is not
+    resolved, a pair that no rule allows and a pair of several edges are problems."""
     pairs = rules.where(F.col("rel_type_id") == rel_type_id).select(F.col("subject_type_id").alias("subject_type"), F.col("object_type_id").alias("object_type"), F.lit(True).alias("__allowed"))
     out = rows.join(pairs, ["subject_type", "object_type"], "left")
     there = relationships.where(F.col("type_id") == rel_type_id).groupBy(F.col("source_id").alias("subject_id"), F.col("target_id").alias("object_id")).agg(F.count(F.lit(1)).alias("__edges"), F.min("id").alias("edge_id"))
     out = out.join(there, ["subject_id", "object_id"], "left")
     ends = F.coalesce("subject_problem", "object_problem")
     problem = F.coalesce(ends, F.when(F.col("__allowed").isNull(), "endpoint_pair_not_allowed"), F.when(F.col("__edges") > 1, "ambiguous_relationship"))
-    out = out.withColumn("problem", problem).drop("__allowed", "__edges")
+    return out.withColumn("problem", problem).drop("__allowed", "__edges")
+
+
+def plan_edges(rows: DataFrame, rules: DataFrame, relationships: DataFrame, rel_type_id: str) -> Plan:
+    """rows: row_number with both resolved ends. Pairs that exist are unchanged, new allowed ones are created, the rest are problems."""
+    out = match_edges(rows, rules, relationships, rel_type_id)
     good = out.where("problem is null").groupBy("subject_id", "object_id", "edge_id").agg(F.min("row_number").alias("first_row"), F.count(F.lit(1)).alias("rows"))
     changes = good.where("edge_id is null").select(F.lit("create").alias("operation"), F.concat_ws(":", F.lit(rel_type_id), "subject_id", "object_id").alias("identity"), "subject_id", "object_id", "first_row")
     summary = good.agg(F.count_if(F.col("edge_id").isNull()).alias("creates"), F.count_if(F.col("edge_id").isNotNull()).alias("unchanged"), F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("duplicates"))
     return Plan(changes, out.where("problem is not null").select("row_number", F.col("problem").alias("code")), summary)
 
 
+def plan_edge_values(rows: DataFrame, relationships: DataFrame, defs: DataFrame, rel_type_id: str, columns: dict[str, str]) -> Plan:
+    """Values of edges: rows as from ``identify_edges``, or from ``match_edges`` where pairs may be new; ``columns``: column -> field.
+
+    The last row of an edge wins per field, a blank cell is a null. An edge that is there gets the fields whose value
+    changes; a new one is active unless a cell says otherwise, and has the attributes that are not null.
+    """
+    ends = [c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("subject_id", "object_id")]
+    named = F.coalesce(F.col("edge_id"), F.concat_ws(":", F.lit(rel_type_id), *[c for c in ("subject_id", "object_id") if c in rows.columns]))
+    good = rows.where("problem is null").withColumn("identity", named)
+    per = good.select("identity", "row_number", *ends).groupBy("identity").agg(F.min("row_number").alias("first_row"), F.count(F.lit(1)).alias("rows"), F.min("subject_id").alias("subject_id"), F.min("object_id").alias("object_id"))
+    default = "is_active" not in columns.values()
+    cells = long_cells(good.withColumn("__active", F.lit(None).cast("string")), {**columns, **({"__active": "is_active"} if default else {})})
+    types = defs.where(F.col("owner_id") == rel_type_id).select(F.concat(F.lit("attributes."), F.col("key")).alias("field"), "data_type")
+    own = relationships.where(F.col("type_id") == rel_type_id).select(F.col("id").alias("identity"), F.col("is_active").cast("string").alias("__was"), "attributes", F.lit(True).alias("__there"))
+    met = last_cells(cells).drop("first_row").join(types, "field", "left").join(own, "identity", "left").join(per, "identity")
+    active, exists = F.col("field") == "is_active", F.col("__there").isNotNull()
+    data_type = F.coalesce("data_type", F.when(active, "boolean").otherwise("text"))
+    old = F.when(active, F.col("__was")).otherwise(F.element_at("attributes", F.substring("field", 12, 1000)))
+    met = met.withColumns({"exists": exists, "old": old, "new": coerce(F.col("cell"), data_type), "__type": data_type})
+    old_kind = F.when(F.col("old").isNull(), "null").when(F.col("__type").isin("number", "boolean"), F.col("__type")).otherwise("string")
+    changed = ~same_value(F.col("old"), old_kind, F.col("new.value"), F.col("new.kind"))
+    written = F.when(F.col("exists"), changed & ~(active & F.lit(default))).otherwise(active | F.col("new.value").isNotNull())
+    value = F.when(~F.col("exists") & active, F.coalesce(F.col("new.value"), F.lit("true"))).otherwise(F.col("new.value"))
+    met = met.withColumns({"written": written, "value": value, "operation": F.when(F.col("exists"), "update").otherwise("create")})
+    changes = met.where("written").select("operation", "identity", "subject_id", "object_id", "field", "old", F.col("value").alias("new"), F.col("new.converted").alias("converted"), "first_row")
+    totals = met.groupBy("identity", "exists", "rows").agg(F.count_if("written").alias("writes"), F.count_if(~F.col("new.converted")).alias("unread"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    summary = totals.agg(
+        F.count_if(~F.col("exists")).alias("creates"),
+        F.count_if(F.col("exists") & (F.col("writes") > 0)).alias("updates"),
+        F.count_if(F.col("exists") & (F.col("writes") == 0)).alias("unchanged"),
+        zero(F.when(F.col("exists"), F.col("writes"))).alias("field_changes"),
+        zero("unread").alias("unconverted"),
+        F.count_if(F.col("rows") > 1).alias("duplicate_identities"),
+        zero(F.when(F.col("rows") > 1, F.col("rows"))).alias("duplicate_rows"),
+    )
+    return Plan(changes, rows.where("problem is not null").select("row_number", F.col("problem").alias("code")), summary)
+
+
 def suggest_fields(headers: DataFrame, fields: DataFrame) -> DataFrame:
     """(position, header, field): each field for the leftmost header that equals its name, key or a synonym, letters and digits only."""
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_all_tokens
+from ..schema import Dataset
 
 PAGE = 25
 SORTS = {"created": ["seq"], "operation": ["operation"], "target": ["target_name"], "review": ["review_status"]}
@@ -19,6 +22,39 @@ def with_names(changes: DataFrame, objects: DataFrame) -> DataFrame:
     return out.withColumn("target_name", F.coalesce("__canonical", "__made", F.lit("Untitled"))).drop("__canonical", "__made")
 
 
+LINKS = {"relationship": "object", "relationship_type_rule": "object_type"}
+
+
+def with_labels(changes: DataFrame, d: Dataset) -> DataFrame:
+    """``target_label`` and ``parent_label`` for changes of every kind.
+
+    A record's canonical name comes first, then that of its CREATE in the log, else Untitled. Relationships and rules have no
+    name: theirs is that of their ends. Only records that the log names, and their ends, are looked up.
+    """
+    payload = lambda *keys: F.coalesce(*[F.get_json_object("after_json", f"$.{k}") for k in keys])
+    key = ["kind", "ref"]
+    made = changes.where("operation = 'create'").select(F.col("target_type").alias("kind"), F.col("target_id").alias("ref"), "seq", F.struct(payload("name").alias("name"), payload("source_id", "subject_type_id").alias("a"), payload("target_id", "object_type_id").alias("b")).alias("x"))
+    made = made.groupBy(*key).agg(F.max_by("x", "seq").alias("x")).select(*key, "x.*")
+    asked = changes.select(F.explode(F.array(F.struct(F.col("target_type").alias("kind"), F.col("target_id").alias("ref")), F.struct(F.col("parent_type").alias("kind"), F.col("parent_id").alias("ref")))).alias("x")).select("x.*").where("kind is not null and ref is not null").distinct()
+    known = d.relationships.select(F.lit("relationship").alias("kind"), F.col("id").alias("ref"), F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    known = known.unionByName(d.rules.select(F.lit("relationship_type_rule").alias("kind"), F.col("id").alias("ref"), F.col("subject_type_id").alias("a"), F.col("object_type_id").alias("b")))
+    links = asked.where(F.col("kind").isin(*LINKS)).join(known, key, "left").join(made.select(*key, F.col("a").alias("made_a"), F.col("b").alias("made_b")), key, "left")
+    links = links.select(*key, F.coalesce("a", "made_a").alias("a"), F.coalesce("b", "made_b").alias("b")).withColumn("end_kind", F.element_at(F.create_map(*[F.lit(x) for pair in LINKS.items() for x in pair]), F.col("kind")))
+    ends = links.select(F.col("end_kind").alias("kind"), F.explode(F.array("a", "b")).alias("ref")).where("ref is not null")
+    tables = {"object": d.objects, "object_type": d.object_types, "relationship_type": d.relationship_types, "attribute_definition": d.attribute_defs}
+    names = reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("kind"), F.col("id").alias("ref"), F.col("name").alias("canonical")) for k, t in tables.items()])
+    plain = asked.where(~F.col("kind").isin(*LINKS)).unionByName(ends).distinct().join(names, key, "left").join(made.select(*key, "name"), key, "left")
+    plain = plain.select(*key, F.coalesce("canonical", "name", F.lit("Untitled")).alias("label"))
+    end = lambda c: plain.select(F.col("kind").alias("end_kind"), F.col("ref").alias(c), F.col("label").alias(f"{c}_label"))
+    both = links.join(end("a"), ["end_kind", "a"], "left").join(end("b"), ["end_kind", "b"], "left")
+    no_end = F.col("a").isNull() & F.col("b").isNull()
+    pair = F.concat(F.coalesce("a_label", F.lit("Untitled")), F.lit(" \u2192 "), F.coalesce("b_label", F.lit("Untitled")))
+    labels = plain.unionByName(both.select(*key, F.when(no_end, "Untitled").otherwise(pair).alias("label")))
+    as_ = lambda side: labels.select(F.col("kind").alias(f"{side}_type"), F.col("ref").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"))
+    out = changes.join(as_("target"), ["target_type", "target_id"], "left").join(as_("parent"), ["parent_type", "parent_id"], "left")
+    return out.select(*changes.columns, "target_label", "parent_label")
+
+
 def search(changes: DataFrame, text: str = "", operation: str = "", target_type: str = "", review_status: str = "") -> DataFrame:
     out = changes
     if text.strip():
