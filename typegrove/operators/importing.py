@@ -201,11 +201,13 @@ def plan_edge_values(rows: DataFrame, relationships: DataFrame, defs: DataFrame,
     cells = long_cells(good.withColumn("__active", F.lit(None).cast("string")), {**columns, **({"__active": "is_active"} if default else {})})
     types = defs.where(F.col("owner_id") == rel_type_id).select(F.concat(F.lit("attributes."), F.col("key")).alias("field"), "data_type")
     own = relationships.where(F.col("type_id") == rel_type_id).select(F.col("id").alias("identity"), F.col("is_active").cast("string").alias("__was"), "attributes", F.lit(True).alias("__there"))
-    met = last_cells(cells).drop("first_row").join(types, "field", "left").join(own, "identity", "left").join(per, "identity")
     active, exists = F.col("field") == "is_active", F.col("__there").isNotNull()
     data_type = F.coalesce("data_type", F.when(active, "boolean").otherwise("text"))
+    # Cells are read before the joins that follow: later columns name what was read, and don't repeat how.
+    read = last_cells(cells).drop("first_row").join(types, "field", "left").withColumn("__type", data_type).select("identity", "field", "__type", coerce(F.col("cell"), F.col("__type")).alias("new"))
+    met = read.join(own, "identity", "left").join(per, "identity")
     old = F.when(active, F.col("__was")).otherwise(F.element_at("attributes", F.substring("field", 12, 1000)))
-    met = met.withColumns({"exists": exists, "old": old, "new": coerce(F.col("cell"), data_type), "__type": data_type})
+    met = met.withColumns({"exists": exists, "old": old})
     old_kind = F.when(F.col("old").isNull(), "null").when(F.col("__type").isin("number", "boolean"), F.col("__type")).otherwise("string")
     changed = ~same_value(F.col("old"), old_kind, F.col("new.value"), F.col("new.kind"))
     written = F.when(F.col("exists"), changed & ~(active & F.lit(default))).otherwise(active | F.col("new.value").isNotNull())
