@@ -20,3 +20,38 @@ def test_records_meet_definitions_where_they_are(spark, name):
     """By type there would be one key, so one task, for all orders."""
     text = plan(queries.FOUND[name](spark, SF))
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+
+
+@pytest.mark.parametrize("name", ["relationship_details", "v_pair_rules", "rule_for_edges", "export_edges_keys", "edge_index", "cardinality_counts", "cardinality_violations"])
+def test_edges_meet_their_ends_by_the_tables_own_keys(spark, name):
+    """Ids are texts made of keys: an edge with three of them is several times as long as its keys."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        text = plan(queries.FOUND[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(l_partkey" in text
+    assert "hashpartitioning(source_id" not in text and "hashpartitioning(target_id" not in text
+
+
+def test_an_edge_without_an_end_has_no_rule(spark, tmp_path):
+    """By keys as by ids: rows that name no order, no part or nothing are edges without an end."""
+    from pyspark.sql import functions as F
+
+    from typegrove.operators import dataset as ds
+    from typegrove.operators import validation
+    from typegrove.sources import graphview
+
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t == "lineitem":
+            n = F.col("l_linenumber")
+            rows = rows.withColumns({"l_orderkey": F.when(n == 2, None).otherwise(F.col("l_orderkey")), "l_partkey": F.when(n == 3, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey"))})
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    d = graphview.dataset(spark, str(tmp_path))
+    plain = d.with_(links=None)
+    rule = lambda x: sorted(map(tuple, ds.rule_of_edges(x, ends=("name",)).select("id", "rule_id", "source_name", "target_name").collect()))
+    sides = lambda x: sorted(map(tuple, validation.sides_of(x).select("id", "type_id", "side", "other_type", "n").collect()))
+    assert rule(d) == rule(plain) and len(rule(d)) < d.relationships.count()
+    assert sides(d) == sides(plain)
+    assert d.with_(objects=d.objects.where("false")).links is None

@@ -46,13 +46,10 @@ def hidden_counterparts(dataset: Dataset, ids: DataFrame, shown: DataFrame) -> D
 
 def relationship_details(dataset: Dataset, ids: DataFrame | None = None) -> DataFrame:
     """Edges with both ends' names and types, the fitting rule and, where edges have it, the time they are valid."""
-    edges = dataset.relationships if ids is None else dataset.relationships.join(ids.select("id"), "id", "left_semi")
-    rows = ds.rule_of_edges(dataset.with_(relationships=edges))
-    if valid := [c for c in ("valid_from", "valid_to") if c in edges.columns]:
-        rows = rows.join(edges.select("id", *valid), "id")
-    names = dataset.objects.select("id", "name")
-    rows = rows.join(names.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id")
-    return rows.join(names.select(F.col("id").alias("target_id"), F.col("name").alias("target_name")), "target_id")
+    if ids is not None:
+        dataset = dataset.with_(relationships=dataset.relationships.join(ids.select("id"), "id", "left_semi"))
+    valid = [c for c in ("valid_from", "valid_to") if c in dataset.relationships.columns]
+    return ds.rule_of_edges(dataset, *valid, ends=("name",))
 
 
 def extract(details: DataFrame) -> DataFrame:

@@ -96,16 +96,17 @@ def index(records: DataFrame, query: str = "", active_only: bool = True, sort: s
     return out.orderBy(key.desc() if sort.startswith("-") else key.asc(), "id").offset((max(1, page) - 1) * size).limit(size)
 
 
-def edge_index(edges: DataFrame, objects: DataFrame, query: str = "", sort: str = "subject", page: int = 1, size: int = PAGE) -> DataFrame:
-    """One page of edges with their ends' names, by subject, object, status or time of creation. A query first finds the names
-    that hold it; only edges with such an end are joined on."""
-    names = objects.select("id", "name")
-    out = edges
+def edge_index(edges: DataFrame, objects: DataFrame, query: str = "", sort: str = "subject", page: int = 1, size: int = PAGE, links=None) -> DataFrame:
+    """One page of edges with their ends' names, by subject, object, status or time of creation. A query keeps edges with an end whose
+    name holds it. One join an end, by the source's own keys where its ``links`` are given."""
+    if links is not None:
+        out = links.with_ends("name").withColumnsRenamed({"source_name": "subject", "target_name": "object"}).drop("source_type", "target_type")
+    else:
+        names = objects.select("id", "name")
+        out = edges.join(names.select(F.col("id").alias("source_id"), F.col("name").alias("subject")), "source_id").join(names.select(F.col("id").alias("target_id"), F.col("name").alias("object")), "target_id")
     if query.strip():
-        hit = names.where(F.contains(F.upper("name"), F.lit(query.strip().upper()))).select(F.col("id").alias("end_id"))
-        ends = edges.select("id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("end_id"))
-        out = edges.join(ends.join(hit, "end_id", "left_semi").select("id").distinct(), "id", "left_semi")
-    out = out.join(names.select(F.col("id").alias("source_id"), F.col("name").alias("subject")), "source_id").join(names.select(F.col("id").alias("target_id"), F.col("name").alias("object")), "target_id")
+        holds = lambda c: F.contains(F.upper(c), F.lit(query.strip().upper()))
+        out = out.where(F.coalesce(holds("subject"), F.lit(False)) | F.coalesce(holds("object"), F.lit(False)))
     created = F.col("created_at") if "created_at" in edges.columns else F.col("id")
     key = {"object": F.lower("object"), "status": F.col("is_active"), "created": created}.get(sort.lstrip("-"), F.lower("subject"))
     return out.orderBy(key.desc() if sort.startswith("-") else key.asc(), "id").offset((max(1, page) - 1) * size).limit(size)

@@ -88,7 +88,7 @@ def pair_issues(dataset: Dataset) -> DataFrame:
     """Active edges whose type allows no such pair of ends."""
     from .dataset import rule_of_edges
 
-    edges = rule_of_edges(dataset.with_(relationships=dataset.relationships.where("is_active")))
+    edges = rule_of_edges(dataset, "is_active").where("is_active")
     return issues(edges.where("rule_id is null"), "invalid_relationship_types", "No rule allows this pair of types", "relationship")
 
 
@@ -148,6 +148,13 @@ def side_counts(edges: DataFrame) -> DataFrame:
     return rows.groupBy("id", "type_id", "side", "other_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sides_of(dataset: Dataset) -> DataFrame:
+    """``side_counts`` of a dataset's edges; by the source's own keys where it has links."""
+    from .dataset import with_ends
+
+    return dataset.links.side_counts() if dataset.links is not None else side_counts(with_ends(dataset))
+
+
 def counts_by_rule(objects: DataFrame, rules: DataFrame, sides: DataFrame) -> DataFrame:
     """(rule_id, side, id, n, least, most) of every active object on either side of each rule, 0 where it has no edge."""
     r = rules.select(
@@ -171,9 +178,7 @@ def cardinality_counts(dataset: Dataset) -> DataFrame:
     ``o_min``/``o_max`` bound the objects that each subject has, ``s_min``/``s_max`` the subjects of each object. Edges
     must be active and of the rule's types; their other end may be inactive.
     """
-    from .dataset import with_end_types
-
-    return counts_by_rule(dataset.objects, dataset.rules, side_counts(with_end_types(dataset.relationships.where("is_active"), dataset.objects)))
+    return counts_by_rule(dataset.objects, dataset.rules, sides_of(dataset))
 
 
 def cardinality_issues(dataset: Dataset) -> DataFrame:
@@ -228,9 +233,7 @@ def record_issues(dataset: Dataset, sides: DataFrame) -> list[DataFrame]:
 
 def validate(dataset: Dataset) -> DataFrame:
     """All issues of active records, their keys and the ontology."""
-    from .dataset import with_end_types
-
-    sides = side_counts(with_end_types(dataset.relationships.where("is_active"), dataset.objects))
+    sides = sides_of(dataset)
     found = [*record_issues(dataset, sides), duplicate_keys(dataset.objects.where("is_active"), "object"), structural_issues(dataset)]
     if "model_id" in dataset.objects.columns and "model_id" in dataset.relationships.columns:
         found.append(end_mismatches(dataset.relationships.where("is_active"), dataset.objects))

@@ -627,7 +627,7 @@ def index_sorted(spark, sf_dir):
 @query(sql("SELECT e.id, s.name AS subject, t.name AS object FROM edges e JOIN objects s ON s.id = source_id JOIN objects t ON t.id = target_id WHERE contains(upper(s.name), 'CUSTOMER') OR contains(upper(t.name), 'CUSTOMER') ORDER BY lower(t.name), e.id LIMIT 25", OBJECTS, EDGES))
 def edge_index(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)
-    return review.edge_index(d.relationships, d.objects, "customer", sort="object").select("id", "subject", "object")
+    return review.edge_index(d.relationships, d.objects, "customer", sort="object", links=d.links).select("id", "subject", "object")
 
 
 @query("SELECT * FROM (VALUES ('object', 'region'), ('object', 'nation'), ('object', 'customer'), ('object', 'supplier'), ('object', 'part'), ('object', 'order'), ('relationship', 'in_region'), ('relationship', 'based_in'), ('relationship', 'placed_by'), ('relationship', 'contains'), ('relationship', 'supplied_by')) v(kind, id)")

@@ -29,7 +29,11 @@ ISSUES = "code string, message string, field string, target_type string, target_
 
 @dataclass(frozen=True)
 class Dataset:
-    """Ontology tables (small) and instance tables (large)."""
+    """Ontology tables (small) and instance tables (large).
+
+    ``links``, where a source has them (``graphview.Links``), are the same objects and edges by the source's own keys; they go when
+    objects or edges are replaced.
+    """
 
     object_types: DataFrame
     relationship_types: DataFrame
@@ -37,8 +41,11 @@ class Dataset:
     attribute_defs: DataFrame
     objects: DataFrame
     relationships: DataFrame
+    links: object = None
 
-    def with_(self, **tables: DataFrame) -> Dataset:
+    def with_(self, **tables) -> Dataset:
+        if {"objects", "relationships"} & set(tables):
+            tables.setdefault("links", None)
         return replace(self, **tables)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_slug
+from ..operators import dataset as ds
 from ..schema import Dataset
 from .tables import MOST_ROWS
 
@@ -23,10 +24,8 @@ def template_rows(dataset: Dataset, type_id: str, attributes: list[str]) -> Data
 
 def edges_with_keys(dataset: Dataset) -> DataFrame:
     """Edges that name their ends by key."""
-    keys = dataset.objects.select("id", "key", "type_id")
-    s = keys.select(F.col("id").alias("source_id"), F.col("key").alias("subject_key"), F.col("type_id").alias("subject_type"))
-    o = keys.select(F.col("id").alias("target_id"), F.col("key").alias("object_key"), F.col("type_id").alias("object_type"))
-    return dataset.relationships.join(s, "source_id").join(o, "target_id").select("id", "type_id", "subject_type", "subject_key", "object_type", "object_key", "attributes", "is_active")
+    named = {"source_type": "subject_type", "source_key": "subject_key", "target_type": "object_type", "target_key": "object_key"}
+    return ds.with_ends(dataset, "key").withColumnsRenamed(named).select("id", "type_id", "subject_type", "subject_key", "object_type", "object_key", "attributes", "is_active")
 
 
 def json_lines(dataset: Dataset) -> DataFrame:
