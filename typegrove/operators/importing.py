@@ -193,19 +193,23 @@ def plan_edge_values(rows: DataFrame, relationships: DataFrame, defs: DataFrame,
     The last row of an edge wins per field, a blank cell is a null. An edge that is there gets the fields whose value
     changes; a new one is active unless a cell says otherwise, and has the attributes that are not null.
     """
-    ends = [c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("subject_id", "object_id")]
+    ends = [F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("subject_id", "object_id")]
     named = F.coalesce(F.col("edge_id"), F.concat_ws(":", F.lit(rel_type_id), *[c for c in ("subject_id", "object_id") if c in rows.columns]))
-    good = rows.where("problem is null").withColumn("identity", named)
-    per = good.select("identity", "row_number", *ends).groupBy("identity").agg(F.min("row_number").alias("first_row"), F.count(F.lit(1)).alias("rows"), F.min("subject_id").alias("subject_id"), F.min("object_id").alias("object_id"))
     default = "is_active" not in columns.values()
-    cells = long_cells(good.withColumn("__active", F.lit(None).cast("string")), {**columns, **({"__active": "is_active"} if default else {})})
+    fields = {f: F.col(c) for c, f in columns.items()} | ({"is_active": F.lit(None).cast("string")} if default else {})
+    # one row an edge, with the last cell of each field: its fields lie where it does, so only it is moved
+    last = [F.max_by(F.struct(c.alias("cell")), "row_number").alias(f"__cell{n}") for n, c in enumerate(fields.values())]
+    good = rows.where("problem is null").withColumn("identity", named)
+    per = good.groupBy("identity").agg(F.min("row_number").alias("first_row"), F.count(F.lit(1)).alias("rows"), F.min(ends[0]).alias("subject_id"), F.min(ends[1]).alias("object_id"), *last)
     types = defs.where(F.col("owner_id") == rel_type_id).select(F.concat(F.lit("attributes."), F.col("key")).alias("field"), "data_type")
     own = relationships.where(F.col("type_id") == rel_type_id).select(F.col("id").alias("identity"), F.col("is_active").cast("string").alias("__was"), "attributes", F.lit(True).alias("__there"))
     active, exists = F.col("field") == "is_active", F.col("__there").isNotNull()
     data_type = F.coalesce("data_type", F.when(active, "boolean").otherwise("text"))
-    # Cells are read before the joins that follow: later columns name what was read, and don't repeat how.
-    read = last_cells(cells).drop("first_row").join(types, "field", "left").withColumn("__type", data_type).select("identity", "field", "__type", coerce(F.col("cell"), F.col("__type")).alias("new"))
-    met = read.join(own, "identity", "left").join(per, "identity")
+    # Cells are read before the join that follows: later columns name what was read, and don't repeat how.
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__cell{n}.cell").alias("cell")) for n, f in enumerate(fields)])
+    kept = ["identity", "first_row", "rows", "subject_id", "object_id"]
+    read = per.select(*kept, F.explode(cells).alias("x")).select(*kept, "x.*").join(types, "field", "left").withColumn("__type", data_type)
+    met = read.select(*kept, "field", "__type", coerce(F.col("cell"), F.col("__type")).alias("new")).join(own, "identity", "left")
     old = F.when(active, F.col("__was")).otherwise(F.element_at("attributes", F.substring("field", 12, 1000)))
     met = met.withColumns({"exists": exists, "old": old})
     old_kind = F.when(F.col("old").isNull(), "null").when(F.col("__type").isin("number", "boolean"), F.col("__type")).otherwise("string")
