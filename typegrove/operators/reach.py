@@ -111,6 +111,7 @@ def apply_scope(dataset: Dataset, scope: Scope, exact: bool = False) -> Dataset:
     """
     spark = dataset.objects.sparkSession
     out = lambda col, ids: F.lit(True) if not ids else ~F.col(col).isin(*ids)
+    kept = out("type_id", scope.exclude_objects) & passes(scope.filters, exact)
     objects = dataset.objects.where(out("type_id", scope.exclude_objects)).where(passes(scope.filters, exact))
     ids = objects.select("id")
 
@@ -118,7 +119,10 @@ def apply_scope(dataset: Dataset, scope: Scope, exact: bool = False) -> Dataset:
         edges = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
         return edges.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
 
-    edges = between(dataset.relationships.where(out("type_id", scope.exclude_relationships)), ids)
+    if dataset.links is not None:  # edges of a type that lacks its ends' types are not even read
+        edges = dataset.links.where(kept, out("type_id", scope.exclude_relationships)).between()
+    else:
+        edges = between(dataset.relationships.where(out("type_id", scope.exclude_relationships)), ids)
     if scope.roots:
         roots = spark.createDataFrame([(r,) for r in scope.roots], "id string").join(ids, "id", "left_semi")
         reached = reachable(roots, edges, scope.depth).select("id")
