@@ -55,3 +55,19 @@ def test_an_edge_without_an_end_has_no_rule(spark, tmp_path):
     assert rule(d) == rule(plain) and len(rule(d)) < d.relationships.count()
     assert sides(d) == sides(plain)
     assert d.with_(objects=d.objects.where("false")).links is None
+
+
+@pytest.mark.parametrize("name", ["publication_summary", "scope_publish"])
+def test_a_scope_reads_no_edges_of_types_it_leaves_out(spark, name):
+    """Line items join orders with parts, which the scopes exclude."""
+    assert "l_orderkey" not in plan(queries.FOUND[name](spark, SF))
+
+
+def test_values_of_an_edge_are_moved_once(spark):
+    """Not the fields of each row, each apart, and the rows again for their number."""
+    assert plan(queries.FOUND["plan_edge_updates"](spark, SF)).count("Exchange hashpartitioning(identity") == 1
+
+
+def test_a_discarded_log_is_moved_once(spark):
+    """Rows that name nothing meet what is gone once; records that go are known to be the log's own."""
+    assert plan(queries.FOUND["discarded_cascade"](spark, SF)).count("Exchange hashpartitioning") <= 2

@@ -150,7 +150,7 @@ def references(changes: DataFrame) -> DataFrame:
     """(target_id, names): each record that the log creates with the records it names, its parent among them."""
     made = changes.where("operation = 'create'")
     named = F.array("parent_id", *[F.get_json_object("after_json", f"$.{f}") for f in NAMING])
-    return made.select("target_id", F.explode(F.array_compact(named)).alias("names")).distinct()
+    return made.select("target_id", F.explode(F.array_distinct(F.array_compact(named))).alias("names"))
 
 
 def dependents(changes: DataFrame, gone: DataFrame) -> DataFrame:
@@ -159,29 +159,38 @@ def dependents(changes: DataFrame, gone: DataFrame) -> DataFrame:
     Created records that name a created record that goes do go, whatever field names it, and those that name them, to a
     fixpoint: a round joins what went last with the references, which are computed once.
     """
+    named, created = _dependents(changes, gone)
+    return named.unionByName(created).distinct()
+
+
+def _dependents(changes: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``gone``, and what of it and of its dependents the log creates."""
     steps = Steps(changes.sparkSession, "dependents")
-    named = steps.keep(references(changes), "references")
-    made = changes.where("operation = 'create'").select("target_id").distinct()
-    out = steps.keep(gone.select("target_id").distinct(), "gone-0")
-    last, k = out.join(made, "target_id", "left_semi"), 0
-    while True:
+    made = changes.where("operation = 'create'").select("target_id")
+    # only what the log creates goes on: other names, most of them, are left out once
+    named = steps.keep(references(changes).join(made.select(F.col("target_id").alias("names")), "names", "left_semi"), "references")
+    first = steps.keep(gone.select("target_id").distinct(), "gone")
+    last = out = steps.keep(made.join(first, "target_id", "left_semi").distinct(), "gone-0")
+    k = 0
+    while not last.isEmpty():
         k += 1
         found = named.join(last.select(F.col("target_id").alias("names")), "names", "left_semi").select("target_id").distinct()
         last = steps.keep(found.join(out, "target_id", "left_anti"), f"gone-{k}")
-        if last.isEmpty():
-            return out
         out = out.unionByName(last)
+    return first, out
 
 
 def discard(changes: DataFrame, gone: DataFrame) -> DataFrame:
     """The log without the records in ``gone`` (target_id), without what depends on those that it creates, and without
     updates that make other records name one of them. What names a record that exists without the log stays."""
-    every = dependents(changes, gone)
-    rest = changes.join(every, "target_id", "left_anti")
-    lost = every.join(changes.where("operation = 'create'").select("target_id"), "target_id", "left_semi").select(F.col("target_id").alias("__value"))
+    first, created = _dependents(changes, gone)
+    every, lost = first.unionByName(created), created.select(F.col("target_id").alias("__value"))
     names = (F.col("operation") == "update") & F.get_json_object("after_json", "$.field").isin(*NAMING)
-    value = F.when(F.coalesce(names, F.lit(False)), F.get_json_object("after_json", "$.value"))
-    return rest.withColumn("__value", value).join(lost, "__value", "left_anti").select(*changes.columns)
+    rows = changes.withColumn("__value", F.when(F.coalesce(names, F.lit(False)), F.get_json_object("after_json", "$.value")))
+    # rows that name nothing, most of a log, take one join
+    rest = rows.where("__value is null").join(every, "target_id", "left_anti")
+    naming = rows.where("__value is not null").join(every, "target_id", "left_anti").join(lost, "__value", "left_anti")
+    return rest.select(*changes.columns).unionByName(naming.select(*changes.columns))
 
 
 def bulk_edit(objects: DataFrame, selection: list[str], edits: dict[str, str | None], start_seq: int, proposal_id: str, most: int = 100) -> DataFrame:
