@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from typegrove import model_queries, queries  # noqa: F401
+from typegrove import history_queries, model_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +71,9 @@ def test_values_of_an_edge_are_moved_once(spark):
 def test_a_discarded_log_is_moved_once(spark):
     """Rows that name nothing meet what is gone once; records that go are known to be the log's own."""
     assert plan(queries.FOUND["discarded_cascade"](spark, SF)).count("Exchange hashpartitioning") <= 2
+
+
+def test_groups_are_counted_where_they_are_placed(spark):
+    """Their size is the sum of the parts that places are counted in: details are found once, and not moved again for it."""
+    text = plan(queries.FOUND["grouped_details"](spark, SF))
+    assert "orders.parquet" not in text and text.count("Join") <= 1

@@ -11,14 +11,22 @@ from . import dataset as ds
 from .numbering import places
 
 
-def object_details(dataset: Dataset, ids: DataFrame, shown: DataFrame | None = None) -> DataFrame:
-    """One row per incident edge of the objects in ``ids`` (column id).
+def object_details(dataset: Dataset, ids: DataFrame | None = None, shown: DataFrame | None = None) -> DataFrame:
+    """One row per incident edge of the objects in ``ids`` (column id); None: of all objects.
 
     ``in_view`` tells whether the other end is among the ``shown`` nodes. Only edges that touch ``ids`` are joined on.
     """
+    types = dataset.relationship_types.select(F.col("id").alias("edge_type_id"), F.col("name").alias("edge_type_name"))
+    if ids is None and shown is None:  # both ends of an edge meet it once, then each is told of the other
+        e = ds.with_ends(dataset, "name")
+        end = lambda own, other, direction: F.struct(F.col(f"{own}_id").alias("id"), F.col(f"{other}_id").alias("other_id"), F.lit(direction).alias("direction"), F.col(f"{other}_name").alias("other_name"), F.col(f"{other}_type").alias("other_type_id"))
+        out, back = end("source", "target", "out"), end("target", "source", "in")
+        ends = F.when(F.col("source_id") == F.col("target_id"), F.array(out)).otherwise(F.array(out, back))
+        rows = e.select(F.col("id").alias("edge_id"), F.col("type_id").alias("edge_type_id"), F.explode(ends).alias("end"))
+        return rows.select("end.id", "end.other_id", "edge_id", "edge_type_id", "end.direction", "end.other_name", "end.other_type_id").join(types, "edge_type_id").withColumn("in_view", F.lit(True))
+    ids = dataset.objects if ids is None else ids
     near = ds.adjacency(dataset.relationships).join(ids.select("id"), "id", "left_semi")
     other = dataset.objects.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("type_id").alias("other_type_id"))
-    types = dataset.relationship_types.select(F.col("id").alias("edge_type_id"), F.col("name").alias("edge_type_name"))
     out = near.join(other, "other_id").join(types, "edge_type_id")
     if shown is None:
         return out.withColumn("in_view", F.lit(True))
@@ -33,9 +41,7 @@ def grouped_details(details: DataFrame) -> DataFrame:
     partial counts: no task has a whole group.
     """
     group = ["id", "edge_type_id", "edge_type_name", "direction"]
-    n = details.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    rows = places(details, group, [F.lower("other_name"), F.col("edge_id")], "position", Steps(details.sparkSession, "details"))
-    return rows.join(n, group)
+    return places(details, group, [F.lower("other_name"), F.col("edge_id")], "position", Steps(details.sparkSession, "details"), "n")
 
 
 def hidden_counterparts(dataset: Dataset, ids: DataFrame, shown: DataFrame) -> DataFrame:
