@@ -77,3 +77,8 @@ def test_groups_are_counted_where_they_are_placed(spark):
     """Their size is the sum of the parts that places are counted in: details are found once, and not moved again for it."""
     text = plan(queries.FOUND["grouped_details"](spark, SF))
     assert "orders.parquet" not in text and text.count("Join") <= 1
+
+
+def test_digests_move_bytes(spark):
+    """Half as long as their digits, which they become where they are sorted already."""
+    assert "collect_list(unhex(sha2(" in plan(queries.FOUND["snapshot_digests"](spark, SF))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_slug
@@ -88,10 +88,16 @@ def write_template(rows: DataFrame, path: str, order: tuple[str, ...] = ("name",
     rows.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").csv(path)
 
 
+def digest_of(values: str) -> Column:
+    """An aggregate: SHA-256 over the sorted SHA-256 of a group's texts, as hexadecimal digits. Until they are sorted they are bytes,
+    which have the order of their digits and half their length, so that is what a shuffle moves."""
+    own = F.array_sort(F.collect_list(F.unhex(F.sha2(values, 256))))
+    return F.sha2(F.array_join(F.transform(own, lambda x: F.lower(F.hex(x))), ","), 256)
+
+
 def digests(lines: DataFrame) -> DataFrame:
     """(part, records, digest): SHA-256 over the sorted SHA-256 of a part's records, by blocks, so no block holds them all."""
-    one = lines.select("part", F.sha2("value", 256).alias("h"))
-    block = one.groupBy("part", F.left("h", F.lit(3)).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
+    block = lines.groupBy("part", F.left(F.sha2("value", 256), F.lit(3)).alias("block")).agg(F.count(F.lit(1)).alias("n"), digest_of("value").alias("h"))
     return block.groupBy("part").agg(F.sum("n").alias("records"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ","), 256).alias("digest"))
 
 
