@@ -82,3 +82,27 @@ def test_groups_are_counted_where_they_are_placed(spark):
 def test_digests_move_bytes(spark):
     """Half as long as their digits, which they become where they are sorted already."""
     assert "collect_list(unhex(sha2(" in plan(queries.FOUND["snapshot_digests"](spark, SF))
+
+
+def test_records_of_a_snapshot_are_written_once(spark, tmp_path):
+    """A block follows from the id, so records stay where they were written; only those of new blocks are copied."""
+    from typegrove.sources.snapshots import Snapshots
+
+    lines = spark.range(600).selectExpr("'object' AS part", "cast(id AS string) AS id", "cast(id AS string) AS value")
+    s = Snapshots(spark, str(tmp_path), block=8)
+    s.add(lines.repartition(5), 1)
+    s.add(lines.where("id <> '7'"), 2)
+    first, second = (spark.read.parquet(f"{tmp_path}/{s.entry(n)['folder']}/blocks") for n in (1, 2))
+    assert first.columns == ["part", "id", "value"] and first.rdd.getNumPartitions() > 1
+    assert first.count() == 600 and second.count() < 50 and s.read(2).count() == 599 and s.verify(1) and s.verify(2)
+
+
+def test_edges_of_a_snapshot_meet_their_ends_by_keys(spark):
+    from typegrove.sources import derived, export
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        text = plan(export.json_lines(derived.dataset(spark, SF)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(source_id" not in text and "hashpartitioning(target_id" not in text

@@ -167,7 +167,8 @@ def snapshots_shared(spark, sf_dir):
     second had to write."""
     shots = Snapshots(spark, Steps(spark, "snapshots").root)
     d = derived.dataset(spark, sf_dir)
-    for dataset in (d, d.with_(objects=d.objects.where("type_id <> 'region'"))):
+    rest = d.links.where(F.col("type_id") != "region", F.lit(True))
+    for dataset in (d, d.with_(objects=rest.objects(), links=rest)):
         shots.add(export.json_lines(dataset), 1)
     out = None
     for sequence in (1, 2):

@@ -25,6 +25,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    (src, files), (dst, _) = _at(spark, path), _at(spark, to)
+    if not files.rename(src, dst):
+        raise OSError(f"{path} can't be named {to}")
+
+
 class Steps:
     """The tables of one loop, removed when the driver exits."""
 

@@ -60,13 +60,15 @@ def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
         _table(brands, ATTRIBUTE_DEFS, id=F.concat(_named("brand", "p_brand"), F.lit(".ptype")), key=F.lit("ptype"), name=F.lit("Type"), data_type=F.lit("choice"), sort_order=F.lit(1), choices="choices", **owner, **common),
         _table(priorities, ATTRIBUTE_DEFS, id=F.concat(_named("sold", "o_orderpriority"), F.lit(".status")), owner_kind=F.lit("relationship"), owner_id=_named("sold", "o_orderpriority"), key=F.lit("status"), name=F.lit("Status"), data_type=F.lit("choice"), sort_order=zero, choices="choices", **common),
     ]
+    own = graphview.links(spark, sf_dir)
     return Dataset(
         object_types=types[0].unionByName(types[1]).unionByName(types[2]),
         relationship_types=sold.unionByName(made),
         rules=rules[0].unionByName(rules[1]),
         attribute_defs=defs[0].unionByName(defs[1]).unionByName(defs[2]),
-        objects=graphview.objects(spark, sf_dir),
-        relationships=graphview.relationships(spark, sf_dir),
+        objects=own.objects(),
+        relationships=own.relationships(),
+        links=own,
     )
 
 

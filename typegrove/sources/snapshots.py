@@ -3,9 +3,11 @@
 The records of a snapshot are dealt to blocks by hash, about ``BLOCK`` a block, in a number that doubles as the model
 grows. A block's digest is that of its sorted records. A block that the snapshot before has with the same digest is not
 written again: the list of blocks names the folder that holds it, however long ago it was written. Digests of 256 blocks make one of the next level up, until one is left
-for each part; the snapshot's digest is made of those.
+for each part; the snapshot's digest is made of those. A record's block follows from its id and the number of blocks of its part,
+so the records of a folder lie in any order and are never moved: only digests are.
 
-Records are written under a fresh name first and everything else, digests too, is made from what was written. A manifest
+Records are written under a fresh name first and everything else, digests too, is made from what was written. Where no block is
+shared that folder stays as it is, else the records of the new blocks are copied from it. A manifest
 file, made only if absent, gives a snapshot its number: of two publishers one gets the next and the other the one after.
 """
 
@@ -19,25 +21,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import Dataset
-from ..shared import delete, names, put_if_absent, read_text
-from .export import json_lines, size_problems
+from ..shared import delete, names, put_if_absent, read_text, rename
+from .export import digest_of, json_lines, size_problems
 
 #: Records a block, about.
 BLOCK, FAN = 1 << 12, 8
 LEAVES = "part string, bits int, block long, n long, digest string, folder string"
+RECORDS = "part string, id string, value string"
 
 
 def blocks(lines: DataFrame, each: int = BLOCK) -> DataFrame:
     """``lines`` (part, id, value) with ``bits`` and ``block``: leading bits of the id's hash, as many as the part needs."""
     n = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    bits = n.select("part", F.ceil(F.log2(F.greatest(F.col("n") / each, F.lit(1.0)))).cast("int").alias("bits"))
-    # a part is a table of the model: six rows
+    return in_blocks(lines, n.select("part", F.ceil(F.log2(F.greatest(F.col("n") / each, F.lit(1.0)))).cast("int").alias("bits")))
+
+
+def in_blocks(lines: DataFrame, bits: DataFrame) -> DataFrame:
+    """``lines`` with the bits of their part (part, bits; a part is a table of the model: six rows) and their block."""
     return lines.join(F.broadcast(bits), "part").withColumn("block", F.expr("shiftrightunsigned(shiftrightunsigned(xxhash64(id), 1), 63 - bits)"))
 
 
 def leaves_of(lines: DataFrame) -> DataFrame:
     """(part, bits, block, n, digest): blocks hold about ``BLOCK`` records each, so none gathers an unbounded list."""
-    return lines.groupBy("part", "bits", "block").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("value", 256))), ","), 256).alias("digest"))
+    return lines.groupBy("part", "bits", "block").agg(F.count(F.lit(1)).alias("n"), digest_of("value").alias("digest"))
 
 
 def roots(leaves: DataFrame) -> DataFrame:
@@ -93,8 +99,8 @@ class Snapshots:
     def add(self, lines: DataFrame, source_revision: int, expected_digest: str | None = None) -> tuple[int, str]:
         folder = f"data/{uuid.uuid4().hex}"
         own = f"{self.path}/{folder}"
-        lines.write.parquet(f"{own}/records")
-        lines = blocks(self.spark.read.schema(lines.schema).parquet(f"{own}/records"), self.block)
+        lines.select("part", "id", "value").write.parquet(f"{own}/records")
+        lines = blocks(self.spark.read.schema(RECORDS).parquet(f"{own}/records"), self.block)
         leaves_of(lines).write.parquet(f"{own}/found")
         found = self.spark.read.parquet(f"{own}/found")
         digest = content_digest(found)
@@ -103,9 +109,13 @@ class Snapshots:
             raise ValueError("the model has changed since the preview")
         held = self.leaves().select("part", "bits", "block", "digest", "folder") if self.sequences() else self.spark.createDataFrame([], "part string, bits int, block long, digest string, folder string")
         leaves = found.join(held, ["part", "bits", "block", "digest"], "left")
-        new = leaves.where("folder is null").select("part", "bits", "block")
-        lines.join(new, ["part", "bits", "block"], "left_semi").select("part", "bits", "block", "id", "value").repartition("part", "block").sortWithinPartitions("part", "block").write.parquet(f"{own}/blocks")
         leaves.withColumn("folder", F.coalesce("folder", F.lit(folder))).select(*[x.split()[0] for x in LEAVES.split(", ")]).write.parquet(f"{own}/leaves")
+        leaves = self.spark.read.schema(LEAVES).parquet(f"{own}/leaves")  # a file of known size, far smaller than the records
+        new = F.col("folder") == folder
+        if leaves.where(~new).isEmpty():
+            rename(self.spark, f"{own}/records", f"{own}/blocks")
+        else:
+            lines.join(leaves.where(new).select("part", "block"), ["part", "block"], "left_semi").select("part", "id", "value").write.parquet(f"{own}/blocks")
         for part in ("records", "found"):
             delete(self.spark, f"{own}/{part}")
         sequence = (self.sequences() or [0])[-1] + 1
@@ -118,11 +128,11 @@ class Snapshots:
         """(part, id, value) of a snapshot, read from the folders that its blocks lie in."""
         leaves = self.leaves(sequence)
         folders = [r[0] for r in leaves.select("folder").distinct().collect()]  # one a snapshot that blocks are shared with
-        schema = "part string, bits int, block long, id string, value string"
-        out = self.spark.createDataFrame([], f"{schema}, folder string")
+        out = self.spark.createDataFrame([], f"{RECORDS}, folder string")
         for f in folders:
-            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{f}/blocks").withColumn("folder", F.lit(f)))
-        return out.join(leaves.select("part", "bits", "block", "folder"), ["part", "bits", "block", "folder"], "left_semi").select("part", "id", "value", "bits", "block")
+            out = out.unionByName(self.spark.read.schema(RECORDS).parquet(f"{self.path}/{f}/blocks").withColumn("folder", F.lit(f)))
+        out = in_blocks(out, leaves.select("part", "bits").distinct())  # blocks are shared between snapshots of as many bits only
+        return out.join(leaves.select("part", "block", "folder"), ["part", "block", "folder"], "left_semi").select("part", "id", "value", "bits", "block")
 
     def damaged(self, sequence: int | None = None) -> DataFrame:
         """(part, block): blocks whose records do not have the digest that is listed, or are not there."""
