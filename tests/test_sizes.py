@@ -106,3 +106,33 @@ def test_edges_of_a_snapshot_meet_their_ends_by_keys(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(source_id" not in text and "hashpartitioning(target_id" not in text
+
+
+def test_a_table_is_written_to_its_buckets_where_it_lies(spark, tmp_path):
+    """By as many tasks as have its rows, not one a bucket."""
+    from typegrove.operators.store import OPEN, Index, Store
+
+    store, index = Store(spark, str(tmp_path), 2), Index()
+    store.write(index, "objects", spark.range(0, 1000, 1, 4).selectExpr("cast(id AS string) AS id", "id AS n"), "t")
+    for bucket, folder in index.files("objects").items():
+        assert len(list((tmp_path / folder / f"store_bucket={bucket}").glob("*.parquet"))) == 4
+    only = store.touched(index, "objects", spark.createDataFrame([("7",)], "id string"))
+    assert store.read(index, "objects").count() == 1000 and store.read(index, "objects", only).where("id = '7'").count() == 1
+    assert spark.conf.get(OPEN, "0") == "0"
+
+
+def test_edges_of_a_model_meet_their_ends_by_keys(spark):
+    from typegrove.operators import dataset as ds
+    from typegrove.sources import graphview
+
+    d = graphview.dataset(spark, SF)
+    d = d.with_(object_types=d.object_types.where("id <> 'supplier'"), relationship_types=d.relationship_types.where("id <> 'in_region'"))
+    objects = ds.known_objects(d.objects, d.object_types)
+    rows = lambda x: sorted(map(repr, x.select("id", "type_id", "source_id", "target_id", "attributes", "is_active", *ds.END_TYPES).collect()))
+    assert rows(ds.typed_relationships(d, objects)) == rows(ds.typed_relationships(d.with_(links=None), objects))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        text = plan(ds.typed_relationships(d, objects))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(source_id" not in text and "hashpartitioning(target_id" not in text

@@ -94,12 +94,13 @@ class Change:
             self.old_objects = self.new_objects = self.store.read(self.old, "objects", [])
             self.keyed = self.store.read(self.old, "keys", [])
             return
+        self.touched_objects = self.keep(self.touched_objects)
         only = self.store.touched(self.old, "objects", self.touched_objects)
-        before = self.store.read(self.old, "objects", only)
-        after = ds.known_objects(stored(before, self.changes, "object"), self.store.read(self.new, "object_types"))
-        self.store.write(self.new, "objects", after, self.name, only)
-        self.old_objects = _pick(before, self.touched_objects)
-        self.new_objects = _pick(self.store.read(self.new, "objects", only), self.touched_objects)
+        before, types = self.store.read(self.old, "objects", only), self.store.read(self.new, "object_types")
+        self.old_objects = self.keep(_pick(before, self.touched_objects))
+        self.new_objects = self.keep(ds.known_objects(stored(self.old_objects, self.changes, "object"), types).select(*before.columns))
+        rest = ds.known_objects(before.join(self.touched_objects, "id", "left_anti"), types)
+        self.store.write(self.new, "objects", rest.select(*before.columns).unionByName(self.new_objects), self.name, only)
         columns = ["type_id", "key", "id", "is_active"]
         bring = self.new_objects.select(*columns).where("key is not null")
         groups = self.old_objects.select("type_id", "key").unionByName(bring.select("type_id", "key")).where("key is not null").distinct()
@@ -124,14 +125,14 @@ class Change:
         self.touched_edges = touched = self.keep(touched)
         only = self.store.touched(self.old, "relationships", touched)
         before = self.store.read(self.old, "relationships", only)
-        after = stored(before, self.changes, "relationship")
-        after = after.join(self.store.read(self.new, "relationship_types").select(F.col("id").alias("type_id")), "type_id", "left_semi").select(*before.columns)
-        fresh = self.keep(_pick(after, touched).drop(*ds.END_TYPES))
-        ends = fresh.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-        fresh = ds.with_end_types(fresh, self.read(self.new, "objects", ends).select("id", "type_id"))
-        self.store.write(self.new, "relationships", after.join(touched, "id", "left_anti").unionByName(fresh), self.name, only)
-        self.new_edges = _pick(self.store.read(self.new, "relationships", only), touched)
-        less = side_counts(_pick(before, touched)).withColumn("n", -F.col("n"))
+        mine, types = self.keep(_pick(before, touched)), self.store.read(self.new, "relationship_types").select(F.col("id").alias("type_id"))
+        known = lambda rows: rows.join(types, "type_id", "left_semi").select(*before.columns)
+        fresh = self.keep(known(stored(mine, self.changes, "relationship")).drop(*ds.END_TYPES))
+        ends = self.keep(fresh.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct())
+        fresh = self.keep(ds.with_end_types(fresh, _pick(self.read(self.new, "objects", ends).select("id", "type_id"), ends)))
+        self.store.write(self.new, "relationships", known(before.join(touched, "id", "left_anti")).unionByName(fresh), self.name, only)
+        self.new_edges = fresh.select(*before.columns)
+        less = side_counts(mine).withColumn("n", -F.col("n"))
         columns = ["id", "type_id", "side", "other_type"]
         moved = less.unionByName(side_counts(self.new_edges)).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
         self.moved = self.keep(moved)
@@ -153,7 +154,7 @@ class Change:
     def issues(self) -> DataFrame:
         """The new revision's issues: of records that the change-set can have made valid or invalid, and the rest as before."""
         near, types = self.keep(_ids(self.touched_objects, self.moved, self.keyed)), self._types()
-        objects, edges, sides = _pick(self.read(self.new, "objects", near), near), self.new_edges, self.read(self.new, "counts", near)
+        objects, edges, sides = _pick(self.read(self.new, "objects", near), near), self.new_edges, _pick(self.read(self.new, "counts", near), near)
         if types:
             objects = objects.unionByName(self.read(self.new, "objects").join(types[0], "type_id", "left_semi").select(*objects.columns)).dropDuplicates(["id"])
             edges = edges.unionByName(self.read(self.new, "relationships").join(types[1], "type_id", "left_semi").select(*edges.columns)).dropDuplicates(["id"])
@@ -180,10 +181,11 @@ class Change:
         """The log's own issues, held against the old records that it names."""
         named = self.touched_objects
         if "relationship" in self.kinds:
-            named = _ids(named, log_ends(self.changes).select(F.col("end_id").alias("id")))
-        edges = self.read(self.old, "relationships", self.targets("relationship")) if "relationship" in self.kinds else self.store.read(self.old, "relationships", [])
+            named = self.keep(_ids(named, log_ends(self.changes).select(F.col("end_id").alias("id"))))
+        only = lambda table, ids: _pick(self.read(self.old, table, ids), ids)
+        edges = only("relationships", self.keep(self.targets("relationship"))) if "relationship" in self.kinds else self.store.read(self.old, "relationships", [])
         keys = created_keys(self.changes).select(F.col("parent_id").alias("type_id"), "key")
-        seen = Dataset(objects=self.read(self.old, "objects", named), relationships=edges, **self.ontology(self.old))
+        seen = Dataset(objects=only("objects", named), relationships=edges, **self.ontology(self.old))
         holders = seen
         if {"object_type", "relationship_type"} & self.deletes:
             holders = seen.with_(objects=self.read(self.old, "objects"), relationships=self.read(self.old, "relationships"))
@@ -222,16 +224,17 @@ class Model:
 
     def _stage(self, dataset: Dataset) -> str:
         """Writes all tables of a dataset, sound records only, with what is derived from them and their issues."""
-        name, index, sound = f"tables/{uuid.uuid4().hex}", Index(), ds.sound(dataset)
+        name, index = f"tables/{uuid.uuid4().hex}", Index()
         for table in ONTOLOGY:
-            self.store.write(index, table, getattr(sound, table), name)
-        self.store.write(index, "objects", sound.objects, name)
+            self.store.write(index, table, getattr(dataset, table), name)
+        self.store.write(index, "objects", ds.known_objects(dataset.objects, dataset.object_types), name)
         objects = self.store.read(index, "objects")
-        edges = sound.relationships.withColumns({c: F.lit(None).cast(kind) for c, kind in VALIDITY.items() if c not in sound.relationships.columns})
-        self.store.write(index, "relationships", ds.with_end_types(edges.drop(*ds.END_TYPES), objects), name)
+        edges = ds.typed_relationships(dataset, objects)
+        edges = edges.withColumns({c: F.lit(None).cast(kind) for c, kind in VALIDITY.items() if c not in edges.columns})
+        self.store.write(index, "relationships", edges, name)
         self.store.write(index, "counts", side_counts(self.store.read(index, "relationships")), name)
         self.store.write(index, "keys", objects.select("type_id", "key", "id", "is_active").where("key is not null"), name)
-        self._save(index, name, validate(self._dataset(index)))
+        self._save(index, name, validate(self._dataset(index), self.store.read(index, "counts")))
         return name
 
     def _save(self, index: Index, name: str, found: DataFrame) -> None:

@@ -3,6 +3,8 @@
 A table's rows are dealt to buckets by the hash of their key. A bucket is a folder that is written once and never changed.
 The index of a revision names the folder of every bucket, so a new revision writes the buckets that changed and repeats
 the names of the others. An index is metadata of a line a bucket; rows never pass the driver.
+
+Each task writes its rows to a file of each bucket: a table is neither shuffled nor sorted to be written.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql.types import StructType
 from ..shared import names, read_text, write_text
 
 BUCKET = "store_bucket"
+#: So many files are open in a task at once, of so many bytes held each, instead of a sort by bucket.
+OPEN, HELD = "spark.sql.maxConcurrentOutputFileWriters", 16 << 20
 #: Key columns of the tables that are dealt to many buckets; others have one.
 KEYS = {"objects": ("id",), "relationships": ("id",), "counts": ("id",), "keys": ("type_id", "key")}
 
@@ -62,7 +66,7 @@ class Store:
         number = self.number(index, table, *(F.col(c) for c in KEYS.get(table, ())))
         schema = rows.schema if first else StructType.fromJson(json.loads(index.tables[table]["schema"]))
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn(BUCKET, number)
-        rows.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        self._write(rows if table in KEYS else rows.repartition(BUCKET), f"{self.path}/{folder}")
         made = [x.split("=")[1] for x in names(self.spark, f"{self.path}/{folder}") if x.startswith(f"{BUCKET}=")]
         if first:
             for f in schema.fields:
@@ -73,6 +77,14 @@ class Store:
             files.pop(b, None)
         files.update({b: folder for b in made})
 
+    def _write(self, rows: DataFrame, path: str) -> None:
+        before = self.spark.conf.get(OPEN, None)
+        self.spark.conf.set(OPEN, str(self.buckets))
+        try:
+            rows.write.option("parquet.block.size", HELD).partitionBy(BUCKET).parquet(path)
+        finally:
+            self.spark.conf.unset(OPEN) if before is None else self.spark.conf.set(OPEN, before)
+
     def save(self, index: Index, name: str, **more) -> None:
         write_text(self.spark, f"{self.path}/{name}/index.json", json.dumps({"tables": index.tables, **more}))
 

@@ -231,9 +231,9 @@ def record_issues(dataset: Dataset, sides: DataFrame) -> list[DataFrame]:
     return found
 
 
-def validate(dataset: Dataset) -> DataFrame:
-    """All issues of active records, their keys and the ontology."""
-    sides = sides_of(dataset)
+def validate(dataset: Dataset, sides: DataFrame | None = None) -> DataFrame:
+    """All issues of active records, their keys and the ontology. ``sides``: the edges' ``side_counts``, where they are known."""
+    sides = sides_of(dataset) if sides is None else sides
     found = [*record_issues(dataset, sides), duplicate_keys(dataset.objects.where("is_active"), "object"), structural_issues(dataset)]
     if "model_id" in dataset.objects.columns and "model_id" in dataset.relationships.columns:
         found.append(end_mismatches(dataset.relationships.where("is_active"), dataset.objects))
