@@ -136,3 +136,21 @@ def test_edges_of_a_model_meet_their_ends_by_keys(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(source_id" not in text and "hashpartitioning(target_id" not in text
+
+
+def test_a_commit_changes_only_records_that_the_log_names(spark, tmp_path, monkeypatch):
+    """The others of their buckets are written as they are."""
+    from typegrove import history_queries
+    from typegrove.operators import model
+    from typegrove.sources import graphview
+
+    m = model.Model(spark, str(tmp_path / "model"), 2)
+    m.create(history_queries._sound(spark, SF))
+    given, stored = {}, model.stored
+    monkeypatch.setattr(model, "stored", lambda rows, changes, kind: given.update({kind: rows.count()}) or stored(rows, changes, kind))
+    log = graphview.changes(spark, SF).where("operation = 'update'").limit(0)
+    row = ("c", "p", 1, "update", "object", "customer:1", None, None, None, '{"field": "name", "value": "Other"}')
+    assert m.commit(log.unionByName(spark.createDataFrame([row], log.schema))).committed
+    assert given["object"] == 1
+    old, new = (m.read(n).objects.select("id", "type_id", "key", "name", "is_active") for n in (1, 2))
+    assert [(r["id"], r["name"]) for r in new.exceptAll(old).select("id", "name").collect()] == [("customer:1", "Other")] and old.count() == new.count()
