@@ -154,3 +154,23 @@ def test_a_commit_changes_only_records_that_the_log_names(spark, tmp_path, monke
     assert given["object"] == 1
     old, new = (m.read(n).objects.select("id", "type_id", "key", "name", "is_active") for n in (1, 2))
     assert [(r["id"], r["name"]) for r in new.exceptAll(old).select("id", "name").collect()] == [("customer:1", "Other")] and old.count() == new.count()
+
+
+def test_pairs_without_an_issue_go_before_codes_are_listed(spark, monkeypatch):
+    """Values at their bounds, past them and of every type, with bounds the wrong way round: all codes of a pair, none of a fine one."""
+    from pyspark.sql import functions as F
+
+    from typegrove.operators import validation
+    from typegrove.schema import ATTRIBUTE_DEFS
+
+    types = [("text", 2, 3), ("number", None, None), ("date", None, None), ("datetime", None, None), ("choice", None, None), ("boolean", None, None), ("money", None, None), ("text", 5, 1)]
+    defs = [(f"d{n}", "object", "t", f"a{n}", "A", kind, n % 2 == 0, n % 3 == 0, n, True, low, high, 1.0 if kind == "number" else None, 2.0 if kind == "number" else None, ["x", "y"] if kind == "choice" else None) for n, (kind, low, high) in enumerate(types)]
+    values = ["x", "xx", "xxx", "xxxx", "1", "2", "2.5", "0.5", "NaN", "1995-02-28", "1995-02-30", "1995-02-28T10:30", "true", "", None]
+    rows = [(f"r{i}", "t", {f"a{n}": v for n in range(len(types)) if (i + n) % 5}) for i, v in enumerate(values)]
+    rows, defs = spark.createDataFrame(rows, "id string, type_id string, attributes map<string,string>"), spark.createDataFrame(defs, ATTRIBUTE_DEFS)
+    found = validation.attribute_issues(rows, defs, "object")
+    some = lambda: sorted((r["target_id"], r["field"], r["code"]) for r in found.collect())
+    with_filter = some()
+    monkeypatch.setattr(validation, "fits", lambda: F.lit(False))
+    found = validation.attribute_issues(rows, defs, "object")
+    assert with_filter == some() and len(with_filter) > 30

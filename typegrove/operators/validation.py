@@ -43,6 +43,24 @@ def attribute_pairs(rows: DataFrame, defs: DataFrame) -> DataFrame:
     return out.select("id", "attribute", "data_type", "required", "nullable", "min_length", "max_length", "least", "most", "choices", value.alias("value"), F.map_contains_key("attributes", F.col("attribute")).alias("present"), kind.alias("kind"))
 
 
+def fits() -> Column:
+    """Whether a pair has no issue for certain; most have none. One case a pair, in generated code, which a list of all codes is not."""
+    v, data_type, n = F.col("value"), F.col("data_type"), F.col("value").try_cast("double")
+    wanted = F.when(data_type == "number", "number").when(data_type == "boolean", "boolean").otherwise("string")
+    within = lambda x, low, high: F.coalesce(~(x < F.col(low)), F.lit(True)) & F.coalesce(~(x > F.col(high)), F.lit(True))
+    return (
+        F.when(~F.col("present"), ~F.col("required"))
+        .when(v.isNull(), F.col("nullable"))
+        .when(~data_type.isin(*DATA_TYPES) | (F.col("kind") != wanted), F.lit(False))
+        .when(data_type == "text", within(F.char_length(v), "min_length", "max_length"))
+        .when(data_type == "number", within(n, "least", "most"))
+        .when(data_type == "date", date_of(v).isNotNull())
+        .when(data_type == "datetime", datetime_of(v).isNotNull())
+        .when(data_type == "choice", F.array_contains("choices", v))
+        .otherwise(F.lit(True))
+    )
+
+
 def attribute_issues(rows: DataFrame, defs: DataFrame, target_type: str) -> DataFrame:
     """Unknown, missing, null, wrongly typed and out-of-range attributes. One pass over record x definition pairs."""
     known = defs.groupBy(F.col("owner_id").alias("type_id")).agg(F.collect_set("key").alias("__known"))
@@ -68,7 +86,7 @@ def attribute_issues(rows: DataFrame, defs: DataFrame, target_type: str) -> Data
         (typed & (data_type == "choice") & ~F.array_contains(F.coalesce("choices", F.array().cast("array<string>")), v), "invalid_choice"),
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in codes]))
-    hit = pairs.select("id", "attribute", F.explode(found).alias("code"))
+    hit = pairs.where(~F.coalesce(fits(), F.lit(False))).select("id", "attribute", F.explode(found).alias("code"))
     rest = hit.select("code", F.concat(F.lit("Attribute "), "attribute", F.lit(": "), F.replace("code", F.lit("_"), F.lit(" "))).alias("message"), F.concat(F.lit("attributes."), "attribute").alias("field"), F.lit(target_type).alias("target_type"), F.col("id").alias("target_id"))
     return unknown.unionByName(rest)
 
