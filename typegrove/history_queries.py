@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import commit, pages, validity
-from .operators.model import Model
+from .operators.model import ONTOLOGY, Model
 from .queries import OBJECTS, attribute, query, sql
 from .shared import Steps
 from .sources import derived, export, graphview
@@ -165,17 +165,19 @@ FROM n, (VALUES (1::BIGINT), (2::BIGINT)) v(s)""")
 def snapshots_shared(spark, sf_dir):
     """Two published snapshots, the second without regions: records of each part as read back, and whether a part has blocks that the
     second had to write."""
-    shots = Snapshots(spark, Steps(spark, "snapshots").root)
-    d = derived.dataset(spark, sf_dir)
+    steps = Steps(spark, "snapshots")
+    shots, d = Snapshots(spark, f"{steps.root}/shots"), derived.dataset(spark, sf_dir)
+    d = d.with_(**{t: steps.keep(getattr(d, t), t) for t in ONTOLOGY})  # aggregates of all line items, needed by both
     rest = d.links.where(F.col("type_id") != "region", F.lit(True))
-    for dataset in (d, d.with_(objects=rest.objects(), links=rest)):
-        shots.add(export.json_lines(dataset), 1)
-    out = None
+    for n, links in enumerate((d.links, rest)):
+        links = links.checked(steps, f"odd-{n}")
+        shots.add(export.json_lines(d.with_(objects=links.objects(), links=links)), 1)
+    out, whole = None, shots.verify_all((1, 2))
     for sequence in (1, 2):
         own = F.col("folder") == shots.entry(sequence)["folder"]
         written = shots.leaves(sequence).groupBy("part").agg(F.max(own).alias("written"))
         rows = shots.read(sequence).groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(written, "part")
-        rows = rows.select(F.lit(sequence).cast("long").alias("sequence"), "part", "n", F.lit(shots.verify(sequence)).alias("whole"), "written")
+        rows = rows.select(F.lit(sequence).cast("long").alias("sequence"), "part", "n", F.lit(whole[sequence]).alias("whole"), "written")
         out = rows if out is None else out.unionByName(rows)
     return out
 
