@@ -242,7 +242,7 @@ def test_ends_that_are_there_once_move_no_edges(spark, tmp_path):
         rows.write.parquet(f"{tmp_path}/{t}.parquet")
     own = graphview.links(spark, str(tmp_path))
     checked = own.checked(Steps(spark, "checked"), "odd")
-    rows = lambda x: x.with_ends("key").select("id", "source_type", "target_type", "source_key", "target_key").groupBy(F.xxhash64("*").alias("h")).count().collect()
+    rows = lambda x: x.with_ends("key").select(F.xxhash64("id", "source_type", "target_type", "source_key", "target_key").alias("h")).groupBy("h").count().collect()
     assert sorted(rows(own)) == sorted(rows(checked)) and not checked.odd.isEmpty()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
     try:
@@ -250,3 +250,27 @@ def test_ends_that_are_there_once_move_no_edges(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(l_orderkey" not in text and "SortMergeJoin" not in text
+
+
+def test_details_are_moved_as_keys(spark, monkeypatch):
+    """Not as texts, and no names are written: they only decide the order."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(self._df.dtypes), parquet(self, *a, **k))[1])
+    text = plan(queries.FOUND["grouped_details"](spark, SF))
+    assert "Exchange" not in text and not any(c == "other_name" for found in seen for c, _ in found)
+    placed = [found for found in seen if ("l_linenumber", "int") in found]
+    assert len(placed) == 2 and not any(kind == "string" for found in placed for _, kind in found)
+
+
+def test_large_groups_of_details_are_dealt_by_ranges(spark):
+    """The same places whether a group is one task's or not; edges of types that are not there go."""
+    from typegrove.shared import Steps
+    from typegrove.sources import graphview
+
+    own = graphview.links(spark, SF)
+    types = {x.type_id for x in own.links} - {"placed_by"}
+    got = [own.grouped(types, Steps(spark, "details"), large) for large in (1 << 20, 20)]
+    assert got[0].exceptAll(got[1]).isEmpty() and got[1].exceptAll(got[0]).isEmpty()
+    assert got[0].where("n > 20").count() > 1000 and got[0].where("edge_type_id = 'placed_by'").isEmpty()

@@ -44,6 +44,14 @@ def grouped_details(details: DataFrame) -> DataFrame:
     return places(details, group, [F.lower("other_name"), F.col("edge_id")], "position", Steps(details.sparkSession, "details"), "n")
 
 
+def all_grouped_details(dataset: Dataset) -> DataFrame:
+    """``grouped_details`` of all objects, without names; by the source's own keys where the dataset has links."""
+    if dataset.links is None:
+        return grouped_details(object_details(dataset)).select("id", "edge_type_id", "direction", "other_id", "edge_id", "position", "n")
+    types = {r["id"] for r in dataset.relationship_types.select("id").collect()}  # small by nature
+    return dataset.links.grouped(types, Steps(dataset.relationship_types.sparkSession, "details"))
+
+
 def hidden_counterparts(dataset: Dataset, ids: DataFrame, shown: DataFrame) -> DataFrame:
     """(id, other_id): neighbours of the records that a projection does not show."""
     near = ds.adjacency(dataset.relationships).join(ids.select("id"), "id", "left_semi").select("id", "other_id").distinct()

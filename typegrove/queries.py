@@ -234,7 +234,7 @@ def object_details(spark, sf_dir):
 @query(sql("SELECT e.id, edge_type_id, direction, other_id, edge_id, row_number() OVER (PARTITION BY e.id, edge_type_id, direction ORDER BY lower(o.name), edge_id)::INT AS position, count(*) OVER (PARTITION BY e.id, edge_type_id, direction)::BIGINT AS n FROM ends e JOIN objects o ON o.id = other_id", OBJECTS, EDGES, ENDS))
 def grouped_details(spark, sf_dir):
     d = graphview.dataset(spark, sf_dir)
-    return details.grouped_details(details.object_details(d)).select("id", "edge_type_id", "direction", "other_id", "edge_id", "position", "n")
+    return details.all_grouped_details(d)
 
 
 @query(sql("SELECT DISTINCT e.id, other_id FROM ends e WHERE other_id NOT LIKE 'part:%'", EDGES, ENDS))
