@@ -274,3 +274,34 @@ def test_large_groups_of_details_are_dealt_by_ranges(spark):
     got = [own.grouped(types, Steps(spark, "details"), large) for large in (1 << 20, 20)]
     assert got[0].exceptAll(got[1]).isEmpty() and got[1].exceptAll(got[0]).isEmpty()
     assert got[0].where("n > 20").count() > 1000 and got[0].where("edge_type_id = 'placed_by'").isEmpty()
+
+
+def test_a_rejected_change_set_writes_no_buckets(spark, tmp_path, monkeypatch):
+    """Its issues come from the records it names and the buckets as they are; they are those of the buckets as they would be."""
+    from typegrove import history_queries
+    from typegrove.operators import model, store
+    from typegrove.sources import graphview
+
+    m = model.Model(spark, str(tmp_path / "model"), 4)
+    m.create(history_queries._sound(spark, SF, "based_in:supplier:nation"))
+    schema, none = graphview.changes(spark, SF).schema, (None, None, None)
+    rows = [
+        ("a", "p", 1, "update", "object", "customer:1", *none, '{"field": "name", "value": ""}'),
+        ("b", "p", 2, "create", "relationship", "second:1", "relationship_type", "based_in", None, '{"source_id": "supplier:1", "target_id": "nation:1"}'),
+        ("c", "p", 3, "delete", "object", "customer:2", *none, None),
+        ("d", "p", 4, "create", "object", "customer:new", "object_type", "customer", None, '{"name": "New", "key": "customer_3", "attributes": {"mktsegment": "NONE"}}'),
+        ("e", "p", 5, "create", "relationship", "second:2", "relationship_type", "based_in", None, '{"source_id": "customer:none", "target_id": "nation:1"}'),
+    ]
+    log, wrote, write = spark.createDataFrame(rows, schema).cache(), [], store.Store.write
+    monkeypatch.setattr(store.Store, "write", lambda self, index, table, *more: (wrote.append(table), write(self, index, table, *more))[1])
+    out = m.commit(log)
+    found = [(r["code"], r["change_id"]) for r in out.issues.collect()]
+    assert not out.committed and wrote == [] and m.revision() == 1
+    assert {"name_required", "object_cardinality_maximum", "duplicate_key", "invalid_choice", "endpoint_not_found"} <= {code for code, _ in found}, found
+    change = model.Change(m.store, m._load(1)[0], log, "tables/next", None)
+    change.lay_objects()
+    change.lay_edges()
+    rows_of = lambda: sorted(map(repr, change.issues().unionByName(change.change_issues()).collect()))
+    laid = rows_of()
+    change.write()
+    assert laid == rows_of() and len(laid) == len(found) and {"objects", "relationships", "counts", "keys"} <= set(wrote)

@@ -6,6 +6,9 @@ the records of each type and key. Edges carry the types of their ends, which nev
 record can make invalid is found in the buckets of that record, its ends and its key, and the issues of a revision are those
 of the one before, but for the records that could have changed theirs.
 
+A commit finds its issues from the records that it changes and the buckets as they are; it writes the buckets that it changes when
+there are none, so a change-set that is rejected writes none.
+
 Everything is read only where a change demands it: records of a type whose rules or definitions change are validated anew
 (read by that type), the edges are scanned for the ends that go when objects are deleted, and a deleted type is looked for
 among the records.
@@ -25,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import Dataset
-from ..shared import delete, names, put_if_absent, read_text
+from ..shared import Steps, delete, names, put_if_absent, read_text
 from . import dataset as ds
 from .commit import TABLES, Conflict, Outcome, attributed, change_issues, created_keys, log_ends
 from .overlay import stored
-from .store import Index, Store
+from .store import KEYS, Index, Store
 from .validation import duplicate_keys, end_mismatches, record_issues, side_counts, structural_issues, union, validate
 
 ONTOLOGY = ("object_types", "relationship_types", "rules", "attribute_defs")
@@ -45,14 +48,17 @@ def _pick(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 class Change:
-    """The next revision's tables and issues of one change-set, on an index that is filled as they are written."""
+    """The next revision's tables and issues of one change-set, on an index that is filled as they are written.
+
+    ``pending`` has, for each table of many buckets that changes, these buckets and what they are to hold, as a function of buckets.
+    """
 
     def __init__(self, store: Store, old: Index, changes: DataFrame, name: str, old_issues: DataFrame | None):
         self.store, self.old, self.new, self.changes, self.name, self.old_issues = store, old, old.copy(), changes, name, old_issues
         did = {(r["target_type"], r["operation"]) for r in changes.select("target_type", "operation").distinct().collect()}
         self.kinds = {kind for kind, _ in did}
         self.deletes = {kind for kind, operation in did if operation == "delete"}
-        self.scratch = 0
+        self.scratch, self.pending = 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Computed once, into the change-set's own folder."""
@@ -68,6 +74,35 @@ class Change:
         """The buckets of a table that the keys of ``rows`` fall into; None: all of them."""
         return self.store.read(index, table, None if rows is None else self.store.touched(index, table, rows))
 
+    def now(self, table: str, rows: DataFrame | None = None) -> DataFrame:
+        """``read`` of the next revision, whose buckets may not have been written yet."""
+        if table not in self.pending:
+            return self.read(self.new, table, rows)
+        only, content = self.pending[table]
+        wanted = range(self.old.tables[table]["buckets"]) if rows is None else self.store.touched(self.old, table, rows)
+        changed, others = [b for b in only if b in wanted], [b for b in wanted if b not in only]
+        out = content(changed)
+        if len(changed) < len(only):
+            out = out.where(self.store.number(self.old, table, *map(F.col, KEYS[table])).isin(changed))
+        return out.unionByName(self.store.read(self.old, table, others)) if others else out
+
+    def objects_of(self, ids: DataFrame) -> DataFrame:
+        """The next revision's objects of ``ids``: the log's are at hand, so the others only are looked for, mostly few."""
+        if "objects" not in self.pending:
+            return _pick(self.read(self.new, "objects", ids), ids)
+        rest = self.keep(ids.join(self.touched_objects, "id", "left_anti"))
+        only, wanted, types = self.pending["objects"][0], self.store.touched(self.old, "objects", rest), self.store.read(self.new, "object_types")
+        of = lambda inside: _pick(self.store.read(self.old, "objects", [b for b in wanted if (b in only) == inside]), rest)
+        out = _pick(self.new_objects, ids).unionByName(of(False))
+        return out.unionByName(ds.known_objects(of(True), types).select(*out.columns))
+
+    def write(self) -> None:
+        """Writes the buckets that change."""
+        for table in list(self.pending):
+            only, content = self.pending[table]
+            self.store.write(self.new, table, content(only), self.name, only)
+            del self.pending[table]
+
     def ontology(self, index: Index) -> dict[str, DataFrame]:
         return {t: self.store.read(index, t) for t in ONTOLOGY}
 
@@ -87,31 +122,36 @@ class Change:
         for t in changed:
             self.store.write(self.new, t, out[t], self.name)
 
-    def write_objects(self) -> None:
+    def lay_objects(self) -> None:
         """Objects in the log, and the keys they bring or lose."""
         self.touched_objects = self.targets("object")
         if "object" not in self.kinds:
             self.old_objects = self.new_objects = self.store.read(self.old, "objects", [])
             self.keyed = self.store.read(self.old, "keys", [])
             return
-        self.touched_objects = self.keep(self.touched_objects)
-        only = self.store.touched(self.old, "objects", self.touched_objects)
+        self.touched_objects = touched = self.keep(self.touched_objects)
+        only = self.store.touched(self.old, "objects", touched)
         before, types = self.store.read(self.old, "objects", only), self.store.read(self.new, "object_types")
-        self.old_objects = self.keep(_pick(before, self.touched_objects))
-        self.new_objects = self.keep(ds.known_objects(stored(self.old_objects, self.changes, "object"), types).select(*before.columns))
-        rest = ds.known_objects(before.join(self.touched_objects, "id", "left_anti"), types)
-        self.store.write(self.new, "objects", rest.select(*before.columns).unionByName(self.new_objects), self.name, only)
+        self.old_objects = self.keep(_pick(before, touched))
+        self.new_objects = fresh = self.keep(ds.known_objects(stored(self.old_objects, self.changes, "object"), types).select(*before.columns))
+
+        def objects(buckets: list[int]) -> DataFrame:
+            rest = ds.known_objects(self.store.read(self.old, "objects", buckets).join(touched, "id", "left_anti"), types)
+            return rest.select(*before.columns).unionByName(fresh)
+
+        self.pending["objects"] = (only, objects)
         columns = ["type_id", "key", "id", "is_active"]
         bring = self.new_objects.select(*columns).where("key is not null")
         groups = self.old_objects.select("type_id", "key").unionByName(bring.select("type_id", "key")).where("key is not null").distinct()
         only = self.store.touched(self.old, "keys", groups)
-        before = self.store.read(self.old, "keys", only)
-        self.store.write(self.new, "keys", before.join(self.touched_objects, "id", "left_anti").select(*columns).unionByName(bring), self.name, only)
+        keys = lambda rows: rows.join(touched, "id", "left_anti").select(*columns).unionByName(bring)
+        self.pending["keys"] = (only, lambda buckets: keys(self.store.read(self.old, "keys", buckets)))
         # whoever has, or had, a key of a touched record
-        self.keyed = before.unionByName(self.store.read(self.new, "keys", only)).join(groups, ["type_id", "key"], "left_semi")
-        self.new_keyed = self.store.read(self.new, "keys", only).join(groups, ["type_id", "key"], "left_semi")
+        had = self.keep(self.store.read(self.old, "keys", only).join(groups, ["type_id", "key"], "left_semi").select(*columns))
+        self.new_keyed = keys(had)
+        self.keyed = had.unionByName(self.new_keyed)
 
-    def write_edges(self) -> None:
+    def lay_edges(self) -> None:
         """Edges in the log and edges of deleted objects; then the counts that they move."""
         touched = self.targets("relationship")
         if "object" in self.deletes:  # by the two columns of the ends
@@ -129,16 +169,26 @@ class Change:
         known = lambda rows: rows.join(types, "type_id", "left_semi").select(*before.columns)
         fresh = self.keep(known(stored(mine, self.changes, "relationship")).drop(*ds.END_TYPES))
         ends = self.keep(fresh.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct())
-        fresh = self.keep(ds.with_end_types(fresh, _pick(self.read(self.new, "objects", ends).select("id", "type_id"), ends)))
-        self.store.write(self.new, "relationships", known(before.join(touched, "id", "left_anti")).unionByName(fresh), self.name, only)
+        fresh = self.keep(ds.with_end_types(fresh, self.objects_of(ends).select("id", "type_id")))
+        self.pending["relationships"] = (only, lambda buckets: known(self.store.read(self.old, "relationships", buckets).join(touched, "id", "left_anti")).unionByName(fresh))
         self.new_edges = fresh.select(*before.columns)
         less = side_counts(mine).withColumn("n", -F.col("n"))
         columns = ["id", "type_id", "side", "other_type"]
         moved = less.unionByName(side_counts(self.new_edges)).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
         self.moved = self.keep(moved)
-        only = self.store.touched(self.old, "counts", self.moved)
-        counts = self.store.read(self.old, "counts", only).unionByName(self.moved).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
-        self.store.write(self.new, "counts", counts, self.name, only)
+
+        def counts(buckets: list[int]) -> DataFrame:
+            return self.store.read(self.old, "counts", buckets).unionByName(self.moved).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
+
+        self.pending["counts"] = (self.store.touched(self.old, "counts", self.moved), counts)
+
+    def write_objects(self) -> None:
+        self.lay_objects()
+        self.write()
+
+    def write_edges(self) -> None:
+        self.lay_edges()
+        self.write()
 
     def _types(self) -> tuple[DataFrame, DataFrame] | None:
         """Types of objects and of edges whose rules or definitions the log changes, of either revision."""
@@ -154,11 +204,11 @@ class Change:
     def issues(self) -> DataFrame:
         """The new revision's issues: of records that the change-set can have made valid or invalid, and the rest as before."""
         near, types = self.keep(_ids(self.touched_objects, self.moved, self.keyed)), self._types()
-        objects, edges, sides = _pick(self.read(self.new, "objects", near), near), self.new_edges, _pick(self.read(self.new, "counts", near), near)
+        objects, edges, sides = self.objects_of(near), self.new_edges, _pick(self.now("counts", near), near)
         if types:
-            objects = objects.unionByName(self.read(self.new, "objects").join(types[0], "type_id", "left_semi").select(*objects.columns)).dropDuplicates(["id"])
-            edges = edges.unionByName(self.read(self.new, "relationships").join(types[1], "type_id", "left_semi").select(*edges.columns)).dropDuplicates(["id"])
-            sides = self.read(self.new, "counts")
+            objects = objects.unionByName(self.now("objects").join(types[0], "type_id", "left_semi").select(*objects.columns)).dropDuplicates(["id"])
+            edges = edges.unionByName(self.now("relationships").join(types[1], "type_id", "left_semi").select(*edges.columns)).dropDuplicates(["id"])
+            sides = self.now("counts")
         objects, edges = self.keep(objects), self.keep(edges)
         part = Dataset(objects=objects, relationships=edges, **self.ontology(self.new))
         found = [*record_issues(part, sides), structural_issues(part)]
@@ -166,7 +216,7 @@ class Change:
             found.append(duplicate_keys(self.new_keyed.where("is_active"), "object"))
         if "model_id" in objects.columns and "model_id" in edges.columns:
             ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-            found.append(end_mismatches(edges.where("is_active"), self.read(self.new, "objects", ends)))
+            found.append(end_mismatches(edges.where("is_active"), self.now("objects", ends)))
         out = union(found)
         if self.old_issues is not None:
             done = _ids(near, objects).select(F.lit("object").alias("target_type"), F.col("id").alias("target_id"))
@@ -179,13 +229,14 @@ class Change:
 
     def change_issues(self) -> DataFrame:
         """The log's own issues, held against the old records that it names."""
-        named = self.touched_objects
+        named = self.old_objects
         if "relationship" in self.kinds:
-            named = self.keep(_ids(named, log_ends(self.changes).select(F.col("end_id").alias("id"))))
+            ends = self.keep(_ids(log_ends(self.changes).select(F.col("end_id").alias("id"))).join(self.touched_objects, "id", "left_anti"))
+            named = named.unionByName(_pick(self.read(self.old, "objects", ends), ends))
         only = lambda table, ids: _pick(self.read(self.old, table, ids), ids)
         edges = only("relationships", self.keep(self.targets("relationship"))) if "relationship" in self.kinds else self.store.read(self.old, "relationships", [])
         keys = created_keys(self.changes).select(F.col("parent_id").alias("type_id"), "key")
-        seen = Dataset(objects=only("objects", named), relationships=edges, **self.ontology(self.old))
+        seen = Dataset(objects=named, relationships=edges, **self.ontology(self.old))
         holders = seen
         if {"object_type", "relationship_type"} & self.deletes:
             holders = seen.with_(objects=self.read(self.old, "objects"), relationships=self.read(self.old, "relationships"))
@@ -229,6 +280,8 @@ class Model:
             self.store.write(index, table, getattr(dataset, table), name)
         self.store.write(index, "objects", ds.known_objects(dataset.objects, dataset.object_types), name)
         objects = self.store.read(index, "objects")
+        if dataset.links is not None:
+            dataset = dataset.with_(links=dataset.links.checked(Steps(self.spark, "ends"), "odd"))
         edges = ds.typed_relationships(dataset, objects)
         edges = edges.withColumns({c: F.lit(None).cast(kind) for c, kind in VALIDITY.items() if c not in edges.columns})
         self.store.write(index, "relationships", edges, name)
@@ -303,14 +356,15 @@ class Model:
         changes = self.spark.read.schema(changes.schema).parquet(f"{tried}/changes")
         change = Change(self.store, index, changes, name, old_issues)
         change.write_ontology()
-        change.write_objects()
-        change.write_edges()
+        change.lay_objects()
+        change.lay_edges()
         found = attributed(change.change_issues().unionByName(change.issues()), changes)
         found.write.parquet(f"{tried}/issues")
         found = self.spark.read.schema(found.schema).parquet(f"{tried}/issues")
         if not found.isEmpty():
             delete(self.spark, f"{self.path}/{name}")
             return Outcome(now, False, found)
+        change.write()
         try:
             self.store.save(change.new, name, issues=None)
             made = self._publish(now + 1, name, token)
